@@ -102,7 +102,8 @@ def bubble_xyr(urgency, impact_col) -> Column:
 
 def fixed(x, digits: int = 2, null_text: str = "N/A") -> Column:
     """fixed-point display text; null -> ``N/A``."""
-    return F.coalesce(F.format_string(f"%.{int(digits)}f", col_of(x)), F.lit(null_text))
+    c = col_of(x)
+    return F.when(c.isNotNull(), F.format_string(f"%.{int(digits)}f", c)).otherwise(F.lit(null_text))
 
 
 def preview(s, n: int) -> Column:

@@ -1,0 +1,35 @@
+"""Plan shape: top-k without a global sort, pushdown, pruning, no Python in native operators."""
+
+import os
+import tempfile
+
+from feedlens.operators import distribution, library, rollups
+from feedlens.sources.feedback import read_feedback, seed_feedback
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topk_is_take_ordered(seed):
+    for df in (library.latest_feedback(seed), library.urgency_impact(seed), library.search_text(seed, "api")):
+        p = plan(df)
+        assert "TakeOrderedAndProject" in p
+
+
+def test_native_operators_have_no_python(seed):
+    for df in (rollups.tag_counts(seed), distribution.sentiment_boxplot(seed, "tier"), library.search_text(seed, "x"),
+               rollups.summary_counts(seed)):
+        p = plan(df)
+        assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_by_date_pushdown_and_partition_pruning(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="feedlens-test-"), "feedback")
+    from pyspark.sql import functions as F
+    seed_feedback(spark).withColumn("created_date", F.to_date("created_at")).write.partitionBy("created_date").parquet(out)
+    df = library.feedback_by_date(read_feedback(spark, out), "2026-01-22")
+    p = plan(df)
+    assert "PartitionFilters: [isnotnull(created_date" in p and "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in p
+    assert "severity_hint" not in p.split("ReadSchema:")[1].split("\n")[0]
+    assert [r["id"] for r in df.collect()] == [17, 4, 9, 31]
