@@ -54,7 +54,7 @@ def _number_parts(v: Column) -> dict[str, Column]:
         "missing": v.isNull(),
         "jnull": F.is_variant_null(v),
         "kind": F.schema_of_variant(v),
-        "str": js_trim(F.try_variant_get(v, "$", "string")),
+        "str": F.when(F.schema_of_variant(v) == "STRING", js_trim(F.try_variant_get(v, "$", "string"))),
         "dbl": F.try_variant_get(v, "$", "double"),
         "bool": F.try_variant_get(v, "$", "boolean"),
     }

@@ -72,9 +72,19 @@ def utc_now() -> Column:
     return F.date_trunc("second", F.localtimestamp()).cast("timestamp_ntz")
 
 
+# The same characters as literals, for the cheap first/last character test.
+JS_WHITESPACE_CHARS = ["\t", "\n", "\x0b", "\x0c", "\r", " ", "\u00a0", "\u1680"] + \
+    [chr(c) for c in range(0x2000, 0x200B)] + ["\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff"]
+
+
 def js_trim(s) -> Column:
-    """JavaScript ``trim()`` (all Unicode white space, not only spaces)."""
-    return F.regexp_replace(col_of(s), rf"^{JS_WHITESPACE}+|{JS_WHITESPACE}+$", "")
+    """JavaScript ``trim()`` (all Unicode white space, not only spaces).
+
+    The regex only runs when the first or last character is white space; most
+    texts skip it."""
+    c = col_of(s)
+    edge = F.substring(c, 1, 1).isin(*JS_WHITESPACE_CHARS) | F.substring(c, -1, 1).isin(*JS_WHITESPACE_CHARS)
+    return F.when(edge, F.regexp_replace(c, rf"^{JS_WHITESPACE}+|{JS_WHITESPACE}+$", "")).otherwise(c)
 
 
 def default_if_empty(c, *alternatives) -> Column:

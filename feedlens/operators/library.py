@@ -192,21 +192,42 @@ def like_pattern(q: str, literal: bool = False) -> str:
     return f"%{p}%"
 
 
+def like_regex(q: str, literal: bool = False) -> str:
+    """The substring LIKE ``%q%`` as a Java regex for ``rlike`` (a find):
+    ``%`` -> ``.*``, ``_`` -> one character, every other ASCII symbol
+    escaped. ``(?i)`` without ``(?u)`` folds case for ASCII letters only -
+    exactly the reference's LIKE - and ``(?s)`` lets wildcards cross newlines."""
+    out = []
+    for ch in q:
+        if ch == "%" and not literal:
+            out.append(".*")
+        elif ch == "_" and not literal:
+            out.append(".")
+        elif ch.isascii() and not ch.isalnum():
+            out.append("\\" + ch)
+        else:
+            out.append(ch)
+    return "(?s)(?i)" + "".join(out)
+
+
 def search_text(df: DataFrame, q: str, limit: int = S.SEARCH_LIMIT, fold: str = "ascii",
                 literal: bool = False) -> DataFrame:
     """Substring search over the whole text, newest created first, top ``limit``.
 
     ``q`` is JS-trimmed; an empty query returns no rows. Case folding is
-    ASCII-only by default (``fold='unicode'`` uses ``lower``). A leading
-    wildcard cannot use Parquet statistics, so this is a column-pruned scan
-    plus a per-task top-k; no shuffle.
+    ASCII-only by default (``fold='unicode'`` lower-cases both sides with
+    ``lower``). The match is one regex scan per text, no folded copy of the
+    text is built. A leading wildcard cannot use Parquet statistics, so this
+    is a column-pruned scan plus a per-task top-k; no shuffle.
     """
     q = _JS_TRIM.sub("", q or "")
     if not q:
         return df.select(*SEARCH_COLUMNS).where(F.lit(False))
-    fold_fn = ascii_lower if fold == "ascii" else F.lower
-    pat = like_pattern(q.translate(str.maketrans(_UPPER, _LOWER)) if fold == "ascii" else q.lower(), literal)
-    return (df.where(fold_fn(F.col("text")).like(pat)).select(*SEARCH_COLUMNS)
+    if fold == "ascii":
+        cond = F.col("text").rlike(like_regex(q, literal))
+    else:
+        cond = F.lower(F.col("text")).like(like_pattern(q.lower(), literal))
+    return (df.where(cond).select(*SEARCH_COLUMNS)
             .orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc()).limit(int(limit)))
 
 

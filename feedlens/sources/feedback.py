@@ -64,11 +64,25 @@ RAW_RESPONSES = [  # event_id % 10
 
 
 def _cycle(key, values):
-    expr = None
-    for i, v in enumerate(values):
-        lit = F.lit(v) if v is not None else F.lit(None).cast("string")
-        expr = F.when(key == i, lit) if expr is None else expr.when(key == i, lit)
-    return expr
+    """``values[key]`` as one constant-array lookup (keeps generated code small)."""
+    arr = F.array(*[F.lit(v) if v is not None else F.lit(None).cast("string") for v in values])
+    return F.element_at(arr, (key + 1).cast("int"))
+
+
+def scan(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """Parquet scan that guarantees enough input tasks.
+
+    Small tables written as one row group arrive as a single split, so all
+    the work downstream would run in one task. When a scan yields fewer
+    splits than the cluster's default parallelism it is hash-spread on
+    ``key`` (a deterministic placement, safe under task retries). Large
+    inputs already have many splits and are left untouched - no shuffle.
+    """
+    df = spark.read.parquet(path)
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par, key) if key else df.repartition(par)
+    return df
 
 
 def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = True,
@@ -79,7 +93,7 @@ def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = Tru
     unique key (one document per event) so it never changes the row set, and
     operators that do not read ``text`` should not pay for it.
     """
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = scan(spark, f"{sf_dir}/events.parquet", "event_id")
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     pending = (eid % 17) == 0
     cols = {
@@ -113,7 +127,7 @@ def ingest_requests_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw new-feedback request bodies derived from ``conversations``: user
     turns are plain submissions, assistant turns exercise tier fallbacks,
     system turns send a non-string ``feedback`` (rejected)."""
-    cv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    cv = scan(spark, f"{sf_dir}/conversations.parquet", "conv_id")
     role = F.col("role")
     channel = _cycle(F.col("conv_id") % 3, ["discord", "github", "email"])
     body = (F.when(role == "system", F.to_json(F.struct(F.col("turn").alias("feedback"))))
@@ -128,7 +142,7 @@ def change_requests_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw change requests (op, id_text, body) derived from ``events``: error
     events delete, the others patch with bodies that cover the reference's
     patch rules and quirks; signups carry an unparsable id."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = scan(spark, f"{sf_dir}/events.parquet", "event_id")
     et, eid = F.col("event_type"), F.col("event_id")
     op = F.when(et == "error", F.lit("delete")).otherwise(F.lit("patch"))
     id_text = (F.when(et == "view", F.concat(F.lit(" "), (eid / 2).cast("long").cast("string"), F.lit("abc")))
@@ -153,7 +167,7 @@ def change_log_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlens.operators.changes import _events  # local: avoid an import cycle
 
     fb = feedback_from_tables(spark, sf_dir)
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
+    ev = scan(spark, f"{sf_dir}/events.parquet", "event_id").select("event_id", "event_type", "ts")
     idc = F.col("id")
     ins = _events(fb.withColumns({"seq": idc * 8, "event_ts": F.col("created_at"), "op": F.lit("insert"),
                                   "status": F.lit(S.DEFAULT_STATUS)}),
