@@ -73,9 +73,8 @@ def narrative_input(df: DataFrame, limit: int = S.LATEST_ANALYZED_LIMIT) -> Data
     top = (df.where(F.col("analyzed_at").isNotNull())
            .select("id", "text", "tag", "sentiment", "analyzed_at")
            .orderBy(F.col("analyzed_at").desc(), F.col("id").desc()).limit(int(limit)))
-    key = F.struct((-F.unix_micros(F.col("analyzed_at").cast("timestamp"))).alias("t"), (-F.col("id")).alias("i"),
-                   "text", "tag", "sentiment")
-    arr = F.array_sort(F.collect_list(key))
+    key = F.struct("analyzed_at", "id", "text", "tag", "sentiment")
+    arr = F.sort_array(F.collect_list(key), asc=False)  # newest first, then higher id
     return top.agg(F.to_json(F.transform(arr, lambda x: F.struct(x["text"].alias("text"), x["tag"].alias("tag"),
                                                                   x["sentiment"].alias("sentiment")))).alias("input"))
 
@@ -97,6 +96,11 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
     return numbered.select("date", F.col("line_no").cast("long").alias("line_no"), line.alias("line"))
 
 
+def line_count_generator(date: str, prompt: str) -> str:
+    """Deterministic stand-in for the model in ``daily_digest`` (tests, benchmarks)."""
+    return f"{date}: {len(prompt.splitlines())} items, {len(prompt)} characters"
+
+
 def digest_prompts(lines: DataFrame, lines_per_chunk: int | None = None) -> DataFrame:
     """Prompt text per date (or per date chunk): lines joined by newlines in order.
 

@@ -17,6 +17,7 @@ from feedlens.functions.analysis import keyword_scores, normalize_analysis
 from feedlens.operators import changes, distribution, enrich, library, rollups, timeline
 from feedlens.sources import feedback as src
 from feedlens.sources import ingest as ing
+from feedlens.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,7 @@ SEARCH_Q = "c:\\temp"
 SEARCH_WILDCARD_Q = "50%"
 PAGE = dict(status="done", sort_key="positive_desc", size=10, page_no=3)
 PAGE_PAST_END = 1_000_000
+KEYSET_AFTER = ("2024-01-15 12:00:00", 0)
 
 
 def _fb(spark, d, text=False, raw=False):
@@ -121,6 +123,14 @@ _QUERIES: dict[str, Query] = {
     "summary_bundle": lambda s, d: rollups.summary_counts(_fb(s, d)),
     "narrative_input": lambda s, d: enrich.narrative_input(_fb(s, d, text=True)),
     "similar_texts": _similar_texts,
+    "daily_digest": lambda s, d: enrich.daily_digest(_fb(s, d, text=True), enrich.line_count_generator),
+    "status_timeline_wide": lambda s, d: rollups.status_timeline_wide(_fb(s, d)),
+    "sentiment_histogram_tier": lambda s, d: rollups.sentiment_values_compact(_fb(s, d), "tier"),
+    "keyset_page": lambda s, d: library.keyset_page(_fb(s, d, text=True).select(*library.LIBRARY_COLUMNS), 20,
+                                                    KEYSET_AFTER[0], KEYSET_AFTER[1]),
+    "assign_ids_dense": lambda s, d: sinks.assign_ids(
+        ing.accepted(ing.ingest(src.ingest_requests_from_tables(s, d))).select("conv_id", "turn", "text"),
+        1, ["conv_id", "turn"]),
 }
 
 

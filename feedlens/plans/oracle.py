@@ -160,6 +160,13 @@ def _truthy(b: str, path: str) -> str:
             f"AND NOT ({k} IN ('BIGINT', 'UBIGINT', 'DOUBLE') AND TRY_CAST({v} AS DOUBLE) = 0))")
 
 
+_INGEST_RAW = """raw AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN json_object('feedback', turn)
+  WHEN role = 'user' THEN json_object('feedback', text, 'source', role, 'channel',
+       CASE conv_id % 3 WHEN 0 THEN 'discord' WHEN 1 THEN 'github' ELSE 'email' END)
+  ELSE json_object('feedback', text, 'tier', '', 'user_tier', 'pro', 'severity_hint', 'low') END AS value
+  FROM conversations)"""
+
+
 def _ingest() -> str:
     b = "value"
     ft = _trim(f"json_extract_string({b}, '$.feedback')")
@@ -167,11 +174,7 @@ def _ingest() -> str:
 
     def od(path, default):
         return f"CASE WHEN {_truthy(b, path)} THEN json_extract_string({b}, '{path}') ELSE {default} END"
-    return f"""WITH raw AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN json_object('feedback', turn)
-  WHEN role = 'user' THEN json_object('feedback', text, 'source', role, 'channel',
-       CASE conv_id % 3 WHEN 0 THEN 'discord' WHEN 1 THEN 'github' ELSE 'email' END)
-  ELSE json_object('feedback', text, 'tier', '', 'user_tier', 'pro', 'severity_hint', 'low') END AS value
-  FROM conversations)
+    return f"""WITH {_INGEST_RAW}
 SELECT conv_id, turn, CASE WHEN {ok} THEN {ft} END AS text,
   CASE WHEN {ok} THEN {od('$.source', "'user'")} END AS source,
   CASE WHEN {ok} THEN {od('$.channel', "'web'")} END AS channel,
@@ -330,6 +333,27 @@ FROM feedback GROUP BY 1, 2""",
 UNION ALL SELECT 'sentiment' AS section, {_BUCKET} AS key, count(*) AS count FROM feedback WHERE sentiment IS NOT NULL GROUP BY 2""",
     "narrative_input": W() + """SELECT to_json(list({'text': text, 'tag': tag, 'sentiment': sentiment} ORDER BY analyzed_at DESC, id DESC)) AS input
 FROM (SELECT id, text, tag, sentiment, analyzed_at FROM feedback WHERE analyzed_at IS NOT NULL ORDER BY analyzed_at DESC, id DESC LIMIT 25)""",
+    "daily_digest": W("n AS (SELECT CAST(created_at AS DATE) AS date, tag, text, row_number() OVER ("
+                      "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC) AS line_no FROM feedback)",
+                      "l AS (SELECT date, line_no, concat(CAST(line_no AS VARCHAR), '. [', coalesce(nullif(tag, ''), 'Unknown'), "
+                      "'] ', coalesce(text, '')) AS line FROM n)",
+                      "p AS (SELECT date, string_agg(line, chr(10) ORDER BY line_no) AS prompt, count(*) AS count FROM l GROUP BY date)") +
+    "SELECT CAST(date AS VARCHAR) AS date, CAST(0 AS BIGINT) AS chunk, concat(CAST(date AS VARCHAR), ': ', "
+    "CAST(len(string_split(prompt, chr(10))) AS VARCHAR), ' items, ', CAST(length(prompt) AS VARCHAR), ' characters') AS summary, "
+    "count FROM p",
+    "status_timeline_wide": W() + """SELECT CAST(CAST(updated_at AS DATE) AS VARCHAR) AS date,
+  count(*) FILTER (WHERE status = 'To Do') AS "To Do", count(*) FILTER (WHERE status = 'in progress') AS "in progress",
+  count(*) FILTER (WHERE status = 'to be reviewed') AS "to be reviewed", count(*) FILTER (WHERE status = 'done') AS "done"
+FROM feedback GROUP BY 1""",
+    "sentiment_histogram_tier": W() + f"SELECT {_dim('user_tier')} AS dimension, sentiment, count(*) AS n FROM feedback "
+                                      "WHERE user_tier IS NOT NULL AND sentiment IS NOT NULL GROUP BY 1, 2",
+    "keyset_page": W() + f"""SELECT {LIB} FROM feedback WHERE created_at < TIMESTAMP '{C.KEYSET_AFTER[0]}'
+  OR (created_at = TIMESTAMP '{C.KEYSET_AFTER[0]}' AND id < {C.KEYSET_AFTER[1]})
+ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 20""",
+    "assign_ids_dense": f"""WITH {_INGEST_RAW},
+t AS (SELECT conv_id, turn, {_trim("json_extract_string(value, '$.feedback')")} AS text FROM raw
+  WHERE json_valid(value) AND json_type(value, '$.feedback') = 'VARCHAR')
+SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn) AS id FROM t WHERE text <> ''""",
     "similar_texts": """WITH x AS (SELECT label, unnest(embedding) AS v, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings),
 c AS (SELECT label, list(m ORDER BY pos) AS cen FROM (SELECT label, pos, avg(v) AS m FROM x GROUP BY label, pos) GROUP BY label),
 s AS (SELECT c.label, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.cen) AS score FROM embeddings e, c),
