@@ -13,7 +13,7 @@ from feedlens import schema as S
 __all__ = [
     "col_of", "day", "hours_between", "trunc_int", "impact", "sentiment_bucket", "sentiment_class",
     "utc_now", "js_trim", "default_if_empty", "bubble_xyr", "fixed", "preview", "capitalize_first",
-    "mood5", "mood3", "sentiment_pct", "label_or", "parse_int", "today_utc", "stakeholder_group",
+    "mood5", "mood3", "sentiment_pct", "label_or", "parse_int", "today_utc", "stakeholder_group", "ntz_literal",
     "JS_WHITESPACE",
 ]
 
@@ -68,8 +68,16 @@ def sentiment_class(sentiment) -> Column:
 
 
 def utc_now() -> Column:
-    """``datetime('now')`` - UTC wall clock at second precision (session TZ is UTC)."""
-    return F.date_trunc("second", F.localtimestamp()).cast("timestamp_ntz")
+    """``datetime('now')`` - UTC wall clock at second precision, whatever
+    the session time zone."""
+    utc = F.convert_timezone(None, F.lit("UTC"), F.current_timestamp())
+    return F.date_trunc("second", utc).cast("timestamp_ntz")
+
+
+def ntz_literal(value) -> Column:
+    """A naive Python datetime as a TIMESTAMP_NTZ literal, independent of the
+    Python and session time zones."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 # The same characters as literals, for the cheap first/last character test.
@@ -164,8 +172,8 @@ def parse_int(s) -> Column:
 
 
 def today_utc() -> Column:
-    """today's date in UTC (session TZ is UTC)."""
-    return F.current_date()
+    """today's date in UTC."""
+    return F.to_date(utc_now())
 
 
 def stakeholder_group(tier) -> Column:
