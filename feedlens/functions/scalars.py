@@ -14,6 +14,7 @@ __all__ = [
     "col_of", "day", "hours_between", "trunc_int", "impact", "sentiment_bucket", "sentiment_class",
     "utc_now", "js_trim", "default_if_empty", "bubble_xyr", "fixed", "preview", "capitalize_first",
     "mood5", "mood3", "sentiment_pct", "label_or", "parse_int", "today_utc", "stakeholder_group", "ntz_literal",
+    "utc_instant", "utc_wall_clock",
     "JS_WHITESPACE",
 ]
 
@@ -74,6 +75,17 @@ def utc_now() -> Column:
     return F.date_trunc("second", utc).cast("timestamp_ntz")
 
 
+def utc_instant(ts) -> Column:
+    """Naive UTC wall clock (TIMESTAMP_NTZ) -> the instant (TIMESTAMP), whatever
+    the session time zone (needed by watermarks and time windows)."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), col_of(ts)).cast("timestamp")
+
+
+def utc_wall_clock(ts) -> Column:
+    """Instant (TIMESTAMP) -> naive UTC wall clock (TIMESTAMP_NTZ)."""
+    return F.convert_timezone(None, F.lit("UTC"), col_of(ts))
+
+
 def ntz_literal(value) -> Column:
     """A naive Python datetime as a TIMESTAMP_NTZ literal, independent of the
     Python and session time zones."""

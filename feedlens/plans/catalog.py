@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.functions.analysis import keyword_scores, normalize_analysis
-from feedlens.operators import changes, distribution, enrich, library, rollups, timeline
+from feedlens.operators import changes, digests, distribution, enrich, library, rollups, timeline
+from feedlens.streaming import jobs
 from feedlens.sources import feedback as src
 from feedlens.sources import ingest as ing
 from feedlens.sources import sinks
@@ -128,6 +129,8 @@ _QUERIES: dict[str, Query] = {
     "sentiment_histogram_tier": lambda s, d: rollups.sentiment_values_compact(_fb(s, d), "tier"),
     "keyset_page": lambda s, d: library.keyset_page(_fb(s, d, text=True).select(*library.LIBRARY_COLUMNS), 20,
                                                     KEYSET_AFTER[0], KEYSET_AFTER[1]),
+    "event_day_counts": lambda s, d: jobs.event_day_counts(src.change_log_from_tables(s, d), "1 day"),
+    "summary_payload": lambda s, d: digests.summary_payload(_fb(s, d, text=True)),
     "assign_ids_dense": lambda s, d: sinks.assign_ids(
         ing.accepted(ing.ingest(src.ingest_requests_from_tables(s, d))).select("conv_id", "turn", "text"),
         1, ["conv_id", "turn"]),

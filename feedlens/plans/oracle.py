@@ -213,7 +213,7 @@ SELECT request_id, op, id,
 FROM p"""
 
 
-def _snapshot() -> str:
+def _event_log_cte() -> str:
     nulls = {"text": "VARCHAR", "source": "VARCHAR", "channel": "VARCHAR", "severity_hint": "VARCHAR",
              "user_tier": "VARCHAR", "status": "VARCHAR", "tag": "VARCHAR", "sentiment": "DOUBLE",
              "urgency_score": "DOUBLE", "summary": "VARCHAR"}
@@ -234,7 +234,11 @@ def _snapshot() -> str:
             status="'done'"),
         row("event_id * 8 + 6", "ts + INTERVAL 2 DAY", "patch", "event_id", "events WHERE event_type = 'view'"),
     ]
-    ev = "ev AS (" + "\nUNION ALL ".join(parts) + ")"
+    return "ev AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+def _snapshot() -> str:
+    ev = _event_log_cte()
     writes = "op IN ('insert', 'patch', 'analysis')"
     cols = []
     for c in ["text", "source", "channel", "severity_hint", "user_tier", "tag", "sentiment", "urgency_score", "summary"]:
@@ -329,6 +333,8 @@ FROM feedback GROUP BY 1, 2""",
                              "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC) AS line_no FROM feedback)") +
     "SELECT CAST(date AS VARCHAR) AS date, CAST(line_no AS BIGINT) AS line_no, concat(CAST(line_no AS VARCHAR), '. [', coalesce(nullif(tag, ''), 'Unknown'), "
     "'] ', coalesce(text, '')) AS line FROM n",
+    "event_day_counts": W(_event_log_cte()) + "SELECT CAST(CAST(date_trunc('day', event_ts) AS DATE) AS VARCHAR) AS date, op, "
+                                             "count(*) AS count FROM ev GROUP BY 1, 2",
     "summary_bundle": W() + f"""SELECT 'tag' AS section, tag AS key, count(*) AS count FROM feedback WHERE tag IS NOT NULL GROUP BY tag
 UNION ALL SELECT 'sentiment' AS section, {_BUCKET} AS key, count(*) AS count FROM feedback WHERE sentiment IS NOT NULL GROUP BY 2""",
     "narrative_input": W() + """SELECT to_json(list({'text': text, 'tag': tag, 'sentiment': sentiment} ORDER BY analyzed_at DESC, id DESC)) AS input

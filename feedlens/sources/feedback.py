@@ -93,7 +93,10 @@ def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = Tru
     unique key (one document per event) so it never changes the row set, and
     operators that do not read ``text`` should not pay for it.
     """
-    ev = scan(spark, f"{sf_dir}/events.parquet", "event_id")
+    # only the text-bearing view is heavy enough to be worth spreading a
+    # single-split input; narrow rollups run fine in the scan's own tasks
+    path = f"{sf_dir}/events.parquet"
+    ev = scan(spark, path, "event_id") if with_text else spark.read.parquet(path)
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     pending = (eid % 17) == 0
     cols = {
@@ -127,7 +130,7 @@ def ingest_requests_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw new-feedback request bodies derived from ``conversations``: user
     turns are plain submissions, assistant turns exercise tier fallbacks,
     system turns send a non-string ``feedback`` (rejected)."""
-    cv = scan(spark, f"{sf_dir}/conversations.parquet", "conv_id")
+    cv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     role = F.col("role")
     channel = _cycle(F.col("conv_id") % 3, ["discord", "github", "email"])
     body = (F.when(role == "system", F.to_json(F.struct(F.col("turn").alias("feedback"))))
@@ -142,7 +145,7 @@ def change_requests_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw change requests (op, id_text, body) derived from ``events``: error
     events delete, the others patch with bodies that cover the reference's
     patch rules and quirks; signups carry an unparsable id."""
-    ev = scan(spark, f"{sf_dir}/events.parquet", "event_id")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     et, eid = F.col("event_type"), F.col("event_id")
     op = F.when(et == "error", F.lit("delete")).otherwise(F.lit("patch"))
     id_text = (F.when(et == "view", F.concat(F.lit(" "), (eid / 2).cast("long").cast("string"), F.lit("abc")))
@@ -166,10 +169,10 @@ def change_log_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     column."""
     from feedlens.operators.changes import _events  # local: avoid an import cycle
 
-    fb = feedback_from_tables(spark, sf_dir)
-    ev = scan(spark, f"{sf_dir}/events.parquet", "event_id").select("event_id", "event_type", "ts")
+    fb = feedback_from_tables(spark, sf_dir, with_text=False)
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
     idc = F.col("id")
-    ins = _events(fb.withColumns({"seq": idc * 8, "event_ts": F.col("created_at"), "op": F.lit("insert"),
+    ins = _events(feedback_from_tables(spark, sf_dir).withColumns({"seq": idc * 8, "event_ts": F.col("created_at"), "op": F.lit("insert"),
                                   "status": F.lit(S.DEFAULT_STATUS)}),
                   ["text", "source", "channel", "severity_hint", "user_tier", "status"])
     ana = _events(fb.where(F.col("analyzed_at").isNotNull())
