@@ -86,9 +86,11 @@ def page(df: DataFrame, sort_key: str = "updated_desc", size: int = 10, page_no:
     """1-based page of the sorted frame; a page past the end shows the last page.
 
     With ``clamp`` the last page index needs the row count (a scalar
-    subquery) and rows are numbered by the distributed prefix count, so deep
-    pages never funnel the frame through one task. Without clamping it is an
-    offset top-k (TakeOrderedAndProject).
+    subquery). Rows are numbered on a narrow projection - ``id`` and the sort
+    keys only - by the distributed prefix count, so deep pages never funnel
+    through one task and wide columns are not moved; the page's ``size`` ids
+    then fetch their rows. Without clamping it is an offset top-k
+    (TakeOrderedAndProject). ``id`` must be unique.
     """
     size = int(size)
     page_no = max(1, int(page_no))
@@ -97,10 +99,11 @@ def page(df: DataFrame, sort_key: str = "updated_desc", size: int = 10, page_no:
     n = df.select(F.count(F.lit(1))).scalar()
     last = F.greatest(F.ceil(n / F.lit(size)), F.lit(1))
     start = (F.least(F.lit(page_no), last) - 1) * size
-    orders = sort_columns(sort_key)
-    numbered = prefix_sum_within(df, [], orders, None, "_pos")
-    return (numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size))
-            .orderBy("_pos").drop("_pos"))
+    keys = df.select("id", "sentiment", "created_at", "updated_at")
+    numbered = prefix_sum_within(keys, [], sort_columns(sort_key), None, "_pos")
+    chosen = numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size)).select(
+        F.col("id").alias("_pg_id"), "_pos")
+    return (df.join(chosen, df["id"] == chosen["_pg_id"]).orderBy("_pos").drop("_pos", "_pg_id"))
 
 
 def page_count(df: DataFrame, size: int = 10) -> DataFrame:

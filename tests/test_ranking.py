@@ -31,3 +31,27 @@ def test_global_order(spark):
     df = spark.range(0, 1000).withColumn("k", (F.col("id") * 7919) % 1000)
     got = row_number_within(df, [], [F.col("k").desc(), "id"], "pos", 5).orderBy("pos").select("k").collect()
     assert [r["k"] for r in got] == sorted(range(1000), reverse=True)
+
+
+def test_boxplot_matches_sorted_list_rule(spark):
+    """A7 on random data with heavy duplicates and one hot key vs the
+    dashboard's rule (element at index floor(n*p) of the sorted values)."""
+    from feedlens.operators.distribution import sentiment_boxplot
+    rng = np.random.default_rng(11)
+    n = 5000
+    tier = np.where(rng.random(n) < 0.4, "hot", rng.choice(["a", "b", "c", ""], n))
+    val = np.round(rng.normal(0, 0.5, n), 2)
+    rows = [(int(i), str(t), float(v)) for i, t, v in zip(range(n), tier, val)]
+    df = spark.createDataFrame(rows, "id long, user_tier string, sentiment double")
+    got = {r["dimension"]: r for r in sentiment_boxplot(df, "tier").collect()}
+    groups = {}
+    for _, t, v in rows:
+        groups.setdefault(t or "unknown", []).append(v)
+    assert set(got) == set(groups)
+    for k, vals in groups.items():
+        s = sorted(vals)
+        m = len(s)
+        r = got[k]
+        assert (r["n"], r["min"], r["max"]) == (m, s[0], s[-1])
+        assert (r["q1"], r["median"], r["q3"]) == (s[int(m * 0.25)], s[int(m * 0.5)], s[int(m * 0.75)])
+        assert abs(r["mean"] - sum(vals) / m) < 1e-6
