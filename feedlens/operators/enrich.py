@@ -84,13 +84,17 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
     """A12 long form: (date, line_no, line) with ``i. [tag or Unknown] text``,
     numbered from 1 per creation day, newest first (ties: higher id first).
 
-    Numbering uses the range-partitioned prefix count, so one very busy day is
-    spread over many tasks; the full text is kept.
+    Numbering uses the range-partitioned prefix count on (date, created_at,
+    id) only, so one very busy day is spread over many tasks and no text is
+    checkpointed; the full text is kept. ``id`` must be unique.
     """
     src = df.select(day("created_at").alias("date"), "id", "created_at", "tag", "text")
     if dates:
         src = src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
-    numbered = row_number_within(src, ["date"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()], "line_no")
+    # number a narrow projection (no text in the checkpoint), then attach by id
+    keys = src.select("date", "id", "created_at")
+    nums = row_number_within(keys, ["date"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()], "line_no")
+    numbered = src.join(nums.select(F.col("id").alias("_ln_id"), "line_no"), F.col("id") == F.col("_ln_id")).drop("_ln_id")
     line = F.concat(F.col("line_no").cast("string"), F.lit(". ["), label_or("tag", "Unknown"), F.lit("] "),
                     F.coalesce(F.col("text"), F.lit("")))
     return numbered.select("date", F.col("line_no").cast("long").alias("line_no"), line.alias("line"))

@@ -39,7 +39,7 @@ def _stamped(df: DataFrame, group_cols: list[str], orders: list[Column], num_par
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + orders
     rp = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
           .withColumns({"_rk_pid": F.spark_partition_id(), "_rk_pos": F.monotonically_increasing_id()}))
-    return rp.checkpoint(eager=False)
+    return rp.checkpoint(eager=True)
 
 
 def prefix_sum_within(df: DataFrame, group_cols: list[str], order_cols: list, weight=None,
