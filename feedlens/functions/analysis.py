@@ -150,11 +150,13 @@ def normalize_analysis(df: DataFrame, raw_col: str = "raw_response", prefix: str
         c = lambda n: F.col(f"_fl_{key}_{n}")
         return _number_from_parts(c("missing"), c("jnull"), c("kind"), c("str"), c("dbl"), c("bool"))
 
+    # the numbers get their own stage: the clamp reads each one four times
+    out = out.withColumns({"_fl_s_num": num("s"), "_fl_u_num": num("u")})
     ok = F.col(raw_col).isNotNull()
     out = out.withColumns({
         f"{prefix}tag": F.when(ok, normalize_tag(F.col("_fl_tt"))),
-        f"{prefix}sentiment": F.when(ok, _clamp(num("s"), lo_s, hi_s, fb_s)),
-        f"{prefix}urgency_score": F.when(ok, _clamp(num("u"), lo_u, hi_u, fb_u)),
+        f"{prefix}sentiment": F.when(ok, _clamp(F.col("_fl_s_num"), lo_s, hi_s, fb_s)),
+        f"{prefix}urgency_score": F.when(ok, _clamp(F.col("_fl_u_num"), lo_u, hi_u, fb_u)),
         f"{prefix}summary": F.when(ok, F.col("_fl_sm")),
     })
     return out.drop(*[c for c in out.columns if c.startswith("_fl_")])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from feedlens import schema as S
 from feedlens.functions.analysis import normalize_analysis
 from feedlens.functions.scalars import day, label_or
-from feedlens.plans.ranking import row_number_within
+from feedlens.plans.ranking import prefix_sum_within, row_number_within
 
 Scorer = Callable[[pd.Series], pd.Series]
 
@@ -81,23 +81,31 @@ def narrative_input(df: DataFrame, limit: int = S.LATEST_ANALYZED_LIMIT) -> Data
 
 # ---- A12/E5: daily digests --------------------------------------------------------
 def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
-    """A12 long form: (date, line_no, line) with ``i. [tag or Unknown] text``,
-    numbered from 1 per creation day, newest first (ties: higher id first).
-
-    Numbering uses the range-partitioned prefix count on (date, created_at,
-    id) only, so one very busy day is spread over many tasks and no text is
-    checkpointed; the full text is kept. ``id`` must be unique.
+    """A12 long form: (date, line_no, line, chars_before) with
+    ``i. [tag or Unknown] text``, numbered from 1 per creation day, newest
+    first (ties: higher id first). ``chars_before`` is the weight of the
+    day's earlier lines (text length + DIGEST_LINE_ALLOWANCE each), which
+    ``digest_prompts`` uses to cut a busy day into bounded prompts.
+
+    Numbering and weights come from one range-partitioned prefix pass on
+    (date, created_at, id) only, so one very busy day is spread over many
+    tasks and no text is checkpointed; the full text is kept. ``id`` must be
+    unique.
     """
     src = df.select(day("created_at").alias("date"), "id", "created_at", "tag", "text")
     if dates:
         src = src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
     # number a narrow projection (no text in the checkpoint), then attach by id
-    keys = src.select("date", "id", "created_at")
-    nums = row_number_within(keys, ["date"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()], "line_no")
-    numbered = src.join(nums.select(F.col("id").alias("_ln_id"), "line_no"), F.col("id") == F.col("_ln_id")).drop("_ln_id")
+    weight = F.length(F.coalesce(F.col("text"), F.lit(""))) + S.DIGEST_LINE_ALLOWANCE
+    keys = src.select("date", "id", "created_at", weight.alias("_ln_w"))
+    nums = prefix_sum_within(keys, ["date"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()],
+                             weight="_ln_w", out="chars_before", count_out="_ln_0")
+    nums = nums.select(F.col("id").alias("_ln_id"), (F.col("_ln_0") + 1).alias("line_no"), "chars_before")
+    numbered = src.join(nums, F.col("id") == F.col("_ln_id")).drop("_ln_id")
     line = F.concat(F.col("line_no").cast("string"), F.lit(". ["), label_or("tag", "Unknown"), F.lit("] "),
                     F.coalesce(F.col("text"), F.lit("")))
-    return numbered.select("date", F.col("line_no").cast("long").alias("line_no"), line.alias("line"))
+    return numbered.select("date", F.col("line_no").cast("long").alias("line_no"), line.alias("line"),
+                           F.col("chars_before").cast("long").alias("chars_before"))
 
 
 def line_count_generator(date: str, prompt: str) -> str:
@@ -105,14 +113,16 @@ def line_count_generator(date: str, prompt: str) -> str:
     return f"{date}: {len(prompt.splitlines())} items, {len(prompt)} characters"
 
 
-def digest_prompts(lines: DataFrame, lines_per_chunk: int | None = None) -> DataFrame:
-    """Prompt text per date (or per date chunk): lines joined by newlines in order.
+def digest_prompts(lines: DataFrame, max_chars: int = S.DIGEST_PROMPT_CHARS) -> DataFrame:
+    """Prompt text per (date, chunk): the lines joined by newlines in order.
 
-    One prompt holds one day's lines, like the reference; ``lines_per_chunk``
-    cuts a busy day into several bounded prompts (chunk 0, 1, ...) without
-    dropping any line.
+    The reference sends one prompt per day. Here a day is cut into chunks
+    0, 1, ... of lines whose ``chars_before`` falls in the same
+    ``max_chars`` window, so no group and no cell grows with a busy day (a
+    chunk holds at most ``max_chars`` plus one line). No line is dropped;
+    a quiet day is one prompt, as in the reference.
     """
-    chunk = F.lit(0) if not lines_per_chunk else ((F.col("line_no") - 1) / int(lines_per_chunk)).cast("long")
+    chunk = F.floor(F.col("chars_before") / F.lit(int(max_chars))).cast("long")
     g = lines.withColumn("chunk", chunk).groupBy("date", "chunk")
     arr = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return g.agg(F.array_join(F.transform(arr, lambda x: x["line"]), "\n").alias("prompt"),
@@ -123,12 +133,12 @@ Generator = Callable[[str, str], str]
 
 
 def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None = None,
-                 lines_per_chunk: int | None = None) -> DataFrame:
+                 max_chars: int = S.DIGEST_PROMPT_CHARS) -> DataFrame:
     """E5: (date, chunk, summary, count) per date. ``generator(date, prompt)``
     is the model; its errors become ``Error generating summary: ...``. Dates
     asked for (``dates`` frame with a ``date`` column) that have no feedback
     get ``No feedback received on D.`` and count 0."""
-    prompts = digest_prompts(digest_lines(df), lines_per_chunk)
+    prompts = digest_prompts(digest_lines(df), max_chars)
 
     def run(batches):
         for pdf in batches:

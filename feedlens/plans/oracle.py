@@ -6,6 +6,7 @@ feedback view is inlined as a CTE; column names equal the Spark results.
 
 from __future__ import annotations
 
+from feedlens import schema as S
 from feedlens.plans import catalog as C
 
 _WS = r"[\t\n\x{000B}\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -252,6 +253,15 @@ def _snapshot() -> str:
 HAVING max(CASE WHEN op = 'insert' THEN 1 END) = 1 AND max(CASE WHEN op = 'delete' THEN 1 END) IS NULL"""
 
 
+# digest lines: number per creation day (newest first) and the weight of the
+# day's earlier lines, which cuts a busy day into bounded prompts
+_DIGEST_LINES = ("n AS (SELECT CAST(created_at AS DATE) AS date, tag, text, row_number() OVER ("
+                 "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC) AS line_no, "
+                 f"coalesce(sum(length(coalesce(text, '')) + {S.DIGEST_LINE_ALLOWANCE}) OVER ("
+                 "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC "
+                 "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars_before FROM feedback), "
+                 "l AS (SELECT date, line_no, concat(CAST(line_no AS VARCHAR), '. [', coalesce(nullif(tag, ''), 'Unknown'), "
+                 "'] ', coalesce(text, '')) AS line, CAST(chars_before AS BIGINT) AS chars_before FROM n)")
 _TOP_SEARCH = lambda q: W() + f"""SELECT {SRCH} FROM feedback
 WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE {q}
 ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 20"""
@@ -329,22 +339,18 @@ FROM feedback GROUP BY 1, 2""",
   CASE WHEN sentiment IS NULL THEN 'unknown' WHEN sentiment <= -0.6 THEN 'very_negative' WHEN sentiment < -0.2 THEN 'negative'
   WHEN sentiment > 0.6 THEN 'very_positive' WHEN sentiment > 0.2 THEN 'positive' ELSE 'neutral' END AS mood,
   count(*) AS count FROM feedback GROUP BY 1, 2""",
-    "daily_digest_prompt": W("n AS (SELECT CAST(created_at AS DATE) AS date, tag, text, row_number() OVER ("
-                             "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC) AS line_no FROM feedback)") +
-    "SELECT CAST(date AS VARCHAR) AS date, CAST(line_no AS BIGINT) AS line_no, concat(CAST(line_no AS VARCHAR), '. [', coalesce(nullif(tag, ''), 'Unknown'), "
-    "'] ', coalesce(text, '')) AS line FROM n",
+    "daily_digest_prompt": W(_DIGEST_LINES) +
+    "SELECT CAST(date AS VARCHAR) AS date, CAST(line_no AS BIGINT) AS line_no, line, chars_before FROM l",
     "event_day_counts": W(_event_log_cte()) + "SELECT CAST(CAST(date_trunc('day', event_ts) AS DATE) AS VARCHAR) AS date, op, "
                                              "count(*) AS count FROM ev GROUP BY 1, 2",
     "summary_bundle": W() + f"""SELECT 'tag' AS section, tag AS key, count(*) AS count FROM feedback WHERE tag IS NOT NULL GROUP BY tag
 UNION ALL SELECT 'sentiment' AS section, {_BUCKET} AS key, count(*) AS count FROM feedback WHERE sentiment IS NOT NULL GROUP BY 2""",
     "narrative_input": W() + """SELECT to_json(list({'text': text, 'tag': tag, 'sentiment': sentiment} ORDER BY analyzed_at DESC, id DESC)) AS input
 FROM (SELECT id, text, tag, sentiment, analyzed_at FROM feedback WHERE analyzed_at IS NOT NULL ORDER BY analyzed_at DESC, id DESC LIMIT 25)""",
-    "daily_digest": W("n AS (SELECT CAST(created_at AS DATE) AS date, tag, text, row_number() OVER ("
-                      "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC) AS line_no FROM feedback)",
-                      "l AS (SELECT date, line_no, concat(CAST(line_no AS VARCHAR), '. [', coalesce(nullif(tag, ''), 'Unknown'), "
-                      "'] ', coalesce(text, '')) AS line FROM n)",
-                      "p AS (SELECT date, string_agg(line, chr(10) ORDER BY line_no) AS prompt, count(*) AS count FROM l GROUP BY date)") +
-    "SELECT CAST(date AS VARCHAR) AS date, CAST(0 AS BIGINT) AS chunk, concat(CAST(date AS VARCHAR), ': ', "
+    "daily_digest": W(_DIGEST_LINES,
+                      f"p AS (SELECT date, CAST(floor(chars_before / {S.DIGEST_PROMPT_CHARS}) AS BIGINT) AS chunk, "
+                      "string_agg(line, chr(10) ORDER BY line_no) AS prompt, count(*) AS count FROM l GROUP BY 1, 2)") +
+    "SELECT CAST(date AS VARCHAR) AS date, chunk, concat(CAST(date AS VARCHAR), ': ', "
     "CAST(len(string_split(prompt, chr(10))) AS VARCHAR), ' items, ', CAST(length(prompt) AS VARCHAR), ' characters') AS summary, "
     "count FROM p",
     "status_timeline_wide": W() + """SELECT CAST(CAST(updated_at AS DATE) AS VARCHAR) AS date,

@@ -43,21 +43,25 @@ def _stamped(df: DataFrame, group_cols: list[str], orders: list[Column], num_par
 
 
 def prefix_sum_within(df: DataFrame, group_cols: list[str], order_cols: list, weight=None,
-                      out: str = "prefix", num_partitions: int | None = None) -> DataFrame:
+                      out: str = "prefix", num_partitions: int | None = None,
+                      count_out: str | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over the rows of the same group that come
     strictly before this row in ``order_cols`` (an exclusive prefix sum).
 
     With ``weight=None`` each row weighs 1 and ``out`` is the 0-based row
     number; ``order_cols`` must then be a total order (end with a unique key).
+    ``count_out`` also adds the 0-based row number from the same pass.
     """
     orders = [_sort_col(c) for c in order_cols]
     src = df if weight is None else df.withColumn("_rk_w", _sort_col(weight).cast("long"))
     rp = _stamped(src, group_cols, orders, num_partitions)
     w = F.lit(1).cast("long") if weight is None else F.col("_rk_w")
-    totals = rp.groupBy("_rk_pid", *group_cols).agg(F.sum(w).alias("_rk_tot"), F.min("_rk_pos").alias("_rk_first"))
+    totals = rp.groupBy("_rk_pid", *group_cols).agg(F.sum(w).alias("_rk_tot"), F.min("_rk_pos").alias("_rk_first"),
+                                                    F.count(F.lit(1)).alias("_rk_cnt"))
     off_w = Window.partitionBy(*group_cols).orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select("_rk_pid", "_rk_first", *[F.col(g).alias(f"_rk_g_{i}") for i, g in enumerate(group_cols)],
-                         F.coalesce(F.sum("_rk_tot").over(off_w), F.lit(0)).alias("_rk_off"))
+                         F.coalesce(F.sum("_rk_tot").over(off_w), F.lit(0)).alias("_rk_off"),
+                         F.coalesce(F.sum("_rk_cnt").over(off_w), F.lit(0)).alias("_rk_coff"))
     if weight is None:
         local = rp
     else:
@@ -69,7 +73,10 @@ def prefix_sum_within(df: DataFrame, group_cols: list[str], order_cols: list, we
     j = local.join(offs, reduce(lambda a, b: a & b, conds), "inner")
     value = (F.col("_rk_pos") - F.col("_rk_first")) if weight is None else F.col("_rk_local")
     res = j.withColumn(out, value + F.col("_rk_off"))
-    drop = ["_rk_w", "_rk_local", "_rk_off", "_rk_first", "_rk_pos"] + [f"_rk_g_{i}" for i in range(len(group_cols))]
+    if count_out:
+        res = res.withColumn(count_out, F.col("_rk_pos") - F.col("_rk_first") + F.col("_rk_coff"))
+    drop = ["_rk_w", "_rk_local", "_rk_off", "_rk_coff", "_rk_first", "_rk_pos"] + [
+        f"_rk_g_{i}" for i in range(len(group_cols))]
     return res.drop(offs["_rk_pid"]).drop(*drop).drop("_rk_pid")
 
 

@@ -84,6 +84,11 @@ PAGE_SIZES = [5, 10, 20, 50]
 # Digest freshness windows in seconds (summary bundle, daily digest).
 SUMMARY_MAX_AGE_S = 300
 DIGEST_MAX_AGE_S = 86400
+# Our bound on one digest prompt (the reference sends a whole day at once):
+# a day is cut into prompts of about this many characters; every line is
+# kept. Each line is weighed as its text plus an allowance for "i. [tag] ".
+DIGEST_PROMPT_CHARS = 400_000
+DIGEST_LINE_ALLOWANCE = 64
 DEFAULT_STATUS = "To Do"
 DEFAULT_SOURCE = "user"
 DEFAULT_CHANNEL = "web"

@@ -93,10 +93,12 @@ def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = Tru
     unique key (one document per event) so it never changes the row set, and
     operators that do not read ``text`` should not pay for it.
     """
-    # only the text-bearing view is heavy enough to be worth spreading a
-    # single-split input; narrow rollups run fine in the scan's own tasks
+    # only views with per-row string work (text, model responses) are heavy
+    # enough to be worth spreading a single-split input; narrow rollups run
+    # fine in the scan's own tasks
     path = f"{sf_dir}/events.parquet"
-    ev = scan(spark, path, "event_id") if with_text else spark.read.parquet(path)
+    heavy = with_text or with_raw_response
+    ev = scan(spark, path, "event_id") if heavy else spark.read.parquet(path)
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     pending = (eid % 17) == 0
     cols = {

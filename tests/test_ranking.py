@@ -55,3 +55,19 @@ def test_boxplot_matches_sorted_list_rule(spark):
         assert (r["n"], r["min"], r["max"]) == (m, s[0], s[-1])
         assert (r["q1"], r["median"], r["q3"]) == (s[int(m * 0.25)], s[int(m * 0.5)], s[int(m * 0.75)])
         assert abs(r["mean"] - sum(vals) / m) < 1e-6
+
+
+def test_weighted_prefix_with_row_numbers_hot_group(spark):
+    rng = np.random.default_rng(11)
+    n = 4000
+    g = np.where(rng.random(n) < 0.4, "hot", rng.choice(["a", "b"], n))
+    w = rng.integers(0, 100, n)
+    pdf = [(int(i), str(x), int(y)) for i, x, y in zip(range(n), g, w)]
+    df = spark.createDataFrame(pdf, "id long, g string, w long")
+    res = prefix_sum_within(df, ["g"], [F.col("id").desc()], "w", "before", 7, count_out="rn0").collect()
+    got = {r["id"]: (r["before"], r["rn0"]) for r in res}
+    import pandas as pd
+    p = pd.DataFrame(pdf, columns=["id", "g", "w"]).sort_values("id", ascending=False)
+    p["before"] = p.groupby("g")["w"].cumsum() - p["w"]
+    p["rn0"] = p.groupby("g").cumcount()
+    assert got == {i: (b, r) for i, b, r in zip(p["id"], p["before"], p["rn0"])}
