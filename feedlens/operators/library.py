@@ -81,24 +81,33 @@ def sort_feedback(df: DataFrame, sort_key: str = "updated_desc") -> DataFrame:
 
 
 # ---- K7: paging -----------------------------------------------------------------
+# Pages that end within this many rows are a bounded top-k; deeper pages
+# are numbered by the distributed prefix count.
+TOPK_PAGE_ROWS = 10_000
+
+
 def page(df: DataFrame, sort_key: str = "updated_desc", size: int = 10, page_no: int = 1,
-         clamp: bool = True) -> DataFrame:
+         clamp: bool = True, topk_rows: int = TOPK_PAGE_ROWS) -> DataFrame:
     """1-based page of the sorted frame; a page past the end shows the last page.
 
-    With ``clamp`` the last page index needs the row count (a scalar
-    subquery). Rows are numbered on a narrow projection - ``id`` and the sort
-    keys only - by the distributed prefix count, so deep pages never funnel
-    through one task and wide columns are not moved; the page's ``size`` ids
-    then fetch their rows. Without clamping it is an offset top-k
-    (TakeOrderedAndProject). ``id`` must be unique.
+    With ``clamp`` the last page index needs the row count (one aggregate
+    job, one number to the driver), which fixes the page's offset. A page that ends within
+    ``topk_rows`` rows is an offset top-k (TakeOrderedAndProject: every task
+    keeps at most offset + size rows). A deeper page is numbered on a narrow
+    projection - ``id`` and the sort keys only - by the distributed prefix
+    count, so it never funnels through one task and wide columns are not
+    moved; the page's ``size`` ids then fetch their rows. Without clamping
+    it is always the offset top-k. ``id`` must be unique.
     """
     size = int(size)
     page_no = max(1, int(page_no))
     if not clamp:
         return df.orderBy(*sort_columns(sort_key)).offset((page_no - 1) * size).limit(size)
-    n = df.select(F.count(F.lit(1))).scalar()
-    last = F.greatest(F.ceil(n / F.lit(size)), F.lit(1))
-    start = (F.least(F.lit(page_no), last) - 1) * size
+    n = df.count()  # one number; it picks the plan
+    last = max(-(-n // size), 1)
+    start = (min(page_no, last) - 1) * size
+    if start + size <= topk_rows:
+        return df.orderBy(*sort_columns(sort_key)).offset(start).limit(size)
     keys = df.select("id", "sentiment", "created_at", "updated_at")
     numbered = prefix_sum_within(keys, [], sort_columns(sort_key), None, "_pos")
     chosen = numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size)).select(
