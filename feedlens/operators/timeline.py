@@ -75,7 +75,7 @@ def date_spine(df: DataFrame) -> DataFrame:
 
 # ---- T2: lane assignment --------------------------------------------------------
 _RUN_SCHEMA = "group_key string, start_day long, end_day long, rank_lo long, lane_lo long, n long"
-BLOCKS_PER_BUCKET = 64
+BLOCK_ROWS = 256
 
 
 def _pack_buckets(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,8 +134,8 @@ def timeline_lanes(df: DataFrame, group: str = "status") -> DataFrame:
     3. each (group, island) is packed by ``applyInPandas`` into lane runs;
     4. items get a rank inside their bucket (updated_at desc, id desc) from
        the range-partitioned prefix count, and find their run through an
-       equi-join on (bucket, rank block): at most 64 blocks per bucket, so a
-       hot bucket is never a single key and the join fan-out stays small.
+       equi-join on (bucket, rank block) with blocks of BLOCK_ROWS ranks: a
+       hot bucket is many keys and the join fan-out is bounded.
 
     The lane count per group equals ``peak_concurrency``. Divergence from the
     reference on purpose: its loop sometimes opens an extra row for an item it
@@ -149,18 +149,18 @@ def timeline_lanes(df: DataFrame, group: str = "status") -> DataFrame:
            .withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new"))
     runs = isl.groupBy("group_key", "island").applyInPandas(
         lambda pdf: _pack_buckets(pdf), schema=_RUN_SCHEMA)
-    # split runs at rank-block borders so the item join is an equi-join on the block
-    runs = runs.join(buckets, ["group_key", "start_day", "end_day"])
-    bsize = F.greatest(F.ceil(F.col("c") / F.lit(BLOCKS_PER_BUCKET)), F.lit(1)).cast("long")
-    pieces = (runs.withColumn("bsize", bsize)
-              .withColumn("blk", F.explode(F.sequence((F.col("rank_lo") / F.col("bsize")).cast("long"),
-                                                       ((F.col("rank_lo") + F.col("n") - 1) / F.col("bsize")).cast("long"))))
-              .select("group_key", "start_day", "end_day", "blk", "bsize", "rank_lo", "lane_lo", "n"))
+    # split runs at rank-block borders so the item join is an equi-join on
+    # (bucket, block): a block is BLOCK_ROWS consecutive ranks, so a hot
+    # bucket spreads over c / BLOCK_ROWS keys and an item meets at most
+    # BLOCK_ROWS + 1 pieces (runs cover disjoint rank ranges)
+    b = F.lit(BLOCK_ROWS)
+    pieces = (runs.withColumn("blk", F.explode(F.sequence(F.floor(F.col("rank_lo") / b).cast("long"),
+                                                          F.floor((F.col("rank_lo") + F.col("n") - 1) / b).cast("long"))))
+              .select("group_key", "start_day", "end_day", "blk", "rank_lo", "lane_lo", "n"))
     ranked = prefix_sum_within(iv, ["group_key", "start_day", "end_day"],
                                [F.col("updated_at").desc_nulls_last(), F.col("id").desc()], None, "rank")
-    ranked = ranked.join(buckets, ["group_key", "start_day", "end_day"]).withColumn("bsize", bsize)
-    ranked = ranked.withColumn("blk", (F.col("rank") / F.col("bsize")).cast("long"))
-    j = ranked.join(pieces, ["group_key", "start_day", "end_day", "blk", "bsize"])
+    ranked = ranked.withColumn("blk", F.floor(F.col("rank") / b).cast("long"))
+    j = ranked.join(pieces, ["group_key", "start_day", "end_day", "blk"])
     j = j.where((F.col("rank") >= F.col("rank_lo")) & (F.col("rank") < F.col("rank_lo") + F.col("n")))
     return j.select("id", "group_key", "start_day", "end_day", (F.col("end_day") - F.col("start_day") + 1).alias("duration"),
                     (F.col("lane_lo") + F.col("rank") - F.col("rank_lo")).alias("lane"))

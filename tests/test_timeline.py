@@ -33,3 +33,30 @@ def test_lanes_equal_replay(spark):
         exp = first_fit(list(zip(sub["id"], sub["start_day"], sub["end_day"], sub["u"])))
         assert {i: got[i] for i in exp} == exp
         assert max(exp.values()) + 1 == peak[g]
+
+
+def test_lanes_with_hot_bucket_equal_replay(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(5)
+    t0 = dt.datetime(2026, 2, 1)
+    rows = []
+    for i in range(2500):
+        if i < 1500:  # one bucket with most of the rows: same group, same days
+            s, e = 3, 5
+        else:
+            s = rnd.randrange(0, 10)
+            e = s + rnd.randrange(0, 4)
+        created = t0 + dt.timedelta(days=s, hours=1)
+        updated = t0 + dt.timedelta(days=e, hours=1, seconds=rnd.randrange(0, 100))
+        rows.append((i, "hot" if i < 1500 or i % 2 else "cold", "free", created, updated))
+    fb = spark.createDataFrame(rows, "id long, status string, user_tier string, created_at timestamp_ntz, "
+                                     "updated_at timestamp_ntz")
+    lanes = timeline.timeline_lanes(fb, "status").toPandas()
+    iv = timeline.timeline_intervals(fb, "status").join(fb.select("id", "updated_at"), "id").toPandas()
+    iv["u"] = iv["updated_at"].astype("int64")
+    got = dict(zip(lanes["id"], lanes["lane"]))
+    assert len(got) == len(iv) == 2500
+    for g, sub in iv.groupby("group_key"):
+        exp = first_fit(list(zip(sub["id"], sub["start_day"], sub["end_day"], sub["u"])))
+        assert {i: got[i] for i in exp} == exp
