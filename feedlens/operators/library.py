@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
-from feedlens.functions.scalars import day, fixed, impact, js_trim, sentiment_class
+from feedlens.functions.scalars import bubble_xyr, day, fixed, impact, js_trim, mood5, sentiment_class, sentiment_pct
 from feedlens.plans.ranking import prefix_sum_within
 from feedlens.sources.feedback import PARTITION_COLUMN
 
@@ -176,6 +176,23 @@ def urgency_impact(df: DataFrame, limit: int = S.URGENCY_LIMIT) -> DataFrame:
             .orderBy(F.col("urgency_score").desc(), F.col("id").desc()).limit(int(limit)))
 
 
+def urgency_bubbles(df: DataFrame, limit: int = S.URGENCY_LIMIT) -> DataFrame:
+    """K4 + F14: the priority-matrix points of the urgency chart: per urgent
+    row (top ``limit``) x = urgency*100, y = impact*100, r = sqrt(impact or 1)*8."""
+    pts = urgency_impact(df, limit)
+    return pts.select("id", bubble_xyr("urgency_score", "impact").alias("b")).select("id", "b.x", "b.y", "b.r")
+
+
+def sentiment_slider(df: DataFrame) -> DataFrame:
+    """what the sentiment editor shows per row with a sentiment:
+    the slider position in percent, the five-level mood and the signed
+    two-decimal value (``+0.40`` / ``-0.25``)."""
+    v = F.col("sentiment")
+    text = F.concat(F.when(v >= 0, F.lit("+")).otherwise(F.lit("")), fixed(v, 2))
+    return df.where(v.isNotNull()).select("id", sentiment_pct(v).cast("long").alias("pct"),
+                                          mood5(v).alias("mood"), text.alias("value_text"))
+
+
 # ---- P8: one day ------------------------------------------------------------------
 def feedback_by_date(df: DataFrame, date: str) -> DataFrame:
     """Rows created on ``date``, newest first. ``DATE(created_at) = d``

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
-from feedlens.functions.scalars import (day, hours_between, label_or, mood3, mood5, sentiment_bucket,
+from feedlens.functions.scalars import (capitalize_first, day, hours_between, label_or, mood3, mood5, sentiment_bucket,
                                         stakeholder_group)
 
 # Dimension name -> column; anything else falls back to the tier column.
@@ -35,6 +35,12 @@ def sentiment_counts(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
+def sentiment_chart(df: DataFrame) -> DataFrame:
+    """A2 + F17: the sentiment bar chart: bucket counts labelled with the
+    bucket name's first letter upper-cased (``Positive``)."""
+    return sentiment_counts(df).select(capitalize_first("sentiment_bucket").alias("label"), "count")
+
+
 def status_timeline(df: DataFrame) -> DataFrame:
     """A3: rows per (day of last update, current status), by date."""
     return (df.groupBy(day("updated_at").alias("date"), F.col("status"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlens.functions.scalars import preview
 from feedlens.plans.ranking import prefix_sum_within
 
 _DAY_US = 86400000000.0
@@ -64,6 +65,17 @@ def peak_concurrency(df: DataFrame, group: str = "status") -> DataFrame:
                                             F.max("alive").cast("long").alias("lanes"))
 
 
+def bar_labels(df: DataFrame, group: str = "status") -> DataFrame:
+    """F16: the text of each timeline bar: ``#id`` and the first 20
+    characters of the text; its tooltip: the first 100 characters (or
+    ``No text``), the id and the status."""
+    txt = F.coalesce(F.col("text"), F.lit(""))
+    label = F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" "), preview(txt, 20))
+    tip = F.concat(F.coalesce(F.nullif(preview(txt, 100), F.lit("")), F.lit("No text")), F.lit(" (ID: "),
+                   F.col("id").cast("string"), F.lit(", "), F.coalesce(F.col("status"), F.lit("null")), F.lit(")"))
+    return df.select("id", group_key(group).alias("group_key"), label.alias("label"), tip.alias("tooltip"))
+
+
 def date_spine(df: DataFrame) -> DataFrame:
     """T4: one row per day of the span: (day_index, date) from the first day."""
     t = F.coalesce(F.col("created_at"), F.col("updated_at"))

@@ -131,6 +131,10 @@ _QUERIES: dict[str, Query] = {
                                                     KEYSET_AFTER[0], KEYSET_AFTER[1]),
     "event_day_counts": lambda s, d: jobs.event_day_counts(src.change_log_from_tables(s, d), "1 day"),
     "summary_payload": lambda s, d: digests.summary_payload(_fb(s, d, text=True)),
+    "urgency_bubbles": lambda s, d: library.urgency_bubbles(_fb(s, d)),
+    "sentiment_slider": lambda s, d: library.sentiment_slider(_fb(s, d)),
+    "timeline_bar_labels": lambda s, d: timeline.bar_labels(_fb(s, d, text=True), "status"),
+    "sentiment_chart": lambda s, d: rollups.sentiment_chart(_fb(s, d)),
     "assign_ids_dense": lambda s, d: sinks.assign_ids(
         ing.accepted(ing.ingest(src.ingest_requests_from_tables(s, d))).select("conv_id", "turn", "text"),
         1, ["conv_id", "turn"]),

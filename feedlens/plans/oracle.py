@@ -362,6 +362,22 @@ FROM feedback GROUP BY 1""",
     "keyset_page": W() + f"""SELECT {LIB} FROM feedback WHERE created_at < TIMESTAMP '{C.KEYSET_AFTER[0]}'
   OR (created_at = TIMESTAMP '{C.KEYSET_AFTER[0]}' AND id < {C.KEYSET_AFTER[1]})
 ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 20""",
+    "urgency_bubbles": W("u AS (SELECT id, urgency_score, abs(sentiment) AS impact FROM feedback WHERE urgency_score IS NOT NULL "
+                         "ORDER BY urgency_score DESC, id DESC LIMIT 50)") +
+    "SELECT id, coalesce(urgency_score, 0.0) * 100 AS x, coalesce(impact, 0.0) * 100 AS y, "
+    "sqrt(CASE WHEN coalesce(impact, 0.0) = 0 THEN 1.0 ELSE impact END) * 8 AS r FROM u",
+    "sentiment_slider": W() + """SELECT id, CAST(floor((sentiment + 1) / 2 * 100 + 0.5) AS BIGINT) AS pct,
+  CASE WHEN sentiment <= -0.6 THEN 'very_negative' WHEN sentiment < -0.2 THEN 'negative'
+       WHEN sentiment > 0.6 THEN 'very_positive' WHEN sentiment > 0.2 THEN 'positive' ELSE 'neutral' END AS mood,
+  concat(CASE WHEN sentiment >= 0 THEN '+' ELSE '' END, printf('%.2f', sentiment)) AS value_text
+FROM feedback WHERE sentiment IS NOT NULL""",
+    "timeline_bar_labels": W() + f"""SELECT id, {_group_key("status")} AS group_key,
+  concat('#', CAST(id AS VARCHAR), ' ', substring(coalesce(text, ''), 1, 20)) AS label,
+  concat(coalesce(nullif(substring(coalesce(text, ''), 1, 100), ''), 'No text'), ' (ID: ', CAST(id AS VARCHAR), ', ',
+         coalesce(status, 'null'), ')') AS tooltip
+FROM feedback""",
+    "sentiment_chart": W() + f"""SELECT concat(upper(substring(b, 1, 1)), substring(b, 2)) AS label, count(*) AS count
+FROM (SELECT {_BUCKET} AS b FROM feedback WHERE sentiment IS NOT NULL) GROUP BY b""",
     "assign_ids_dense": f"""WITH {_INGEST_RAW},
 t AS (SELECT conv_id, turn, {_trim("json_extract_string(value, '$.feedback')")} AS text FROM raw
   WHERE json_valid(value) AND json_type(value, '$.feedback') = 'VARCHAR')
