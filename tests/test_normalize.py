@@ -54,3 +54,14 @@ def test_scalars(spark):
     b = spark.range(1).select(X.bubble_xyr(F.lit(0.5), F.lit(None).cast("double")).alias("b")).first()["b"]
     assert (b["x"], b["y"], b["r"]) == (50.0, 0.0, 8.0)
     assert math.isclose(spark.range(1).select(X.bubble_xyr(F.lit(0.1), F.lit(0.25))["r"]).first()[0], 4.0)
+
+
+def test_today_and_previews(spark):
+    import datetime as dt
+    before = dt.datetime.now(dt.timezone.utc).date()
+    r = spark.range(1).select(X.today_utc().alias("d"), X.utc_now().alias("t"),
+                              X.preview(F.lit("Écran noir au démarrage"), 5).alias("p"),
+                              X.preview(F.lit("ab"), 20).alias("q")).first()
+    after = dt.datetime.now(dt.timezone.utc).date()
+    assert before <= r["d"] <= after and r["t"].microsecond == 0
+    assert (r["p"], r["q"]) == ("Écran", "ab")
