@@ -33,3 +33,19 @@ def test_by_date_pushdown_and_partition_pruning(spark):
     assert "PartitionFilters: [isnotnull(created_date" in p and "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in p
     assert "severity_hint" not in p.split("ReadSchema:")[1].split("\n")[0]
     assert [r["id"] for r in df.collect()] == [17, 4, 9, 31]
+
+
+# registered queries whose operator runs Python by design: the bucket packer,
+# the caller's model and the digest generator
+PYTHON_BY_DESIGN = {"timeline_lanes", "classify_pending", "daily_digest", "similar_texts"}
+
+
+def test_registered_queries_no_cross_join_and_python_only_by_design(spark):
+    from conftest import SF_SMALL
+    import __spark_entry__ as E
+    for name, q in E.queries().items():
+        p = plan(q(spark, SF_SMALL))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+        if name not in PYTHON_BY_DESIGN:
+            assert not any(n in p for n in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas",
+                                            "FlatMapGroupsInPandas")), name
