@@ -8,6 +8,7 @@ driver's tables (``sources.feedback.feedback_from_tables``) or over request
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ SEARCH_WILDCARD_Q = "50%"
 PAGE = dict(status="done", sort_key="positive_desc", size=10, page_no=3)
 PAGE_PAST_END = 1_000_000
 KEYSET_AFTER = ("2024-01-15 12:00:00", 0)
+SUMMARY_NOW = datetime.datetime(2024, 2, 1, 0, 0, 0)
 
 
 def _fb(spark, d, text=False, raw=False):
@@ -68,6 +70,13 @@ def _search_lookup(spark, d):
     return library.lookup(fb, library.search_text(fb, SEARCH_Q), ["id", "status", "user_tier", "updated_at"])
 
 
+def _summary_payload(spark, d):
+    """The /summary payload as JSON text, generated at a fixed instant."""
+    out = digests.summary_payload(_fb(spark, d, text=True), SUMMARY_NOW)
+    return out.select(F.to_json("tags").alias("tags"), F.to_json("sentiment").alias("sentiment"),
+                      "narrative_input", "generated_at")
+
+
 def _similar_texts(spark, d):
     emb = spark.read.parquet(f"{d}/embeddings.parquet")
     res = enrich.similar_texts(emb, enrich.label_centroids(emb), k=10)
@@ -130,7 +139,7 @@ _QUERIES: dict[str, Query] = {
     "keyset_page": lambda s, d: library.keyset_page(_fb(s, d, text=True).select(*library.LIBRARY_COLUMNS), 20,
                                                     KEYSET_AFTER[0], KEYSET_AFTER[1]),
     "event_day_counts": lambda s, d: jobs.event_day_counts(src.change_log_from_tables(s, d), "1 day"),
-    "summary_payload": lambda s, d: digests.summary_payload(_fb(s, d, text=True)),
+    "summary_payload": _summary_payload,
     "urgency_bubbles": lambda s, d: library.urgency_bubbles(_fb(s, d)),
     "sentiment_slider": lambda s, d: library.sentiment_slider(_fb(s, d)),
     "timeline_bar_labels": lambda s, d: timeline.bar_labels(_fb(s, d, text=True), "status"),

@@ -378,6 +378,15 @@ FROM feedback WHERE sentiment IS NOT NULL""",
 FROM feedback""",
     "sentiment_chart": W() + f"""SELECT concat(upper(substring(b, 1, 1)), substring(b, 2)) AS label, count(*) AS count
 FROM (SELECT {_BUCKET} AS b FROM feedback WHERE sentiment IS NOT NULL) GROUP BY b""",
+    "summary_payload": W() + f"""SELECT
+  (SELECT to_json(list({{'tag': tag, 'count': count}} ORDER BY tag, count))
+     FROM (SELECT tag, count(*) AS count FROM feedback WHERE tag IS NOT NULL GROUP BY tag)) AS tags,
+  (SELECT to_json(list({{'sentiment_bucket': b, 'count': count}} ORDER BY b, count))
+     FROM (SELECT {_BUCKET} AS b, count(*) AS count FROM feedback WHERE sentiment IS NOT NULL GROUP BY 1)) AS sentiment,
+  (SELECT to_json(list({{'text': text, 'tag': tag, 'sentiment': sentiment}} ORDER BY analyzed_at DESC, id DESC))
+     FROM (SELECT id, text, tag, sentiment, analyzed_at FROM feedback WHERE analyzed_at IS NOT NULL
+           ORDER BY analyzed_at DESC, id DESC LIMIT 25)) AS narrative_input,
+  strftime(TIMESTAMP '{C.SUMMARY_NOW:%Y-%m-%d %H:%M:%S}', '%Y-%m-%dT%H:%M:%S.000Z') AS generated_at""",
     "assign_ids_dense": f"""WITH {_INGEST_RAW},
 t AS (SELECT conv_id, turn, {_trim("json_extract_string(value, '$.feedback')")} AS text FROM raw
   WHERE json_valid(value) AND json_type(value, '$.feedback') = 'VARCHAR')
