@@ -86,9 +86,13 @@ def scan(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
 
 
 def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = True,
-                         with_raw_response: bool = False) -> DataFrame:
+                         with_raw_response: bool = False, keep: tuple[str, ...] = (),
+                         spread: bool | None = None) -> DataFrame:
     """Feedback rows derived from ``events`` (+ ``documents`` for the text).
 
+    ``keep`` adds raw events columns as ``ev_<name>``; ``spread`` overrides
+    whether a single-split input is spread over the cluster first.
+
     ``with_text=False`` skips the documents join altogether: the join is on a
     unique key (one document per event) so it never changes the row set, and
     operators that do not read ``text`` should not pay for it.
@@ -97,7 +101,7 @@ def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = Tru
     # enough to be worth spreading a single-split input; narrow rollups run
     # fine in the scan's own tasks
     path = f"{sf_dir}/events.parquet"
-    heavy = with_text or with_raw_response
+    heavy = with_text or with_raw_response if spread is None else spread
     ev = scan(spark, path, "event_id") if heavy else spark.read.parquet(path)
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     pending = (eid % 17) == 0
@@ -124,7 +128,7 @@ def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = Tru
         ev = ev.join(docs, docs["doc_id"] == eid % n_docs, "left")
         cols["text"] = F.concat(_cycle(eid % 12, TEXT_PHRASES), F.lit(" "), F.col("_doc_text"))
     order = [c for c in S.FEEDBACK_COLUMNS if c in cols] + (["raw_response"] if with_raw_response else [])
-    return ev.select(*[cols[c].alias(c) for c in order])
+    return ev.select(*[cols[c].alias(c) for c in order], *[F.col(c).alias(f"ev_{c}") for c in keep])
 
 
 # --- Derived request streams (for ingest / change-log queries) -------------------
@@ -168,32 +172,39 @@ def change_log_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     its status if not "To Do"; error events delete their row; click events
     patch the tag of row ``event_id / 2`` later on; signup events patch an
     id that was never inserted; view events send a patch with no effective
-    column."""
-    from feedlens.operators.changes import _events  # local: avoid an import cycle
+    column.
 
-    fb = feedback_from_tables(spark, sf_dir, with_text=False)
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
+    Two scans: inserts (with text) from the feedback view; every other
+    kind from one narrow scan where each events row emits the array of its
+    log events (a null element where a kind does not apply), exploded."""
     idc = F.col("id")
-    ins = _events(feedback_from_tables(spark, sf_dir).withColumns({"seq": idc * 8, "event_ts": F.col("created_at"), "op": F.lit("insert"),
-                                  "status": F.lit(S.DEFAULT_STATUS)}),
-                  ["text", "source", "channel", "severity_hint", "user_tier", "status"])
-    ana = _events(fb.where(F.col("analyzed_at").isNotNull())
-                  .withColumns({"seq": idc * 8 + 1, "event_ts": F.col("analyzed_at"), "op": F.lit("analysis"),
-                                "summary": F.lit("")}),
-                  ["tag", "sentiment", "urgency_score", "summary"])
-    sts = _events(fb.where(F.col("status") != S.DEFAULT_STATUS)
-                  .withColumns({"seq": idc * 8 + 2, "event_ts": F.col("updated_at"), "op": F.lit("patch")}),
-                  ["status"])
-    eid, et = F.col("event_id"), F.col("event_type")
-    dele = _events(ev.where(et == "error").withColumns({"id": eid, "seq": eid * 8 + 3, "event_ts": F.col("ts"),
-                                                        "op": F.lit("delete")}), [])
-    tagp = _events(ev.where(et == "click").withColumns({"id": (eid / 2).cast("long"), "seq": eid * 8 + 4,
-                                                        "event_ts": F.timestamp_add("HOUR", F.lit(1), F.col("ts")),
-                                                        "op": F.lit("patch"), "tag": F.lit("Praise")}), ["tag"])
-    ghost = _events(ev.where(et == "signup").withColumns({"id": eid + 1000000000000, "seq": eid * 8 + 5,
-                                                          "event_ts": F.col("ts"), "op": F.lit("patch"),
-                                                          "status": F.lit("done")}), ["status"])
-    noop = _events(ev.where(et == "view").withColumns({"id": eid, "seq": eid * 8 + 6,
-                                                       "event_ts": F.timestamp_add("DAY", F.lit(2), F.col("ts")),
-                                                       "op": F.lit("patch")}), [])
-    return ins.unionByName(ana).unionByName(sts).unionByName(dele).unionByName(tagp).unionByName(ghost).unionByName(noop)
+
+    def ev(cond, **vals):
+        fields = []
+        for f in S.EVENTS.fields:
+            v = vals.get(f.name)
+            fields.append((v if v is not None else F.lit(None)).cast(f.dataType).alias(f.name))
+        return F.when(cond, F.struct(*fields))
+
+    fb = feedback_from_tables(spark, sf_dir, with_text=True)
+    ins = fb.select(ev(F.lit(True), seq=idc * 8, event_ts=F.col("created_at"), op=F.lit("insert"), id=idc,
+                       status=F.lit(S.DEFAULT_STATUS),
+                       **{c: F.col(c) for c in ("text", "source", "channel", "severity_hint", "user_tier")}
+                       ).alias("e")).select("e.*")
+    narrow = feedback_from_tables(spark, sf_dir, with_text=False, keep=("event_type", "ts"), spread=True)
+    et, ts = F.col("ev_event_type"), F.col("ev_ts")
+    kinds = [
+        ev(F.col("analyzed_at").isNotNull(), seq=idc * 8 + 1, event_ts=F.col("analyzed_at"), op=F.lit("analysis"),
+           id=idc, tag=F.col("tag"), sentiment=F.col("sentiment"), urgency_score=F.col("urgency_score"),
+           summary=F.lit("")),
+        ev(F.col("status") != S.DEFAULT_STATUS, seq=idc * 8 + 2, event_ts=F.col("updated_at"), op=F.lit("patch"),
+           id=idc, status=F.col("status")),
+        ev(et == "error", seq=idc * 8 + 3, event_ts=ts, op=F.lit("delete"), id=idc),
+        ev(et == "click", seq=idc * 8 + 4, event_ts=F.timestamp_add("HOUR", F.lit(1), ts), op=F.lit("patch"),
+           id=(idc / 2).cast("long"), tag=F.lit("Praise")),
+        ev(et == "signup", seq=idc * 8 + 5, event_ts=ts, op=F.lit("patch"), id=idc + 1000000000000,
+           status=F.lit("done")),
+        ev(et == "view", seq=idc * 8 + 6, event_ts=F.timestamp_add("DAY", F.lit(2), ts), op=F.lit("patch"), id=idc),
+    ]
+    rest = narrow.select(F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("e")).select("e.*")
+    return ins.unionByName(rest)
