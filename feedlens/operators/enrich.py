@@ -178,10 +178,11 @@ def similar_texts(corpus: DataFrame, queries: DataFrame, k: int = 10, vec_col: s
     k * #tasks candidates.
     """
     spark = corpus.sparkSession
-    n_q = queries.count()
-    if n_q > MAX_QUERY_BLOCK:
-        raise ValueError(f"query block of {n_q} rows exceeds {MAX_QUERY_BLOCK}; split it before calling")
-    q = queries.select(F.col(query_id_col).alias("qid"), F.col(query_vec_col).alias("qv")).toPandas()
+    # one bounded action: at most MAX_QUERY_BLOCK + 1 rows reach the driver
+    q = (queries.select(F.col(query_id_col).alias("qid"), F.col(query_vec_col).alias("qv"))
+         .limit(MAX_QUERY_BLOCK + 1).toPandas())
+    if len(q) > MAX_QUERY_BLOCK:
+        raise ValueError(f"query block exceeds {MAX_QUERY_BLOCK} rows; split it before calling")
     qids = q["qid"].to_numpy()
     qmat = np.vstack([np.asarray(v, dtype=np.float64) for v in q["qv"]]) if len(q) else np.zeros((0, 1))
     qnorm = np.linalg.norm(qmat, axis=1)
