@@ -31,18 +31,19 @@ def _day_offset(ts, origin):
     return F.floor(F.timestamp_diff("MICROSECOND", origin, ts) / _DAY_US).cast("long")
 
 
-def timeline_intervals(df: DataFrame, group: str = "status") -> DataFrame:
+def timeline_intervals(df: DataFrame, group: str = "status", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, group_key, start_day, end_day, duration) per row.
 
     The origin is the global minimum of ``coalesce(created_at, updated_at)``,
     a one-row scalar subquery. An update before creation gives duration 1;
     its end day is clamped to the start day so intervals stay well formed.
+    ``keep`` carries more input columns along (no join back by id).
     """
     origin = df.select(F.min(F.coalesce("created_at", "updated_at"))).scalar()
     start = _day_offset(F.col("created_at"), origin)
     end = F.greatest(_day_offset(F.col("updated_at"), origin), start)
     return df.select("id", group_key(group).alias("group_key"), start.alias("start_day"), end.alias("end_day"),
-                     (end - start + 1).alias("duration"))
+                     (end - start + 1).alias("duration"), *keep)
 
 
 def peak_concurrency(df: DataFrame, group: str = "status") -> DataFrame:
@@ -153,7 +154,7 @@ def timeline_lanes(df: DataFrame, group: str = "status") -> DataFrame:
     reference on purpose: its loop sometimes opens an extra row for an item it
     already placed; this gives the evident intent (minimal first-fit lanes).
     """
-    iv = timeline_intervals(df, group).join(df.select("id", "updated_at"), "id")
+    iv = timeline_intervals(df, group, keep=("updated_at",))  # tie order rides along: no self-join
     buckets = iv.groupBy("group_key", "start_day", "end_day").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("group_key").orderBy("start_day", "end_day")
     prev_end = F.max("end_day").over(w.rowsBetween(Window.unboundedPreceding, -1))
