@@ -262,6 +262,27 @@ _DIGEST_LINES = ("n AS (SELECT CAST(created_at AS DATE) AS date, tag, text, row_
                  "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars_before FROM feedback), "
                  "l AS (SELECT date, line_no, concat(CAST(line_no AS VARCHAR), '. [', coalesce(nullif(tag, ''), 'Unknown'), "
                  "'] ', coalesce(text, '')) AS line, CAST(chars_before AS BIGINT) AS chars_before FROM n)")
+def _lanes_sql(group: str) -> str:
+    """T2 by brute force: a recursive replay of first-fit per group, in
+    (start, duration, updated_at desc, id desc) order, keeping the list of
+    lane end days; an item takes the first lane that ended before its start,
+    else opens a new one."""
+    return "WITH RECURSIVE " + ",\n".join((FEEDBACK_CTE, _intervals_cte(group), """items AS (
+  SELECT iv.id, iv.group_key, iv.start_day, iv.end_day, row_number() OVER (PARTITION BY iv.group_key
+    ORDER BY iv.start_day, iv.end_day - iv.start_day, f.updated_at DESC NULLS LAST, iv.id DESC) AS k
+  FROM iv JOIN feedback f ON f.id = iv.id)""", """r(group_key, k, ends, id, lane) AS (
+  SELECT group_key, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT group_key FROM items)
+  UNION ALL
+  SELECT r.group_key, r.k + 1,
+    CASE WHEN p.pos = 0 THEN list_append(r.ends, i.end_day)
+         ELSE list_concat(list_concat(r.ends[1:p.pos - 1], [i.end_day]), r.ends[p.pos + 1:]) END,
+    i.id, CASE WHEN p.pos = 0 THEN len(r.ends) ELSE p.pos - 1 END
+  FROM r JOIN items i ON i.group_key = r.group_key AND i.k = r.k + 1,
+  LATERAL (SELECT coalesce(list_position(list_transform(r.ends, lambda e: e < i.start_day), true), 0) AS pos) p)""")) + """
+SELECT r.id, r.group_key, i.start_day, i.end_day, i.end_day - i.start_day + 1 AS duration, r.lane
+FROM r JOIN items i ON i.id = r.id WHERE r.id IS NOT NULL"""
+
+
 _TOP_SEARCH = lambda q: W() + f"""SELECT {SRCH} FROM feedback
 WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE {q}
 ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 20"""
@@ -387,6 +408,7 @@ FROM (SELECT {_BUCKET} AS b FROM feedback WHERE sentiment IS NOT NULL) GROUP BY
      FROM (SELECT id, text, tag, sentiment, analyzed_at FROM feedback WHERE analyzed_at IS NOT NULL
            ORDER BY analyzed_at DESC, id DESC LIMIT 25)) AS narrative_input,
   strftime(TIMESTAMP '{C.SUMMARY_NOW:%Y-%m-%d %H:%M:%S}', '%Y-%m-%dT%H:%M:%S.000Z') AS generated_at""",
+    "timeline_lanes": _lanes_sql("status"),
     "assign_ids_dense": f"""WITH {_INGEST_RAW},
 t AS (SELECT conv_id, turn, {_trim("json_extract_string(value, '$.feedback')")} AS text FROM raw
   WHERE json_valid(value) AND json_type(value, '$.feedback') = 'VARCHAR')
