@@ -88,6 +88,7 @@ def date_spine(df: DataFrame) -> DataFrame:
 
 # ---- T2: lane assignment --------------------------------------------------------
 _RUN_SCHEMA = "group_key string, start_day long, end_day long, rank_lo long, lane_lo long, n long"
+_FREE = -(1 << 62)  # end day of a lane that is free for every later start
 BLOCK_ROWS = 256
 
 
@@ -98,8 +99,9 @@ def _pack_buckets(pdf: pd.DataFrame) -> pd.DataFrame:
     free for [s, e] iff its last interval ended before s; identical items
     take the lowest free lanes one after another, so a bucket takes the
     first ``c`` free lanes and opens new ones past the top if needed. Lane
-    state is a list of runs (lo, hi, end): memory grows with the number of
-    distinct runs, not with the number of items.
+    state is a list of runs (lo, hi, end); runs that ended before the current
+    start are merged into free gaps, so the list grows with the lanes still
+    alive, not with the number of items or of buckets seen.
     """
     pdf = pdf.sort_values(["start_day", "end_day"], kind="mergesort")
     runs: list[list[int]] = []  # [lo, hi_exclusive, end] sorted by lo, covering 0..top
@@ -108,6 +110,17 @@ def _pack_buckets(pdf: pd.DataFrame) -> pd.DataFrame:
     gk = pdf["group_key"].iloc[0]
     for s, e, c in zip(pdf["start_day"].to_numpy(), pdf["end_day"].to_numpy(), pdf["c"].to_numpy()):
         s, e, need = int(s), int(e), int(c)
+        # starts only grow: a lane that ended before s stays free, so its
+        # end no longer matters - mark it free and merge free neighbours,
+        # which keeps the run list as short as the lanes still alive
+        compact: list[list[int]] = []
+        for lo, hi, end in runs:
+            end = _FREE if end < s else end
+            if compact and compact[-1][2] == end and compact[-1][1] == lo:
+                compact[-1][1] = hi
+            else:
+                compact.append([lo, hi, end])
+        runs = compact
         rank = 0
         new_runs = []
         for lo, hi, end in runs:

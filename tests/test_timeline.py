@@ -60,3 +60,29 @@ def test_lanes_with_hot_bucket_equal_replay(spark):
     for g, sub in iv.groupby("group_key"):
         exp = first_fit(list(zip(sub["id"], sub["start_day"], sub["end_day"], sub["u"])))
         assert {i: got[i] for i in exp} == exp
+
+
+def test_bucket_packer_equals_item_replay():
+    import random
+    import pandas as pd
+    rnd = random.Random(13)
+    for _ in range(30):
+        rows = {}
+        for _ in range(rnd.randrange(1, 60)):
+            s = rnd.randrange(0, 25)
+            e = s + rnd.randrange(0, 6)
+            rows[(s, e)] = rows.get((s, e), 0) + rnd.randrange(1, 9)
+        pdf = pd.DataFrame([("g", s, e, c) for (s, e), c in rows.items()],
+                           columns=["group_key", "start_day", "end_day", "c"])
+        runs = timeline._pack_buckets(pdf)
+        got = {}
+        for r in runs.itertuples():
+            for k in range(r.n):
+                got[(r.start_day, r.end_day, r.rank_lo + k)] = r.lane_lo + k
+        items = [(i, s, e, -k) for i, ((s, e), k) in enumerate(
+            ((se, k) for se, c in sorted(rows.items()) for k in range(c)))]
+        exp = first_fit(items)
+        want = {}
+        for i, s, e, negk in items:
+            want[(s, e, -negk)] = exp[i]
+        assert got == want
