@@ -84,7 +84,7 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
     """A12 long form: (date, line_no, line, chars_before) with
     ``i. [tag or Unknown] text``, numbered from 1 per creation day, newest
     first (ties: higher id first). ``chars_before`` is the weight of the
-    day's earlier lines (text length + DIGEST_LINE_ALLOWANCE each), which
+    day's earlier lines (text + tag label + DIGEST_LINE_OVERHEAD each), which
     ``digest_prompts`` uses to cut a busy day into bounded prompts.
 
     Numbering and weights come from one range-partitioned prefix pass on
@@ -96,7 +96,8 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
     if dates:
         src = src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
     # number a narrow projection (no text in the checkpoint), then attach by id
-    weight = F.length(F.coalesce(F.col("text"), F.lit(""))) + S.DIGEST_LINE_ALLOWANCE
+    weight = (F.length(F.coalesce(F.col("text"), F.lit(""))) + F.length(label_or("tag", "Unknown"))
+              + S.DIGEST_LINE_OVERHEAD)
     keys = src.select("date", "id", "created_at", weight.alias("_ln_w"))
     nums = prefix_sum_within(keys, ["date"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()],
                              weight="_ln_w", out="chars_before", count_out="_ln_0")

@@ -257,7 +257,8 @@ HAVING max(CASE WHEN op = 'insert' THEN 1 END) = 1 AND max(CASE WHEN op = 'delet
 # day's earlier lines, which cuts a busy day into bounded prompts
 _DIGEST_LINES = ("n AS (SELECT CAST(created_at AS DATE) AS date, tag, text, row_number() OVER ("
                  "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC) AS line_no, "
-                 f"coalesce(sum(length(coalesce(text, '')) + {S.DIGEST_LINE_ALLOWANCE}) OVER ("
+                 f"coalesce(sum(length(coalesce(text, '')) + length(coalesce(nullif(tag, ''), 'Unknown')) "
+                 f"+ {S.DIGEST_LINE_OVERHEAD}) OVER ("
                  "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC "
                  "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars_before FROM feedback), "
                  "l AS (SELECT date, line_no, concat(CAST(line_no AS VARCHAR), '. [', coalesce(nullif(tag, ''), 'Unknown'), "

@@ -85,10 +85,12 @@ PAGE_SIZES = [5, 10, 20, 50]
 SUMMARY_MAX_AGE_S = 300
 DIGEST_MAX_AGE_S = 86400
 # Our bound on one digest prompt (the reference sends a whole day at once):
-# a day is cut into prompts of about this many characters; every line is
-# kept. Each line is weighed as its text plus an allowance for "i. [tag] ".
+# a day is cut into prompts of at most this many characters plus one line;
+# every line is kept. A line "i. [tag] text" is weighed as its text and tag
+# label plus DIGEST_LINE_OVERHEAD for the number (up to 19 digits), ". [",
+# "] " and the newline, so the weight is never below the line's length.
 DIGEST_PROMPT_CHARS = 400_000
-DIGEST_LINE_ALLOWANCE = 64
+DIGEST_LINE_OVERHEAD = 25
 DEFAULT_STATUS = "To Do"
 DEFAULT_SOURCE = "user"
 DEFAULT_CHANNEL = "web"
