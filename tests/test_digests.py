@@ -30,3 +30,14 @@ def test_quiet_day_is_one_prompt(spark):
     out = enrich.daily_digest(df, enrich.line_count_generator).collect()
     assert len(out) == 1 and out[0]["chunk"] == 0 and out[0]["count"] == 5
     assert out[0]["summary"].startswith("2026-03-01: 5 items")
+
+
+def test_long_tags_count_towards_the_bound(spark):
+    t0 = dt.datetime(2026, 3, 2, 8)
+    rows = [(i, "short text", "T" * 3000, t0 + dt.timedelta(seconds=i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, tag string, created_at timestamp_ntz")
+    max_chars = 10_000
+    prompts = enrich.digest_prompts(enrich.digest_lines(df), max_chars).collect()
+    longest = max(len(ln) for p in prompts for ln in p["prompt"].split("\n"))
+    assert sum(p["count"] for p in prompts) == 40
+    assert all(len(p["prompt"]) <= max_chars + longest for p in prompts)
