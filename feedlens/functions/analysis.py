@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
-from feedlens.functions.scalars import JS_WHITESPACE, col_of, js_trim
+from feedlens.functions.scalars import col_of, js_trim
 
 __all__ = ["normalize_tag", "js_number", "clamp_number", "parse_response", "field",
            "urgency_field", "cut_summary", "normalize_analysis", "keyword_scores"]

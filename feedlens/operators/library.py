@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
-from feedlens.functions.scalars import bubble_xyr, day, fixed, impact, js_trim, mood5, sentiment_class, sentiment_pct
+from feedlens.functions.scalars import bubble_xyr, day, fixed, impact, mood5, sentiment_class, sentiment_pct
 from feedlens.plans.ranking import prefix_sum_within
 from feedlens.sources.feedback import PARTITION_COLUMN
 

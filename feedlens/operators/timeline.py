@@ -7,7 +7,6 @@ Days are 24-hour blocks counted from the *instant* of the global minimum
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
