@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,14 +47,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The session's checkpoint folder, set once: the one ``spark.checkpoint.dir`` names.
 
-    On a cluster the operator of the cluster sets it to a shared file system.
-    Only when it is unset (local tests) a private scratch folder is created.
+    On a cluster that setting must name a folder all executors share; without
+    it this raises. Only a local master, where driver and executors are one
+    process, gets a scratch folder instead.
     """
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="feedlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+        d = sc.getConf().get("spark.checkpoint.dir", None)
+        if not d:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            d = tempfile.mkdtemp(prefix="feedlens-ckpt-")
+        sc.setCheckpointDir(d)
+        d = sc.getCheckpointDir()
+    return d
