@@ -11,16 +11,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedlens.llm import mixing, queries, sharding, simhash
+from feedlens.llm import decontam, mixing, queries, sharding, simhash, toxicity
+from feedlens.llm.common import read_table
 from feedlens.session import checkpoint_dir
 
 
+def detox(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold; learned from the tables of ``sf_dir``."""
+    scored = toxicity.score(docs, queries.toxicity_scorer(spark, sf_dir), out="_toxicity")
+    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
     return simhash.one_per_component(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the capped mix of their sources takes them."""
     mixed = mixing.mix(docs, weights=queries.MIX_WEIGHTS, max_epochs=queries.MIX_EPOCHS, seed=queries.MIX_SEED,
@@ -34,12 +47,14 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("detox", detox),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
     ("mix", mix),
     ("shard", shard),
 ]
 
-#: SimHash components can't be told in SQL; the tests hold the pipeline against a brute-force version.
+#: Learned scores and SimHash components can't be told in SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
