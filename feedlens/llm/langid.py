@@ -139,7 +139,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) / F.lit(1 << 20)
     sample = (rows.filter(F.col("text").rlike(r"\p{L}")).join(counts, F.col("lang") == F.col("l"))
               .filter(draw * F.col("n") < per_lang).select("text", "lang"))
-    models = sample.groupBy(F.lit(0)).applyInPandas(_fit, "kind string, pos string, neg string, weights binary")
+    models = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "kind string, pos string, neg string, weights binary")
     return Models([tuple(r) for r in models.collect()])
 
 

@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.Series([np.array(sorted(restorer.bins(t)), dtype=np.int32) for t in s])
 
     sample = rows.join(marked, F.col("id") == F.col("l_id")).select("id", "y", bins("text").alias("bins"))
-    weights = sample.groupBy(F.lit(0)).applyInPandas(_fit, "bin long, weight double")
+    weights = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "bin long, weight double")
     return Scorer(model, {r["bin"]: r["weight"] for r in weights.collect()})
 
 
