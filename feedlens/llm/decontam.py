@@ -193,13 +193,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_mat
           threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that no test item contaminates, unchanged."""
     for part in slices(benchmark, min_match=min_match, threshold=threshold):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+        docs = docs.filter(~_dirty(docs, part)(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def dirty(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            known = Words()
-            for s in texts:
-                yield pd.Series([bool(shared.value.matches(t, known)) for t in s], dtype=bool)
 
-        docs = docs.filter(~dirty(F.col(text_col)))
-    return docs
+def _dirty(docs: DataFrame, part: Benchmark):
+    shared = docs.sparkSession.sparkContext.broadcast(part)
+
+    @F.pandas_udf("boolean")
+    def dirty(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Words()
+        for s in texts:
+            yield pd.Series([bool(shared.value.matches(t, known)) for t in s], dtype=bool)
+
+    return dirty
