@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +20,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Plans made here drop their shuffle files once their result is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: its lineage is cut and
     every later use reads the same rows, also after an executor is lost."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``frozen``, as a Parquet table in that folder: smaller, for larger results."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_freed(df.sparkSession):
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def word_count(text: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import decontam, html_tree, kdtree, langid, mixing, sharding, simhash, toxicity, urlfilter
+from feedlens.llm import decontam, html_tree, kdtree, langid, mixing, sharding, simhash, substring, toxicity, urlfilter
 from feedlens.llm.common import held_out, read_table
 
 #: (host, path, verdict); fixed values of the contract.
@@ -22,6 +22,10 @@ SHARD_BYTES = 16 << 20
 MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED = (1, 2, 3), 3, 7
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
@@ -72,6 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op3_simhash": op3_simhash,
     "op4_kdtree_topk": op4_kdtree_topk,
