@@ -92,8 +92,8 @@ def _searcher(k: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(vectors) and len(queries):
-            points, asked = _exact(vectors["v"].tolist(), queries["v"].tolist())
-            rows = search(points, vectors["vec_id"].to_numpy(), asked, queries["vec_id"].to_numpy(), queries["kth"].to_numpy(), k)
+            points, asked = _exact(vectors["v"].tolist(), queries["q_v"].tolist())
+            rows = search(points, vectors["vec_id"].to_numpy(), asked, queries["q_id"].to_numpy(), queries["kth"].to_numpy(), k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
     return run
 
@@ -121,20 +121,21 @@ def top_k(vectors: DataFrame, query_every: int, k: int, id_col: str = "vec_id",
     n, n_asked = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % query_every == 0, 1))).first()
     shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(n_asked / QUERY_BLOCK))
     placed = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    asked = asked.select(F.col("vec_id").alias("q_id"), F.col("dim").alias("q_dim"), F.col("v").alias("q_v"),
+                         F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("q_block"))
 
     def searched(part: DataFrame, queries: DataFrame, first: int, last: int) -> DataFrame:
         # every block of queries meets every shard; rows are sent once per block, queries once per shard
         a = part.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        b = queries.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        keys = ["dim", "shard", "block"]
-        return a.groupBy(keys).cogroup(b.groupBy(keys)).applyInPandas(_searcher(k), "query_id long, vec_id long, score long")
+        b = queries.withColumn("q_shard", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        pairs = a.groupBy("dim", "shard", "block").cogroup(b.groupBy("q_dim", "q_shard", "q_block"))
+        return pairs.applyInPandas(_searcher(k), "query_id long, vec_id long, score long")
 
     found = searched(placed.filter("shard = 0"), asked.withColumn("kth", F.lit(_LOWEST)), 0, 0)
     if shards > 1:
         low = (found.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
                .filter(F.col("n") == k).select(F.col("query_id").alias("l_id"), "low"))
-        floors = asked.join(low, F.col("vec_id") == F.col("l_id"), "left").withColumn("kth", F.coalesce("low", F.lit(_LOWEST)))
+        floors = asked.join(low, F.col("q_id") == F.col("l_id"), "left").withColumn("kth", F.coalesce("low", F.lit(_LOWEST)))
         found = found.unionByName(searched(placed.filter("shard > 0"), floors.drop("l_id", "low"), 1, shards - 1))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

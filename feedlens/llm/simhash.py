@@ -256,11 +256,11 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     narrow = frozen(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
     comp = components(narrow, radius).withColumnRenamed("fp", "c_fp")
     winners = (narrow.join(comp, (F.col("fp") == F.col("c_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-               .groupBy("root").agg(F.min("component_id").alias("w_id"), F.min("fp").alias("w_fp"), F.count(F.lit(1)).alias("w_n")))
+               .groupBy("root").agg(F.min("component_id").alias("_sim_w_id"), F.min("fp").alias("_sim_w_fp"), F.count(F.lit(1)).alias("_sim_w_n")))
     winners = frozen(winners.drop("root"))
     rows = docs.withColumn("_sim_fp", fingerprint_column(F.col(text_col), shingle))
-    kept = rows.join(winners, rows[id_col].eqNullSafe(winners["w_id"]) & (F.col("_sim_fp") == F.col("w_fp")))
-    if not winners.filter("w_n > 1").isEmpty():  # only repeated rows have to meet
-        several = kept.filter("w_n > 1").dropDuplicates([id_col, "_sim_fp"])
-        kept = kept.filter("w_n = 1").unionByName(several)
-    return kept.drop("_sim_fp", "w_id", "w_fp", "w_n")
+    kept = rows.join(winners, rows[id_col].eqNullSafe(winners["_sim_w_id"]) & (F.col("_sim_fp") == F.col("_sim_w_fp")))
+    if not winners.filter("_sim_w_n > 1").isEmpty():  # only repeated rows have to meet
+        several = kept.filter("_sim_w_n > 1").dropDuplicates([id_col, "_sim_fp"])
+        kept = kept.filter("_sim_w_n = 1").unionByName(several)
+    return kept.drop("_sim_fp", "_sim_w_id", "_sim_w_fp", "_sim_w_n")

@@ -1,0 +1,143 @@
+import hashlib
+import random
+from collections import defaultdict
+
+from feedlens.llm import mixing, sharding, urlfilter
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def fill(sizes, weights, cap):
+    """Targets by repeated clamping."""
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in sizes if s not in fixed and sizes[s]]
+        rest = total - sum(fixed.values())
+        t = {s: rest * weights[s] / sum(weights[x] for x in free) for s in free}
+        over = [s for s in free if t[s] > cap * sizes[s]]
+        if not over:
+            return {s: fixed.get(s, t.get(s, 0.0)) for s in sizes}
+        fixed |= {s: float(cap * sizes[s]) for s in over}
+
+
+def test_mix_targets_and_words(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 60))), rng.choice(["b", "a", "a", "a", "a", "c", "é", None]), "x", 9)
+            for i in range(400)] + [(400, None, "a", "", 1), (401, "", "zero", "", 1), (None, "one two", None, "", 1), (7, "w w", "b", "", 2), (7, "w w", "b", "", 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, target string, taken int")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(docs)
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r["size"] == len((r["text"] or "").split())
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    order = sorted([s for s in sizes if s is not None]) + [None]
+    want = fill(sizes, {s: 1 + i % 3 for i, s in enumerate(order)}, 3)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]]
+        assert abs(r["target"] - want[r["source"]]) < 1e-6
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 0.5
+    again = mixing.mix(df.repartition(5)).collect()
+    key = lambda rows: sorted((str(r["doc_id"]), r["text"] or "", r["taken"]) for r in rows)
+    assert key(got) == key(again)
+
+
+def test_mix_of_nothing(spark):
+    schema = "doc_id long, text string, source string"
+    assert mixing.mix(spark.createDataFrame([], schema)).collect() == []
+    r = mixing.mix(spark.createDataFrame([(1, None, None), (2, " ", "a")], schema)).collect()
+    assert [(x["size"], x["target"], x["taken"]) for x in r] == [(0, 0.0, 0)] * 2
+
+
+def test_mix_is_native(spark):
+    df = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_rows_of_a_mix(spark):
+    df = spark.createDataFrame([(1, 10, 30), (2, 10, 0), (3, 10, 15), (4, 10, 14), (5, 0, 0)], "doc_id long, size long, taken long")
+    assert sorted(r["doc_id"] for r in mixing.repeated(df).collect()) == [1, 1, 1, 3, 3, 4]
+
+
+def slow_shards(docs, limit):
+    rows = []
+    for i, t in docs:
+        inner = hashlib.md5((t or "").encode()).hexdigest()
+        h = int(hashlib.md5(f"{'' if i is None else i}:{inner}".encode()).hexdigest()[:15], 16)
+        rows.append((i, len((t or "").encode()), f"{h:060b}"))
+
+    def split(part, depth):
+        if sum(n for _, n, _ in part) <= limit or len({b for _, _, b in part}) == 1:
+            return [(i, "s" + b[:depth], depth, n) for i, n, b in part]
+        return [x for bit in "01" for x in split([r for r in part if r[2][depth] == bit], depth + 1)]
+    return sorted(split(rows, 0), key=str)
+
+
+def test_shards_split_only_when_too_large(spark):
+    rng = random.Random(2)
+    docs = [(i, "é" * rng.choice([0, 1, 5, 40, 300])) for i in range(300)] + [(None, None), (None, "x"), (5, ""), (500, "y" * 5000)]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in docs], "doc_id long, text string, shard string, _x string")
+    for limit in (700, 5000, 1 << 20):
+        got = sharding.shard(df, limit).collect()
+        assert sorted([(r["doc_id"], r["shard"], r["depth"], r["n_bytes"]) for r in got], key=str) == slow_shards(docs, limit)
+    assert sharding.shard(df.limit(0), 100).collect() == []
+
+
+def test_deeper_rounds(spark, monkeypatch):
+    """Cells as coarse as the shards: skewed sizes need further rounds."""
+    monkeypatch.setattr(sharding, "CELL_BITS", 1)
+    docs = [(i, "z" * (2000 if i % 17 == 0 else 10)) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sharding.shard(df, 2100).collect()
+    assert sorted([(r["doc_id"], r["shard"], r["depth"], r["n_bytes"]) for r in got], key=str) == slow_shards(docs, 2100)
+
+
+def test_repeated_rows_overflow(spark):
+    df = spark.createDataFrame([(1, "abcd")] * 10 + [(2, "xy")], "doc_id long, text string")
+    got = sharding.shard(df, 9).collect()
+    size = defaultdict(int)
+    for r in got:
+        size[r["shard"]] += r["n_bytes"]
+    assert len(got) == 11 and max(size.values()) <= 9
+
+
+def slow_verdict(url):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host, tail = rest[:end], rest[end:]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        path = tail[: min([tail.index(c) for c in "?#" if c in tail], default=len(tail))]
+    fits = [(len(h + p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[1], best[2] if best else "allow"
+
+
+URLS = [None, "", "nothing", "http://", "http://A.EXAMPLE.net/en/x?y#z", "http://example.net", "http://example.net/en", "https://example.net/en/",
+        "ftp://x.net/", "http://net/", "http://.net/a", "http://xnet/a", "http://example.com/de/1", "http://m.example.com/fr/1", "http://org/fr/a",
+        "http://a.org/fr/?q=/de/", "http://a.net?x=/", "http://a.net#/", "http://u@b.example.net:80/en/", "http://a.net//b", "x://y://z.net/",
+        "http://ÀB.net/ü", "http://a..net/", "http://example.net./en/", "http://a\nb.net/c\nd", "http://example.org/" + "fr/" * 3000]
+
+
+def test_urls(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    df = spark.createDataFrame([(i, u, "r", 1) for i, u in enumerate(URLS * 2)] + [(None, None, "", 0)], "page_id long, url string, rule string, host int")
+    got = {(r["page_id"]): (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(df, rules).collect()}
+    assert got == {i: slow_verdict(u) for i, u in enumerate(URLS * 2)} | {None: slow_verdict(None)}
+
+
+def test_rule_ties_and_empties(spark):
+    df = spark.createDataFrame([(1, "http://a.b/c/d")], "page_id long, url string")
+    schema = "host string, path string, verdict string"
+    judge = lambda rules: urlfilter.judge_urls(df, spark.createDataFrame(rules, schema)).first()["verdict"]
+    assert judge([("a.b", "/c", "allow"), ("a.b", "/c", "block"), ("a.b", "/c", "allow")]) == "block"
+    assert judge([("b", "/c/d", "block"), ("a.b", "/c", "allow")]) == "allow"  # as long: the longer host
+    assert judge([("b", "/c/", "block"), ("a.b", "/c", "allow")]) == "allow"
+    assert judge([(None, "/", "block"), ("b", None, "block")]) == "allow"
+    assert judge([]) == "allow"
+    assert urlfilter.judge_urls(df.limit(0), spark.createDataFrame(RULES, schema)).count() == 0
