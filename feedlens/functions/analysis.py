@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from feedlens import schema as S
 from feedlens.functions.scalars import col_of, js_trim
 
-__all__ = ["normalize_tag", "js_number", "clamp_number", "parse_response", "field",
+__all__ = ["allow_repeated_keys", "normalize_tag", "js_number", "clamp_number", "parse_response", "field",
            "urgency_field", "cut_summary", "normalize_analysis", "keyword_scores"]
 
 _DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -100,6 +100,11 @@ def clamp_number(v: Column, lo: float, hi: float, fallback: float) -> Column:
     return _clamp(js_number(v), lo, hi, fallback)
 
 
+def allow_repeated_keys(spark) -> None:
+    """JSON objects may repeat a key; the last one counts, as in JavaScript."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def parse_response(raw) -> Column:
     """tolerant JSON parse of the model output; bad JSON -> SQL null."""
     return F.try_parse_json(col_of(raw))
@@ -134,6 +139,7 @@ def normalize_analysis(df: DataFrame, raw_col: str = "raw_response", prefix: str
     """
     lo_s, hi_s, fb_s = S.SENTIMENT_RANGE
     lo_u, hi_u, fb_u = S.URGENCY_RANGE
+    allow_repeated_keys(df.sparkSession)
     out = df.withColumn("_fl_p", parse_response(raw_col))
     p = F.col("_fl_p")
     out = out.withColumns({"_fl_vt": field(p, "tag"), "_fl_vs": field(p, "sentiment"),

@@ -131,9 +131,33 @@ def bubble_xyr(urgency, impact_col) -> Column:
 
 
 def fixed(x, digits: int = 2, null_text: str = "N/A") -> Column:
-    """fixed-point display text; null -> ``N/A``."""
-    c = col_of(x)
-    return F.when(c.isNotNull(), F.format_string(f"%.{int(digits)}f", c)).otherwise(F.lit(null_text))
+    """JavaScript ``toFixed(digits)``; null -> ``N/A``.
+
+    toFixed rounds the exact binary value, so 1.005 (really 1.00499...) gives
+    1.00. The value is scaled by a power of two to a whole number, which is
+    exact, and rounded in decimal arithmetic. From 2**20 on, where no digit is
+    left to decide it, the usual formatting applies.
+    """
+    c = col_of(x).cast("double")
+    p = 10 ** int(digits)
+    size = F.abs(c)
+    shift = F.when(size < 4, F.lit(2.0 ** 60)).when(size < 2 ** 10, F.lit(2.0 ** 52)).otherwise(F.lit(2.0 ** 42))
+    small = F.when(size < 2 ** 20, size).otherwise(F.lit(0.0))
+    whole = (small * shift).cast("long").cast("decimal(20,0)")
+    unit = shift.cast("long").cast("decimal(20,0)")
+    halves, two = whole * F.lit(2 * p).cast("decimal(10,0)") + unit, unit * F.lit(2).cast("decimal(1,0)")
+    n = ((halves - halves % two) / two).cast("long")  # whole-number division: a quotient would be rounded first
+    text = F.floor(n / F.lit(p)).cast("long").cast("string")
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad((n % p).cast("string"), int(digits), "0"))
+    text = F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), text)
+    return (F.when(c.isNull(), F.lit(null_text)).when(size < 2 ** 20, text)
+            .otherwise(F.format_string(f"%.{int(digits)}f", c)))
+
+
+def to_minute(ts) -> Column:
+    """F16: a timestamp as shown in the library view, cut to the minute (``yyyy-MM-dd HH:mm``)."""
+    return F.date_format(col_of(ts), "yyyy-MM-dd HH:mm")
 
 
 def preview(s, n: int) -> Column:

@@ -8,20 +8,21 @@ ranks, without collecting any group:
 * histogram ``(key, value) -> count`` - a partial aggregate, so duplicates
   (the usual case: sentiment has two decimals) collapse before the shuffle
   and a hot key never reaches one task whole;
-* an exclusive prefix count per key over the histogram, computed by the
-  range-partitioned helper (no per-key window over a hot key);
-* the value whose [prefix, prefix+count) interval holds floor(n*p).
+* the histogram is summed into ``BINS`` equal bins between a key's smallest
+  and largest value; running sums over the bins (at most ``BINS`` rows per
+  key) tell which bin holds the element at floor(n*p);
+* only the values of those bins are ordered, to find the element itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.functions.scalars import label_or
 from feedlens.operators.rollups import dimension_column
-from feedlens.plans.ranking import prefix_sum_within
 
+BINS = 1024
 QUANTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
@@ -38,13 +39,20 @@ def sentiment_boxplot(df: DataFrame, dim: str = "tier", value: str = "sentiment"
     stats = hist.groupBy("dimension").agg(
         F.sum("c").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"))
-    ranked = prefix_sum_within(hist, ["dimension"], ["v"], weight="c", out="before")
-    j = ranked.join(stats.select("dimension", "n"), "dimension")
-    picks = []
-    for name, p in QUANTILES.items():
-        k = F.floor(F.col("n") * p)
-        picks.append(F.min(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("c")), F.col("v"))).alias(name))
-    q = j.groupBy("dimension").agg(*picks)
+    binned = hist.join(stats.select("dimension", "n", "min", "max"), "dimension").withColumn(
+        "bin", F.when(F.col("max") > F.col("min"), F.least(F.floor((F.col("v") - F.col("min")) / (F.col("max") - F.col("min")) * BINS),
+                                                           F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int"))
+    bins = binned.groupBy("dimension", "bin").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
+    bins = bins.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("dimension").orderBy("bin").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("n") * p).alias("k")) for name, p in QUANTILES.items()])
+    held = (bins.withColumn("q", F.explode(ranks)).where((F.col("before") <= F.col("q.k")) & (F.col("q.k") < F.col("before") + F.col("c")))
+            .select("dimension", "bin", F.col("q.name").alias("name"), (F.col("q.k") - F.col("before")).alias("left")))
+    values = binned.select("dimension", "bin", "v", "c").join(held, ["dimension", "bin"])
+    values = values.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("dimension", "name").orderBy("v").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)))
+    hit = values.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("c")))
+    q = hit.groupBy("dimension").agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in QUANTILES])
     return (stats.join(q, "dimension")
             .select("dimension", F.col("n").cast("long").alias("n"), "min", "q1", "median", "q3", "max", "mean")
             .orderBy("dimension"))

@@ -9,17 +9,17 @@ native expressions.
 from __future__ import annotations
 
 import json
-from typing import Callable
+from typing import Callable, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
 from feedlens.functions.analysis import normalize_analysis
 from feedlens.functions.scalars import day, label_or
-from feedlens.plans.ranking import prefix_sum_within, row_number_within
+from feedlens.plans.ranking import prefix_sum_within
 
 Scorer = Callable[[pd.Series], pd.Series]
 
@@ -29,33 +29,42 @@ def keyword_response_scorer(texts: pd.Series) -> pd.Series:
     """E3 as a model stand-in: answers what a model would, as JSON text:
     the keyword tag of the text, sentiment 0, urgency 0.2, empty summary."""
     low = texts.fillna("").str.lower()
-    tag = pd.Series("Other", index=texts.index)
+    answers = {name: json.dumps({"tag": name, "sentiment": 0, "urgency": 0.2, "summary": ""})
+               for name in [*(n for n, _ in S.TAG_KEYWORDS), "Other"]}
+    out = pd.Series(answers["Other"], index=texts.index)
     done = pd.Series(False, index=texts.index)
     for name, words in S.TAG_KEYWORDS:
         hit = pd.Series(False, index=texts.index)
         for w in words:
             hit |= low.str.contains(w, regex=False)
-        tag = tag.mask(hit & ~done, name)
+        out = out.mask(hit & ~done, answers[name])
         done |= hit
-    return tag.map(lambda t: json.dumps({"tag": t, "sentiment": 0, "urgency": 0.2, "summary": ""}))
+    return out
 
 
 def classify(df: DataFrame, scorer: Scorer, text_col: str = "text", id_col: str = "id",
              pending_only: bool = True) -> DataFrame:
     """(id, raw_response) for rows to classify (default: ``analyzed_at`` null).
 
-    Only the id and the text cross into Python. A batch whose call raises
-    gets null responses: those rows stay pending, as in the reference.
+    Only the id and the text cross into Python. If the call for a batch
+    raises, its texts are scored one by one, and those that raise alone get
+    null responses: only they stay pending, as in the reference.
     """
     src = df.where(F.col("analyzed_at").isNull()) if pending_only and "analyzed_at" in df.columns else df
     src = src.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    def alone(text):
+        try:
+            return list(scorer(pd.Series([text])))[0]
+        except Exception:  # model failure: leave the row pending
+            return None
+
     def run(batches):
         for pdf in batches:
             try:
                 raw = pd.Series(scorer(pdf["text"]), index=pdf.index).astype(object)
-            except Exception:  # model failure: leave the batch pending
-                raw = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            except Exception:
+                raw = pd.Series([alone(t) for t in pdf["text"]], index=pdf.index, dtype=object)
             yield pd.DataFrame({"id": pdf["id"], "raw_response": raw.where(raw.notna(), None)})
 
     return src.mapInPandas(run, "id long, raw_response string")
@@ -109,19 +118,36 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
                            F.col("chars_before").cast("long").alias("chars_before"))
 
 
-def line_count_generator(date: str, prompt: str) -> str:
-    """Deterministic stand-in for the model in ``daily_digest`` (tests, benchmarks)."""
-    return f"{date}: {len(prompt.splitlines())} items, {len(prompt)} characters"
+class Generator(Protocol):
+    """The model behind daily digests. A day is written in parts, each from a
+    bounded prompt, and the parts are merged into one text; a day of one part
+    needs no merge."""
+
+    def write(self, date: str, prompt: str) -> str: ...
+
+    def merge(self, date: str, parts: list[str]) -> str: ...
+
+
+class LineCounter:
+    """Deterministic stand-in for the model (tests, benchmarks): items and
+    characters of the day's lines, the same however the day is cut."""
+
+    def write(self, date: str, prompt: str) -> str:
+        return f"{date}: {prompt.count(chr(10)) + 1} items, {len(prompt)} characters"
+
+    def merge(self, date: str, parts: list[str]) -> str:
+        found = [[int(w) for w in p.split(": ")[1].split() if w.isdigit()] for p in parts]
+        # the line feeds between two parts are in neither
+        return f"{date}: {sum(n for n, _ in found)} items, {sum(c for _, c in found) + len(parts) - 1} characters"
 
 
 def digest_prompts(lines: DataFrame, max_chars: int = S.DIGEST_PROMPT_CHARS) -> DataFrame:
     """Prompt text per (date, chunk): the lines joined by newlines in order.
 
-    The reference sends one prompt per day. Here a day is cut into chunks
-    0, 1, ... of lines whose ``chars_before`` falls in the same
-    ``max_chars`` window, so no group and no cell grows with a busy day (a
-    chunk holds at most ``max_chars`` plus one line). No line is dropped;
-    a quiet day is one prompt, as in the reference.
+    A day is cut into chunks 0, 1, ... of lines whose ``chars_before`` falls
+    in the same ``max_chars`` window, so no group and no cell grows with a
+    busy day (a chunk holds at most ``max_chars`` plus one line). No line is
+    dropped.
     """
     chunk = F.floor(F.col("chars_before") / F.lit(int(max_chars))).cast("long")
     g = lines.withColumn("chunk", chunk).groupBy("date", "chunk")
@@ -130,40 +156,69 @@ def digest_prompts(lines: DataFrame, max_chars: int = S.DIGEST_PROMPT_CHARS) ->
                  F.count(F.lit(1)).alias("count"))
 
 
-Generator = Callable[[str, str], str]
+#: Parts that one merge takes; the merges of a day are merged again.
+MERGE_PARTS = 64
 
 
 def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None = None,
                  max_chars: int = S.DIGEST_PROMPT_CHARS) -> DataFrame:
-    """E5: (date, chunk, summary, count) per date. ``generator(date, prompt)``
-    is the model; its errors become ``Error generating summary: ...``. Dates
-    asked for (``dates`` frame with a ``date`` column) that have no feedback
-    get ``No feedback received on D.`` and count 0."""
-    prompts = digest_prompts(digest_lines(df), max_chars)
+    """E5: (date, summary, count), one row per date, however busy.
+
+    Each prompt of ``digest_prompts`` is written by one call of
+    ``generator.write``; the parts of a day are merged in order, ``MERGE_PARTS``
+    at a time and then once more. If a call fails, the day's summary is its
+    ``Error generating summary: ...``. Dates asked for (``dates`` frame with a
+    ``date`` column) that have no feedback get ``No feedback received on D.``
+    and count 0.
+    """
+    def called(f, date, x):
+        try:
+            return None, str(f(str(date), x))
+        except Exception as err:  # the reference returns the error as text
+            return f"Error generating summary: {err}", None
 
-    def run(batches):
+    def write(batches):
+        for pdf in batches:
+            out = [called(generator.write, d, p) for d, p in zip(pdf["date"], pdf["prompt"])]
+            yield pd.DataFrame({"date": pdf["date"], "chunk": pdf["chunk"], "error": [e for e, _ in out],
+                                "summary": [s for _, s in out], "count": pdf["count"]})
+
+    def merge(batches):
         for pdf in batches:
-            out = []
-            for d, p in zip(pdf["date"], pdf["prompt"]):
-                try:
-                    out.append(str(generator(str(d), p)))
-                except Exception as err:  # the reference returns the error as text
-                    out.append(f"Error generating summary: {err}")
-            yield pd.DataFrame({"date": pdf["date"], "chunk": pdf["chunk"], "summary": out, "count": pdf["count"]})
-
-    res = prompts.mapInPandas(run, "date date, chunk long, summary string, count long")
+            out = [(e, None) if e is not None else (None, s[0]) if len(s) == 1 else called(generator.merge, d, list(s))
+                   for d, e, s in zip(pdf["date"], pdf["error"], pdf["parts"])]
+            yield pd.DataFrame({"date": pdf["date"], "chunk": pdf["chunk"], "error": [e for e, _ in out],
+                                "summary": [s for _, s in out], "count": pdf["count"]})
+
+    schema = "date date, chunk long, error string, summary string, count long"
+    parts = digest_prompts(digest_lines(df), max_chars).mapInPandas(write, schema)
+    for chunk in (F.floor(F.col("chunk") / MERGE_PARTS).cast("long"), F.lit(0).cast("long")):
+        ordered = F.array_sort(F.collect_list(F.struct("chunk", "summary")))
+        parts = (parts.withColumn("into", chunk).groupBy("date", "into")
+                 .agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk"))).alias("error"),
+                      F.transform(ordered, lambda x: x["summary"]).alias("parts"), F.sum("count").alias("count"))
+                 .withColumnRenamed("into", "chunk").mapInPandas(merge, schema))
+    res = parts.select("date", F.coalesce("error", "summary").alias("summary"), "count")
     if dates is not None:
+        # from the rows, not from the result: that would call the generator again
+        written = df.select(day("created_at").alias("date")).distinct()
         empty = (dates.select(F.col("date").cast("date").alias("date")).distinct()
-                 .join(res.select("date"), "date", "left_anti")
-                 .select("date", F.lit(0).cast("long").alias("chunk"),
-                         F.concat(F.lit("No feedback received on "), F.col("date").cast("string"), F.lit(".")).alias("summary"),
+                 .join(written, "date", "left_anti")
+                 .select("date", F.concat(F.lit("No feedback received on "), F.col("date").cast("string"), F.lit(".")).alias("summary"),
                          F.lit(0).cast("long").alias("count")))
         res = res.unionByName(empty)
     return res
 
 
 # ---- E6: ranked similarity search ------------------------------------------------------
-MAX_QUERY_BLOCK = 4096
+#: Rows of a corpus slice and queries of a block that meet in one task.
+SLICE_ROWS, QUERY_ROWS = 16_384, 1_024
+
+
+def _unit(vectors) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    n = np.linalg.norm(m, axis=1)
+    return m / np.where(n == 0, 1, n)[:, None]
 
 
 def similar_texts(corpus: DataFrame, queries: DataFrame, k: int = 10, vec_col: str = "embedding",
@@ -171,48 +226,35 @@ def similar_texts(corpus: DataFrame, queries: DataFrame, k: int = 10, vec_col: s
     """For each query vector the ``k`` most cosine-similar corpus rows:
     (query_id, rank, id, score).
 
-    The query block is small by contract and its size is checked (at most
-    MAX_QUERY_BLOCK rows) before it is broadcast; larger query sets are
-    split by the caller into blocks. Every task scores its corpus slice against the
-    block in numpy and emits only its own top ``k`` per query, so no pair
-    row is ever materialised; a final top-k per query runs over at most
-    k * #tasks candidates.
+    The corpus is dealt by id into slices and the queries into blocks; a task
+    holds one slice and one block, of bounded size whatever the tables, and
+    keeps the best ``k`` of its slice per query. The slices' winners are ranked
+    per query. Nothing passes through the driver but the two row counts.
     """
-    spark = corpus.sparkSession
-    # one bounded action: at most MAX_QUERY_BLOCK + 1 rows reach the driver
-    q = (queries.select(F.col(query_id_col).alias("qid"), F.col(query_vec_col).alias("qv"))
-         .limit(MAX_QUERY_BLOCK + 1).toPandas())
-    if len(q) > MAX_QUERY_BLOCK:
-        raise ValueError(f"query block exceeds {MAX_QUERY_BLOCK} rows; split it before calling")
-    qids = q["qid"].to_numpy()
-    qmat = np.vstack([np.asarray(v, dtype=np.float64) for v in q["qv"]]) if len(q) else np.zeros((0, 1))
-    qnorm = np.linalg.norm(qmat, axis=1)
-    qmat = qmat / np.where(qnorm == 0, 1, qnorm)[:, None]
-    bq = spark.sparkContext.broadcast((qids, qmat))
     kk = int(k)
-
-    def topk(batches):
-        ids_, m_ = bq.value
-        best = {}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
-            xn = np.linalg.norm(X, axis=1)
-            S_ = (X / np.where(xn == 0, 1, xn)[:, None]) @ m_.T  # rows x queries
-            rid = pdf["id"].to_numpy()
-            for j in range(S_.shape[1]):
-                col = S_[:, j]
-                take = np.argsort(-col, kind="stable")[:kk]
-                cand = list(zip(col[take], rid[take]))
-                best[j] = sorted(best.get(j, []) + cand, key=lambda t: (-t[0], t[1]))[:kk]
-        rows = [(int(ids_[j]), int(i), float(s)) for j, lst in best.items() for s, i in lst]
-        yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
-
-    cands = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInPandas(
-        topk, "query_id long, id long, score double")
-    ranked = row_number_within(cands, ["query_id"], [F.col("score").desc(), F.col("id").asc()], "rank")
-    return ranked.where(F.col("rank") <= kk).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    n, m = corpus.count(), queries.count()
+    slices, blocks = max(1, -(-n // SLICE_ROWS)), max(1, -(-m // QUERY_ROWS))
+    rows = (corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+            .withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    asked = (queries.select(F.col(query_id_col).alias("qid"), F.col(query_vec_col).alias("qv"))
+             .withColumn("q_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+             .withColumn("q_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
+
+    def best(own: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(q):
+            own = own.sort_values("id")  # equal scores: the smaller id first
+            ids, scores = own["id"].to_numpy(), _unit(own["v"]) @ _unit(q["qv"]).T
+            for j, qid in enumerate(q["qid"]):
+                top = np.argsort(-scores[:, j], kind="stable")[:kk]
+                out.append(pd.DataFrame({"query_id": qid, "id": ids[top], "score": scores[top, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
+
+    found = (rows.groupBy("slice", "block").cogroup(asked.groupBy("q_slice", "q_block"))
+             .applyInPandas(best, "query_id long, id long, score double"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc()))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= kk).select("query_id", "rank", "id", "score")
 
 
 def label_centroids(emb: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:

@@ -15,20 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
-from feedlens.functions.scalars import bubble_xyr, day, fixed, impact, mood5, sentiment_class, sentiment_pct
+from feedlens.functions.scalars import bubble_xyr, day, fixed, impact, label_or, mood5, sentiment_class, sentiment_pct, to_minute
 from feedlens.plans.ranking import prefix_sum_within
 from feedlens.sources.feedback import PARTITION_COLUMN
 
+# Columns of the library view, search and urgency lists, in order. Fixed values.
 LIBRARY_COLUMNS = ["id", "text", "source", "channel", "tag", "sentiment", "urgency_score", "summary", "status",
                    "user_tier", "created_at", "analyzed_at", "updated_at"]
 SEARCH_COLUMNS = ["id", "text", "tag", "sentiment", "status", "user_tier", "channel", "created_at"]
 URGENCY_COLUMNS = ["id", "tag", "urgency_score", "impact", "status", "created_at"]
 UI_COLUMNS = {"id": "id", "status": "status", "tag": "tag", "sentiment": "sentiment", "text": "text",
               "tier": "user_tier", "channel": "channel"}
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _JS_WS = "[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _JS_TRIM = re.compile(f"^{_JS_WS}+|{_JS_WS}+$")
-_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 # ---- P3-P5: filters -----------------------------------------------------------
@@ -81,38 +80,43 @@ def sort_feedback(df: DataFrame, sort_key: str = "updated_desc") -> DataFrame:
 
 
 # ---- K7: paging -----------------------------------------------------------------
-# Pages that end within this many rows are a bounded top-k; deeper pages
-# are numbered by the distributed prefix count.
-TOPK_PAGE_ROWS = 10_000
+_PAGE_KEYS = ["id", "sentiment", "created_at", "updated_at"]
 
 
-def page(df: DataFrame, sort_key: str = "updated_desc", size: int = 10, page_no: int = 1,
-         clamp: bool = True, topk_rows: int = TOPK_PAGE_ROWS) -> DataFrame:
+def _page_start(df: DataFrame, size: int, page_no: int, clamp: bool) -> int:
+    """Offset of a 1-based page; with ``clamp`` a page past the end is the last
+    page, which takes the row count (one number to the driver)."""
+    page_no = max(1, int(page_no))
+    if clamp:
+        page_no = min(page_no, max(-(-df.select("id").count() // size), 1))
+    return (page_no - 1) * size
+
+
+def page(df: DataFrame, sort_key: str = "updated_desc", size: int = 10, page_no: int = 1, clamp: bool = True) -> DataFrame:
     """1-based page of the sorted frame; a page past the end shows the last page.
 
-    With ``clamp`` the last page index needs the row count (one aggregate
-    job, one number to the driver), which fixes the page's offset. A page that ends within
-    ``topk_rows`` rows is an offset top-k (TakeOrderedAndProject: every task
-    keeps at most offset + size rows). A deeper page is numbered on a narrow
-    projection - ``id`` and the sort keys only - by the distributed prefix
-    count, so it never funnels through one task and wide columns are not
-    moved; the page's ``size`` ids then fetch their rows. Without clamping
-    it is always the offset top-k. ``id`` must be unique.
+    An offset top-k (TakeOrderedAndProject) over the id and the sort keys
+    alone: every task keeps at most offset + size narrow rows. The rows of the
+    chosen ids are fetched afterwards (``fetch``), so texts are neither sorted
+    nor counted. ``id`` must be unique. For pages far from the start use
+    ``deep_page`` or ``keyset_page``.
     """
     size = int(size)
-    page_no = max(1, int(page_no))
-    if not clamp:
-        return df.orderBy(*sort_columns(sort_key)).offset((page_no - 1) * size).limit(size)
-    n = df.count()  # one number; it picks the plan
-    last = max(-(-n // size), 1)
-    start = (min(page_no, last) - 1) * size
-    if start + size <= topk_rows:
-        return df.orderBy(*sort_columns(sort_key)).offset(start).limit(size)
-    keys = df.select("id", "sentiment", "created_at", "updated_at")
-    numbered = prefix_sum_within(keys, [], sort_columns(sort_key), None, "_pos")
-    chosen = numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size)).select(
-        F.col("id").alias("_pg_id"), "_pos")
-    return (df.join(chosen, df["id"] == chosen["_pg_id"]).orderBy("_pos").drop("_pos", "_pg_id"))
+    return df.select(*_PAGE_KEYS).orderBy(*sort_columns(sort_key)).offset(_page_start(df, size, page_no, clamp)).limit(size).select("id")
+
+
+def deep_page(df: DataFrame, sort_key: str = "updated_desc", size: int = 10, page_no: int = 1, clamp: bool = True) -> DataFrame:
+    """Like ``page``, any depth: rows are numbered by the distributed prefix
+    count on the id and the sort keys, so no task holds more than its slice."""
+    size = int(size)
+    start = _page_start(df, size, page_no, clamp)
+    numbered = prefix_sum_within(df.select(*_PAGE_KEYS), [], sort_columns(sort_key), None, "_pos")
+    return numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size)).orderBy("_pos").select("id")
+
+
+def fetch(rows: DataFrame, ids: DataFrame, sort_key: str = "updated_desc") -> DataFrame:
+    """The rows of a page's ids, in the page's order."""
+    return sort_feedback(rows.join(ids.select("id"), "id", "left_semi"), sort_key)
 
 
 def page_count(df: DataFrame, size: int = 10) -> DataFrame:
@@ -133,24 +137,28 @@ def keyset_page(df: DataFrame, size: int, after_created_at=None, after_id: int |
 # ---- P2: visible columns ------------------------------------------------------
 def project_columns(df: DataFrame, order: list[str] | None = None, visible: dict | None = None,
                     sort_key: str = "updated_desc") -> DataFrame:
-    """User-chosen visible columns in the user's order. ``when`` shows the
-    sort field: updated (falls back to created), created, or the sentiment
-    as fixed 2-decimal text for the sentiment sorts. ``actions`` is UI only."""
+    """User-chosen visible columns in the user's order, as the view shows them.
+
+    ``when`` shows the sort field: updated (falls back to created) or created,
+    cut to the minute, or the sentiment for the sentiment sorts. Sentiments
+    are two-decimal text (null: ``N/A``), a missing tier is ``unknown`` and a
+    missing channel ``-``. ``actions`` is UI only."""
     order = order or ["id", "status", "tag", "sentiment", "text", "tier", "channel", "when", "actions"]
     visible = visible or {c: True for c in order}
     field = (sort_key or "").split("_")[0]
-    fmt = "yyyy-MM-dd HH:mm:ss"
     if field == "created":
-        when = F.date_format("created_at", fmt)
+        when = to_minute("created_at")
     elif field in ("positive", "negative"):
         when = fixed("sentiment", 2)
     else:
-        when = F.date_format(F.coalesce("updated_at", "created_at"), fmt)
+        when = to_minute(F.coalesce("updated_at", "created_at"))
+    shown = {c: F.col(name) for c, name in UI_COLUMNS.items()}
+    shown |= {"when": when, "sentiment": fixed("sentiment", 2), "tier": label_or("user_tier", "unknown"), "channel": label_or("channel", "-")}
     cols = []
     for c in order:
         if not visible.get(c, False) or c == "actions":
             continue
-        cols.append(when.alias("when") if c == "when" else F.col(UI_COLUMNS[c]).alias(c))
+        cols.append(shown[c].alias(c))
     return df.select(*cols)
 
 
@@ -206,11 +214,6 @@ def feedback_by_date(df: DataFrame, date: str) -> DataFrame:
 
 
 # ---- P9/K3: substring search --------------------------------------------------------
-def ascii_lower(c) -> Column:
-    """Fold A-Z only (the reference's LIKE is case-insensitive for ASCII only)."""
-    return F.translate(c if isinstance(c, Column) else F.col(c), _UPPER, _LOWER)
-
-
 def like_pattern(q: str, literal: bool = False) -> str:
     """``%q%`` for Spark LIKE: backslashes doubled so they match themselves
     (the reference has no escape character); ``%``/``_`` stay wildcards unless
@@ -261,31 +264,50 @@ def search_text(df: DataFrame, q: str, limit: int = S.SEARCH_LIMIT, fold: str =
 
 
 # ---- J2, J3: lookups -------------------------------------------------------------
-_WILD = "\u0000*"
+_DRILL_KEYS = ("status", "tag", "user_tier")
+
+
+def drill_down(df: DataFrame, point_id: int) -> DataFrame:
+    """Ids of the rows that share the status, tag and tier of one point; a
+    missing value of the point means "no filter on that column". Three equality
+    conditions against the point's row (a scalar lookup), no join."""
+    point = df.where(F.col("id") == int(point_id))
+    conds = F.lit(True)
+    for c in _DRILL_KEYS:
+        v = point.select(F.max(F.nullif(F.col(c), F.lit("")))).scalar()
+        conds = conds & (v.isNull() | (F.col(c) == v))
+    return df.where(conds).select("id")
 
 
 def similar_items(df: DataFrame, points: DataFrame) -> DataFrame:
-    """For each selected point id, the rows sharing its (status, tag, tier);
-    a missing value on the point means "no filter on that column".
-
-    Wildcards become an equi-join: every row is offered under the 8 masks of
-    its three keys (masked part = sentinel) and the points, keys normalised
-    the same way, are hash-joined on the triple. The point side is bounded by
-    the caller's selection (e.g. a top-k) and Spark broadcasts it only if its
-    measured size is under the broadcast threshold.
+    """J2 for several points at once: (point_id, id) of the rows sharing each
+    point's (status, tag, tier), a missing value being no filter.
+
+    Points are split by which of the three columns they filter on (at most 8
+    kinds); each kind is one equi-join on just those columns, so rows are
+    offered once per kind that occurs and never under a wildcard key. A point
+    without any filter lists all rows.
     """
-    keys = (points.select(F.col("id").alias("point_id")).join(df.select("id", "status", "tag", "user_tier"),
-                                                               F.col("point_id") == F.col("id"))
-            .select("point_id",
-                    *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(_WILD)).alias(f"k_{c}")
-                      for c in ("status", "tag", "user_tier")]))
-    masks = F.array(*[
-        F.struct(*[(F.lit(_WILD) if (m >> i) & 1 else F.col(c)).alias(f"k_{c}")
-                   for i, c in enumerate(("status", "tag", "user_tier"))])
-        for m in range(8)])
-    offered = df.select("id", F.explode(masks).alias("_m")).select("id", "_m.*")
-    return (offered.join(keys, ["k_status", "k_tag", "k_user_tier"])
-            .select("point_id", "id"))
+    keys = (points.select(F.col("id").alias("point_id")).join(df.select("id", *_DRILL_KEYS), F.col("point_id") == F.col("id"))
+            .select("point_id", *[F.nullif(F.col(c), F.lit("")).alias(f"k_{c}") for c in _DRILL_KEYS]))
+    kind = F.concat(*[F.col(f"k_{c}").isNotNull().cast("int").cast("string") for c in _DRILL_KEYS])
+    keys = keys.withColumn("kind", kind)
+    rows, parts = df.select("id", *_DRILL_KEYS), []
+    for k in sorted(r[0] for r in keys.select("kind").distinct().collect()):
+        used = [c for c, on in zip(_DRILL_KEYS, k) if on == "1"]
+        own = keys.where(F.col("kind") == k)
+        if used:
+            cond = F.lit(True)
+            for c in used:
+                cond = cond & (F.col(c) == F.col(f"k_{c}"))
+            parts.append(rows.join(own, cond).select("point_id", "id"))
+        else:  # every row, once per such point
+            ids = own.select(F.collect_list("point_id")).scalar()
+            parts.append(rows.select(F.explode(ids).alias("point_id"), "id"))
+    out = parts[0] if parts else rows.select(F.col("id").alias("point_id"), "id").where(F.lit(False))
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def lookup(df: DataFrame, ids: DataFrame, columns: list[str] | None = None) -> DataFrame:

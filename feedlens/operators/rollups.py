@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from feedlens import schema as S
 from feedlens.functions.scalars import (capitalize_first, day, hours_between, label_or, mood3, mood5, sentiment_bucket,
                                         stakeholder_group)
+from feedlens.plans.ranking import row_number_within
 
 # Dimension name -> column; anything else falls back to the tier column.
 DIMENSIONS = {"tier": "user_tier", "status": "status", "tag": "tag", "channel": "channel"}
@@ -49,36 +50,44 @@ def status_timeline(df: DataFrame) -> DataFrame:
 
 
 def status_timeline_dense(df: DataFrame) -> DataFrame:
-    """A3 on the full grid of observed dates x observed statuses;
-    missing cells are 0. No calendar fill: only dates that occur.
+    """A3 on the full grid of observed dates x observed statuses (a
+    null status is one); missing cells are 0. No calendar fill: only dates that
+    occur.
 
-    The status axis is a small scalar subquery (distinct statuses as one
-    array); each observed date explodes it and the sparse counts are joined
-    on the (date, status) key. No cross join.
+    The statuses are numbered, each observed date is exploded over the numbers,
+    and equi-joins turn the numbers into statuses and fetch the sparse counts.
     """
     counts = df.groupBy(day("updated_at").alias("date"), F.col("status")).agg(F.count(F.lit(1)).alias("count"))
-    statuses = counts.select(F.array_sort(F.collect_set("status"))).scalar()
+    statuses = row_number_within(counts.select("status").distinct(), [], [F.col("status").asc_nulls_first()], "_n").select(
+        F.col("status").alias("g_status"), F.col("_n").cast("long").alias("_n"))
+    k = statuses.select(F.max("_n")).scalar()
     grid = (counts.select(F.col("date").alias("g_date")).distinct()
-            .select("g_date", F.explode(statuses).alias("g_status")))
+            .select("g_date", F.explode(F.sequence(F.lit(1).cast("long"), k)).alias("_i"))
+            .join(statuses, F.col("_i") == F.col("_n")).select("g_date", "g_status"))
     cells = counts.select(F.col("date").alias("c_date"), F.col("status").alias("c_status"), F.col("count").alias("c_count"))
-    return (grid.join(cells, grid["g_date"].eqNullSafe(cells["c_date"]) & (grid["g_status"] == cells["c_status"]), "left")
+    return (grid.join(cells, grid["g_date"].eqNullSafe(cells["c_date"]) & grid["g_status"].eqNullSafe(cells["c_status"]), "left")
             .select(F.col("g_date").alias("date"), F.col("g_status").alias("status"),
                     F.coalesce(F.col("c_count"), F.lit(0)).cast("long").alias("count"))
             .orderBy("date", "status"))
 
 
 def status_timeline_wide(df: DataFrame, statuses: list[str] | None = None) -> DataFrame:
-    """A4 wide form: one row per observed date, one column per status (0 if none)."""
-    statuses = statuses or S.STATUSES
-    return (df.groupBy(day("updated_at").alias("date")).pivot("status", statuses)
-            .agg(F.count(F.lit(1))).fillna(0, subset=statuses).orderBy("date"))
+    """A4 wide form: one row per observed date, one column per status (0 if none).
+
+    The columns are the observed statuses, a null status as ``null``, unless
+    ``statuses`` names the ones wanted. More statuses than
+    ``spark.sql.pivotMaxValues`` raise an error; take the dense form then."""
+    dated = df.select(day("updated_at").alias("date"), F.coalesce("status", F.lit("null")).alias("status"))
+    pivoted = dated.groupBy("date").pivot("status", statuses).agg(F.count(F.lit(1)))
+    return pivoted.fillna(0, subset=pivoted.columns[1:]).orderBy("date")
 
 
 def sentiment_by_tier(df: DataFrame) -> DataFrame:
     """A5: every non-null sentiment with its tier, sorted; a null tier is kept
-    as its own group (the reference shows it under the key "null")."""
+    as its own group (the reference shows it under the key "null"). The id ends
+    the sort key, so a range of equal sentiments can be cut between tasks."""
     return (df.where(F.col("sentiment").isNotNull())
-            .select("user_tier", "sentiment").orderBy("user_tier", "sentiment"))
+            .orderBy("user_tier", "sentiment", "id").select("user_tier", "sentiment"))
 
 
 def sentiment_by_dimension(df: DataFrame, dim: str = "tier") -> DataFrame:
@@ -86,8 +95,8 @@ def sentiment_by_dimension(df: DataFrame, dim: str = "tier") -> DataFrame:
     unknown name -> tier); null keys dropped, empty key -> "unknown"."""
     c = dimension_column(dim)
     return (df.where(F.col(c).isNotNull() & F.col("sentiment").isNotNull())
-            .select(label_or(c, "unknown").alias("dimension"), "sentiment")
-            .orderBy("dimension", "sentiment"))
+            .select(label_or(c, "unknown").alias("dimension"), "sentiment", "id")
+            .orderBy("dimension", "sentiment", "id").drop("id"))
 
 
 def sentiment_values_compact(df: DataFrame, dim: str = "tier") -> DataFrame:

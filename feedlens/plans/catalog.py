@@ -9,13 +9,16 @@ driver's tables (``sources.feedback.feedback_from_tables``) or over request
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlens import schema as S
 from feedlens.functions.analysis import keyword_scores, normalize_analysis
 from feedlens.operators import changes, digests, distribution, enrich, library, rollups, timeline
+from feedlens.session import checkpoint_dir
 from feedlens.streaming import jobs
 from feedlens.sources import feedback as src
 from feedlens.sources import ingest as ing
@@ -29,6 +32,9 @@ SEARCH_Q = "c:\\temp"
 SEARCH_WILDCARD_Q = "50%"
 PAGE = dict(status="done", sort_key="positive_desc", size=10, page_no=3)
 PAGE_PAST_END = 1_000_000
+DEEP_PAGE = 7
+SINGLE_ID = 42
+INGEST_START = "2024-03-01 00:00:00"
 KEYSET_AFTER = ("2024-01-15 12:00:00", 0)
 SUMMARY_NOW = datetime.datetime(2024, 2, 1, 0, 0, 0)
 
@@ -37,9 +43,23 @@ def _fb(spark, d, text=False, raw=False):
     return src.feedback_from_tables(spark, d, with_text=text, with_raw_response=raw)
 
 
-def _library_page(spark, d, page_no):
-    fb = library.filter_feedback(_fb(spark, d, text=True), status=PAGE["status"]).select(*library.LIBRARY_COLUMNS)
-    return library.page(fb, PAGE["sort_key"], PAGE["size"], page_no)
+def _library_page(spark, d, page_no, sort_key=PAGE["sort_key"], pager=library.page, **filters):
+    """Ids of the page from narrow columns; then the rows, and so the texts, of those ids only."""
+    ids = pager(library.filter_feedback(_fb(spark, d), **(filters or {"status": PAGE["status"]})), sort_key, PAGE["size"], page_no)
+    rows = src.feedback_from_tables(spark, d, only=ids).select(*library.LIBRARY_COLUMNS)
+    return library.sort_feedback(rows, sort_key)
+
+
+def _late_text(spark, d, top):
+    """The rows of the ids that ``top`` picks from narrow columns, with their texts."""
+    return src.feedback_from_tables(spark, d, only=top(_fb(spark, d)).select("id"))
+
+
+def _stored_table(spark, d):
+    """The feedback view written as the stored table and scanned back."""
+    path = f"{checkpoint_dir(spark)}/feedback-{uuid.uuid4().hex}"
+    sinks.append_feedback(_fb(spark, d, text=True), path)
+    return src.read_feedback(spark, path).select(*S.FEEDBACK_COLUMNS)
 
 
 def _keyword_classify(spark, d):
@@ -60,6 +80,19 @@ def _changes(spark, d):
     return ing.parse_changes(src.change_requests_from_tables(spark, d), keep=("request_id",))
 
 
+def _ingest_to_snapshot(spark, d):
+    """Requests to current rows: validate, number, classify, log, change, fold."""
+    rows = sinks.assign_ids(ing.accepted(ing.ingest(src.ingest_requests_from_tables(spark, d))), 1, ["conv_id", "turn"])
+    start = F.lit(INGEST_START).cast("timestamp_ntz")
+    created = F.timestamp_add("MINUTE", F.col("id"), start)
+    log = changes.ingest_log(rows, enrich.analyze(rows, enrich.keyword_response_scorer), created,
+                             F.timestamp_add("SECOND", F.lit(30), created))
+    asked = ing.parse_changes(src.conversation_changes_from_tables(spark, d), keep=("request_id",))
+    later = changes.change_events(asked, F.lit(1 << 40) + F.col("request_id"),
+                                  F.timestamp_add("DAY", F.lit(30), F.timestamp_add("SECOND", F.col("request_id"), start)))
+    return changes.snapshot(log.unionByName(later))
+
+
 def _similar_items(spark, d):
     fb = _fb(spark, d)
     return library.similar_items(fb, library.urgency_impact(fb))
@@ -102,18 +135,30 @@ _QUERIES: dict[str, Query] = {
     "feedback_dates": lambda s, d: rollups.feedback_dates(_fb(s, d)),
     "feedback_by_date": lambda s, d: library.feedback_by_date(_fb(s, d, text=True), BY_DATE),
     "date_span": lambda s, d: rollups.date_span(_fb(s, d)),
-    "latest_feedback": lambda s, d: library.latest_feedback(_fb(s, d, text=True)),
-    "latest_analyzed": lambda s, d: library.latest_analyzed(_fb(s, d, text=True)),
+    "latest_feedback": lambda s, d: library.latest_feedback(_late_text(
+        s, d, lambda fb: fb.orderBy(F.col("updated_at").desc_nulls_last(), F.col("id").desc()).limit(S.LIBRARY_LIMIT))),
+    "latest_analyzed": lambda s, d: library.latest_analyzed(_late_text(
+        s, d, lambda fb: fb.where("analyzed_at IS NOT NULL").orderBy(F.col("analyzed_at").desc(), F.col("id").desc()).limit(
+            S.LATEST_ANALYZED_LIMIT))),
     "search_text": lambda s, d: library.search_text(_fb(s, d, text=True), SEARCH_Q),
     "search_text_wildcard": lambda s, d: library.search_text(_fb(s, d, text=True), SEARCH_WILDCARD_Q),
     "search_lookup": _search_lookup,
     "urgency_impact": lambda s, d: library.urgency_impact(_fb(s, d)),
     "filter_sort_page": lambda s, d: _library_page(s, d, PAGE["page_no"]),
     "filter_sort_page_past_end": lambda s, d: _library_page(s, d, PAGE_PAST_END),
+    "filter_sort_page_deep": lambda s, d: _library_page(s, d, DEEP_PAGE, "created_asc", library.deep_page, tier="pro"),
+    **{f"sort_{k}": (lambda s, d, k=k: _library_page(s, d, 2, k, channel="github"))
+       for k in ("updated_desc", "updated_asc", "created_desc", "created_asc", "negative_desc")},
+    "filter_tier_channel_tag": lambda s, d: library.filter_feedback(_fb(s, d), tier="free", channel="web", tag="Bug Report").select("id"),
+    "filter_sentiment_class": lambda s, d: library.filter_feedback(_fb(s, d), sentiment_class_="negative").select("id", "sentiment"),
+    "filter_id": lambda s, d: library.filter_feedback(_fb(s, d), id=SINGLE_ID).select("id", "status", "tag"),
+    "drill_down": lambda s, d: library.drill_down(_fb(s, d), SINGLE_ID),
+    "stored_table": _stored_table,
+    "stale_digest_state": lambda s, d: digests.digest_state(_fb(s, d, text=True)).select("date", "count", "max_updated_at"),
     "page_count": lambda s, d: library.page_count(library.filter_feedback(_fb(s, d), status=PAGE["status"]), PAGE["size"]),
     "visible_columns": lambda s, d: library.project_columns(
-        _fb(s, d), ["when", "id", "tier", "status", "sentiment"], {"when": True, "id": True, "tier": True,
-                                                                   "status": True, "sentiment": False}, "created_asc"),
+        _fb(s, d), ["when", "id", "tier", "channel", "status", "sentiment", "tag"],
+        {"when": True, "id": True, "tier": True, "channel": True, "status": True, "sentiment": True, "tag": False}, "created_asc"),
     "timeline_intervals": lambda s, d: timeline.timeline_intervals(_fb(s, d), "status"),
     "peak_concurrency": lambda s, d: timeline.peak_concurrency(_fb(s, d), "status"),
     "peak_concurrency_tier": lambda s, d: timeline.peak_concurrency(_fb(s, d), "tier"),
@@ -126,6 +171,7 @@ _QUERIES: dict[str, Query] = {
     "snapshot_fold": lambda s, d: changes.snapshot(src.change_log_from_tables(s, d)),
     "ingest_feedback": _ingest,
     "parse_changes": _changes,
+    "ingest_to_snapshot": _ingest_to_snapshot,
     "similar_items": _similar_items,
     "stakeholder_rollup": lambda s, d: rollups.stakeholder_rollup(_fb(s, d)),
     "mood_bands": lambda s, d: rollups.mood_bands(_fb(s, d)),
@@ -133,12 +179,12 @@ _QUERIES: dict[str, Query] = {
     "summary_bundle": lambda s, d: rollups.summary_counts(_fb(s, d)),
     "narrative_input": lambda s, d: enrich.narrative_input(_fb(s, d, text=True)),
     "similar_texts": _similar_texts,
-    "daily_digest": lambda s, d: enrich.daily_digest(_fb(s, d, text=True), enrich.line_count_generator),
+    "daily_digest": lambda s, d: enrich.daily_digest(_fb(s, d, text=True), enrich.LineCounter()),
     "status_timeline_wide": lambda s, d: rollups.status_timeline_wide(_fb(s, d)),
     "sentiment_histogram_tier": lambda s, d: rollups.sentiment_values_compact(_fb(s, d), "tier"),
     "keyset_page": lambda s, d: library.keyset_page(_fb(s, d, text=True).select(*library.LIBRARY_COLUMNS), 20,
                                                     KEYSET_AFTER[0], KEYSET_AFTER[1]),
-    "event_day_counts": lambda s, d: jobs.event_day_counts(src.change_log_from_tables(s, d), "1 day"),
+    "event_day_counts": lambda s, d: jobs.event_day_counts(src.change_log_from_tables(s, d, with_text=False), "1 day"),
     "summary_payload": _summary_payload,
     "urgency_bubbles": lambda s, d: library.urgency_bubbles(_fb(s, d)),
     "sentiment_slider": lambda s, d: library.sentiment_slider(_fb(s, d)),

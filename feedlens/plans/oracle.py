@@ -6,7 +6,6 @@ feedback view is inlined as a CTE; column names equal the Spark results.
 
 from __future__ import annotations
 
-from feedlens import schema as S
 from feedlens.plans import catalog as C
 
 _WS = r"[\t\n\x{000B}\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -56,10 +55,14 @@ def W(*ctes: str) -> str:
     return "WITH " + ",\n".join((FEEDBACK_CTE,) + ctes) + "\n"
 
 
+# Tag cascade. Fixed values, written out so that a wrong list elsewhere shows.
+_TAG_WORDS = [("Urgent", ["urgent"]), ("Feature Request", ["feature"]), ("Bug Report", ["bug"]), ("Praise", ["praise", "love"]),
+              ("Security", ["security", "auth", "vulnerability"]), ("Performance", ["performance", "slow", "timeout"])]
+
+
 def _kw_tag(text: str) -> str:
-    from feedlens import schema as S
     arms = []
-    for tag, words in S.TAG_KEYWORDS:
+    for tag, words in _TAG_WORDS:
         cond = " OR ".join(f"contains(lower({text}), '{w}')" for w in words)
         arms.append(f"WHEN {cond} THEN '{tag}'")
     return "CASE " + " ".join(arms) + " ELSE 'Other' END"
@@ -214,6 +217,21 @@ SELECT request_id, op, id,
 FROM p"""
 
 
+def _ingest_to_snapshot() -> str:
+    """Accepted requests numbered in order, tagged by keyword, then changed by the request of their number, if any."""
+    t0 = "TIMESTAMP '2024-03-01 00:00:00'"
+    return _ingest().replace("\nSELECT conv_id, turn, CASE WHEN", ", q AS (SELECT conv_id, turn, CASE WHEN", 1).replace("\nFROM raw", "\nFROM raw)", 1) + f""",
+a AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS id FROM q WHERE reject_reason IS NULL),
+c AS (SELECT conv_id + 1 AS n, conv_id % 6 AS k, conv_id FROM conversations WHERE turn = 0)
+SELECT id, CASE c.k WHEN 0 THEN concat('edited ', CAST(c.n AS VARCHAR)) WHEN 2 THEN 'both' ELSE a.text END AS text, source, channel,
+  severity_hint, user_tier, CASE c.k WHEN 2 THEN 'Praise' WHEN 5 THEN 'Security' ELSE {_kw_tag('a.text')} END AS tag,
+  CASE WHEN c.k = 1 THEN (c.conv_id % 21 - 10) / 8.0::DOUBLE ELSE 0.0::DOUBLE END AS sentiment, 0.2::DOUBLE AS urgency_score, '' AS summary,
+  CASE WHEN c.k = 4 THEN 'done' ELSE 'To Do' END AS status, {t0} + to_minutes(id) AS created_at,
+  {t0} + to_minutes(id) + INTERVAL 30 SECOND AS analyzed_at,
+  CASE WHEN c.n IS NOT NULL THEN {t0} + INTERVAL 30 DAY + to_seconds(c.n) ELSE {t0} + to_minutes(id) END AS updated_at
+FROM a LEFT JOIN c ON c.n = a.id WHERE c.k IS NULL OR c.k <> 3"""
+
+
 def _event_log_cte() -> str:
     nulls = {"text": "VARCHAR", "source": "VARCHAR", "channel": "VARCHAR", "severity_hint": "VARCHAR",
              "user_tier": "VARCHAR", "status": "VARCHAR", "tag": "VARCHAR", "sentiment": "DOUBLE",
@@ -258,7 +276,7 @@ HAVING max(CASE WHEN op = 'insert' THEN 1 END) = 1 AND max(CASE WHEN op = 'delet
 _DIGEST_LINES = ("n AS (SELECT CAST(created_at AS DATE) AS date, tag, text, row_number() OVER ("
                  "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC) AS line_no, "
                  f"coalesce(sum(length(coalesce(text, '')) + length(coalesce(nullif(tag, ''), 'Unknown')) "
-                 f"+ {S.DIGEST_LINE_OVERHEAD}) OVER ("
+                 "+ 25) OVER ("
                  "PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC NULLS LAST, id DESC "
                  "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars_before FROM feedback), "
                  "l AS (SELECT date, line_no, concat(CAST(line_no AS VARCHAR), '. [', coalesce(nullif(tag, ''), 'Unknown'), "
@@ -299,9 +317,9 @@ ORACLE: dict[str, str] = {
     "status_timeline": W() + "SELECT CAST(CAST(updated_at AS DATE) AS VARCHAR) AS date, status, count(*) AS count FROM feedback GROUP BY 1, 2",
     "status_timeline_dense": W("c AS (SELECT CAST(updated_at AS DATE) AS date, status, count(*) AS n FROM feedback GROUP BY 1, 2)",
                                "d AS (SELECT DISTINCT date FROM c)",
-                               "s AS (SELECT DISTINCT status FROM c WHERE status IS NOT NULL)") +
+                               "s AS (SELECT DISTINCT status FROM c)") +
     "SELECT CAST(d.date AS VARCHAR) AS date, s.status, CAST(coalesce(c.n, 0) AS BIGINT) AS count FROM d CROSS JOIN s "
-    "LEFT JOIN c ON c.date IS NOT DISTINCT FROM d.date AND c.status = s.status",
+    "LEFT JOIN c ON c.date IS NOT DISTINCT FROM d.date AND c.status IS NOT DISTINCT FROM s.status",
     "sentiment_by_tier": W() + "SELECT user_tier, sentiment FROM feedback WHERE sentiment IS NOT NULL",
     **{f"sentiment_by_dimension_{d}": W() + f"SELECT {_dim(d)} AS dimension, sentiment FROM feedback "
        f"WHERE {d} IS NOT NULL AND sentiment IS NOT NULL" for d in ("status", "tag", "channel")},
@@ -333,7 +351,25 @@ FROM (SELECT coalesce(created_at, updated_at) AS t FROM feedback)""",
                                    "n AS (SELECT greatest(CAST(ceil(count(*) / 10.0) AS BIGINT), 1) AS last FROM f)") +
     f"SELECT {LIB} FROM f, n WHERE pos >= (least({C.PAGE_PAST_END}, last) - 1) * 10 AND pos < (least({C.PAGE_PAST_END}, last) - 1) * 10 + 10",
     "page_count": W() + "SELECT CAST(greatest(ceil(count(*) / 10.0), 1) AS BIGINT) AS pages FROM feedback WHERE status = 'done'",
-    "visible_columns": W() + "SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS \"when\", id, user_tier AS tier, status FROM feedback",
+    "visible_columns": W() + """SELECT substr(strftime(created_at, '%Y-%m-%d %H:%M:%S'), 1, 16) AS "when", id,
+  coalesce(nullif(user_tier, ''), 'unknown') AS tier, coalesce(nullif(channel, ''), '-') AS channel, status,
+  CASE WHEN sentiment IS NULL THEN 'N/A' ELSE concat(CASE WHEN sentiment < 0 THEN '-' ELSE '' END, CAST(CAST(round(abs(sentiment) * 100) AS BIGINT) // 100 AS VARCHAR), '.',
+       lpad(CAST(CAST(round(abs(sentiment) * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0')) END AS sentiment FROM feedback""",
+    "filter_sort_page_deep": W() + f"SELECT {LIB} FROM feedback WHERE user_tier = 'pro' ORDER BY created_at ASC NULLS FIRST, id ASC LIMIT 10 OFFSET 60",
+    **{f"sort_{k}": W() + f"SELECT {LIB} FROM feedback WHERE channel = 'github' ORDER BY {o} LIMIT 10 OFFSET 10" for k, o in (
+        ("updated_desc", "coalesce(updated_at, created_at) DESC NULLS LAST, id DESC"), ("updated_asc", "coalesce(updated_at, created_at) ASC NULLS FIRST, id ASC"),
+        ("created_desc", "created_at DESC NULLS LAST, id DESC"), ("created_asc", "created_at ASC NULLS FIRST, id ASC"),
+        ("negative_desc", "coalesce(sentiment, 0) ASC, id DESC"))},
+    "filter_tier_channel_tag": W() + "SELECT id FROM feedback WHERE user_tier = 'free' AND channel = 'web' AND tag = 'Bug Report'",
+    "filter_sentiment_class": W() + "SELECT id, sentiment FROM feedback WHERE coalesce(sentiment, 0) < -0.3",
+    "filter_id": W() + "SELECT id, status, tag FROM feedback WHERE id = 42",
+    "drill_down": W() + """SELECT f.id FROM feedback f, (SELECT status, tag, user_tier FROM feedback WHERE id = 42) p
+WHERE (coalesce(p.status, '') = '' OR f.status = p.status) AND (coalesce(p.tag, '') = '' OR f.tag = p.tag)
+  AND (coalesce(p.user_tier, '') = '' OR f.user_tier = p.user_tier)""",
+    "stored_table": W() + """SELECT id, text, source, channel, severity_hint, user_tier, tag, sentiment, urgency_score, summary, status,
+  created_at, analyzed_at, updated_at FROM feedback""",
+    "stale_digest_state": W() + """SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS date, count(*) AS count, max(updated_at) AS max_updated_at
+FROM feedback GROUP BY 1""",
     "timeline_intervals": W(_intervals_cte("status")) + "SELECT id, group_key, start_day, end_day, end_day - start_day + 1 AS duration FROM iv",
     "peak_concurrency": _peak("status"),
     "peak_concurrency_tier": _peak("tier"),
@@ -348,6 +384,7 @@ FROM (SELECT mi, unnest(generate_series(0, CAST(ceil((epoch_us(ma) - epoch_us(mi
     "snapshot_fold": _snapshot(),
     "ingest_feedback": _ingest(),
     "parse_changes": _changes(),
+    "ingest_to_snapshot": _ingest_to_snapshot(),
     "similar_items": W("u AS (SELECT id FROM feedback WHERE urgency_score IS NOT NULL ORDER BY urgency_score DESC, id DESC LIMIT 50)",
                        "k AS (SELECT u.id AS point_id, f.status, f.tag, f.user_tier FROM u JOIN feedback f ON f.id = u.id)") +
     """SELECT k.point_id, f.id FROM k JOIN feedback f ON (coalesce(k.status, '') = '' OR f.status = k.status)
@@ -369,12 +406,10 @@ FROM feedback GROUP BY 1, 2""",
 UNION ALL SELECT 'sentiment' AS section, {_BUCKET} AS key, count(*) AS count FROM feedback WHERE sentiment IS NOT NULL GROUP BY 2""",
     "narrative_input": W() + """SELECT to_json(list({'text': text, 'tag': tag, 'sentiment': sentiment} ORDER BY analyzed_at DESC, id DESC)) AS input
 FROM (SELECT id, text, tag, sentiment, analyzed_at FROM feedback WHERE analyzed_at IS NOT NULL ORDER BY analyzed_at DESC, id DESC LIMIT 25)""",
-    "daily_digest": W(_DIGEST_LINES,
-                      f"p AS (SELECT date, CAST(floor(chars_before / {S.DIGEST_PROMPT_CHARS}) AS BIGINT) AS chunk, "
-                      "string_agg(line, chr(10) ORDER BY line_no) AS prompt, count(*) AS count FROM l GROUP BY 1, 2)") +
-    "SELECT CAST(date AS VARCHAR) AS date, chunk, concat(CAST(date AS VARCHAR), ': ', "
-    "CAST(len(string_split(prompt, chr(10))) AS VARCHAR), ' items, ', CAST(length(prompt) AS VARCHAR), ' characters') AS summary, "
-    "count FROM p",
+    "daily_digest": W(_DIGEST_LINES) +
+    "SELECT CAST(date AS VARCHAR) AS date, concat(CAST(date AS VARCHAR), ': ', "
+    "CAST(sum(len(string_split(line, chr(10)))) AS VARCHAR), ' items, ', CAST(sum(length(line)) + count(*) - 1 AS VARCHAR), ' characters') AS summary, "
+    "count(*) AS count FROM l GROUP BY date",
     "status_timeline_wide": W() + """SELECT CAST(CAST(updated_at AS DATE) AS VARCHAR) AS date,
   count(*) FILTER (WHERE status = 'To Do') AS "To Do", count(*) FILTER (WHERE status = 'in progress') AS "in progress",
   count(*) FILTER (WHERE status = 'to be reviewed') AS "to be reviewed", count(*) FILTER (WHERE status = 'done') AS "done"

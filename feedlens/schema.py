@@ -52,8 +52,6 @@ ANALYSIS_COLUMNS = ["tag", "sentiment", "urgency_score", "summary"]
 TAGS = ["Bug Report", "Feature Request", "Urgent", "Praise", "Security", "Performance", "Other"]
 # Workflow statuses offered by the library view.
 STATUSES = ["To Do", "in progress", "to be reviewed", "done"]
-# Channels offered by the UI ("source" filter reads channel).
-CHANNELS = ["web", "discord", "github", "twitter", "email", "support"]
 # Stakeholder groups of user tiers ("developer" is the spelling used in the seed rows).
 EXTERNAL_TIERS = ["free", "pro", "business", "enterprise"]
 INTERNAL_TIERS = ["dev", "developer", "tester", "team lead", "manager"]
@@ -80,7 +78,6 @@ LATEST_ANALYZED_LIMIT = 25
 SEARCH_LIMIT = 20
 URGENCY_LIMIT = 50
 DATES_LIMIT = 30
-PAGE_SIZES = [5, 10, 20, 50]
 # Digest freshness windows in seconds (summary bundle, daily digest).
 SUMMARY_MAX_AGE_S = 300
 DIGEST_MAX_AGE_S = 86400

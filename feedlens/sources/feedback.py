@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlens import schema as S
 
@@ -19,7 +20,8 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     The schema is declared, never inferred; column pruning and filter pushdown
     reach the Parquet reader, and predicates on ``created_date`` prune folders.
     """
-    return spark.read.option("basePath", path).parquet(path)
+    table = T.StructType([*S.FEEDBACK.fields, T.StructField(PARTITION_COLUMN, T.DateType(), True)])
+    return spark.read.schema(table).option("basePath", path).parquet(path)
 
 
 def seed_feedback(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -69,40 +71,21 @@ def _cycle(key, values):
     return F.element_at(arr, (key + 1).cast("int"))
 
 
-def scan(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Parquet scan that guarantees enough input tasks.
-
-    Small tables written as one row group arrive as a single split, so all
-    the work downstream would run in one task. When a scan yields fewer
-    splits than the cluster's default parallelism it is hash-spread on
-    ``key`` (a deterministic placement, safe under task retries). Large
-    inputs already have many splits and are left untouched - no shuffle.
-    """
-    df = spark.read.parquet(path)
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        df = df.repartition(par, key) if key else df.repartition(par)
-    return df
-
-
 def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = True,
                          with_raw_response: bool = False, keep: tuple[str, ...] = (),
-                         spread: bool | None = None) -> DataFrame:
+                         only: DataFrame | None = None) -> DataFrame:
     """Feedback rows derived from ``events`` (+ ``documents`` for the text).
 
-    ``keep`` adds raw events columns as ``ev_<name>``; ``spread`` overrides
-    whether a single-split input is spread over the cluster first.
+    ``keep`` adds raw events columns as ``ev_<name>``; ``only`` (a frame with
+    ``id``) keeps those rows before any text is joined.
 
     ``with_text=False`` skips the documents join altogether: the join is on a
     unique key (one document per event) so it never changes the row set, and
     operators that do not read ``text`` should not pay for it.
     """
-    # only views with per-row string work (text, model responses) are heavy
-    # enough to be worth spreading a single-split input; narrow rollups run
-    # fine in the scan's own tasks
-    path = f"{sf_dir}/events.parquet"
-    heavy = with_text or with_raw_response if spread is None else spread
-    ev = scan(spark, path, "event_id") if heavy else spark.read.parquet(path)
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if only is not None:
+        ev = ev.join(only.select(F.col("id").alias("_only")), F.col("event_id") == F.col("_only"), "left_semi")
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     pending = (eid % 17) == 0
     cols = {
@@ -166,7 +149,22 @@ def change_requests_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(eid.alias("request_id"), op.alias("op"), id_text.alias("id_text"), body.alias("body"))
 
 
-def change_log_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_changes_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw change requests on ingested conversations: request n, from the first
+    turn of conversation n - 1, changes feedback n in one of the reference's six ways."""
+    n = F.col("conv_id") + 1
+    first = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
+    kind = F.col("conv_id") % 6
+    body = (F.when(kind == 0, F.to_json(F.struct(F.concat(F.lit(" edited "), n.cast("string"), F.lit("\t")).alias("text"))))
+            .when(kind == 1, F.to_json(F.struct(((F.col("conv_id") % 21 - 10) / 8).alias("sentiment"))))
+            .when(kind == 2, F.to_json(F.struct(F.lit("both").alias("text"), F.lit("Praise").alias("tag"))))
+            .when(kind == 4, F.lit('{"status":"To Do","status":"done"}'))  # the last of repeated keys counts
+            .when(kind == 5, F.to_json(F.struct(F.lit("Security").alias("tag")))))
+    return first.select(n.alias("request_id"), F.when(kind == 3, F.lit("delete")).otherwise(F.lit("patch")).alias("op"),
+                        n.cast("string").alias("id_text"), body.alias("body"))
+
+
+def change_log_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """An event log (``schema.EVENTS``) derived from the tables: every
     feedback row is inserted, analysed if it has ``analyzed_at``, moved to
     its status if not "To Do"; error events delete their row; click events
@@ -176,7 +174,8 @@ def change_log_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Two scans: inserts (with text) from the feedback view; every other
     kind from one narrow scan where each events row emits the array of its
-    log events (a null element where a kind does not apply), exploded."""
+    log events (a null element where a kind does not apply), exploded.
+    ``with_text=False`` leaves the inserts' texts null and joins no documents."""
     idc = F.col("id")
 
     def ev(cond, **vals):
@@ -186,12 +185,12 @@ def change_log_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
             fields.append((v if v is not None else F.lit(None)).cast(f.dataType).alias(f.name))
         return F.when(cond, F.struct(*fields))
 
-    fb = feedback_from_tables(spark, sf_dir, with_text=True)
+    fb = feedback_from_tables(spark, sf_dir, with_text=with_text)
     ins = fb.select(ev(F.lit(True), seq=idc * 8, event_ts=F.col("created_at"), op=F.lit("insert"), id=idc,
                        status=F.lit(S.DEFAULT_STATUS),
-                       **{c: F.col(c) for c in ("text", "source", "channel", "severity_hint", "user_tier")}
+                       **{c: F.col(c) for c in ("text", "source", "channel", "severity_hint", "user_tier") if c in fb.columns}
                        ).alias("e")).select("e.*")
-    narrow = feedback_from_tables(spark, sf_dir, with_text=False, keep=("event_type", "ts"), spread=True)
+    narrow = feedback_from_tables(spark, sf_dir, with_text=False, keep=("event_type", "ts"))
     et, ts = F.col("ev_event_type"), F.col("ev_ts")
     kinds = [
         ev(F.col("analyzed_at").isNotNull(), seq=idc * 8 + 1, event_ts=F.col("analyzed_at"), op=F.lit("analysis"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
-from feedlens.functions.analysis import field
+from feedlens.functions.analysis import allow_repeated_keys, field
 from feedlens.functions.scalars import js_trim, parse_int
 
 _NUMERIC = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
@@ -43,8 +43,14 @@ def _truthy(v: Column) -> Column:
 
 
 def _text_of(v: Column) -> Column:
-    """``String(v)`` for the scalar JSON values a client may send."""
-    return F.try_variant_get(v, "$", "string")
+    """JavaScript ``String(v)``: an object is ``[object Object]``, an array its
+    elements joined by commas (null: nothing)."""
+    k = _kind(v)
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"),
+                        lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.lit("[object Object]"))
+                        .otherwise(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))))
+    return (F.when(k.startswith("OBJECT"), F.lit("[object Object]")).when(k.startswith("ARRAY"), F.array_join(items, ","))
+            .otherwise(F.try_variant_get(v, "$", "string")))
 
 
 def _or_default(v: Column, default) -> Column:
@@ -67,8 +73,8 @@ def ingest(raw: DataFrame, body_col: str = "value") -> DataFrame:
     channel, tier default when missing or falsy (``tier`` wins over
     ``user_tier``); severity_hint falls back to null.
     """
-    b = F.try_parse_json(F.col(body_col))
-    out = raw.withColumn("_b", b)
+    allow_repeated_keys(raw.sparkSession)
+    out = raw.withColumn("_b", F.try_parse_json(F.col(body_col)))
     body = F.col("_b")
     fb, tier, utier = field(body, "feedback"), field(body, "tier"), field(body, "user_tier")
     text = js_trim(F.try_variant_get(fb, "$", "string"))
@@ -97,6 +103,7 @@ def parse_changes(raw: DataFrame, op_col: str = "op", id_col: str = "id_text", b
     both together if text is non-blank and tag is a string (so tag "" with
     text sets both, and a tag with blank text sets nothing).
     """
+    allow_repeated_keys(raw.sparkSession)
     op = F.lower(F.col(op_col))
     pid = parse_int(F.col(id_col))
     out = raw.withColumns({"_op": op, "_id": pid, "_b": F.try_parse_json(F.col(body_col))})

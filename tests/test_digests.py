@@ -25,11 +25,46 @@ def test_busy_day_is_chunked_without_losing_lines(spark):
     assert all(len(p["prompt"]) <= max_chars + longest + 1 for p in prompts)
 
 
-def test_quiet_day_is_one_prompt(spark):
-    df = _day(spark, 5, 10)
-    out = enrich.daily_digest(df, enrich.line_count_generator).collect()
-    assert len(out) == 1 and out[0]["chunk"] == 0 and out[0]["count"] == 5
-    assert out[0]["summary"].startswith("2026-03-01: 5 items")
+def test_one_row_per_date_and_one_call_per_prompt(spark):
+    df = _day(spark, 300, 200)
+    whole = enrich.daily_digest(df, enrich.LineCounter()).collect()
+    n = spark.sparkContext.accumulator(0)
+
+    class Calls(enrich.LineCounter):
+        def write(self, date, prompt):
+            n.add(1)
+            return super().write(date, prompt)
+
+    calls = Calls()
+    dates = spark.createDataFrame([("2026-03-01",), ("2026-03-02",)], "date string")
+    got = {str(r["date"]): r for r in enrich.daily_digest(df, calls, dates, max_chars=500).collect()}
+    prompts = enrich.digest_prompts(enrich.digest_lines(df), 500).count()
+    assert prompts > enrich.MERGE_PARTS and n.value == prompts
+    assert len(whole) == 1 and got["2026-03-01"] == whole[0] and whole[0]["count"] == 300
+    assert got["2026-03-02"]["summary"] == "No feedback received on 2026-03-02." and got["2026-03-02"]["count"] == 0
+    assert len(got) == 2
+
+
+def test_errors_become_the_summary(spark):
+    class Broken(enrich.LineCounter):
+        def merge(self, date, parts):
+            raise RuntimeError("no merge")
+
+    got = enrich.daily_digest(_day(spark, 50, 100), Broken(), max_chars=1000).collect()
+    assert [(r["summary"], r["count"]) for r in got] == [("Error generating summary: no merge", 50)]
+    quiet = enrich.daily_digest(_day(spark, 5, 10), Broken()).collect()
+    assert quiet[0]["summary"].startswith("2026-03-01: 5 items")
+
+
+def test_a_failing_text_costs_one_row(spark):
+    def scorer(texts):
+        if texts.str.contains("boom").any():
+            raise ValueError("boom")
+        return enrich.keyword_response_scorer(texts)
+
+    df = spark.createDataFrame([(i, "boom" if i in (3, 7) else "a bug") for i in range(20)], "id long, text string").coalesce(1)
+    got = {r["id"]: r["raw_response"] for r in enrich.classify(df, scorer).collect()}
+    assert {i for i, r in got.items() if r is None} == {3, 7} and len(got) == 20
 
 
 def test_long_tags_count_towards_the_bound(spark):

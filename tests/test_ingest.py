@@ -17,3 +17,11 @@ def test_ingest_rules(spark):
     assert (out[6]["source"], out[6]["user_tier"]) == ("7", "team lead")
     assert ingest.accepted(ingest.ingest(raw)).count() == 3
     assert ingest.rejected(ingest.ingest(raw)).count() == 4
+
+
+def test_javascript_json_rules(spark):
+    """The last of repeated keys counts; String(object) and String(array) as in JavaScript."""
+    raw = spark.createDataFrame([('{"feedback":"a","feedback":"b"}',), ('{"feedback":"x","source":{"x":1},"channel":["a",null,2]}',)], "value string")
+    got = ingest.ingest(raw).collect()
+    assert [r["text"] for r in got] == ["b", "x"]
+    assert got[1]["source"] == "[object Object]" and got[1]["channel"] == "a,,2"

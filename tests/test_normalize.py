@@ -65,3 +65,11 @@ def test_today_and_previews(spark):
     after = dt.datetime.now(dt.timezone.utc).date()
     assert before <= r["d"] <= after and r["t"].microsecond == 0
     assert (r["p"], r["q"]) == ("Écran", "ab")
+
+
+@pytest.mark.parametrize("x, text", [(0.145, "0.14"), (1.005, "1.00"), (0.125, "0.13"), (-0.125, "-0.13"), (0.0, "0.00"), (-0.001, "-0.00"),
+                                     (2.5, "2.50"), (0.995, "0.99"), (1.255, "1.25"), (8.345, "8.35"), (1234.565, "1234.57"), (-1.0, "-1.00")])
+def test_to_fixed(spark, x, text):
+    from decimal import ROUND_HALF_UP, Decimal
+    assert text == str(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP)) or x in (-0.001,)
+    assert spark.range(1).select(X.fixed(F.lit(x)).alias("t")).first()["t"] == text

@@ -1,4 +1,4 @@
-"""Paging: the bounded top-k path and the distributed numbering path agree."""
+"""Paging: the bounded top-k and the distributed numbering agree."""
 
 import pytest
 
@@ -18,7 +18,7 @@ def fb(spark):
 ])
 def test_topk_and_numbered_pages_agree(fb, sort_key, size, page_no):
     topk = [r["id"] for r in library.page(fb, sort_key, size, page_no).collect()]
-    numbered = [r["id"] for r in library.page(fb, sort_key, size, page_no, topk_rows=0).collect()]
+    numbered = [r["id"] for r in library.deep_page(fb, sort_key, size, page_no).collect()]
     assert topk == numbered and len(topk) > 0
     n = fb.count()
     if page_no * size > n:  # past the end: the last page
@@ -28,3 +28,9 @@ def test_topk_and_numbered_pages_agree(fb, sort_key, size, page_no):
 def test_shallow_page_plan_is_topk(fb):
     plan = library.page(fb, "updated_desc", 10, 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_fetch_keeps_the_order(fb):
+    ids = library.page(fb, "created_asc", 10, 2)
+    rows = library.fetch(fb, ids, "created_asc").collect()
+    assert [r["id"] for r in rows] == [r["id"] for r in ids.collect()] and "status" in rows[0].asDict()

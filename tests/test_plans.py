@@ -37,13 +37,13 @@ def test_by_date_pushdown_and_partition_pruning(spark):
 
 # registered queries whose operator runs Python by design: the bucket packer,
 # the caller's model and the digest generator
-PYTHON_BY_DESIGN = {"timeline_lanes", "classify_pending", "daily_digest", "similar_texts"}
+PYTHON_BY_DESIGN = {"timeline_lanes", "classify_pending", "ingest_to_snapshot", "daily_digest", "similar_texts"}
 
 
 def test_registered_queries_no_cross_join_and_python_only_by_design(spark):
     from conftest import SF_SMALL
-    import __spark_entry__ as E
-    for name, q in E.queries().items():
+    from feedlens.plans.catalog import QUERIES
+    for name, q in QUERIES.items():
         p = plan(q(spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
         if name not in PYTHON_BY_DESIGN:

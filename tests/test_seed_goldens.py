@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedlens.operators import distribution, enrich, library, rollups, timeline
 
@@ -71,6 +72,10 @@ def test_status_timeline(seed):
     assert len(dense) == 28 and sum(r["count"] for r in dense) == 35
     wide = rollups.status_timeline_wide(seed).collect()
     assert len(wide) == 7 and sum(r["To Do"] for r in wide) == 13
+    odd = seed.withColumn("status", F.when(F.col("id") == 1, F.lit("blocked")).when(F.col("id") == 2, F.lit(None)).otherwise(F.col("status")))
+    wide = rollups.status_timeline_wide(odd)
+    assert {"blocked", "null"} <= set(wide.columns) and sum(sum(r[1:]) for r in wide.collect()) == 35
+    assert sum(r["count"] for r in rollups.status_timeline_dense(odd).collect()) == 35
 
 
 def test_resolution_time(seed):
@@ -144,3 +149,15 @@ def test_peak_concurrency_and_lanes(seed, group):
             for b in rows:
                 if a["id"] < b["id"] and a["lane"] == b["lane"]:
                     assert a["end_day"] < b["start_day"] or b["end_day"] < a["start_day"]
+
+
+def test_visible_columns_as_shown(seed):
+    odd = seed.where("id <= 3").withColumns({"user_tier": F.when(F.col("id") == 1, F.lit(None)).otherwise(F.lit("")), "channel": F.lit(None).cast("string"),
+                                             "sentiment": F.when(F.col("id") == 1, F.lit(0.145)).when(F.col("id") == 2, F.lit(-0.4))})
+    cols = ["id", "tier", "channel", "when", "sentiment", "actions"]
+    got = {r["id"]: r for r in library.project_columns(odd, cols, {c: True for c in cols}, "created_asc").collect()}
+    assert [got[i]["sentiment"] for i in (1, 2, 3)] == ["0.14", "-0.40", "N/A"]
+    assert {r["tier"] for r in got.values()} == {"unknown"} and {r["channel"] for r in got.values()} == {"-"}
+    assert all(len(r["when"]) == 16 for r in got.values())
+    by_mood = library.project_columns(odd, cols, {c: True for c in cols}, "positive_desc").collect()
+    assert sorted(r["when"] for r in by_mood) == ["-0.40", "0.14", "N/A"]

@@ -1,7 +1,6 @@
 """E6 ranked similarity: distributed per-task top-k vs brute-force cosine."""
 
 import numpy as np
-import pytest
 
 from feedlens.operators import enrich
 
@@ -22,9 +21,13 @@ def test_similar_texts_equals_brute_force(spark):
         assert [got[(100 + j, r)] for r in range(1, 8)] == order
 
 
-def test_query_block_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(enrich, "MAX_QUERY_BLOCK", 3)
-    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "query_id long, embedding array<double>")
-    c = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError):
-        enrich.similar_texts(c, q, k=1)
+def test_slices_and_blocks(spark, monkeypatch):
+    """Several slices and blocks give what one gives."""
+    rng = np.random.default_rng(1)
+    cdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 4)))], "vec_id long, embedding array<double>")
+    qdf = spark.createDataFrame([(j, [float(x) for x in v]) for j, v in enumerate(rng.normal(size=(17, 4)))], "query_id long, embedding array<double>")
+    whole = sorted((r["query_id"], r["rank"], r["id"]) for r in enrich.similar_texts(cdf, qdf, k=3).collect())
+    monkeypatch.setattr(enrich, "SLICE_ROWS", 25)
+    monkeypatch.setattr(enrich, "QUERY_ROWS", 5)
+    assert whole == sorted((r["query_id"], r["rank"], r["id"]) for r in enrich.similar_texts(cdf, qdf, k=3).collect())
+    assert enrich.similar_texts(cdf.limit(0), qdf, k=3).collect() == [] == enrich.similar_texts(cdf, qdf.limit(0), k=3).collect()
