@@ -30,7 +30,7 @@ BINS = 1 << 18
 TRAIN_DOCS = 12_000
 #: A word takes part if so many toxic texts of the sample have it, and its log odds are so many standard errors above 0.
 MIN_DOCS, SURE = 3, 3.0
-PENALTY, STEPS = 0.05, 400
+PENALTY, STEPS = 0.02, 1000
 THRESHOLD = 0.7
 
 # Letters a sign may stand for. Fixed values.
