@@ -40,12 +40,20 @@ def frozen(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like ``frozen``, as a Parquet table in that folder: smaller, for larger results."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_freed(df.sparkSession):
-        df.select("*").write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+class Stored:
+    """Like ``frozen``, as a Parquet table in that folder: smaller, for larger
+    results. ``drop`` removes it once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self._spark = df.sparkSession
+        self._path = f"{checkpoint_dir(self._spark)}/{name}-{uuid.uuid4().hex}"
+        with _shuffles_freed(self._spark):
+            df.select("*").write.option("compression", "zstd").parquet(self._path)
+        self.df = self._spark.read.parquet(self._path)
+
+    def drop(self) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:

@@ -31,14 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import frozen, stored
+from feedlens.llm.common import Stored, frozen
 
 WINDOW, SUB = 13, 5
 #: Words whose hashes a task remembers; then the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -57,15 +58,30 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def _runs(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words."""
-    out = np.zeros(max(0, len(h) - k + 1), dtype=np.uint64)
-    for i in range(k):
-        out = out * _BASE + h[i: i + len(out)]
-    out ^= out >> np.uint64(32)
-    out *= _MIX
-    out ^= out >> np.uint64(32)
-    return out
+    """Hashes of all runs of k words, put together from runs of powers of two."""
+    power, size, base = h, 1, _BASE
+    out, done = None, 0
+    left = k
+    with np.errstate(over="ignore"):
+        while left:
+            if left & 1:  # the runs of `size` words go before what is put together so far
+                out, done = (power, size) if out is None else (power[: len(power) - done] * _pow(done) + out[size:], done + size)
+            left >>= 1
+            if left:
+                power, size, base = power[: len(power) - size] * base + power[size:], size * 2, base * base
+        return _mixed(out.copy() if k == 1 else out)
+
+
+def _pow(n: int) -> np.uint64:
+    return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
 def _least(h: np.ndarray, n: int) -> np.ndarray:
@@ -78,12 +94,18 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def edges(words: list[bytes], known: Words, window: int, sub: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, minimizer) of every window."""
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(h) < window:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    return _runs(h, window), _least(_runs(h, sub), window - sub + 1)
+def _hashes(words: list[bytes], known: Words) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def edges(h: np.ndarray, window: int) -> np.ndarray:
+    """Hash of every window of hashed words."""
+    return _runs(h, window) if len(h) >= window else np.zeros(0, dtype=np.uint64)
+
+
+def minimizers(h: np.ndarray, window: int, sub: int) -> np.ndarray:
+    """Smallest hash among the ``sub``-word runs of every window."""
+    return _least(_runs(h, sub), window - sub + 1) if len(h) >= window else np.zeros(0, dtype=np.uint64)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
@@ -96,7 +118,8 @@ def _minimizers(window: int, sub: int):
         for batch in batches:
             found, ids, sizes = [], [], []
             for doc, text in _texts(batch):
-                m = np.unique(edges(split_words(text), known, window, sub)[1])
+                m = minimizers(_hashes(split_words(text), known), window, sub)
+                m = np.unique(m[np.r_[True, m[1:] != m[:-1]]] if len(m) else m)
                 found.append(m)
                 ids.append(doc)
                 sizes.append(len(m))
@@ -114,17 +137,17 @@ def _paths(window: int, sub: int):
             cuts = cuts - cuts[0]
             hashes, sizes, starts, ids = [], [], [], []
             for k, (doc, text) in enumerate(_texts(batch)):
-                h, m = edges(split_words(text), known, window, sub)
+                h = _hashes(split_words(text), known)
+                m = minimizers(h, window, sub)
                 own = np.sort(flat[cuts[k]: cuts[k + 1]])
-                if not len(h) or not len(own):
+                if not len(m) or not len(own):
                     continue
-                at = np.minimum(np.searchsorted(own, m), len(own) - 1)
-                shared = own[at] == m
                 first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
                 size = np.diff(np.r_[first, len(m)])
-                keep = shared[first]
+                at = np.minimum(np.searchsorted(own, m[first]), len(own) - 1)
+                keep = own[at] == m[first]
+                hashes.append(edges(h, window)[np.repeat(keep, size)])
                 first, size = first[keep], size[keep]
-                hashes.append(h[shared])
                 sizes.append(size)
                 starts.append(first)
                 ids.append(np.full(len(first), doc, dtype=np.int64))
@@ -144,7 +167,7 @@ def _digest(words: list[bytes]) -> bytes:
 _SPAN = pa.struct([("src_doc", pa.int64()), ("src_pos", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 
 
-def _removed(window: int, sub: int):
+def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
@@ -161,7 +184,7 @@ def _removed(window: int, sub: int):
                 if b > a:
                     order = np.argsort(edge[a:b], kind="stable")
                     own, own_doc, own_pos = edge[a:b][order], src_doc[a:b][order], src_pos[a:b][order]
-                    h = edges(words, known, window, sub)[0].view(np.int64)
+                    h = edges(_hashes(words, known), window).view(np.int64)
                     at = np.minimum(np.searchsorted(own, h), len(own) - 1)
                     pos = np.flatnonzero(own[at] == h)
                     if len(pos):
@@ -198,36 +221,43 @@ def repeated_edges(rows: DataFrame, window: int = WINDOW, sub: int = SUB) -> Dat
     """(doc, repeats: array of (edge, src_doc, src_pos)): the distinct windows of each document that start
     in one with a smaller id, and where. ``rows``: doc_id, text."""
     named = rows.filter("doc_id IS NOT NULL")
-    buckets = named.mapInArrow(_minimizers(window, sub), "m long, doc long")
+    buckets = named.mapInArrow(_minimizers(window, sub), "m long, doc long").persist(StorageLevel.DISK_ONLY)  # read twice
     shared = frozen(buckets.groupBy("m").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select(F.col("m").alias("s_m")))
     wanted = frozen(buckets.join(shared, F.col("m") == F.col("s_m")).groupBy("doc").agg(F.collect_list("m").alias("buckets")))
-    paths = stored(named.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "buckets")
+    buckets.unpersist()
+    paths = Stored(named.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "buckets")
                    .mapInArrow(_paths(window, sub), "path array<long>, doc long, start long"), "paths")
 
-    distinct = stored(paths.groupBy("path").agg(F.min("doc").alias("first"), F.min_by("start", "doc").alias("at"), F.max("doc").alias("last"))
+    distinct = Stored(paths.df.groupBy("path").agg(F.min("doc").alias("first"), F.min_by("start", "doc").alias("at"), F.max("doc").alias("last"))
                       .withColumn("id", F.monotonically_increasing_id()), "distinct-paths")
-    edge = distinct.select("id", "first", "at", "last", F.posexplode("path").alias("j", "h"))
-    sources = (edge.groupBy("h").agg(F.min("first").alias("src_doc"), F.min_by(F.col("at") + F.col("j"), "first").alias("src_pos"),
+    edge = distinct.df.select("id", "first", "at", "last", F.posexplode("path").alias("j", "h"))
+    # written, so that the join below reads plain exchanges, which Spark splits at hot edges
+    sources = Stored(edge.groupBy("h").agg(F.min("first").alias("src_doc"), F.min_by(F.col("at") + F.col("j"), "first").alias("src_pos"),
                                      F.max("last").alias("last"))
-               .filter("src_doc < last").select(F.col("h").alias("s_h"), "src_doc", "src_pos"))
-    led = (edge.select("id", "j", "h").join(sources, F.col("h") == F.col("s_h"))
+               .filter("src_doc < last").select(F.col("h").alias("s_h"), "src_doc", "src_pos"), "sources")
+    led = (edge.select("id", "j", "h").join(sources.df, F.col("h") == F.col("s_h"))
            .groupBy("id").agg(F.collect_list(F.struct(F.col("h").alias("edge"), "src_doc", "src_pos")).alias("leads")))
-    compacted = stored(distinct.select("id", F.col("path").alias("c_path")).join(led.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"))
+    compacted = Stored(distinct.df.select("id", F.col("path").alias("c_path")).join(led.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"))
                        .select("c_path", "leads"), "compacted-paths")
+    distinct.drop()
+    sources.drop()
 
-    found = paths.select("path", "doc").join(compacted, F.col("path") == F.col("c_path"))
+    found = paths.df.select("path", "doc").join(compacted.df, F.col("path") == F.col("c_path"))
     earlier = F.filter("leads", lambda x: x["src_doc"] < F.col("doc"))
-    return stored(found.select("doc", earlier.alias("leads")).filter(F.size("leads") > 0)
-                  .groupBy("doc").agg(F.flatten(F.collect_list("leads")).alias("repeats")), "repeats")
+    repeats = Stored(found.select("doc", earlier.alias("leads")).filter(F.size("leads") > 0)
+                     .groupBy("doc").agg(F.flatten(F.collect_list("leads")).alias("repeats")), "repeats")
+    paths.drop()
+    compacted.drop()
+    return repeats.df
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<src_doc:long,src_pos:long,n:long,digest:binary>>"
 
 
-def _covered(rows: DataFrame, repeats: DataFrame, window: int, sub: int) -> DataFrame:
+def _covered(rows: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
     none = F.array().cast("array<struct<edge:long,src_doc:long,src_pos:long>>")
     joined = rows.join(repeats, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", F.coalesce("repeats", none).alias("repeats"))
-    return joined.mapInArrow(_removed(window, sub), _RESULT)
+    return joined.mapInArrow(_removed(window), _RESULT)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sub: int = SUB) -> DataFrame:
@@ -243,7 +273,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     repeats = repeated_edges(rows, window, sub)
-    result = stored(_covered(rows, repeats, window, sub), "deduped")
+    result = Stored(_covered(rows, repeats, window), "deduped").df
 
     spans = result.select(F.explode("spans").alias("s")).select("s.*")
     asked = spans.groupBy("src_doc").agg(F.collect_set(F.struct("src_pos", "n", "digest")).alias("asked"))
@@ -260,5 +290,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .join(hit, (F.col("doc") == F.col("b_doc")) & (F.col("r.src_doc") == F.col("b_src")) & (F.col("r.src_pos") >= F.col("b_from"))
                   & (F.col("r.src_pos") <= F.col("b_from") + F.col("n") - window), "left_anti")
             .groupBy("doc").agg(F.collect_list("r").alias("repeats")))
-    again = _covered(rows.join(broken, F.col("doc_id") == F.col("x_doc"), "left_semi"), good, window, sub)
+    again = _covered(rows.join(broken, F.col("doc_id") == F.col("x_doc"), "left_semi"), good, window)
     return result.join(broken, F.col("doc_id") == F.col("x_doc"), "left_anti").unionByName(again)

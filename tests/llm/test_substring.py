@@ -73,18 +73,23 @@ def test_spans_name_their_sources(spark):
 
 def test_deceived_hashes_are_taken_back(spark, monkeypatch):
     """A hash that tells no words apart: verification must keep what only looks repeated."""
-    real = substring._removed
-
-    def run_(batch_words):
-        return real(13, 5)
-
     docs = [(1, " ".join(f"a{i}" for i in range(13))), (2, " ".join(f"b{i}" for i in range(13))), (3, " ".join(f"a{i}" for i in range(13)))]
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     h = substring.Words()
-    edge = int(substring.edges(docs[1][1].encode().split(), h, 13, 5)[0].view("int64")[0])
-    true = int(substring.edges(docs[2][1].encode().split(), h, 13, 5)[0].view("int64")[0])
+    edge, true = (int(substring.edges(substring._hashes(docs[k][1].encode().split(), h), 13).view("int64")[0]) for k in (1, 2))
     fake = spark.createDataFrame([(2, [(edge, 1, 0)]), (3, [(true, 1, 0)])],
                                  "doc long, repeats array<struct<edge:long,src_doc:long,src_pos:long>>")
     monkeypatch.setattr(substring, "repeated_edges", lambda *a: fake)
     got = {r["doc_id"]: r["n_removed"] for r in substring.substring_dedup(rows).collect()}
     assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_hashes_of_runs():
+    import numpy as np
+    h = np.random.default_rng(0).integers(0, 2 ** 63, 40, dtype=np.uint64)
+    base = int(substring._BASE)
+    for k in range(1, 20):
+        slow = np.array([sum(int(h[i + j]) * base ** (k - 1 - j) for j in range(k)) % 2 ** 64 for i in range(len(h) - k + 1)], dtype=np.uint64)
+        assert (substring._runs(h.copy(), k) == substring._mixed(slow)).all(), k
+    m = substring.minimizers(h, 13, 5)
+    assert (m == [substring._runs(h, 5)[i: i + 9].min() for i in range(28)]).all()
