@@ -28,7 +28,7 @@ MIN_MATCH, THRESHOLD = 4, 0.5
 #: Words of the benchmark that are sent to the tasks at a time.
 SLICE_WORDS = 2_000_000
 #: Words whose codes a task remembers; then the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 150_000
 _SIGNS = ".,;:!?\"'()[]{}<>«»…–—-&%#*=_/\\|~`^$@+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22

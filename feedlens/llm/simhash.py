@@ -38,7 +38,7 @@ RADIUS = 4
 BUCKET_ROWS = 4096
 HASH_SEED = 42
 #: Query-block pairs compared at a time: bounds a task's memory.
-PAIRS_AT_ONCE = 1 << 16
+PAIRS_AT_ONCE = 1 << 13
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -214,6 +214,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, bucket_rows: int =
     keyed = keyed.withColumn("k", F.col("fp").bitwiseAND(F.element_at(masks, F.col("g") + 1)))
     sizes = (keyed.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
              .select(F.col("g").alias("sg"), F.col("k").alias("sk"), F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")))
+    sizes = frozen(sizes)  # so that the join reads plain exchanges, which Spark splits at hot keys
     shared = keyed.join(sizes, (F.col("g") == F.col("sg")) & (F.col("k") == F.col("sk")))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     pairs = (shared.withColumn("p", part)

@@ -42,7 +42,7 @@ ANY_LETTER = "abcdefghijklmnopqrstuvwxyz"
 #: Log costs of the channel: a look-alike, a wildcard, a dropped sign, a stretched letter meant twice, a doubled one meant once, a boundary.
 SIGN, WILD, DROP, TWICE, ONCE, SPLIT = -1.5, -2.5, -0.7, -0.7, -6.0, -3.0
 #: Decoded words remembered per task; then the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 _EDGE = ".,;:!?\"'()[]{}<>«»…–—-&%#*=_/\\|~`^"
 _DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£¢*#.\-_~'`^,;:/\\]|[0-9@$!|+(<€£¢*#].*[^\W\d_]|([^\W\d_])\1\1", re.S)
