@@ -20,13 +20,16 @@ smaller id is a repeat, and its words go.
    the copy's. Where hashes deceived, the span stays.
 
 Shuffles carry minimizers (about a fifth of the words), paths of repeated
-buckets, and the texts twice for coverage and once for verification.
+buckets, and the texts for paths, coverage and verification. Joins hash their
+smaller side, partition by partition, so that neither texts nor minimizers are
+sorted.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -197,7 +200,7 @@ def _removed(window: int):
                             gone[j] -= 1
                             spans.append({"src_doc": int(s_doc[f]), "src_pos": int(s_pos[f]), "n": j - i, "digest": _digest(words[i:j])})
                 left = np.cumsum(gone[:-1]) == 0
-                kept = words if left.all() else [words[i] for i in np.flatnonzero(left)]
+                kept = words if left.all() else list(compress(words, left.tolist()))
                 for name, value in zip(rows, (doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans)):
                     rows[name].append(value)
             yield pa.RecordBatch.from_arrays(
@@ -223,9 +226,9 @@ def repeated_edges(rows: DataFrame, window: int = WINDOW, sub: int = SUB) -> Dat
     named = rows.filter("doc_id IS NOT NULL")
     buckets = named.mapInArrow(_minimizers(window, sub), "m long, doc long").persist(StorageLevel.DISK_ONLY)  # read twice
     shared = frozen(buckets.groupBy("m").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select(F.col("m").alias("s_m")))
-    wanted = frozen(buckets.join(shared, F.col("m") == F.col("s_m")).groupBy("doc").agg(F.collect_list("m").alias("buckets")))
+    wanted = frozen(buckets.join(shared.hint("shuffle_hash"), F.col("m") == F.col("s_m")).groupBy("doc").agg(F.collect_list("m").alias("buckets")))
     buckets.unpersist()
-    paths = Stored(named.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "buckets")
+    paths = Stored(named.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "buckets")
                    .mapInArrow(_paths(window, sub), "path array<long>, doc long, start long"), "paths")
 
     distinct = Stored(paths.df.groupBy("path").agg(F.min("doc").alias("first"), F.min_by("start", "doc").alias("at"), F.max("doc").alias("last"))
@@ -235,14 +238,14 @@ def repeated_edges(rows: DataFrame, window: int = WINDOW, sub: int = SUB) -> Dat
     sources = Stored(edge.groupBy("h").agg(F.min("first").alias("src_doc"), F.min_by(F.col("at") + F.col("j"), "first").alias("src_pos"),
                                      F.max("last").alias("last"))
                .filter("src_doc < last").select(F.col("h").alias("s_h"), "src_doc", "src_pos"), "sources")
-    led = (edge.select("id", "j", "h").join(sources.df, F.col("h") == F.col("s_h"))
+    led = (edge.select("id", "j", "h").join(sources.df.hint("shuffle_hash"), F.col("h") == F.col("s_h"))
            .groupBy("id").agg(F.collect_list(F.struct(F.col("h").alias("edge"), "src_doc", "src_pos")).alias("leads")))
     compacted = Stored(distinct.df.select("id", F.col("path").alias("c_path")).join(led.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"))
                        .select("c_path", "leads"), "compacted-paths")
     distinct.drop()
     sources.drop()
 
-    found = paths.df.select("path", "doc").join(compacted.df, F.col("path") == F.col("c_path"))
+    found = paths.df.select("path", "doc").join(compacted.df.hint("shuffle_hash"), F.col("path") == F.col("c_path"))
     earlier = F.filter("leads", lambda x: x["src_doc"] < F.col("doc"))
     repeats = Stored(found.select("doc", earlier.alias("leads")).filter(F.size("leads") > 0)
                      .groupBy("doc").agg(F.flatten(F.collect_list("leads")).alias("repeats")), "repeats")
@@ -256,7 +259,7 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans
 
 def _covered(rows: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
     none = F.array().cast("array<struct<edge:long,src_doc:long,src_pos:long>>")
-    joined = rows.join(repeats, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", F.coalesce("repeats", none).alias("repeats"))
+    joined = rows.join(repeats.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", F.coalesce("repeats", none).alias("repeats"))
     return joined.mapInArrow(_removed(window), _RESULT)
 
 
@@ -277,7 +280,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spans = result.select(F.explode("spans").alias("s")).select("s.*")
     asked = spans.groupBy("src_doc").agg(F.collect_set(F.struct("src_pos", "n", "digest")).alias("asked"))
-    checked = (rows.join(asked, F.col("doc_id") == F.col("src_doc")).select("doc_id", "text", "asked")
+    checked = (rows.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("src_doc")).select("doc_id", "text", "asked")
                .mapInArrow(_verified, "src_doc long, src_pos long, n long, digest binary, same boolean"))
     failed = frozen(checked.groupBy("src_doc", "src_pos", "n", "digest").agg(F.max("same").alias("same")).filter("NOT same").drop("same"))
     if failed.isEmpty():
