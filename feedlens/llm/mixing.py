@@ -24,6 +24,8 @@ from feedlens.llm.common import frozen, null_safe, word_count
 from feedlens.plans.ranking import row_number_within
 
 BUCKET_BITS = 12
+#: The plan (a row of numbers per source) is broadcast up to so many sources; beyond, rows are joined by source.
+BROADCAST_SOURCES = 10_000
 
 
 def _per_source(sized: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -94,6 +96,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             .select(F.col("_mx_source").alias("_p_source"), "_mx_total", "_mx_target", "_mx_whole", "_mx_extra",
                     "_e_bucket", "_mx_before"))
 
+    if sources.count() <= BROADCAST_SOURCES:  # else the texts of a hot source would travel by its name
+        plan = F.broadcast(plan)
     planned = rows.join(plan, null_safe(rows, plan, {"_mx_source": "_p_source"}))
     at_end = F.coalesce(F.col("_mx_bucket") == F.col("_e_bucket"), F.lit(False))
     outside = planned.filter(~at_end).withColumn(

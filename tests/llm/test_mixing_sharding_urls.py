@@ -20,7 +20,7 @@ def fill(sizes, weights, cap):
         fixed |= {s: float(cap * sizes[s]) for s in over}
 
 
-def test_mix_targets_and_words(spark):
+def test_mix_targets_and_words(spark, monkeypatch):
     rng = random.Random(5)
     docs = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 60))), rng.choice(["b", "a", "a", "a", "a", "c", "é", None]), "x", 9)
             for i in range(400)] + [(400, None, "a", "", 1), (401, "", "zero", "", 1), (None, "one two", None, "", 1), (7, "w w", "b", "", 2), (7, "w w", "b", "", 2)]
@@ -43,6 +43,8 @@ def test_mix_targets_and_words(spark):
     again = mixing.mix(df.repartition(5)).collect()
     key = lambda rows: sorted((str(r["doc_id"]), r["text"] or "", r["taken"]) for r in rows)
     assert key(got) == key(again)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert key(got) == key(mixing.mix(df).collect())
 
 
 def test_mix_of_nothing(spark):
