@@ -10,10 +10,11 @@ those that markup itself declares as no content (navigation, headers, forms,
 adverts, comments, ... by tag, role or class). If a page marks its article,
 only that is kept of the rest.
 
-One pass parses pages into (host, style node, content, presentation) rows,
-which are counted before the shuffle, so a host with a third of all pages has
-only as many rows per task as it has different contents; a second pass keeps
-the blocks of each page that are in no low branch.
+One pass parses each page into its (style node, content, presentation) triples
+and leaves one of the same pages of a host; the triples are counted before the
+next shuffle, so a host with a third of all pages has only as many rows per
+task as it has different contents. A second pass keeps the blocks of each page
+that are in no low branch.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
              " strike strong sub sup time tt u var wbr".split())
 NO_CONTENT = set("head nav header footer aside form button dialog menu label fieldset legend optgroup option datalist".split()) | RAW
 LANDMARK_ROLES = {"main", "article"}
+#: Never removed as a repeated branch: they hold the page, or what it marks as its article.
+WHOLE = {"html", "body", "main", "article"}
 NO_CONTENT_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar"
                        " status tooltip".split())
 NO_CONTENT_NAMES = set(
@@ -205,19 +209,25 @@ class _Page:
         """The blocks that are content, in page order."""
         gone = [False] * len(self.tag)
         for e in range(1, len(self.tag)):
-            gone[e] = gone[self.parent[e]] or self.path[e] in low
+            gone[e] = gone[self.parent[e]] or self.path[e] in low and self.tag[e] not in WHOLE and not self.mark[e]
         return " ".join(t for e, t in self.blocks if not self.drop[e] and not gone[e] and (self.inside[e] or not self.marked))
 
 
 def style_nodes(pages: DataFrame, host: Column, html_col: str = "html") -> DataFrame:
-    """(host, node, seen, importance) of the merged style tree of each host."""
+    """(host, node, seen, importance) of the merged style tree of each host.
+
+    A page counts once for its host, however many copies of it are there:
+    pages are the same if all their branches are.
+    """
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            yield pd.DataFrame([(h, *b) for h, t in zip(df["host"], df["html"]) if t for b in _Page(t).branches()],
-                               columns=["host", "node", "content", "shape"])
+        for df in batches:  # a page is one row of node, content and presentation in turn
+            yield pd.DataFrame([(h, np.array([(n, c << 32 | p) for n, c, p in _Page(t).branches()], dtype=np.uint64).astype(np.int64).ravel())
+                                for h, t in zip(df["host"], df["html"]) if t], columns=["host", "page"])
 
-    rows = pages.select(host.alias("host"), F.col(html_col).alias("html")).mapInPandas(
-        parse, "host string, node long, content long, shape long")
+    distinct = pages.select(host.alias("host"), F.col(html_col).alias("html")).mapInPandas(parse, "host string, page array<long>").distinct()
+    rows = (distinct.filter("size(page) > 0")
+            .selectExpr("host", "explode(transform(sequence(0, size(page) - 1, 2), i -> struct(page[i] AS node, page[i + 1] AS v))) AS b")
+            .selectExpr("host", "b.node", "shiftrightunsigned(b.v, 32) AS content", "b.v & 4294967295 AS shape"))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("shape").alias("value")))
     values = rows.select("host", "node", F.explode(both).alias("v")).groupBy("host", "node", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("n"))
     entropy = (values.groupBy("host", "node", "kind").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("s"))
@@ -231,9 +241,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
 
     Character references are decoded; white space in a block becomes one
     space, and blocks are joined by one. Null and empty pages have an empty
-    text. Pages without a URL count as one host. Pages that repeat count as
-    often as they are there. Columns of ``pages`` that have the names in
-    ``out`` are replaced.
+    text. Pages without a URL count as one host. A page that repeats on a host
+    counts once there, and each of its copies has its text. Columns of
+    ``pages`` that have the names in ``out`` are replaced.
     """
     host = url_host(F.col(url_col))
     nodes = style_nodes(pages, host, html_col)

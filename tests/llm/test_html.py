@@ -64,6 +64,20 @@ def test_entropy_is_that_of_occurrences(spark):
     assert [round(r["importance"], 3) for r in nodes if r["seen"] == 32] == [0.9]
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    """Most pages of the host are copies of one, the others have the same tags; also without a URL."""
+    copy = pages(1)[0][2].replace("Story 0", "Copied story")
+    for url in ("http://c.example.com/x", None):
+        rows = [(1000 + i, url, copy) for i in range(170)] + [(i, url, page) for i, _, page in pages(30)]
+        got = run(spark, rows)
+        for i in range(170):
+            assert got[1000 + i][0] == "Copied story of the day 0 Second 0"
+        for i in range(30):
+            assert got[i][0] == f"Story {i} of the day {i * 7} Second {i}"
+    only = run(spark, [(i, "http://d.example.com/", copy) for i in range(20)])
+    assert {t for t, _ in only.values()} == {"Welcome to our site Copied story of the day 0 Second 0 All rights"}
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
 
