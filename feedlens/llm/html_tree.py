@@ -2,13 +2,15 @@
 
 The DOMs of a host are merged: elements with the same path of tags, classes
 and ids are one style node. A style node matters if what pages show there
-differs: its importance is the entropy of its content (the text below it) and
-of its presentation (the tags below it) over all its occurrences, as a part of
-the entropy of as many different ones. Branches of low importance - menus,
-notices and other text a site repeats - are removed from each page, next to
-those that markup itself declares as no content (navigation, headers, forms,
+differs: its importance is the min-entropy of its content (the text below it)
+and of its presentation (the tags below it) over the host's pages, at most one
+bit each. That depends on the share of pages with the commonest text alone, and
+so neither on how many pages a host has nor on how many texts the others show.
+Where a branch is of low importance, the commonest text - a menu, notice or
+other text the site repeats - is removed from the pages that show it, next to
+what markup itself declares as no content (navigation, headers, forms,
 adverts, comments, ... by tag, role or class). If a page marks its article,
-only that is kept of the rest.
+only that is kept of the rest, and all of it.
 
 One pass parses each page into its (style node, content, presentation) triples
 and leaves one of the same pages of a host; the triples are counted before the
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from feedlens.llm.urlfilter import url_host
 
-#: A branch is judged if so many occurrences are known, and removed below this importance.
+#: A branch is judged if so many pages of its host have it, and removed below this importance.
 MIN_SEEN, LEAST_IMPORTANCE = 8, 0.2
 #: Weight of the content's entropy; the presentation's has the rest.
 CONTENT_WEIGHT = 0.9
@@ -43,6 +45,8 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
              " strike strong sub sup time tt u var wbr".split())
 NO_CONTENT = set("head nav header footer aside form button dialog menu label fieldset legend optgroup option datalist".split()) | RAW
 LANDMARK_ROLES = {"main", "article"}
+#: Headings, items and cells: without a class or id they are judged as a part of the branch that holds them.
+PARTS = set("h1 h2 h3 h4 h5 h6 li dt dd tr td th caption".split())
 #: Never removed as a repeated branch: they hold the page, or what it marks as its article.
 WHOLE = {"html", "body", "main", "article"}
 NO_CONTENT_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar"
@@ -69,7 +73,7 @@ class _Page:
     """Elements and text blocks of one page, in page order."""
 
     def __init__(self, text: str):
-        self.parent, self.tag, self.path, self.drop, self.soft, self.mark = [-1], [""], [0], [False], [False], [False]
+        self.parent, self.tag, self.path, self.drop, self.soft, self.mark, self.whole = [-1], [""], [0], [False], [False], [False], [True]
         self.blocks: list[tuple[int, str]] = []  # (element, text)
         self._parts: list[str] = []
         self._stack = [0]
@@ -157,6 +161,7 @@ class _Page:
         self.drop.append(tag in NO_CONTENT or role in NO_CONTENT_ROLES or hidden or bool(words & COMMENT_NAMES) and tag not in ("body", "html", "main"))
         self.soft.append(tag not in ("body", "html", "main", "article") and bool(words & NO_CONTENT_NAMES))
         self.mark.append(tag in ("article", "main") or role in LANDMARK_ROLES)
+        self.whole.append(tag in WHOLE or self.mark[-1] or tag in PARTS and names == "#")
         self._stack.append(len(self.tag) - 1)
 
     def _end(self, tag: str) -> None:
@@ -187,8 +192,8 @@ class _Page:
             self.inside[e] = self.inside[e] or self.inside[self.parent[e]]
         self.marked = any(marked)
 
-    def branches(self) -> list[tuple[int, int, int]]:
-        """(style node, content, presentation) of every element with text below it that may be content."""
+    def branches(self) -> dict[int, tuple[int, int, int]]:
+        """Style node -> (content, presentation, occurrences) of the elements with text below them that may be content."""
         content, shape = {}, {}
         for e, text in self.blocks:
             if self.drop[e]:
@@ -203,37 +208,48 @@ class _Page:
         for e in range(len(self.tag) - 1, 0, -1):
             shape[e] = zlib.crc32(f"{self.tag[e]}{shape.get(e, 0)}".encode())
             shape[self.parent[e]] = zlib.crc32(f"{shape.get(self.parent[e], 0)}{shape[e]}".encode())
-        return [(self.path[e], content[e], shape[e]) for e in sorted(content)]
+        nodes: dict[int, tuple[int, int, int]] = {}
+        for e in sorted(content):
+            c, p, n = nodes.get(self.path[e], (0, 0, 0))
+            nodes[self.path[e]] = (zlib.crc32(b"%d" % content[e], c), zlib.crc32(b"%d" % shape[e], p), n + 1)
+        return nodes
 
-    def text(self, low: set[int]) -> str:
-        """The blocks that are content, in page order."""
+    def text(self, low: dict[int, int]) -> str:
+        """The blocks that are content, in page order. ``low``: style nodes of low importance, with the content that repeats there."""
         gone = [False] * len(self.tag)
-        for e in range(1, len(self.tag)):
-            gone[e] = gone[self.parent[e]] or self.path[e] in low and self.tag[e] not in WHOLE and not self.mark[e]
+        if low and not self.marked:
+            low = dict(low)
+            same = {k for k, (c, _, _) in self.branches().items() if low.get(k) == c}
+            for e in range(1, len(self.tag)):
+                gone[e] = gone[self.parent[e]] or self.path[e] in same and not self.whole[e]
         return " ".join(t for e, t in self.blocks if not self.drop[e] and not gone[e] and (self.inside[e] or not self.marked))
 
 
 def style_nodes(pages: DataFrame, host: Column, html_col: str = "html") -> DataFrame:
-    """(host, node, seen, importance) of the merged style tree of each host.
+    """(host, node, seen, pages, importance, common) of the merged style tree of each host.
 
-    A page counts once for its host, however many copies of it are there:
-    pages are the same if all their branches are.
+    ``seen`` counts occurrences, ``pages`` the pages that have any; ``common``
+    is the content most of these show there. A page counts once for its host,
+    however many copies of it are there: pages are the same if all their
+    branches are.
     """
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:  # a page is one row of node, content and presentation in turn
-            yield pd.DataFrame([(h, np.array([(n, c << 32 | p) for n, c, p in _Page(t).branches()], dtype=np.uint64).astype(np.int64).ravel())
-                                for h, t in zip(df["host"], df["html"]) if t], columns=["host", "page"])
+        for df in batches:  # a page is one row of node, content with presentation, and occurrences in turn
+            yield pd.DataFrame([(h, np.array([(k, c << 32 | p, n) for k, (c, p, n) in _Page(t).branches().items()], dtype=np.uint64)
+                                 .astype(np.int64).ravel()) for h, t in zip(df["host"], df["html"]) if t], columns=["host", "page"])
 
     distinct = pages.select(host.alias("host"), F.col(html_col).alias("html")).mapInPandas(parse, "host string, page array<long>").distinct()
     rows = (distinct.filter("size(page) > 0")
-            .selectExpr("host", "explode(transform(sequence(0, size(page) - 1, 2), i -> struct(page[i] AS node, page[i + 1] AS v))) AS b")
-            .selectExpr("host", "b.node", "shiftrightunsigned(b.v, 32) AS content", "b.v & 4294967295 AS shape"))
+            .selectExpr("host", "explode(transform(sequence(0, size(page) - 1, 3), i -> struct(page[i] AS node, page[i + 1] AS v, page[i + 2] AS n))) AS b")
+            .selectExpr("host", "b.node", "b.n", "shiftrightunsigned(b.v, 32) AS content", "b.v & 4294967295 AS shape"))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("shape").alias("value")))
-    values = rows.select("host", "node", F.explode(both).alias("v")).groupBy("host", "node", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("n"))
-    entropy = (values.groupBy("host", "node", "kind").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("s"))
-               .withColumn("h", F.when(F.col("seen") > 1, (F.log("seen") - F.col("s") / F.col("seen")) / F.log("seen")).otherwise(F.lit(1.0))))
+    values = (rows.select("host", "node", "n", F.explode(both).alias("v")).groupBy("host", "node", "v.kind", "v.value")
+              .agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("seen")))
+    entropy = (values.groupBy("host", "node", "kind").agg(F.sum("seen").alias("seen"), F.sum("pages").alias("pages"), F.max(F.struct("pages", "value")).alias("top"))
+               .withColumn("h", F.least(F.lit(1.0), F.log2(F.col("pages") / F.col("top.pages")))))
     weight = F.when(F.col("kind") == 0, F.lit(CONTENT_WEIGHT)).otherwise(F.lit(1 - CONTENT_WEIGHT))
-    return entropy.groupBy("host", "node").agg(F.max("seen").alias("seen"), F.sum(F.col("h") * weight).alias("importance"))
+    return entropy.groupBy("host", "node").agg(F.max("seen").alias("seen"), F.max("pages").alias("pages"), F.sum(F.col("h") * weight).alias("importance"),
+                                               F.max(F.when(F.col("kind") == 0, F.col("top.value"))).alias("common"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: tuple[str, str] = ("text", "n_chars")) -> DataFrame:
@@ -248,13 +264,13 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
     host = url_host(F.col(url_col))
     nodes = style_nodes(pages, host, html_col)
     # a site's templates: as many nodes as it has repeated ones, not as it has pages
-    low = (nodes.filter((F.col("seen") >= MIN_SEEN) & (F.col("importance") < LEAST_IMPORTANCE))
-           .groupBy(F.col("host").alias("_st_of")).agg(F.collect_list("node").alias("_st_low")))
+    low = (nodes.filter((F.col("pages") >= MIN_SEEN) & (F.col("importance") < LEAST_IMPORTANCE))
+           .groupBy(F.col("host").alias("_st_of")).agg(F.flatten(F.collect_list(F.array("node", "common"))).alias("_st_low")))
     rows = pages.withColumn("_st_host", host).join(low, F.col("_st_host") == F.col("_st_of"), "left")
 
     @F.pandas_udf("string")
     def main_text(pages: pd.Series, lows: pd.Series) -> pd.Series:
-        return pd.Series([_Page(t).text(set(x) if x is not None else set()) if t else "" for t, x in zip(pages, lows)], dtype=object)
+        return pd.Series([_Page(t).text(dict(zip(x[::2], x[1::2])) if x is not None else {}) if t else "" for t, x in zip(pages, lows)], dtype=object)
 
     text, n = out
     return (rows.withColumn(text, main_text(F.col(html_col), F.col("_st_low")))

@@ -78,6 +78,36 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert {t for t, _ in only.values()} == {"Welcome to our site Copied story of the day 0 Second 0 All rights"}
 
 
+def site(n, host):
+    """Few different texts in blocks that say of themselves nothing, or only that they are an article."""
+    by = ("Anna", "Ben", "Cleo", "Dan", "Eva", "Finn", "Gus", "Hal", "Ida", "Jo")
+    rows = []
+    for i in range(n):
+        cells = "".join(f"<tr><td>{'no' if (i >> k) % 10 == 0 else 'yes'}</td></tr>" for k in range(3))
+        body = (f'<div class="story"><h2>Summary</h2><p class="by">By {by[i % 10]}</p><p>Story {i}</p><table>{cells}</table></div>'
+                f'<div class="hint">{"Special offer" if i % 10 == 3 else "Usual offer"}</div>')
+        rows.append((i, f"http://{host}/{i}", f"<body><div>Welcome</div>{body}</body>"))
+        rows.append((n + i, f"http://{host}/a{i}", f"<body><article><h2>Verdict</h2><p class='all'>Good</p><!-- {i} --><p>Test {i}</p></article></body>"))
+    return rows
+
+
+def test_size_of_the_site_does_not_matter(spark):
+    small, large = run(spark, site(10, "s.example.com")), run(spark, site(10_000, "s.example.com"))
+    for i in range(10):
+        cells = " ".join("no" if (i >> k) % 10 == 0 else "yes" for k in range(3))
+        t = f"Summary By {('Anna', 'Ben', 'Cleo', 'Dan', 'Eva', 'Finn', 'Gus', 'Hal', 'Ida', 'Jo')[i]} Story {i} {cells}"
+        t += " Special offer" if i == 3 else ""  # a text of its own in a branch that mostly repeats
+        assert small[i][0] == large[i][0] == t
+        assert small[10 + i][0] == large[10_000 + i][0] == f"Verdict Good Test {i}"
+
+
+def test_items_of_one_page_are_no_template(spark):
+    got = run(spark, [(1, "http://l.example.com/", '<body><p class="x">yes</p>' + '<p class="x">no</p>' * 30 + "</body>")])
+    assert got[1][0] == "yes" + " no" * 30
+    got = run(spark, [(1, "http://l.example.com/", '<p class="x">no</p>' * 30)])
+    assert got[1][0] == " ".join(["no"] * 30)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
 
