@@ -2,11 +2,12 @@
 
 1. A character trigram model is counted over all documents (one pass; each
    task adds up its own counts, so the exchange is bounded by the model).
-2. Disguised words - letters mixed with look-alike signs, stretched letters,
-   letters set apart by spaces or signs - become a lattice: every sign may
-   stand for some letters at a cost, a stretched letter for one or two, a
-   separator for nothing. Viterbi decoding finds the path that channel and
-   trigram model like best; the restored word replaces the written one.
+2. Disguised words - letters mixed with look-alike signs, look-alikes alone,
+   doubled and stretched letters, letters set apart by spaces or signs - become
+   a lattice: every sign may stand for some letters at a cost, a doubled or
+   stretched letter for one or two, a separator for nothing. Viterbi decoding
+   finds the path that channel and trigram model like best; the restored word
+   counts next to the written one.
 3. A logistic regression over the distinct restored words (hashed) is fitted
    in one task on a bounded sample of labelled rows, and scores every text.
 """
@@ -45,9 +46,10 @@ SIGN, WILD, DROP, TWICE, ONCE, SPLIT = -1.5, -2.5, -0.7, -0.7, -6.0, -3.0
 REMEMBER = 150_000
 
 _EDGE = ".,;:!?\"'()[]{}<>«»…–—-&%#*=_/\\|~`^"
-_DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£¢*#.\-_~'`^,;:/\\]|[0-9@$!|+(<€£¢*#].*[^\W\d_]|([^\W\d_])\1\1", re.S)
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"\s[\w@$!|+(<€£¢*#](?:[ \t]+[\w@$!|+(<€£¢*#]){2,}(?!\S)")
+_DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£¢*#.\-_~'`^,;:/\\]|[0-9@$!|+(<€£¢*#].*[^\W\d_]|([^\W\d_])\1"
+                        r"|[0-9@$€£¢].*[0-9@$!|+(<€£¢]|[!|+(<].*[0-9@$€£¢]", re.S)  # the last line: look-alikes alone
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_SPACED = re.compile(r"(?<!\S)(?:[^\w\s]|_)*([\w@$!|+(<€£¢*#](?:[ \t]+[\w@$!|+(<€£¢*#]){2,})(?:[^\w\s]|_)*(?!\S)")
 
 
 class CharModel:
@@ -148,9 +150,9 @@ class Restorer:
         found = {zlib.crc32(w.encode("utf-8", "replace")) % BINS for w in words if w}
         return tuple(k for k in found if self.wanted[k])
 
-    def _token(self, token: str, stretched: bool) -> tuple[int, ...]:
+    def _token(self, token: str) -> tuple[int, ...]:
         bare = token.strip(_EDGE)
-        if bare.isalpha() and not (stretched and _TRIPLE.search(bare)):
+        if bare.isalpha() and not _DOUBLE.search(bare):
             k = zlib.crc32(bare.encode("utf-8", "replace")) % BINS
             return (k,) if self.wanted[k] else ()
         ends = token.rstrip(".,;:?\"')]}").lstrip("\"'([{")  # signs that end it may be letters
@@ -160,18 +162,17 @@ class Restorer:
         found: set[int] = set()
         if not text:
             return found
-        low = text.lower()
-        known, stretched = self.known, _TRIPLE.search(low) is not None
+        low, known = text.lower(), self.known
         for token in set(low.split()):
             got = known.get(token)
             if got is None:
                 if len(known) >= REMEMBER:
                     known.clear()
-                got = known[token] = self._token(token, stretched)
+                got = known[token] = self._token(token)
             if got:
                 found.update(got)
-        for m in _SPACED.finditer(" " + low):
-            spaced = " ".join(m.group().split())
+        for m in _SPACED.finditer(low):
+            spaced = " ".join(m.group(1).split())
             got = known.get(spaced)
             if got is None:
                 got = known[spaced] = self._bins({w for w in restore(spaced, self.model).split() if len(w) > 1})

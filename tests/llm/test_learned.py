@@ -73,6 +73,23 @@ def test_disguise_does_not_lower_the_score(scorer):
     assert scorer.score("the and of with that", scorer.restorer()) < 0.1
 
 
+@pytest.mark.parametrize("written, meant", [
+    ("you i d i o t.", "idiot"), ("i d i o t, you", "idiot"), ('"i d i o t"', "idiot"), ("(i d i o t)!", "idiot"), ("_l o s e r_ ...", "loser"),
+    ("iddiot", "idiot"), ("Stuupid!", "stupid"), ("looser", "loser"), ("1d107", "idiot")])
+def test_edges_and_doubled_letters_do_not_hide_a_word(scorer, written, meant):
+    plain = scorer.score(meant, scorer.restorer())
+    assert plain >= toxicity.THRESHOLD and scorer.score(written, scorer.restorer()) >= plain - 1e-9
+
+
+def test_look_alikes_alone(scorer):
+    bins = toxicity.Restorer(scorer.model)
+    weights = {-1: -4.0} | {k: 8.0 for w in ("455", "@55", "10532") for k in bins.bins(toxicity.restore(w, scorer.model))}
+    own = toxicity.Scorer(scorer.model, weights)
+    for written in ("455", "@55", "@55!", "(10532)", "so 455, yes"):
+        assert own.score(written, own.restorer()) > 0.9
+    assert own.score("letter coffee 7 !!! ...", own.restorer()) < 0.1
+
+
 def test_toxicity_edge_cases(spark, scorer):
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "a1" * 50_000, 3), (None, "*" * 500 + " b" * 2000, 4), (5, "é퟿ 1!1", 5)],
                                "doc_id long, text string, score int")
