@@ -40,10 +40,12 @@ CONTENT_WEIGHT = 0.9
 
 # Vocabulary of HTML and of usual class names. Fixed values.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math object canvas audio video select".split())
+RAW = set("script style noscript iframe textarea title".split())
+#: No content, but elements may be in them; where one was never ended, what follows it is not taken as its own.
+EMBEDDED = set("template svg math object canvas audio video select".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span"
              " strike strong sub sup time tt u var wbr".split())
-NO_CONTENT = set("head nav header footer aside form button dialog menu label fieldset legend optgroup option datalist".split()) | RAW
+NO_CONTENT = set("head nav header footer aside form button dialog menu label fieldset legend optgroup option datalist".split()) | RAW | EMBEDDED
 LANDMARK_ROLES = {"main", "article"}
 #: Headings, items and cells: without a class or id they are judged as a part of the branch that holds them.
 PARTS = set("h1 h2 h3 h4 h5 h6 li dt dd tr td th caption".split())
@@ -58,6 +60,10 @@ NO_CONTENT_NAMES = set(
     " cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe"
     " subscription signup login form search searchbox pagination pager copyright disclaimer skip".split())
 COMMENT_NAMES = set("comment comments commentlist reply replies respond discussion disqus".split())
+#: A name with one of these says how comments are set on what has it, not that it is one.
+STATE_NAMES = set("has have with without no not open opened closed enabled disabled allow allowed is can".split())
+#: Hard drops that may hold the article all the same.
+YIELDING, YIELDING_ROLES = {"form", "aside"}, {"form", "search", "complementary"}
 #: A start tag ends these open elements, up to the first of the second set.
 IMPLIED_END = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
                "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -74,6 +80,7 @@ class _Page:
 
     def __init__(self, text: str):
         self.parent, self.tag, self.path, self.drop, self.soft, self.mark, self.whole = [-1], [""], [0], [False], [False], [False], [True]
+        self.form, self.comment, self.ended = [False], [False], set()  # may yield to an article they hold; ended by an end tag
         self.blocks: list[tuple[int, str]] = []  # (element, text)
         self._parts: list[str] = []
         self._stack = [0]
@@ -111,7 +118,9 @@ class _Page:
             elif m.group(2) or m.group(4):
                 tag, attrs = (m.group(2) or m.group(4)).lower(), m.group(3) or m.group(5) or ""
                 self._start(tag, attrs)
-                if tag in RAW and not attrs.endswith("/"):
+                if attrs.endswith("/") and (tag in RAW or tag in EMBEDDED):
+                    self._end(tag)
+                elif tag in RAW:
                     close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(text, pos)
                     pos = close.end() if close else len(text)
                     self._end(tag)
@@ -151,6 +160,9 @@ class _Page:
         up = self._stack[-1]
         role = attrs.get("role", "").lower()
         words = {w.lower() for w in _NAME.findall(names)}
+        comment = bool(words & COMMENT_NAMES) and tag not in ("body", "html", "main") and any(
+            w & COMMENT_NAMES and not w & STATE_NAMES for w in ({x.lower() for x in _NAME.findall(name)} for name in names.replace("#", " ").split()))
+        form = tag in YIELDING or tag not in NO_CONTENT and role in YIELDING_ROLES
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
         self.parent.append(up)
         self.tag.append(tag)
@@ -158,7 +170,9 @@ class _Page:
             self.path.append(self.path[up])
         else:
             self.path.append(zlib.crc32(f"{self.path[up]}/{tag}.{names}".encode("utf-8", "replace")) | (zlib.crc32(f"{tag}.{names}/{self.path[up]}".encode("utf-8", "replace")) & 0x7FFFFFFF) << 32)
-        self.drop.append(tag in NO_CONTENT or role in NO_CONTENT_ROLES or hidden or bool(words & COMMENT_NAMES) and tag not in ("body", "html", "main"))
+        self.drop.append(tag in NO_CONTENT and tag not in YIELDING or role in NO_CONTENT_ROLES and role not in YIELDING_ROLES or hidden)
+        self.form.append(form)
+        self.comment.append(comment)
         self.soft.append(tag not in ("body", "html", "main", "article") and bool(words & NO_CONTENT_NAMES))
         self.mark.append(tag in ("article", "main") or role in LANDMARK_ROLES)
         self.whole.append(tag in WHOLE or self.mark[-1] or tag in PARTS and names == "#")
@@ -170,28 +184,69 @@ class _Page:
         for d in range(len(self._stack) - 1, 0, -1):
             t = self.tag[self._stack[d]]
             if t == tag:
+                self.ended.add(self._stack[d])
                 self._pop_to(d)
                 return
             if tag in INLINE and t not in INLINE:  # no inline end tag ends a block
                 return
 
     def _settle(self) -> None:
-        """Which elements are no content, and which lie in the article."""
+        """Which elements are no content, and which lie in the article.
+
+        Forms yield to the only article or main of the page, or, if a page marks
+        none, to most of its text, asides to an only article that is most of the
+        text; elements named after comments only if the page has no other text.
+        """
         n = len(self.tag)
-        holds = [False] * n  # an article or main that is not dropped itself
-        for e in range(n - 1, 0, -1):
-            if (self.mark[e] or holds[e]) and not self.drop[e]:
-                holds[self.parent[e]] = True
         for e in range(1, n):
-            up = self.parent[e]
-            self.drop[e] = self.drop[up] or self.drop[e] or self.soft[e] and not holds[e]  # a class name does not drop the article
-        article = [not d and (t == "article") for d, t in zip(self.drop, self.tag)]
-        marked = article if any(article) else [m and not d for m, d in zip(self.mark, self.drop)]
+            if self.tag[e] in EMBEDDED and e not in self.ended:
+                self.drop[e] = False
+        hard, own = self.drop, [f or c for f, c in zip(self.form, self.comment)]
+        self._spread(hard, own)
+        if any(own):
+            if not any(m and not d for m, d in zip(self.mark, self.drop)):
+                self._spread(hard, [o and not y for o, y in zip(own, self._yielding(hard))])
+            if all(self.drop[e] for e, _ in self.blocks):
+                self._spread(hard, [f and not c for f, c in zip(self.form, self.comment)])
+            if all(self.drop[e] for e, _ in self.blocks):
+                self._spread(hard, [False] * n)
+        marked = [m and not d for m, d in zip(self.mark, self.drop)]
+        article = [m and t != "main" for m, t in zip(marked, self.tag)]
         self.inside = marked
+        self.alone = article if any(article) else list(marked)  # what entropy leaves alone
         for e in range(1, n):
             self.inside[e] = self.inside[e] or self.inside[self.parent[e]]
+            self.alone[e] = self.alone[e] or self.alone[self.parent[e]]
         self.marked = any(marked)
 
+    def _spread(self, hard: list[bool], own: list[bool]) -> None:
+        """Drop what is ``hard`` or ``own``, what a class name says to drop unless it holds the article, and all below these."""
+        n = len(self.tag)
+        drop = [h or o for h, o in zip(hard, own)]
+        holds = [False] * n  # an article or main that is not dropped itself
+        for e in range(n - 1, 0, -1):
+            if (self.mark[e] or holds[e]) and not drop[e]:
+                holds[self.parent[e]] = True
+        for e in range(1, n):
+            drop[e] = drop[self.parent[e]] or drop[e] or self.soft[e] and not holds[e]  # a class name does not drop the article
+        self.drop = drop
+
+    def _yielding(self, hard: list[bool]) -> list[bool]:
+        """The forms that hold an article that is none of the comments, and such asides with most of the text; or else the forms with most of it."""
+        n = len(self.tag)
+        self._spread(hard, self.comment)
+        size, holds = [0] * n, [m and not d for m, d in zip(self.mark, self.drop)]
+        for e, text in self.blocks:
+            if not self.drop[e]:
+                size[e] += len(text)
+        for e in range(n - 1, 0, -1):
+            size[self.parent[e]] += size[e]
+            holds[self.parent[e]] = holds[self.parent[e]] or holds[e]
+        most = [2 * s > size[0] for s in size]
+        if any(f and h and (t != "aside" or m) for f, h, t, m in zip(self.form, holds, self.tag, most)):
+            return [f and h and (t != "aside" or m) for f, h, t, m in zip(self.form, holds, self.tag, most)]
+        return [f and t != "aside" and m for f, t, m in zip(self.form, self.tag, most)]
+
     def branches(self) -> dict[int, tuple[int, int, int]]:
         """Style node -> (content, presentation, occurrences) of the elements with text below them that may be content."""
         content, shape = {}, {}
@@ -217,12 +272,11 @@ class _Page:
     def text(self, low: dict[int, int]) -> str:
         """The blocks that are content, in page order. ``low``: style nodes of low importance, with the content that repeats there."""
         gone = [False] * len(self.tag)
-        if low and not self.marked:
-            low = dict(low)
+        if low and not all(self.alone[e] or self.drop[e] or self.marked and not self.inside[e] for e, _ in self.blocks):
             same = {k for k, (c, _, _) in self.branches().items() if low.get(k) == c}
             for e in range(1, len(self.tag)):
                 gone[e] = gone[self.parent[e]] or self.path[e] in same and not self.whole[e]
-        return " ".join(t for e, t in self.blocks if not self.drop[e] and not gone[e] and (self.inside[e] or not self.marked))
+        return " ".join(t for e, t in self.blocks if not self.drop[e] and (self.alone[e] or not gone[e]) and (self.inside[e] or not self.marked))
 
 
 def style_nodes(pages: DataFrame, host: Column, html_col: str = "html") -> DataFrame:

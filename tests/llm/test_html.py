@@ -35,6 +35,28 @@ def test_class_names_do_not_drop_the_article():
     assert text('<div class="comments"><article>gone</article></div><div><p>kept</p></div>') == "kept"
 
 
+def test_layouts_that_hold_the_article():
+    assert text('<form id="aspnetForm"><div>menu</div><article><p>kept</p></article></form><p>x</p>') == "kept"
+    assert text('<body><div>skip</div><form action="x"><div><p>Long text of the page</p><button>mail</button></div></form>') == "skip Long text of the page"
+    assert text("<p>Long text of the page</p><form>mail</form>") == "Long text of the page"
+    assert text('<article class="post comments-open"><p>kept</p><div class="comments">gone</div></article>') == "kept"
+    assert text('<div class="has-comments"><article>kept</article><section id="comments"><article>gone</article></section></div>') == "kept"
+    assert text('<div class="discussion"><article>kept</article></div>') == "kept"
+    assert text('<aside><form><p>a</p></form><article>kept</article></aside><p>b</p>') == "kept"
+    assert text("<div><p>Long text of the page</p></div><aside><article>teaser</article></aside>") == "Long text of the page"
+    assert text("<main><p>Main text</p><article>teaser</article></main><p>x</p>") == "Main text teaser"
+    assert text("<main><p>Main text</p></main><article>teaser</article><p>x</p>") == "Main text teaser"
+
+
+def test_elements_never_ended():
+    for tag in ("object", "video", "audio", "canvas", "svg", "math", "template"):
+        assert text(f"<div><p>a</p><{tag} x='1'></div><p>b</p>") == "a b"
+        assert text(f"<article><{tag}><p>a</p></article>") == "a"
+        assert text(f"<p>a</p><div><{tag}></div><p>b</p><{tag}><p>c</p></{tag}><p>d</p>") == "a b d"
+    assert text("<p>a</p><svg/><p>b</p><script src='x'/><p>c</p>") == "a b c"
+    assert text("<p>a</p><svg><title>t</title><g><path/><text>no</text></g></svg><p>b</p>") == "a b"
+
+
 def pages(n, host="a.example.com"):
     return [(i, f"http://{host}/{i}", f'<html><body><div class="top">Welcome to our site</div><div class="story"><p>Story {i} of the day {i * 7}</p>'
              f'<p>Second {i}</p></div><div class="end">All rights</div></body></html>') for i in range(n)]
