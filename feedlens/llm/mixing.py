@@ -116,7 +116,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def repeated(docs: DataFrame, size: str = "size", taken: str = "taken") -> DataFrame:
     """Rows of a mixed table as often as the mix takes them: whole repetitions, and
-    one more where it takes half or more of the words of the last one."""
+    one more where it takes half or more of the words of the last one. Documents
+    without words (null, empty or blank texts) have no words to take and are removed,
+    whatever the target of their source."""
     n = F.when(F.col(size) > 0, F.floor(F.col(taken) / F.col(size) + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
     return (docs.withColumn("_mx_times", n).filter(F.col("_mx_times") > 0)
             .withColumn("_mx_i", F.explode(F.sequence(F.lit(1), F.col("_mx_times")))).drop("_mx_times", "_mx_i"))
