@@ -6,13 +6,15 @@ table and derives the columns of its contract.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import decontam, html_tree, kdtree, langid, mixing, sharding, simhash, substring, toxicity, urlfilter
+from feedlens.llm import decontam, html_tree, kdtree, langid, mixing, sharding, simhash, substring, tokenfiles, toxicity, urlfilter
 from feedlens.llm.common import held_out, read_table
+from feedlens.session import checkpoint_dir
 
 #: (host, path, verdict); fixed values of the contract.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -20,6 +22,8 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 SHARD_BYTES = 16 << 20
 #: Weights of the sources in code-point order, repeating, and the most a source repeats.
 MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED = (1, 2, 3), 3, 7
+#: Id after each document's tokens.
+END_ID = 2
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +79,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
+    return tokenfiles.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -86,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op12_token_files": op12_token_files,
 }
 
 ORACLE: dict[str, str] = {
