@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import decontam, html_tree, kdtree, langid, mixing, sharding, simhash, substring, tokenfiles, toxicity, urlfilter
+from feedlens.llm import centroids, decontam, html_tree, kdtree, langid, mixing, sharding, simhash, substring, tokenfiles, toxicity, urlfilter
 from feedlens.llm.common import held_out, read_table
 from feedlens.session import checkpoint_dir
 
@@ -24,6 +24,8 @@ SHARD_BYTES = 16 << 20
 MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED = (1, 2, 3), 3, 7
 #: Id after each document's tokens.
 END_ID = 2
+#: Centroid clustering: centroids, rounds, components of a vector, scale, seed.
+CENTROIDS = dict(k=16, rounds=3, dim=64, scale=64, seed=1)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +89,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"), **CENTROIDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -99,9 +105,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
     "op12_token_files": op12_token_files,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+def _clustering_sql(k: int, rounds: int, dim: int, scale: int, seed: int) -> str:
+    """Assignment and mean, round by round; components are whole numbers held as doubles."""
+    apart = "(list_inner_product(e.v, e.v) - 2 * list_inner_product(e.v, c.m) + list_inner_product(c.m, c.m))::BIGINT"
+    near = f"SELECT e.row_no, e.vec_id, e.v, c.c, {apart} AS d FROM e CROSS JOIN c{{i}} c QUALIFY row_number() OVER (PARTITION BY e.row_no ORDER BY d, c.c) = 1"
+    parts = []
+    for i in range(rounds):
+        parts.append(f"""a{i} AS ({near.format(i=i)}),
+u{i} AS (SELECT c, pos, sum(x::BIGINT)::HUGEINT AS s, count(*)::HUGEINT AS n
+         FROM (SELECT c, unnest(v) AS x, unnest(range(1, {dim} + 1)) AS pos FROM a{i}) GROUP BY c, pos),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY pos) AS m FROM u{i} GROUP BY c),
+c{i + 1} AS (SELECT c{i}.c, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return rf"""
+WITH e AS (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+o AS (SELECT v AS m, (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR) NULLS LAST, v) - 1)::INTEGER AS c FROM e),
+c0 AS (SELECT c, m FROM o WHERE c < {k}),
+{", ".join(parts)},
+z AS ({near.format(i=rounds)}),
+t AS (SELECT c, list_transform(m, lambda x: x::BIGINT::VARCHAR) AS m FROM c{rounds})
+SELECT z.vec_id, z.c AS cluster, z.d AS distance, (sum(z.d) OVER (PARTITION BY z.c))::BIGINT AS cluster_inertia, (sum(z.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(t.m, ',')) AS centroid_sha256
+FROM z JOIN t USING (c)"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_centroid_clustering": _clustering_sql(**CENTROIDS),
     "op4_kdtree_topk": r"""
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings

@@ -1,0 +1,90 @@
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+
+from feedlens.llm import centroids as C
+
+SCHEMA = "vec_id long, embedding array<double>, cluster string, v int, apex string"
+
+
+def brute(rows, k, rounds, dim, scale=64):
+    ok = [(i, [max(-C.LIMIT, min(C.LIMIT, math.floor(scale * x) if abs(x) < 1e300 else math.copysign(C.LIMIT, x))) for x in v]) for i, v in rows
+          if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
+    first = sorted(ok, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))[:k]
+    cs = [[int(x) for x in v] for _, v in first]
+    near = lambda v: min((sum((int(a) - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(cs))
+    for _ in range(rounds):
+        got = {}
+        for _, v in ok:
+            got.setdefault(near(v)[1], []).append(v)
+        for j, vs in got.items():
+            cs[j] = [int(sum(map(int, c))) // len(vs) for c in zip(*vs)]
+    last = [(i, *near(v)) for i, v in ok]
+    per = {}
+    for _, d, j in last:
+        per[j] = per.get(j, 0) + d
+    out = [(i, j, d, per[j], sum(per.values()), hashlib.sha256(",".join(map(str, cs[j])).encode()).hexdigest()) for i, d, j in last]
+    return sorted(out, key=lambda r: (r[0] is None, r))
+
+
+def run(spark, rows, k, rounds, dim):
+    df = spark.createDataFrame([(i, v, "x", 1, "y") for i, v in rows], SCHEMA)
+    return sorted((tuple(r) for r in C.cluster(df, k, rounds, dim).collect()), key=lambda r: (r[0] is None, r))
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clumps", "line", "same"])
+def test_against_brute_force(spark, kind):
+    rng = random.Random(kind)
+    centers = [[rng.uniform(-9, 9) for _ in range(6)] for _ in range(5)]
+    def vec():
+        if kind == "uniform":
+            return [rng.uniform(-2, 2) for _ in range(6)]
+        if kind == "clumps":
+            return [x + rng.gauss(0, .1) for x in rng.choice(centers)]
+        if kind == "line":
+            return [rng.randrange(40) / 8] * 6
+        return [0.5] * 6
+    rows = [(i, vec()) for i in range(300)] + [(1000 + i, [0.25] * 6) for i in range(100)]
+    assert run(spark, rows, 7, 3, 6) == brute(rows, 7, 3, 6)
+
+
+def test_edge_cases(spark):
+    rows = [(1, [0.5, 1.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 0.0]), (6, [1.0]), (7, []), (None, [3.0, 3.0]),
+            (8, [1.0, 2.0, 3.0]), (1, [0.5, 1.0]), (1, [-0.5, 1.0]), (9, [1e300, -1e300]), (10, [4.0e5, -9.0e5]), (11, [-0.001, 0.001])]
+    for k in (1, 3, 40):
+        assert run(spark, rows, k, 2, 2) == brute(rows, k, 2, 2)
+    assert run(spark, [(None, [1.0, 1.0]), (None, [1.0, 2.0])], 2, 1, 2) == brute([(None, [1.0, 1.0]), (None, [1.0, 2.0])], 2, 1, 2)
+    assert run(spark, [], 3, 2, 2) == []
+    assert run(spark, [(1, [1.0])], 3, 2, 2) == []
+
+
+def test_bounds_hold_and_drop_centroids():
+    rng = np.random.default_rng(5)
+    centers = rng.integers(-300, 300, (16, 64))
+    rows = centers[rng.integers(0, 16, 2000)] + rng.integers(-20, 20, (2000, 64))
+    for scale in (1, 3000):
+        r, c = rows * scale, centers * scale
+        s = C.Simplex(c)
+        (a, a_off), (b, b_off) = s.project(r), s.project(c)
+        low, high = C.bounds(a, a_off, b, b_off)
+        d = np.sqrt(C.squared(r, c).astype(float))
+        assert (low <= d).all() and (d <= high).all()
+        best, d2, n = C.nearest(r, a, a_off, c, b, b_off)
+        assert (best == C.squared(r, c).argmin(axis=1)).all() and (d2 == C.squared(r, c).min(axis=1)).all()
+        assert n < 3 * len(r)  # of 16 comparisons a row
+
+
+def test_bounds_far_from_a_small_base():
+    rng = np.random.default_rng(6)
+    points = rng.integers(-5, 5, (16, 64))
+    far = rng.integers(-(1 << 26), 1 << 26, (500, 64))
+    s = C.Simplex(points)
+    (a, a_off), (b, b_off) = s.project(far), s.project(points)
+    low, high = C.bounds(a, a_off, b, b_off)
+    d = np.sqrt(C.squared(far, points).astype(float))
+    assert (low <= d).all() and (d <= high).all()
+    best, _, _ = C.nearest(far, a, a_off, points, b, b_off)
+    assert (best == C.squared(far, points).argmin(axis=1)).all()
