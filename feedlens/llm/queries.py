@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import centroids, decontam, html_tree, kdtree, langid, mixing, sharding, simhash, substring, tokenfiles, toxicity, urlfilter
+from feedlens.llm import centroids, decontam, html_tree, kdtree, langid, lexical, mixing, sharding, simhash, substring, tokenfiles, toxicity, urlfilter
 from feedlens.llm.common import held_out, read_table
 from feedlens.session import checkpoint_dir
 
@@ -81,6 +81,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_lexical_search": op11_lexical_search,
     "op12_token_files": op12_token_files,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
@@ -134,6 +139,21 @@ FROM z JOIN t USING (c)"""
 
 
 ORACLE: dict[str, str] = {
+    "op11_lexical_search": r"""
+WITH t AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS re, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents, t),
+x AS (SELECT r, doc_id, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM x),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM x) GROUP BY r, term),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+      FROM (SELECT DISTINCT item_id, text FROM benchmark), t),
+q AS (SELECT DISTINCT i, item_id, unnest(ts) AS term FROM i),
+s AS (SELECT q.i, q.item_id, x.r, x.doc_id,
+             sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN p USING (term) JOIN x USING (r), c GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
     "op13_centroid_clustering": _clustering_sql(**CENTROIDS),
     "op4_kdtree_topk": r"""
 WITH e AS (
