@@ -23,12 +23,15 @@ The folder must be one that driver and executors share and that
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,59 +52,120 @@ FILE_BYTES, BATCH_BYTES = 256 << 20, 8 << 20
 #: Training sample and size of the dictionary.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 2000, 2048, 112 << 10
 #: Distinct pieces of text whose ids a task remembers.
-MEMO_PIECES = 1 << 18
+MEMO_PIECES = 1 << 19
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, first_id long, last_id long, has_null boolean"
 
 #: A place between a character that is no white space and a blank: no token of a byte-level BPE
 #: with the usual pre-tokenization goes over it.
 _CUT, _UNEVEN = r"(?<=\S)(?= )", r"\s(?= )"
+#: A piece of Latin letters, perhaps behind a blank and before ASCII signs: the letters with the blank, and the signs, are a word of the BPE each.
+_PLAIN = "( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)"
+
+
+def byte_alphabet() -> list[str]:
+    """The letter that a byte-level BPE writes for each byte: printable Latin-1 as itself, the others from U+0100 on."""
+    itself = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in itself]
+    return [chr(b) if b in itself else chr(256 + others.index(b)) for b in range(256)]
 
 
 def pieces(text: str) -> list[str]:
     """``text`` cut where no token crosses: before a blank that follows a character that is no white space."""
-    if re.search(_UNEVEN, text) or text.startswith(" "):
-        return re.split(_CUT, text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+    return re.split(_CUT, text)
+
+
+class _Pieces(dict):
+    """Ids of pieces, found when first asked for and remembered; a piece is ``before`` and the key."""
+
+    def __init__(self, find: Callable[[str], bytes], before: str = ""):
+        super().__init__()
+        self._find, self._before, self._missed = find, before, 0
+
+    def __missing__(self, key: str) -> bytes:
+        found = self._find(self._before + key)
+        if len(self) < MEMO_PIECES:
+            self[key] = found
+        else:  # the frequent ones are in; begin anew when as many again have been missed
+            self._missed += 1
+            if self._missed >= MEMO_PIECES:
+                self.clear()
+                self._missed = 0
+        return found
 
 
 class Encoder:
     """Ids of texts, as little-endian bytes, by the ``tokenizers`` file ``path``.
 
-    ``by_piece``: the pre-tokenization splits at white space, so ids may be
-    looked up piece by piece (repeated words are encoded once). Without it
-    whole texts are encoded, whatever the tokenizer does.
+    Where the file is a byte-level BPE whose pre-tokenization splits before
+    blanks, texts are looked up piece by piece, so that a repeated word is
+    encoded once; whole texts are encoded by any other file.
     """
 
-    def __init__(self, path: str, end_id: int | None, by_piece: bool = True):
+    def __init__(self, path: str, end_id: int | None, by_piece: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec["pre_tokenizer"] or {}
+        usual = (spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges") and spec["normalizer"] is None
+                 and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"])
+        own = any(re.fullmatch(_PLAIN, t["content"]) or " " in t["content"] for t in spec["added_tokens"])
+        self._by_piece = usual and not own if by_piece is None else by_piece
         most = max(self._tok.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
         self.width = 2 if most < 1 << 16 else 4
-        self._kind = f"<u{self.width}"
-        self._end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
-        self._by_piece, self._memo = by_piece, {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self._kind).tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        self._kind, self._letters = "H" if self.width == 2 else "I", byte_alphabet()
+        self._bpe, self._plain = self._tok.model.tokenize, re.compile(_PLAIN)
+        self._end = b"" if end_id is None else self._packed([int(end_id)])
+        self._signs = _Pieces(self._word)
+        self._parts, self._words = _Pieces(self._piece), _Pieces(self._piece, " ")
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self._kind}", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of what the pre-tokenization leaves together."""
+        written = word.replace(" ", "\u0120") if word.isascii() and word.isprintable() else "".join(map(self._letters.__getitem__, word.encode()))
+        return self._packed([t.id for t in self._bpe(written)])
+
+    def _piece(self, text: str) -> bytes:
+        plain = self._plain.fullmatch(text)
+        if plain:
+            letters, signs = plain.groups()
+            return self._known(letters) + self._signs[signs] if signs else self._word(letters)
+        line, feed, rest = text.rpartition("\n")
+        if line and rest and not line[-1].isspace() and not rest[0].isspace():  # a line feed between words is a word
+            return self._known(line) + self._signs[feed] + self._parts[rest]
+        return self._whole(text)
+
+    def _known(self, text: str) -> bytes:
+        return self._words[text[1:]] if text[0] == " " else self._parts[text]
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self._tok.encode(text, add_special_tokens=False).ids)
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: none) and the end id."""
-        if not self._by_piece:
-            for t in texts:
-                yield (self._bytes([t])[0] if t else b"") + self._end
-            return
         for t in texts:
-            parts = pieces(t) if t else []
-            new = list({p for p in parts if p not in self._memo})
-            if new:
-                if len(self._memo) + len(new) > MEMO_PIECES:
-                    self._memo = {}
-                    new = list(set(parts))
-                self._memo.update(zip(new, self._bytes(new)))
-            yield b"".join(map(self._memo.__getitem__, parts)) + self._end
+            if not t:
+                yield self._end
+            elif not self._by_piece:
+                yield self._whole(t) + self._end
+            elif t[0] == " " or re.search(_UNEVEN, t):
+                yield b"".join(map(self._parts.__getitem__, pieces(t))) + self._end
+            else:
+                first, *rest = t.split(" ")
+                yield b"".join([self._parts[first], *map(self._words.__getitem__, rest), self._end])
+
+
+def _encoder(path: str, end_id: int | None) -> Encoder:
+    """This Python worker's encoder: what it has read and remembered serves its next tasks."""
+    held = sys.modules.setdefault("feedlens_worker_encoders", types.ModuleType("feedlens_worker_encoders")).__dict__
+    key = f"{path} {end_id} {MEMO_PIECES}"
+    if key not in held:
+        held[key] = Encoder(path, end_id)
+    return held[key]
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -123,14 +187,14 @@ def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _sample(docs: DataFrame, path: str, end_id: int | None, by_piece: bool) -> list[bytes]:
+def _sample(docs: DataFrame, path: str, end_id: int | None) -> list[bytes]:
     """Serialized ids of a bounded sample: a window, at a place drawn by hash, of each sampled document."""
     n = docs.count()
     share = min(1.0, 2 * SAMPLE_DOCS / max(n, 1))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, end_id, by_piece)
+        enc = _encoder(path, end_id)
         for b in batches:
             out = []
             for ids in enc.encode(b.column("text").to_pylist()):
@@ -169,8 +233,7 @@ class _File:
                 int(ids.max()) if len(ids) else None, len(ids) < len(index))
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text",
-          by_piece: bool = True) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize ``docs`` and write them to ``folder``, a new one, in ascending id order.
 
     ``tokenizer`` is the path of a ``tokenizers`` file, the same on every
@@ -178,21 +241,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     have no ids but the end id. Rows with a null id come first; rows that
     repeat an id are all written, ordered by a hash of their text (their
     order among equal texts does not matter). An empty table gives an empty
-    manifest. Other columns are not read. ``by_piece`` needs a tokenizer
-    whose pre-tokenization splits before blanks, as byte-level BPE does.
+    manifest. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     where, base = _open(folder)
     where.create_dir(base, recursive=True)
-    raw = train(_sample(rows, tokenizer, end_id, by_piece))
+    raw = train(_sample(rows, tokenizer, end_id))
     digest = hashlib.sha256(raw).digest()
     with where.open_output_stream(f"{base}/dictionary") as f:
         f.write(raw)
     shared = spark.sparkContext.broadcast(raw)  # at most DICT_BYTES
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = Encoder(tokenizer, end_id, by_piece), zstandard.ZstdCompressor(dict_data=_dictionary(shared.value))
+        enc, packer = _encoder(tokenizer, end_id), zstandard.ZstdCompressor(dict_data=_dictionary(shared.value))
         part, seq, out, done = TaskContext.get().partitionId(), 0, None, []
         for b in batches:
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):

@@ -3,6 +3,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -49,10 +50,15 @@ def test_round_trip_edge_cases(spark):
 
 def test_pieces_give_the_ids_of_whole_texts():
     rng = random.Random(3)
-    parts = [" ", "  ", "\n", "\t", "a", "Zebra", "'s", "'", "ll", "é", "你", "12", ".", "—", " ", "\x1d", "<|endoftext|>", "_", "́"]
+    parts = [" ", "  ", "\n", "\t", "a", "Zebra", "'s", "'", "ll", "é", "你", "12", ".", "—", " ", "\x1d", "<|endoftext|>", "_", "́", "?", "!)", "AZ", "az ", "b\nC", "x.\nyz", "ßü", "×", "ŉǆ", "ª"]
     texts = TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
     whole, cut = tf.Encoder(PATH, 2, by_piece=False), tf.Encoder(PATH, 2)
     assert list(whole.encode(texts)) == list(cut.encode(texts))
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"].tolist()
+    assert list(whole.encode(docs)) == list(cut.encode(docs))
+    other = tf.Encoder(public_tokenizers.path("word_bpe_49k.json"), None)  # lower-cases and drops white space: whole texts
+    assert list(other.encode(["A b", None])) == [np.array(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(
+        "A b", add_special_tokens=False).ids, "<u2").tobytes(), b""]
     assert all("".join(tf.pieces(t)) == t for t in texts if t)
 
 
