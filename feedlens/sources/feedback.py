@@ -71,9 +71,25 @@ def _cycle(key, values):
     return F.element_at(arr, (key + 1).cast("int"))
 
 
+#: Least bytes of a scan that are worth a task of their own.
+SPREAD_BYTES = 128 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as the session runs at once, if its scan has fewer splits.
+
+    For narrow rows in front of costly expressions. A scan of many splits - any
+    large table - stays as it is; a small one in a single split would leave all
+    but one core idle.
+    """
+    query = df._jdf.queryExecution()
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, int(str(query.optimizedPlan().stats().sizeInBytes())) // SPREAD_BYTES)
+    return df.repartition(wanted) if query.toRdd().getNumPartitions() < wanted else df
+
+
 def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = True,
                          with_raw_response: bool = False, keep: tuple[str, ...] = (),
-                         only: DataFrame | None = None) -> DataFrame:
+                         only: DataFrame | None = None, spread_out: bool | None = None) -> DataFrame:
     """Feedback rows derived from ``events`` (+ ``documents`` for the text).
 
     ``keep`` adds raw events columns as ``ev_<name>``; ``only`` (a frame with
@@ -82,8 +98,12 @@ def feedback_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = Tru
     ``with_text=False`` skips the documents join altogether: the join is on a
     unique key (one document per event) so it never changes the row set, and
     operators that do not read ``text`` should not pay for it.
+    ``spread_out`` (default: with texts or responses) calls ``spread`` for
+    what follows the scan.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if (with_text or with_raw_response) if spread_out is None else spread_out:
+        ev = spread(ev.select("event_id", "user_id", "ts", "event_type", "props"))
     if only is not None:
         ev = ev.join(only.select(F.col("id").alias("_only")), F.col("event_id") == F.col("_only"), "left_semi")
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
@@ -190,7 +210,7 @@ def change_log_from_tables(spark: SparkSession, sf_dir: str, with_text: bool = T
                        status=F.lit(S.DEFAULT_STATUS),
                        **{c: F.col(c) for c in ("text", "source", "channel", "severity_hint", "user_tier") if c in fb.columns}
                        ).alias("e")).select("e.*")
-    narrow = feedback_from_tables(spark, sf_dir, with_text=False, keep=("event_type", "ts"))
+    narrow = feedback_from_tables(spark, sf_dir, with_text=False, keep=("event_type", "ts"), spread_out=True)
     et, ts = F.col("ev_event_type"), F.col("ev_ts")
     kinds = [
         ev(F.col("analyzed_at").isNotNull(), seq=idc * 8 + 1, event_ts=F.col("analyzed_at"), op=F.lit("analysis"),

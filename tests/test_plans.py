@@ -49,3 +49,14 @@ def test_registered_queries_no_cross_join_and_python_only_by_design(spark):
         if name not in PYTHON_BY_DESIGN:
             assert not any(n in p for n in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas",
                                             "FlatMapGroupsInPandas")), name
+
+
+def test_snapshot_fold_sorts_no_rows_for_an_aggregate(spark):
+    from conftest import SF_SMALL
+    from feedlens.operators import changes
+    from feedlens.sources.feedback import change_log_from_tables
+    log = change_log_from_tables(spark, SF_SMALL)
+    p = plan(changes.snapshot(log))
+    assert "SortAggregate" not in p and "Join [id" in p and "[_e_id" in p  # fetched by (id, seq)
+    narrow = plan(changes.last_writes(log))
+    assert "HashAggregate(keys=[id" in narrow and "SortAggregate" not in narrow and "ObjectHash" not in narrow
