@@ -8,22 +8,67 @@ ranks, without collecting any group:
 * histogram ``(key, value) -> count`` - a partial aggregate, so duplicates
   (the usual case: sentiment has two decimals) collapse before the shuffle
   and a hot key never reaches one task whole;
-* the histogram is summed into ``BINS`` equal bins between a key's smallest
-  and largest value; running sums over the bins (at most ``BINS`` rows per
-  key) tell which bin holds the element at floor(n*p);
-* only the values of those bins are ordered, to find the element itself.
+* radix selection: where a key has more than ``ORDERED`` distinct values, these
+  are counted per digit, running sums over the digits tell which one holds
+  the element, and only its values go on to the next pass. The first digit is
+  sign and power of two, the others cut what is left of the range into ``BINS``
+  equal parts, so a pass settles ten bits of the value whatever the outliers
+  are, and six passes settle a double;
+* the values that are left, at most ``ORDERED`` per element sought, are ordered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.functions.scalars import label_or
 from feedlens.operators.rollups import dimension_column
+from feedlens.session import frozen
 
-BINS = 1024
+BINS, ORDERED = 1024, 8192
 QUANTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+_LAST = 5000  # above the digit of any finite double
+
+
+def magnitude_digit(v: Column) -> Column:
+    """Sign and power of two of a double as a whole number that never falls where the value rises; infinities and NaN at the ends."""
+    size = F.abs(v)
+    # 2 ** -1074 is the smallest double: its digit is still above that of zero
+    power = F.when(size == float("inf"), F.lit(_LAST - 1)).otherwise(F.floor(F.log2(size)).cast("int") + 1100)
+    return F.when(F.isnan(v), F.lit(_LAST)).when(v > 0, power).when(v < 0, -power).otherwise(F.lit(0)).cast("int")
+
+
+def _digit(first: bool) -> Column:
+    if first:
+        return magnitude_digit(F.col("v"))
+    part = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)
+    return F.when(F.col("hi") > F.col("lo"), F.least(part, F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
+
+
+def _within(hist: DataFrame, sought: DataFrame) -> DataFrame:
+    """The values (with counts) among which each element of ``sought`` still is. Both sides are written tables, so a hot dimension's join can be split."""
+    s = sought.withColumnRenamed("dimension", "s_dimension")
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    return hist.join(s, (F.col("dimension") == F.col("s_dimension")) & inside).drop("s_dimension")
+
+
+def narrowed(hist: DataFrame, sought: DataFrame, ordered: int = ORDERED) -> DataFrame:
+    """``sought`` (dimension, name, left, lo, hi, values: the element at 0-based index ``left`` among the values from lo
+    to hi, so many distinct) narrowed by passes over digits until ``values`` is at most ``ordered``."""
+    first = True
+    while (sought.agg(F.max("values")).first()[0] or 0) > ordered:
+        # those that are narrow enough go through unchanged: a digit for all their values
+        small = F.col("values") <= ordered
+        digits = (_within(hist, sought).withColumn("digit", F.when(small, F.lit(0)).otherwise(_digit(first)))
+                  .groupBy("dimension", "name", "left", "digit")
+                  .agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("values")))
+        before = F.sum("c").over(Window.partitionBy("dimension", "name").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1))
+        sought = frozen(digits.withColumn("before", F.coalesce(before, F.lit(0)))
+                        .where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("c")))
+                        .select("dimension", "name", (F.col("left") - F.col("before")).alias("left"), "lo", "hi", "values"))
+        first = False
+    return sought
 
 
 def sentiment_boxplot(df: DataFrame, dim: str = "tier", value: str = "sentiment") -> DataFrame:
@@ -35,20 +80,15 @@ def sentiment_boxplot(df: DataFrame, dim: str = "tier", value: str = "sentiment"
     c = dimension_column(dim)
     base = (df.where(F.col(c).isNotNull() & F.col(value).isNotNull())
             .select(label_or(c, "unknown").alias("dimension"), F.col(value).cast("double").alias("v")))
-    hist = base.groupBy("dimension", "v").agg(F.count(F.lit(1)).alias("c"))
+    hist = frozen(base.groupBy("dimension", "v").agg(F.count(F.lit(1)).alias("c")))
     stats = hist.groupBy("dimension").agg(
-        F.sum("c").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.sum("c").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.count(F.lit(1)).alias("values"),
         F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"))
-    binned = hist.join(stats.select("dimension", "n", "min", "max"), "dimension").withColumn(
-        "bin", F.when(F.col("max") > F.col("min"), F.least(F.floor((F.col("v") - F.col("min")) / (F.col("max") - F.col("min")) * BINS),
-                                                           F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int"))
-    bins = binned.groupBy("dimension", "bin").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
-    bins = bins.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("dimension").orderBy("bin").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)))
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("n") * p).alias("k")) for name, p in QUANTILES.items()])
-    held = (bins.withColumn("q", F.explode(ranks)).where((F.col("before") <= F.col("q.k")) & (F.col("q.k") < F.col("before") + F.col("c")))
-            .select("dimension", "bin", F.col("q.name").alias("name"), (F.col("q.k") - F.col("before")).alias("left")))
-    values = binned.select("dimension", "bin", "v", "c").join(held, ["dimension", "bin"])
+    stats = frozen(stats)
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("n") * p).alias("left")) for name, p in QUANTILES.items()])
+    sought = stats.select("dimension", F.explode(ranks).alias("q"), F.col("min").alias("lo"), F.col("max").alias("hi"), "values")
+    sought = narrowed(hist, sought.select("dimension", "q.name", "q.left", "lo", "hi", "values"))
+    values = _within(hist, sought)
     values = values.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("dimension", "name").orderBy("v").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)))
     hit = values.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("c")))

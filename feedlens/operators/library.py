@@ -53,26 +53,25 @@ def filter_feedback(df: DataFrame, id: int | None = None, status: str | None = N
 
 
 # ---- K6: user sort ------------------------------------------------------------
-def sort_columns(sort_key: str = "updated_desc") -> list[Column]:
+def sort_columns(sort_key: str = "updated_desc", reverse: bool = False) -> list[Column]:
     """Sort expressions for the UI sort keys, each ending with an ``id`` tie-break.
 
     ``updated_*`` / ``created_*`` sort by that time (updated falls back to
     created); ``positive_desc`` / ``negative_desc`` by sentiment with null as
     0; any other key sorts like the reference falls into: created_at, newest first.
+    ``reverse`` gives the same order from the other end.
     """
     key = sort_key or ""
-    if key == "positive_desc":
-        return [F.coalesce(F.col("sentiment"), F.lit(0.0)).desc(), F.col("id").desc()]
-    if key == "negative_desc":
-        return [F.coalesce(F.col("sentiment"), F.lit(0.0)).asc(), F.col("id").desc()]
-    field, _, direction = key.partition("_")
-    if field == "updated":
-        t = F.coalesce(F.col("updated_at"), F.col("created_at"))
+    ident = F.col("id")
+    if key in ("positive_desc", "negative_desc"):
+        keys = [(F.coalesce(F.col("sentiment"), F.lit(0.0)), key == "negative_desc"), (ident, False)]
     else:
-        t = F.col("created_at")
-    if direction == "asc" and field in ("updated", "created"):
-        return [t.asc_nulls_first(), F.col("id").asc()]
-    return [t.desc_nulls_last(), F.col("id").desc()]
+        field, _, direction = key.partition("_")
+        t = F.coalesce(F.col("updated_at"), F.col("created_at")) if field == "updated" else F.col("created_at")
+        up = direction == "asc" and field in ("updated", "created")
+        keys = [(t, up), (ident, up)]
+    # nulls are smallest
+    return [c.asc_nulls_first() if up != reverse else c.desc_nulls_last() for c, up in keys]
 
 
 def sort_feedback(df: DataFrame, sort_key: str = "updated_desc") -> DataFrame:
@@ -83,33 +82,43 @@ def sort_feedback(df: DataFrame, sort_key: str = "updated_desc") -> DataFrame:
 _PAGE_KEYS = ["id", "sentiment", "created_at", "updated_at"]
 
 
-def _page_start(df: DataFrame, size: int, page_no: int, clamp: bool) -> int:
-    """Offset of a 1-based page; with ``clamp`` a page past the end is the last
-    page, which takes the row count (one number to the driver)."""
+def _page_bounds(df: DataFrame, size: int, page_no: int, clamp: bool) -> tuple[int, int | None]:
+    """Offset of a 1-based page and, with ``clamp``, the row count (one number
+    to the driver); then a page past the end is the last page."""
     page_no = max(1, int(page_no))
-    if clamp:
-        page_no = min(page_no, max(-(-df.select("id").count() // size), 1))
-    return (page_no - 1) * size
+    if not clamp:
+        return (page_no - 1) * size, None
+    n = df.select("id").count()
+    return (min(page_no, max(-(-n // size), 1)) - 1) * size, n
 
 
 def page(df: DataFrame, sort_key: str = "updated_desc", size: int = 10, page_no: int = 1, clamp: bool = True) -> DataFrame:
     """1-based page of the sorted frame; a page past the end shows the last page.
 
     An offset top-k (TakeOrderedAndProject) over the id and the sort keys
-    alone: every task keeps at most offset + size narrow rows. The rows of the
-    chosen ids are fetched afterwards (``fetch``), so texts are neither sorted
-    nor counted. ``id`` must be unique. For pages far from the start use
+    alone, counted from the nearer end: in the second half of the table the
+    order is reversed, the rows behind the page are the offset, and the page
+    is turned round again. So the last page costs what the first does, and
+    every task keeps at most min(offset, rest) + size narrow rows. The rows of
+    the chosen ids are fetched afterwards (``fetch``), so texts are neither
+    sorted nor counted. ``id`` must be unique. For pages far from both ends use
     ``deep_page`` or ``keyset_page``.
     """
     size = int(size)
-    return df.select(*_PAGE_KEYS).orderBy(*sort_columns(sort_key)).offset(_page_start(df, size, page_no, clamp)).limit(size).select("id")
+    keys = df.select(*_PAGE_KEYS)
+    start, n = _page_bounds(df, size, page_no, clamp)
+    behind = None if n is None else n - min(start + size, n)
+    if behind is None or start <= behind:
+        return keys.orderBy(*sort_columns(sort_key)).offset(start).limit(size).select("id")
+    found = keys.orderBy(*sort_columns(sort_key, reverse=True)).offset(behind).limit(n - behind - start)
+    return found.orderBy(*sort_columns(sort_key)).select("id")
 
 
 def deep_page(df: DataFrame, sort_key: str = "updated_desc", size: int = 10, page_no: int = 1, clamp: bool = True) -> DataFrame:
     """Like ``page``, any depth: rows are numbered by the distributed prefix
     count on the id and the sort keys, so no task holds more than its slice."""
     size = int(size)
-    start = _page_start(df, size, page_no, clamp)
+    start, _ = _page_bounds(df, size, page_no, clamp)
     numbered = prefix_sum_within(df.select(*_PAGE_KEYS), [], sort_columns(sort_key), None, "_pos")
     return numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size)).orderBy("_pos").select("id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every feedlens job relies on: UTC wall clock (all timestamps are
 # naive UTC), AQE for runtime coalescing / skew-join splitting, no web UI.
@@ -64,3 +64,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
     return d
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder (a reliable, eager checkpoint):
+    its lineage is cut and every later use reads the same rows, also after an executor is lost."""
+    checkpoint_dir(df.sparkSession)
+    return df.select("*").checkpoint(eager=True)

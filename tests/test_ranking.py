@@ -71,3 +71,46 @@ def test_weighted_prefix_with_row_numbers_hot_group(spark):
     p["before"] = p.groupby("g")["w"].cumsum() - p["w"]
     p["rn0"] = p.groupby("g").cumcount()
     assert got == {i: (b, r) for i, b, r in zip(p["id"], p["before"], p["rn0"])}
+
+
+def test_magnitude_digit_never_falls(spark):
+    import math
+    import random
+    from feedlens.operators.distribution import magnitude_digit
+    rng = random.Random(3)
+    vals = [0.0, -0.0, 5e-324, -5e-324, 2.2e-308, 1e308, -1e308, math.inf, -math.inf, math.nan, 1.0, 2.0, math.nextafter(2, 0), -1.0, 0.5]
+    vals += [rng.choice([-1, 1]) * 10 ** rng.uniform(-320, 308) for _ in range(3000)] + [math.nextafter(2.0 ** k, 0) for k in range(-1000, 1000, 7)] + [2.0 ** k for k in range(-1000, 1000, 7)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [(r["v"], r["d"]) for r in df.select("v", magnitude_digit(df["v"]).alias("d")).collect()]
+    order = sorted(got, key=lambda x: (math.isnan(x[0]), x[0] if not math.isnan(x[0]) else 0))
+    assert all(a[1] <= b[1] for a, b in zip(order, order[1:]))
+    assert all((d > 0) == (v > 0) or math.isnan(v) for v, d in got)
+
+
+def test_boxplot_of_many_distinct_values_with_outliers(spark, monkeypatch):
+    """Values far out, values close together, and a geometric series: the windows that are ordered stay small."""
+    import random
+    from pyspark.sql import functions as F
+    from feedlens.operators import distribution as D
+    rng = random.Random(9)
+    groups = {"out": [rng.uniform(-1, 1) for _ in range(4000)] + [1e300, -1e300],
+              "close": [1 + k * 2.0 ** -50 for k in range(3000)] + [1e18],
+              "powers": [rng.choice([-1, 1]) * 2.0 ** rng.uniform(-900, 900) for _ in range(3000)],
+              "few": [0.25, 0.5, 0.5, float("inf")], "one": [3.0] * 500}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "user_tier string, sentiment double").repartition(4)
+    seen = []
+    real = D.narrowed
+
+    def spy(hist, sought, ordered=100):
+        out = real(hist, sought, ordered)
+        seen.extend(D._within(hist, out).groupBy("dimension", "name").count().collect())
+        return out
+
+    monkeypatch.setattr(D, "narrowed", spy)
+    got = {r["dimension"]: r for r in D.sentiment_boxplot(df, "tier").collect()}
+    for g, vs in groups.items():
+        s = sorted(vs)
+        assert (got[g]["n"], got[g]["min"], got[g]["max"]) == (len(s), s[0], s[-1])
+        assert [got[g][q] for q in D.QUANTILES] == [s[int(len(s) * p)] for p in D.QUANTILES.values()]
+    assert len(seen) == 15 and max(r["count"] for r in seen) <= 100
