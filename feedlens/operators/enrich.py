@@ -13,13 +13,15 @@ from typing import Callable, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens import schema as S
 from feedlens.functions.analysis import normalize_analysis
 from feedlens.functions.scalars import day, label_or
-from feedlens.plans.ranking import prefix_sum_within
+from feedlens.session import frozen, written
 
 Scorer = Callable[[pd.Series], pd.Series]
 
@@ -89,33 +91,112 @@ def narrative_input(df: DataFrame, limit: int = S.LATEST_ANALYZED_LIMIT) -> Data
 
 
 # ---- A12/E5: daily digests --------------------------------------------------------
+def _cut(max_chars: int):
+    """Rows sorted by day and line -> chunks of a day's consecutive lines, numbered within this task's part of the day.
+
+    A chunk ends before the line at which the characters of the day's earlier
+    lines in this task pass the next multiple of ``max_chars``. Texts and tags
+    are passed on as slices of the batches they came in."""
+    names = ["date", "slice", "chunk", "first", "count", "chars", "before", "tags", "texts"]
+
+    def lists(parts: list[list[pa.Array]]) -> pa.ListArray:
+        sizes = [sum(map(len, p)) for p in parts]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.concat_arrays([x for p in parts for x in p]))
+
+    def batch(chunks: list[dict]) -> pa.RecordBatch:
+        plain = [pa.array([c[k] for c in chunks], t) for k, t in zip(names[:6], [pa.date32(), pa.int32(), *[pa.int64()] * 4])]
+        return pa.RecordBatch.from_arrays(plain + [lists([c[k] for c in chunks]) for k in names[6:]], names)
+
+    def run(batches):
+        part, day_, line, chars, chunk, held = TaskContext.get().partitionId(), None, 0, 0, 0, None
+        for b in batches:
+            done = []
+            dates, weights = b.column("date").cast(pa.int32()).to_numpy(), b.column("w").to_numpy()
+            starts = np.flatnonzero(np.r_[True, dates[1:] != dates[:-1]]) if len(dates) else []
+            for lo, hi in zip(starts, [*starts[1:], len(dates)]):
+                if dates[lo] != day_:
+                    day_, line, chars, chunk = dates[lo], 0, 0, 0
+                before = chars + np.cumsum(weights[lo:hi]) - weights[lo:hi]
+                window = before // max_chars
+                cuts = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+                for x, y in zip(cuts, [*cuts[1:], hi - lo]):
+                    key = (int(day_), int(window[x]))
+                    if held is None or held["key"] != key:
+                        if held is not None:
+                            done.append(held)
+                        held = {"key": key, "date": int(day_), "slice": part, "chunk": chunk, "first": line + int(x), "count": 0, "chars": 0,
+                                "before": [], "tags": [], "texts": []}
+                        chunk += 1
+                    held["count"] += int(y - x)
+                    held["chars"] += int(weights[lo + x:lo + y].sum())
+                    held["before"].append(pa.array(before[x:y]))
+                    held["tags"].append(b.column("tag").slice(lo + x, y - x))
+                    held["texts"].append(b.column("text").slice(lo + x, y - x))
+                line, chars = line + int(hi - lo), int(before[-1] + weights[hi - 1])
+            if done:
+                yield batch(done)
+        if held is not None:
+            yield batch([held])
+
+    return run
+
+
+class DigestChunks:
+    """The day's lines, placed once: ``rows`` (date, slice, chunk, first, count, chars, before, tags, texts) is a stored
+    table of chunks of consecutive lines, ``offsets`` tells what the day has before each slice.
+
+    One range exchange on (date, created_at, id) brings every text to its
+    place; tasks cut their sorted rows into chunks, and a busy day lies in as
+    many slices as it needs. Lines, characters and chunks before a slice come
+    from the counts of the stored chunks, without their texts.
+    """
+
+    def __init__(self, df: DataFrame, max_chars: int = S.DIGEST_PROMPT_CHARS):
+        label = label_or("tag", "Unknown")
+        text = F.coalesce(F.col("text"), F.lit(""))
+        weight = F.length(text) + F.length(label) + S.DIGEST_LINE_OVERHEAD
+        src = df.select(day("created_at").alias("date"), "created_at", "id", label.alias("tag"), text.alias("text"), weight.cast("long").alias("w"))
+        keys = [F.col("date").asc(), F.col("created_at").desc(), F.col("id").desc()]
+        placed = src.where(F.col("date").isNotNull()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        schema = "date date, slice int, chunk long, first long, count long, chars long, before array<long>, tags array<string>, texts array<string>"
+        self.rows = written(placed.select("date", "tag", "text", "w").mapInArrow(_cut(int(max_chars)), schema), "digest-chunks")
+        before = Window.partitionBy("date").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        counts = self.rows.groupBy("date", "slice").agg(F.sum("count").alias("lines"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("chunks"))
+        self.offsets = frozen(counts.select(
+            F.col("date").alias("o_date"), F.col("slice").alias("o_slice"), "chunks",
+            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o_{c}") for c in ("lines", "chars", "chunks")]))
+
+    def numbered(self) -> DataFrame:
+        """``rows`` with the day's lines, characters and chunks before the slice. The offsets are broadcast: at most a row for each
+        slice (task) and one for each date more."""
+        same = (F.col("date") == F.col("o_date")) & (F.col("slice") == F.col("o_slice"))
+        return self.rows.join(F.broadcast(self.offsets.drop("chunks")), same).drop("o_date", "o_slice")
+
+    def most_chunks(self) -> int:
+        """Chunks of the busiest day; one number to the driver."""
+        return self.offsets.agg(F.max(F.col("o_chunks") + F.col("chunks"))).first()[0] or 0
+
+
+def _line(number, tag, text):
+    return F.concat(number.cast("string"), F.lit(". ["), tag, F.lit("] "), text)
+
+
 def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
     """A12 long form: (date, line_no, line, chars_before) with
     ``i. [tag or Unknown] text``, numbered from 1 per creation day, newest
     first (ties: higher id first). ``chars_before`` is the weight of the
-    day's earlier lines (text + tag label + DIGEST_LINE_OVERHEAD each), which
-    ``digest_prompts`` uses to cut a busy day into bounded prompts.
+    day's earlier lines (text + tag label + DIGEST_LINE_OVERHEAD each).
 
-    Numbering and weights come from one range-partitioned prefix pass on
-    (date, created_at, id) only, so one very busy day is spread over many
-    tasks and no text is checkpointed; the full text is kept. ``id`` must be
-    unique.
+    The full text is kept, and moved once (see ``DigestChunks``). ``id`` must
+    be unique; rows without a creation time belong to no day.
     """
-    src = df.select(day("created_at").alias("date"), "id", "created_at", "tag", "text")
     if dates:
-        src = src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
-    # number a narrow projection (no text in the checkpoint), then attach by id
-    weight = (F.length(F.coalesce(F.col("text"), F.lit(""))) + F.length(label_or("tag", "Unknown"))
-              + S.DIGEST_LINE_OVERHEAD)
-    keys = src.select("date", "id", "created_at", weight.alias("_ln_w"))
-    nums = prefix_sum_within(keys, ["date"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()],
-                             weight="_ln_w", out="chars_before", count_out="_ln_0")
-    nums = nums.select(F.col("id").alias("_ln_id"), (F.col("_ln_0") + 1).alias("line_no"), "chars_before")
-    numbered = src.join(nums, F.col("id") == F.col("_ln_id")).drop("_ln_id")
-    line = F.concat(F.col("line_no").cast("string"), F.lit(". ["), label_or("tag", "Unknown"), F.lit("] "),
-                    F.coalesce(F.col("text"), F.lit("")))
-    return numbered.select("date", F.col("line_no").cast("long").alias("line_no"), line.alias("line"),
-                           F.col("chars_before").cast("long").alias("chars_before"))
+        df = df.where(day("created_at").isin([F.lit(d).cast("date") for d in dates]))
+    lines = DigestChunks(df).numbered().select(
+        "date", "first", "o_lines", "o_chars", F.posexplode(F.arrays_zip("before", "tags", "texts")).alias("pos", "x"))
+    number = F.col("o_lines") + F.col("first") + F.col("pos") + 1
+    return lines.select("date", number.alias("line_no"), _line(number, F.col("x.tags"), F.col("x.texts")).alias("line"),
+                        (F.col("o_chars") + F.col("x.before")).alias("chars_before"))
 
 
 class Generator(Protocol):
@@ -141,22 +222,23 @@ class LineCounter:
         return f"{date}: {sum(n for n, _ in found)} items, {sum(c for _, c in found) + len(parts) - 1} characters"
 
 
-def digest_prompts(lines: DataFrame, max_chars: int = S.DIGEST_PROMPT_CHARS) -> DataFrame:
-    """Prompt text per (date, chunk): the lines joined by newlines in order.
+def _prompts(chunks: DigestChunks) -> DataFrame:
+    start = F.col("o_lines") + F.col("first") + 1
+    lines = F.transform(F.arrays_zip("tags", "texts"), lambda x, i: _line(start + i, x["tags"], x["texts"]))
+    return chunks.numbered().select("date", (F.col("o_chunks") + F.col("chunk")).alias("chunk"), F.array_join(lines, "\n").alias("prompt"), "count")
+
+
+def digest_prompts(df: DataFrame, max_chars: int = S.DIGEST_PROMPT_CHARS) -> DataFrame:
+    """Prompt text per (date, chunk): the day's lines joined by newlines in order.
 
-    A day is cut into chunks 0, 1, ... of lines whose ``chars_before`` falls
-    in the same ``max_chars`` window, so no group and no cell grows with a
-    busy day (a chunk holds at most ``max_chars`` plus one line). No line is
-    dropped.
+    A day is cut into chunks 0, 1, ... of consecutive lines with at most
+    ``max_chars`` plus one line each, so no group and no cell grows with a
+    busy day. No line is dropped.
     """
-    chunk = F.floor(F.col("chars_before") / F.lit(int(max_chars))).cast("long")
-    g = lines.withColumn("chunk", chunk).groupBy("date", "chunk")
-    arr = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return g.agg(F.array_join(F.transform(arr, lambda x: x["line"]), "\n").alias("prompt"),
-                 F.count(F.lit(1)).alias("count"))
+    return _prompts(DigestChunks(df, max_chars))
 
 
-#: Parts that one merge takes; the merges of a day are merged again.
+#: Parts that one merge takes; the merges of a day are merged again, until one is left.
 MERGE_PARTS = 64
 
 
@@ -166,7 +248,7 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
 
     Each prompt of ``digest_prompts`` is written by one call of
     ``generator.write``; the parts of a day are merged in order, ``MERGE_PARTS``
-    at a time and then once more. If a call fails, the day's summary is its
+    at a time, on as many levels as the busiest day needs. If a call fails, the day's summary is its
     ``Error generating summary: ...``. Dates asked for (``dates`` frame with a
     ``date`` column) that have no feedback get ``No feedback received on D.``
     and count 0.
@@ -191,13 +273,15 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
                                 "summary": [s for _, s in out], "count": pdf["count"]})
 
     schema = "date date, chunk long, error string, summary string, count long"
-    parts = digest_prompts(digest_lines(df), max_chars).mapInPandas(write, schema)
-    for chunk in (F.floor(F.col("chunk") / MERGE_PARTS).cast("long"), F.lit(0).cast("long")):
-        ordered = F.array_sort(F.collect_list(F.struct("chunk", "summary")))
-        parts = (parts.withColumn("into", chunk).groupBy("date", "into")
+    chunks = DigestChunks(df, max_chars)
+    parts, left = _prompts(chunks).mapInPandas(write, schema), chunks.most_chunks()
+    while left > 1:
+        ordered = F.array_sort(F.collect_list(F.struct("chunk", "summary")))  # at most MERGE_PARTS
+        parts = (parts.withColumn("into", F.floor(F.col("chunk") / MERGE_PARTS).cast("long")).groupBy("date", "into")
                  .agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk"))).alias("error"),
                       F.transform(ordered, lambda x: x["summary"]).alias("parts"), F.sum("count").alias("count"))
                  .withColumnRenamed("into", "chunk").mapInPandas(merge, schema))
+        left = -(-left // MERGE_PARTS)
     res = parts.select("date", F.coalesce("error", "summary").alias("summary"), "count")
     if dates is not None:
         # from the rows, not from the result: that would call the generator again

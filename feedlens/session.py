@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +72,11 @@ def frozen(df: DataFrame) -> DataFrame:
     its lineage is cut and every later use reads the same rows, also after an executor is lost."""
     checkpoint_dir(df.sparkSession)
     return df.select("*").checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read back: like ``frozen``, but
+    a later use reads its columns alone. It stays until the folder is cleared."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)

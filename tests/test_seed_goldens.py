@@ -97,7 +97,7 @@ def test_daily_digest_lines(seed):
     rows = enrich.digest_lines(seed, ["2026-01-20"]).orderBy("line_no").collect()
     assert [r["line"] for r in rows] == ["1. [Bug Report] Backup restore procedure takes too long.",
                                          "2. [Feature Request] Request: webhook retries with exponential backoff."]
-    prompts = enrich.digest_prompts(enrich.digest_lines(seed, ["2026-01-20"])).first()
+    prompts = enrich.digest_prompts(seed.where("DATE(created_at) = DATE '2026-01-20'")).first()
     assert prompts["prompt"].split("\n")[1].startswith("2. [Feature Request]") and prompts["count"] == 2
 
 
