@@ -93,6 +93,95 @@ def _ingest_to_snapshot(spark, d):
     return changes.snapshot(log.unionByName(later))
 
 
+#: Micro-batches of a replay; parts of a level, so that the replay merges some.
+REPLAY_BATCHES, REPLAY_FANOUT = 4, 2
+
+
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _files_a_batch(spark, path, fmt):
+    return max(1, -(-len(spark.read.format(fmt).load(path).inputFiles()) // REPLAY_BATCHES))
+
+
+def _replayed_log(spark, d, hooks=()):
+    """The derived log replayed as a stream; the folder of the snapshot it leaves."""
+    inp, out = _scratch(spark, "log"), _scratch(spark, "stream")
+    log = src.change_log_from_tables(spark, d)
+    log.repartition(REPLAY_BATCHES, F.xxhash64("seq")).write.parquet(inp)
+    stream = spark.readStream.schema(S.EVENTS).option("maxFilesPerTrigger", _files_a_batch(spark, inp, "parquet")).parquet(inp)
+    jobs.stream_snapshot(stream, f"{out}/log", f"{out}/snapshot", f"{out}/checkpoint", fanout=REPLAY_FANOUT, on_change=hooks).awaitTermination()
+    return f"{out}/snapshot"
+
+
+def _stream_snapshot(spark, d):
+    return jobs.read_snapshot(spark, _replayed_log(spark, d))
+
+
+def _stream_rollups(spark, d):
+    cells = _scratch(spark, "rollups")
+    _replayed_log(spark, d, [jobs.publish_rollups(cells, REPLAY_FANOUT)])
+    return jobs.read_rollups(spark, cells)
+
+
+def _stream_digest_state(spark, d):
+    days = _scratch(spark, "days")
+    _replayed_log(spark, d, [jobs.publish_digest_state(days, REPLAY_FANOUT)])
+    return jobs.read_digest_state(spark, days).select("date", "count", "row_fingerprint")
+
+
+def _stream_ingest(spark, d):
+    """Request bodies replayed as a stream of text files: validated, numbered, classified, logged, folded."""
+    inp, out = _scratch(spark, "requests"), _scratch(spark, "ingest")
+    src.ingest_requests_from_tables(spark, d).select("value").repartition(REPLAY_BATCHES).write.text(inp)
+    jobs.stream_ingest(spark, inp, out, f"{out}/checkpoint", max_files_per_trigger=_files_a_batch(spark, inp, "text")).awaitTermination()
+    rows = changes.snapshot(spark.read.parquet(f"{out}/events").select(*S.EVENTS.fieldNames()))
+    dense = rows.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_distinct("id").alias("ids"))
+    return rows.select("text", "source", "channel", "severity_hint", "user_tier", "tag", "sentiment", "urgency_score", "summary", "status",
+                       dense.select("first_id").scalar().alias("first_id"), dense.select("last_id").scalar().alias("last_id"),
+                       dense.select("ids").scalar().alias("ids"))
+
+
+DIGEST_NOW = datetime.datetime(2024, 3, 1, 12, 0, 0)
+
+
+def _digest_refresh(spark, d):
+    """Stored digests brought up to date from the days' kept state.
+
+    By day number modulo 5: 0 nothing has happened; 1 error rows have been
+    deleted; 2 click rows have been re-tagged; 3 the digest has expired; 4 there
+    is none. The day after the last is asked for, too, and has no rows.
+    """
+    gen = enrich.LineCounter()
+    number = F.date_diff("date", F.lit("1970-01-01").cast("date")) % 5
+    rows = src.feedback_from_tables(spark, d, keep=("event_type",)).withColumn("date", F.to_date("created_at"))
+    gone = (number == 1) & (F.col("ev_event_type") == "error")
+    tagged = (number == 2) & (F.col("ev_event_type") == "click")
+    retag = rows.withColumn("tag", F.when(tagged, F.lit("Praise")).otherwise(F.col("tag")))
+    now_rows = retag.where(~gone)
+    before = digests.digest_state(rows)
+    state = digests.add_day_states(before.unionByName(digests.day_state_delta(rows.where(gone | tagged), retag.where(tagged))))
+    first = digests.refresh_digests(rows, None, gen, DIGEST_NOW, state=before).where(number != 4)
+    age = F.when(number == 3, F.lit(30)).otherwise(F.lit(1))
+    path = _scratch(spark, "digests")
+    digests.write_digests(first.withColumn("generated_at", F.timestamp_add("HOUR", -age, F.col("generated_at"))), path)
+    prior = spark.read.parquet(path)
+    days = before.select("date")
+    asked = days.unionByName(days.agg(F.date_add(F.max("date"), 1).alias("date")))
+    digests.write_digests(digests.refresh_digests(now_rows, prior, gen, DIGEST_NOW, dates=asked, state=digests.days_with_rows(state)), path)
+    spark.catalog.refreshByPath(path)
+    res = spark.read.parquet(path)
+    return res.select("date", "summary", "count", F.col("row_fingerprint").cast("string").alias("row_fingerprint"), F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"))
+
+
+def _result_output(spark, d):
+    """The summary counts written as JSON lines and read back."""
+    path = _scratch(spark, "result")
+    sinks.write_result(rollups.summary_counts(_fb(spark, d)), path, "json")
+    return spark.read.schema("section string, key string, count long").json(path)
+
+
 def _similar_items(spark, d):
     fb = _fb(spark, d)
     return library.similar_items(fb, library.urgency_impact(fb))
@@ -169,6 +258,12 @@ _QUERIES: dict[str, Query] = {
     "classify_pending": _classify_pending,
     "normalize_analysis": lambda s, d: normalize_analysis(_fb(s, d, raw=True).select("id", "raw_response")).drop("raw_response"),
     "snapshot_fold": lambda s, d: changes.snapshot(src.change_log_from_tables(s, d)),
+    "stream_snapshot": _stream_snapshot,
+    "stream_rollups": _stream_rollups,
+    "stream_digest_state": _stream_digest_state,
+    "stream_ingest": _stream_ingest,
+    "digest_refresh": _digest_refresh,
+    "result_output": _result_output,
     "ingest_feedback": _ingest,
     "parse_changes": _changes,
     "ingest_to_snapshot": _ingest_to_snapshot,

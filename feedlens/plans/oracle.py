@@ -6,6 +6,8 @@ feedback view is inlined as a CTE; column names equal the Spark results.
 
 from __future__ import annotations
 
+import datetime
+
 from feedlens.plans import catalog as C
 
 _WS = r"[\t\n\x{000B}\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -271,6 +273,53 @@ def _snapshot() -> str:
 HAVING max(CASE WHEN op = 'insert' THEN 1 END) = 1 AND max(CASE WHEN op = 'delete' THEN 1 END) IS NULL"""
 
 
+_FINGERPRINT = ("bit_xor(CAST('0x' || substr(md5(concat_ws('|', CAST(id AS VARCHAR), coalesce(tag, '-'), "
+                "strftime(created_at, '%Y-%m-%d %H:%M:%S.%f'), coalesce(text, ''))), 1, 15) AS BIGINT))")
+
+
+def _of_snapshot(sql: str) -> str:
+    """``sql`` over the folded log as ``snap``."""
+    body = _snapshot().replace("\nSELECT id,", ",\nsnap AS (SELECT id,", 1)
+    return body + ")\n" + sql
+
+
+def _stream_ingest() -> str:
+    """Accepted requests with the keyword tag; ids are dense from 1, in any order."""
+    return _ingest().replace("\nSELECT conv_id, turn, CASE WHEN", ", q AS (SELECT conv_id, turn, CASE WHEN", 1).replace("\nFROM raw", "\nFROM raw)", 1) + f""",
+a AS (SELECT * FROM q WHERE reject_reason IS NULL)
+SELECT text, source, channel, severity_hint, user_tier, {_kw_tag('a.text')} AS tag, 0.0::DOUBLE AS sentiment, 0.2::DOUBLE AS urgency_score, '' AS summary,
+  'To Do' AS status, CAST(1 AS BIGINT) AS first_id, (SELECT count(*) FROM a) AS last_id, (SELECT count(*) FROM a) AS ids FROM a"""
+
+
+def _digest_refresh() -> str:
+    """Each day's digest from its rows before or after the changes, whichever a refresh leaves."""
+    def lines(name, rows):
+        return f"""{name} AS (SELECT date, concat(CAST(date AS VARCHAR), ': ', CAST(sum(len(string_split(line, chr(10)))) AS VARCHAR), ' items, ',
+    CAST(sum(length(line)) + count(*) - 1 AS VARCHAR), ' characters') AS summary FROM (
+  SELECT date, concat(CAST(row_number() OVER (PARTITION BY date ORDER BY created_at DESC, id DESC) AS VARCHAR), '. [',
+    coalesce(nullif(tag, ''), 'Unknown'), '] ', coalesce(text, '')) AS line FROM {rows}) GROUP BY date)"""
+
+    def state(name, rows):
+        return f"{name} AS (SELECT date, count(*) AS count, {_FINGERPRINT} AS row_fingerprint FROM {rows} GROUP BY date)"
+    now, old = f"{C.DIGEST_NOW:%Y-%m-%d %H:%M:%S}", f"{C.DIGEST_NOW - datetime.timedelta(hours=1):%Y-%m-%d %H:%M:%S}"
+    return W("r0 AS (SELECT f.id, f.tag, f.text, f.created_at, e.event_type, CAST(f.created_at AS DATE) AS date, "
+             "(CAST(f.created_at AS DATE) - DATE '1970-01-01') % 5 AS k FROM feedback f JOIN events e ON e.event_id = f.id)",
+             "r1 AS (SELECT id, CASE WHEN k = 2 AND event_type = 'click' THEN 'Praise' ELSE tag END AS tag, text, created_at, date "
+             "FROM r0 WHERE NOT (k = 1 AND event_type = 'error'))",
+             state("s0", "r0"), state("s1", "r1"), lines("l0", "r0"), lines("l1", "r1"),
+             "days AS (SELECT DISTINCT date, k FROM r0)",
+             """stale AS (SELECT days.date, k IN (3, 4) OR s0.count IS DISTINCT FROM s1.count OR s0.row_fingerprint IS DISTINCT FROM s1.row_fingerprint AS stale
+  FROM days LEFT JOIN s0 USING (date) LEFT JOIN s1 USING (date))""") + f"""
+SELECT CAST(date AS VARCHAR) AS date,
+  CASE WHEN NOT stale THEN l0.summary ELSE coalesce(l1.summary, 'No feedback received on ' || CAST(date AS VARCHAR) || '.') END AS summary,
+  CASE WHEN NOT stale THEN s0.count ELSE coalesce(s1.count, 0) END AS count,
+  CAST(CASE WHEN NOT stale THEN s0.row_fingerprint ELSE s1.row_fingerprint END AS VARCHAR) AS row_fingerprint,
+  CASE WHEN stale THEN '{now}' ELSE '{old}' END AS generated_at
+FROM stale LEFT JOIN s0 USING (date) LEFT JOIN s1 USING (date) LEFT JOIN l0 USING (date) LEFT JOIN l1 USING (date)
+UNION ALL SELECT d, 'No feedback received on ' || d || '.', 0, NULL, '{now}'
+FROM (SELECT CAST(CAST(max(date) + 1 AS DATE) AS VARCHAR) AS d FROM days)"""
+
+
 # digest lines: number per creation day (newest first) and the weight of the
 # day's earlier lines, which cuts a busy day into bounded prompts
 _DIGEST_LINES = ("n AS (SELECT CAST(created_at AS DATE) AS date, tag, text, row_number() OVER ("
@@ -382,6 +431,15 @@ FROM (SELECT mi, unnest(generate_series(0, CAST(ceil((epoch_us(ma) - epoch_us(mi
                               "CAST(0.2 AS DOUBLE) AS urgency_score, '' AS summary FROM feedback WHERE analyzed_at IS NULL",
     "normalize_analysis": _normalize(),
     "snapshot_fold": _snapshot(),
+    "stream_snapshot": _snapshot(),
+    "stream_rollups": _of_snapshot(f"""SELECT 'tag_counts' AS rollup, tag AS key1, CAST(NULL AS VARCHAR) AS key2, count(*) AS count FROM snap WHERE tag IS NOT NULL GROUP BY tag
+UNION ALL SELECT 'sentiment_counts', {_BUCKET}, NULL, count(*) FROM snap WHERE sentiment IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'status_timeline', CAST(CAST(updated_at AS DATE) AS VARCHAR), status, count(*) FROM snap GROUP BY 2, 3"""),
+    "stream_digest_state": _of_snapshot(f"SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS date, count(*) AS count, {_FINGERPRINT} AS row_fingerprint FROM snap GROUP BY 1"),
+    "stream_ingest": _stream_ingest(),
+    "digest_refresh": _digest_refresh(),
+    "result_output": W() + f"""SELECT 'tag' AS section, tag AS key, count(*) AS count FROM feedback WHERE tag IS NOT NULL GROUP BY tag
+UNION ALL SELECT 'sentiment' AS section, {_BUCKET} AS key, count(*) AS count FROM feedback WHERE sentiment IS NOT NULL GROUP BY 2""",
     "ingest_feedback": _ingest(),
     "parse_changes": _changes(),
     "ingest_to_snapshot": _ingest_to_snapshot(),
