@@ -295,8 +295,10 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
 
 
 # ---- E6: ranked similarity search ------------------------------------------------------
-#: Rows of a corpus slice and queries of a block that meet in one task.
-SLICE_ROWS, QUERY_ROWS = 16_384, 1_024
+#: Rows of a corpus slice and queries of a block that meet in one task; most cells that the corpus is dealt into.
+SLICE_ROWS, QUERY_ROWS, MAX_CELLS = 16_384, 1_024, 4_096
+#: What rounding may take from a bound on a cosine.
+_SLACK = 1e-6
 
 
 def _unit(vectors) -> np.ndarray:
@@ -305,40 +307,126 @@ def _unit(vectors) -> np.ndarray:
     return m / np.where(n == 0, 1, n)[:, None]
 
 
-def similar_texts(corpus: DataFrame, queries: DataFrame, k: int = 10, vec_col: str = "embedding",
-                  id_col: str = "vec_id", query_id_col: str = "query_id", query_vec_col: str = "embedding") -> DataFrame:
-    """For each query vector the ``k`` most cosine-similar corpus rows:
-    (query_id, rank, id, score).
+class Cells:
+    """The corpus dealt into cells around pivots, each row to its nearest; a cell's widest angle bounds the cosines in it.
 
-    The corpus is dealt by id into slices and the queries into blocks; a task
-    holds one slice and one block, of bounded size whatever the tables, and
-    keeps the best ``k`` of its slice per query. The slices' winners are ranked
-    per query. Nothing passes through the driver but the two row counts.
+    Pivots are corpus rows drawn by a hash of the id, one for about
+    ``SLICE_ROWS`` rows and at most ``MAX_CELLS``, so they and the cells' angles
+    may pass through the driver. Zero vectors are a cell of their own (-1).
+    ``rows`` is a stored table (id, v, cell, part); a part has about ``SLICE_ROWS`` rows.
     """
-    kk = int(k)
-    n, m = corpus.count(), queries.count()
-    slices, blocks = max(1, -(-n // SLICE_ROWS)), max(1, -(-m // QUERY_ROWS))
-    rows = (corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-            .withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    asked = (queries.select(F.col(query_id_col).alias("qid"), F.col(query_vec_col).alias("qv"))
-             .withColumn("q_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-             .withColumn("q_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
 
+    def __init__(self, corpus: DataFrame, slice_rows: int):
+        n = corpus.count()
+        cells = min(MAX_CELLS, max(1, -(-n // slice_rows)))
+        drawn = corpus.orderBy(F.xxhash64("id"), "id").limit(cells).select("v").collect()
+        pivots = _unit([r.v for r in drawn]) if drawn else np.zeros((0, 1))
+        self.pivots = pivots
+
+        def deal(batches):
+            for pdf in batches:
+                if len(pdf):
+                    u = _unit(pdf["v"])
+                    c = u @ pivots.T
+                    near = c.argmax(axis=1)
+                    empty = ~u.any(axis=1)
+                    yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": np.where(empty, -1, near).astype(np.int32),
+                                        "near": np.where(empty, 0.0, c[np.arange(len(u)), near])})
+
+        dealt = written(corpus.mapInPandas(deal, "id long, v array<double>, cell int, near double"), "cells")
+        sizes = frozen(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("least")))
+        self.cells = [(r.cell, r.least) for r in sizes.collect()]  # at most MAX_CELLS + 1
+        parts = sizes.select(F.col("cell").alias("p_cell"), F.ceil(F.col("n") / slice_rows).cast("int").alias("parts"))
+        self.rows = dealt.join(F.broadcast(parts), F.col("cell") == F.col("p_cell")).select(
+            "id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+        self.parts = parts
+
+
+def cell_bounds(u: np.ndarray, pivots: np.ndarray, cells: list[tuple[int, float]]) -> np.ndarray:
+    """Upper bound of the cosine of each unit query with any row of each of ``cells`` (number, least cosine to its pivot)."""
+    out = np.zeros((len(u), len(cells)))
+    idle = ~u.any(axis=1)
+    for j, (cell, least) in enumerate(cells):
+        if cell >= 0:
+            angle = np.arccos(np.clip(u @ pivots[cell], -1, 1)) - np.arccos(np.clip(least, -1, 1))
+            out[:, j] = np.where(idle, 0.0, np.cos(np.clip(angle, 0, np.pi)))
+    return out + _SLACK
+
+
+def _best_of(k: int):
     def best(own: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(q):
             own = own.sort_values("id")  # equal scores: the smaller id first
             ids, scores = own["id"].to_numpy(), _unit(own["v"]) @ _unit(q["qv"]).T
             for j, qid in enumerate(q["qid"]):
-                top = np.argsort(-scores[:, j], kind="stable")[:kk]
+                top = np.argsort(-scores[:, j], kind="stable")[:k]
                 out.append(pd.DataFrame({"query_id": qid, "id": ids[top], "score": scores[top, j]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
+    return best
+
+
+def _visited(cells: Cells, visits: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the best ``k`` of each part of the cells that ``visits`` (qid, qv, block, cell) names."""
+    blocks = visits.groupBy(F.col("cell").alias("b_cell")).agg(F.collect_set("block").alias("blocks"))
+    rows = cells.rows.join(blocks, F.col("cell") == F.col("b_cell")).select("id", "v", "cell", "part", F.explode("blocks").alias("block"))
+    asked = visits.join(F.broadcast(cells.parts), F.col("cell") == F.col("p_cell")).select(
+        "qid", "qv", F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q_part"))
+    return (rows.groupBy("cell", "part", "block").cogroup(asked.groupBy("q_cell", "q_part", "q_block"))
+            .applyInPandas(_best_of(k), "query_id long, id long, score double"))
+
+
+def cells_to_visit(cells: Cells, asked: DataFrame, first: bool) -> DataFrame:
+    """(qid, qv, block, cell) for each query of ``asked`` (qid, qv, block, kth): with ``first`` the cell of highest bound,
+    else the others whose bound reaches ``kth``."""
+    names, pivots, known = np.array([c for c, _ in cells.cells], dtype=np.int32), cells.pivots, cells.cells
+
+    def pick(batches):
+        for pdf in batches:
+            if len(pdf) and len(names):
+                high = cell_bounds(_unit(pdf["qv"]), pivots, known)
+                top = high.argmax(axis=1)
+                if first:
+                    q, c = np.arange(len(pdf)), top
+                else:
+                    reach = high >= pdf["kth"].to_numpy()[:, None]
+                    reach[np.arange(len(pdf)), top] = False
+                    q, c = np.nonzero(reach)
+                yield pdf.iloc[q].assign(cell=names[c])[["qid", "qv", "block", "cell"]]
+
+    return asked.mapInPandas(pick, "qid long, qv array<double>, block int, cell int")
+
 
-    found = (rows.groupBy("slice", "block").cogroup(asked.groupBy("q_slice", "q_block"))
-             .applyInPandas(best, "query_id long, id long, score double"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc()))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= kk).select("query_id", "rank", "id", "score")
+def similar_texts(corpus: DataFrame, queries: DataFrame, k: int = 10, vec_col: str = "embedding",
+                  id_col: str = "vec_id", query_id_col: str = "query_id", query_vec_col: str = "embedding",
+                  slice_rows: int | None = None) -> DataFrame:
+    """For each query vector the ``k`` most cosine-similar corpus rows:
+    (query_id, rank, id, score).
+
+    Exact, without looking everywhere: the corpus is dealt into cells around
+    pivots (``Cells``); a query first visits the cell that promises most, which
+    gives it a k-th score, and then only the cells whose bound - the cosine of
+    its angle to the pivot less the cell's widest angle - reaches that. A task
+    holds one part of a cell and one block of the queries that visit it, of
+    bounded size whatever the tables. Rows and queries without a vector take
+    no part; query ids are unique.
+    """
+    kk = int(k)
+    vectors = lambda df, i, v, names: df.select(F.col(i).cast("long").alias(names[0]), F.col(v).cast("array<double>").alias(names[1])).where(
+        F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull())
+    cells = Cells(vectors(corpus, id_col, vec_col, ("id", "v")), slice_rows or SLICE_ROWS)
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    asked = vectors(queries, query_id_col, query_vec_col, ("qid", "qv")).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(
+        Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())).cast("long")).where(F.col("rank") <= kk)
+    found = _visited(cells, cells_to_visit(cells, asked, True), kk)
+    if len(cells.cells) <= 1:  # the first visit has seen all
+        return ranked(found).select("query_id", "rank", "id", "score")
+    found = frozen(found)
+    kth = ranked(found).where(F.col("rank") == kk).select(F.col("query_id").alias("k_id"), F.col("score").alias("k_score"))
+    left = asked.join(kth, F.col("qid") == F.col("k_id"), "left").withColumn("kth", F.coalesce("k_score", F.lit(-2.0)))
+    rest = _visited(cells, cells_to_visit(cells, left.select("qid", "qv", "block", "kth"), False), kk)
+    return ranked(found.unionByName(rest)).select("query_id", "rank", "id", "score")
 
 
 def label_centroids(emb: DataFrame, vec_col: str = "embedding", label_col: str = "label") -> DataFrame:

@@ -10,6 +10,7 @@ tie-break so results are deterministic.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from feedlens import schema as S
 from feedlens.functions.scalars import bubble_xyr, day, fixed, impact, label_or, mood5, sentiment_class, sentiment_pct, to_minute
 from feedlens.plans.ranking import prefix_sum_within
+from feedlens.session import frozen
 from feedlens.sources.feedback import PARTITION_COLUMN
 
 # Columns of the library view, search and urgency lists, in order. Fixed values.
@@ -288,35 +290,58 @@ def drill_down(df: DataFrame, point_id: int) -> DataFrame:
     return df.where(conds).select("id")
 
 
-def similar_items(df: DataFrame, points: DataFrame) -> DataFrame:
-    """J2 for several points at once: (point_id, id) of the rows sharing each
-    point's (status, tag, tier), a missing value being no filter.
+class SimilarItems:
+    """J2 for many points, factorised: which rows share a point's status, tag and tier depends on these three alone.
+
+    Points and rows fall into classes by the three values; a missing value of a
+    point is no filter. What is stored is membership and the links between
+    classes, so it grows with points plus rows (classes are bounded by the
+    vocabularies); pairs are made only where ``pairs`` is asked for them.
 
-    Points are split by which of the three columns they filter on (at most 8
-    kinds); each kind is one equi-join on just those columns, so rows are
-    offered once per kind that occurs and never under a wildcard key. A point
-    without any filter lists all rows.
+    - ``points``: (point_id, point_class, similar), the number of rows similar to each point;
+    - ``rows``: (id, row_class);
+    - ``links``: (point_class, row_class, rows).
+
+    A class is named by its values as JSON, missing ones left out. Classes are
+    linked by one equi-join per set of columns that occurs as a filter (at
+    most 8); the class without a filter is linked to all.
     """
-    keys = (points.select(F.col("id").alias("point_id")).join(df.select("id", *_DRILL_KEYS), F.col("point_id") == F.col("id"))
-            .select("point_id", *[F.nullif(F.col(c), F.lit("")).alias(f"k_{c}") for c in _DRILL_KEYS]))
-    kind = F.concat(*[F.col(f"k_{c}").isNotNull().cast("int").cast("string") for c in _DRILL_KEYS])
-    keys = keys.withColumn("kind", kind)
-    rows, parts = df.select("id", *_DRILL_KEYS), []
-    for k in sorted(r[0] for r in keys.select("kind").distinct().collect()):
-        used = [c for c, on in zip(_DRILL_KEYS, k) if on == "1"]
-        own = keys.where(F.col("kind") == k)
-        if used:
-            cond = F.lit(True)
-            for c in used:
-                cond = cond & (F.col(c) == F.col(f"k_{c}"))
-            parts.append(rows.join(own, cond).select("point_id", "id"))
-        else:  # every row, once per such point
-            ids = own.select(F.collect_list("point_id")).scalar()
-            parts.append(rows.select(F.explode(ids).alias("point_id"), "id"))
-    out = parts[0] if parts else rows.select(F.col("id").alias("point_id"), "id").where(F.lit(False))
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def __init__(self, df: DataFrame, points: DataFrame):
+        keys = df.select("id", *_DRILL_KEYS)
+        self.rows = keys.select("id", F.to_json(F.struct(*_DRILL_KEYS)).alias("row_class"))
+        asked = points.select(F.col("id").alias("point_id")).join(keys, F.col("point_id") == F.col("id")).select(
+            "point_id", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in _DRILL_KEYS])
+        members = asked.select("point_id", F.to_json(F.struct(*_DRILL_KEYS)).alias("point_class"))
+        row_classes = frozen(keys.groupBy(*_DRILL_KEYS).agg(F.count(F.lit(1)).alias("rows")).withColumn("row_class", F.to_json(F.struct(*_DRILL_KEYS))))
+        filters = F.concat(*[F.col(c).isNotNull().cast("int").cast("string") for c in _DRILL_KEYS])
+        wanted = frozen(asked.select(*_DRILL_KEYS).distinct().select(
+            *[F.col(c).alias(f"k_{c}") for c in _DRILL_KEYS], F.to_json(F.struct(*_DRILL_KEYS)).alias("point_class"), filters.alias("kind")))
+        parts = []
+        for kind in sorted(r[0] for r in wanted.select("kind").distinct().collect()):
+            used = [c for c, on in zip(_DRILL_KEYS, kind) if on == "1"]
+            if used:
+                same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"k_{c}") for c in used])
+                parts.append(row_classes.join(wanted.where(F.col("kind") == kind), same).select("point_class", "row_class", "rows"))
+            else:  # one class
+                parts.append(row_classes.select(F.lit("{}").alias("point_class"), "row_class", "rows"))
+        none = row_classes.select(F.lit("").alias("point_class"), "row_class", "rows").where(F.lit(False))
+        self.links = reduce(DataFrame.unionByName, parts, none)
+        totals = self.links.groupBy(F.col("point_class").alias("t_class")).agg(F.sum("rows").alias("similar"))
+        self.points = members.join(totals, F.col("point_class") == F.col("t_class")).select("point_id", "point_class", "similar")
+
+    def pairs(self, points: DataFrame | None = None) -> DataFrame:
+        """(point_id, id) of the rows similar to each point, of ``points`` (a frame with ``point_id``) alone if given."""
+        own = self.points if points is None else self.points.join(points.select("point_id"), "point_id", "left_semi")
+        met = own.select("point_id", "point_class").join(self.links.select("point_class", "row_class"), "point_class")
+        return met.join(self.rows, "row_class").select("point_id", "id")
+
+
+def similar_items(df: DataFrame, points: DataFrame) -> DataFrame:
+    """J2 for several points at once: (point_id, id) of the rows sharing each
+    point's (status, tag, tier), a missing value being no filter. All pairs;
+    ``SimilarItems`` has them factorised."""
+    return SimilarItems(df, points).pairs()
 
 
 def lookup(df: DataFrame, ids: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -187,6 +187,12 @@ def _similar_items(spark, d):
     return library.similar_items(fb, library.urgency_impact(fb))
 
 
+def _similar_classes(spark, d):
+    """All rows as points: how many rows each is similar to."""
+    fb = _fb(spark, d)
+    return library.SimilarItems(fb, fb).points
+
+
 def _search_lookup(spark, d):
     fb = _fb(spark, d, text=True)
     return library.lookup(fb, library.search_text(fb, SEARCH_Q), ["id", "status", "user_tier", "updated_at"])
@@ -268,6 +274,7 @@ _QUERIES: dict[str, Query] = {
     "parse_changes": _changes,
     "ingest_to_snapshot": _ingest_to_snapshot,
     "similar_items": _similar_items,
+    "similar_classes": _similar_classes,
     "stakeholder_rollup": lambda s, d: rollups.stakeholder_rollup(_fb(s, d)),
     "mood_bands": lambda s, d: rollups.mood_bands(_fb(s, d)),
     "daily_digest_prompt": lambda s, d: enrich.digest_lines(_fb(s, d, text=True)),

@@ -447,6 +447,15 @@ UNION ALL SELECT 'sentiment' AS section, {_BUCKET} AS key, count(*) AS count FRO
                        "k AS (SELECT u.id AS point_id, f.status, f.tag, f.user_tier FROM u JOIN feedback f ON f.id = u.id)") +
     """SELECT k.point_id, f.id FROM k JOIN feedback f ON (coalesce(k.status, '') = '' OR f.status = k.status)
   AND (coalesce(k.tag, '') = '' OR f.tag = k.tag) AND (coalesce(k.user_tier, '') = '' OR f.user_tier = k.user_tier)""",
+    "similar_classes": W("c AS (SELECT status, tag, user_tier, count(*) AS n FROM feedback GROUP BY ALL)",
+                         """p AS (SELECT k.status, k.tag, k.user_tier, sum(c.n) AS n FROM (SELECT status, tag, user_tier FROM c) k
+  JOIN c ON (coalesce(k.status, '') = '' OR c.status = k.status) AND (coalesce(k.tag, '') = '' OR c.tag = k.tag)
+  AND (coalesce(k.user_tier, '') = '' OR c.user_tier = k.user_tier) GROUP BY ALL)""") +
+    """SELECT f.id AS point_id, concat('{', array_to_string(list_filter([
+    CASE WHEN coalesce(f.status, '') <> '' THEN concat('"status":"', f.status, '"') END, CASE WHEN coalesce(f.tag, '') <> '' THEN concat('"tag":"', f.tag, '"') END,
+    CASE WHEN coalesce(f.user_tier, '') <> '' THEN concat('"user_tier":"', f.user_tier, '"') END], lambda x: x IS NOT NULL), ','), '}') AS point_class,
+  CAST(p.n AS BIGINT) AS similar
+FROM feedback f JOIN p ON f.status IS NOT DISTINCT FROM p.status AND f.tag IS NOT DISTINCT FROM p.tag AND f.user_tier IS NOT DISTINCT FROM p.user_tier""",
     "stakeholder_rollup": W() + """SELECT CASE WHEN user_tier IN ('free', 'pro', 'business', 'enterprise') THEN 'External'
   WHEN user_tier IN ('dev', 'developer', 'tester', 'team lead', 'manager') THEN 'Internal' ELSE 'Unknown' END AS stakeholder,
   coalesce(nullif(user_tier, ''), 'unknown') AS tier, count(*) AS count, round(avg(sentiment), 6) AS mean_sentiment
