@@ -69,3 +69,14 @@ def held_out(doc_id: Column) -> Column:
 def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     """Join condition left[k] <=> right[v] for all pairs of ``keys``."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[v]) for k, v in keys.items()])
+
+
+def set_aside(df: DataFrame, prefix: str | tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns that begin with a helper column's ``prefix`` renamed, and the new names by the old ones;
+    ``put_back`` undoes it. So no name of the caller's meets one of the helpers'."""
+    away = {c: f"in:{c}" for c in df.columns if c.startswith(prefix)}
+    return df.withColumnsRenamed(away), away
+
+
+def put_back(df: DataFrame, away: dict[str, str]) -> DataFrame:
+    return df.withColumnsRenamed({new: old for old, new in away.items()})

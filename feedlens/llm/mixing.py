@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import frozen, null_safe, word_count
+from feedlens.llm.common import frozen, null_safe, put_back, set_aside, word_count
 from feedlens.plans.ranking import row_number_within
 
 BUCKET_BITS = 12
+#: Helper columns begin so.
+_HELPERS = ("_mx_", "_e_", "_p_")
 #: The plan (a row of numbers per source) is broadcast up to so many sources; beyond, rows are joined by source.
 BROADCAST_SOURCES = 10_000
 
@@ -68,9 +70,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ends takes only a part. Repeated rows are separate documents; rows that
     also share the id take their places in the order by size. Empty tables
     give an empty result, sources without words a target of 0. Columns of
-    ``docs`` that have the names in ``out`` are replaced. Reruns agree: the
-    order depends on the seed and the ids only.
+    ``docs`` that have the names in ``out`` are replaced, all others stay,
+    whatever their names. Reruns agree: the order depends on the seed and the ids only.
     """
+    docs, away = set_aside(docs, _HELPERS)
+    id_col, text_col, source_col = (away.get(c, c) for c in (id_col, text_col, source_col))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.withColumns({"_mx_source": F.col(source_col), "_mx_size": word_count(F.col(text_col)),
                              "_mx_order": order,
@@ -107,11 +111,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                                             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ending = planned.filter(at_end).withColumn(
         "_mx_last", F.greatest(F.lit(0), F.least(F.col("_mx_size"), F.col("_mx_extra") - F.col("_mx_before") - run)))
-    size, source_size, target, taken = out
+    size, source_size, target, taken = (away.get(c, c) for c in out)
     res = outside.unionByName(ending).withColumns({
         size: F.col("_mx_size"), source_size: F.col("_mx_total"), target: F.col("_mx_target"),
         taken: F.col("_mx_whole") * F.col("_mx_size") + F.col("_mx_last").cast("long")})
-    return res.drop(*[c for c in res.columns if c.startswith(("_mx_", "_e_", "_p_"))])
+    return put_back(res.drop(*[c for c in res.columns if c.startswith(_HELPERS)]), away)
 
 
 def repeated(docs: DataFrame, size: str = "size", taken: str = "taken") -> DataFrame:
@@ -119,6 +123,8 @@ def repeated(docs: DataFrame, size: str = "size", taken: str = "taken") -> DataF
     one more where it takes half or more of the words of the last one. Documents
     without words (null, empty or blank texts) have no words to take and are removed,
     whatever the target of their source."""
+    docs, away = set_aside(docs, _HELPERS)
+    size, taken = away.get(size, size), away.get(taken, taken)
     n = F.when(F.col(size) > 0, F.floor(F.col(taken) / F.col(size) + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
-    return (docs.withColumn("_mx_times", n).filter(F.col("_mx_times") > 0)
-            .withColumn("_mx_i", F.explode(F.sequence(F.lit(1), F.col("_mx_times")))).drop("_mx_times", "_mx_i"))
+    times = docs.withColumn("_mx_times", n).filter(F.col("_mx_times") > 0)
+    return put_back(times.withColumn("_mx_i", F.explode(F.sequence(F.lit(1), F.col("_mx_times")))).drop("_mx_times", "_mx_i"), away)

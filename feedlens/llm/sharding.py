@@ -16,12 +16,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import frozen
+from feedlens.llm.common import frozen, put_back, set_aside
 from feedlens.plans.ranking import row_number_within
 
 HASH_BITS = 60
 #: Cells are so many bits deeper than the average shard, and deeper again for each further round.
 CELL_BITS = 4
+#: Helper columns begin so.
+_HELPERS = ("_sh_", "_b_")
 
 
 def doc_hash(id_col: str, text_col: str) -> Column:
@@ -64,8 +66,10 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
     Rows that repeat id and text share their hash: if they exceed the limit
     together, they fill overflow shards (``.1``, ``.2``, ... behind the name)
     one after another. Columns of ``docs`` that have the names in ``out`` are
-    replaced.
+    replaced, all others stay, whatever their names.
     """
+    docs, away = set_aside(docs, _HELPERS)
+    id_col, text_col = away.get(id_col, id_col), away.get(text_col, text_col)
     rows = docs.withColumns({"_sh_h": doc_hash(id_col, text_col),
                              "_sh_n": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")})
     total = rows.agg(F.sum("_sh_n")).first()[0] or 0
@@ -90,7 +94,7 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
     for part in parts[1:]:
         placed = placed.unionByName(part)
     bits = F.when(F.col("_sh_depth") > 0, F.expr(f"lpad(bin(shiftright(_sh_h, {HASH_BITS} - _sh_depth)), _sh_depth, '0')")).otherwise(F.lit(""))
-    name, deep, size = out
+    name, deep, size = (away.get(c, c) for c in out)
     if all(found.filter("_sh_over").isEmpty() for _, _, found in done):
         placed = placed.withColumn("_sh_page", F.lit(0))
     else:
@@ -101,4 +105,4 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: s
     res = placed.withColumns({
         name: F.concat(F.lit("s"), bits, F.when(F.col("_sh_page") > 0, F.concat(F.lit("."), F.col("_sh_page").cast("string"))).otherwise(F.lit(""))),
         deep: F.col("_sh_depth").cast("int"), size: F.col("_sh_n")})
-    return res.drop(*[c for c in res.columns if c.startswith("_sh_")])
+    return put_back(res.drop(*[c for c in res.columns if c.startswith(_HELPERS)]), away)

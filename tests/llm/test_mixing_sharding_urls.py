@@ -143,3 +143,46 @@ def test_rule_ties_and_empties(spark):
     assert judge([(None, "/", "block"), ("b", None, "block")]) == "allow"
     assert judge([]) == "allow"
     assert urlfilter.judge_urls(df.limit(0), spark.createDataFrame(RULES, schema)).count() == 0
+
+
+def test_columns_named_like_helpers_stay(spark):
+    df = spark.createDataFrame([(i, "w " * i, "ab"[i % 2], "p", "e", 7, "s", "b") for i in range(1, 9)],
+                               "doc_id long, text string, source string, _p_lang string, _e_x string, _mx_size int, _sh_h string, _b_d string")
+    kept = lambda r: (r["_p_lang"], r["_e_x"], r["_mx_size"], r["_sh_h"], r["_b_d"])
+    mixed = mixing.mix(df)
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix(df.select("doc_id", "text", "source")).collect()}
+    assert mixed.columns[:8] == df.columns and all(kept(r) == ("p", "e", 7, "s", "b") and r["taken"] == plain[r["doc_id"]] for r in mixed.collect())
+    assert mixing.repeated(mixed).columns == mixed.columns and mixing.repeated(mixed).count() > 0
+    shards = sharding.shard(df, 20)
+    assert shards.columns[:8] == df.columns and all(kept(r) == ("p", "e", 7, "s", "b") for r in shards.collect()) and shards.count() == 8
+    renamed = df.withColumnsRenamed({"doc_id": "_sh_id", "text": "_p_text", "source": "_mx_source"})
+    assert {r["_sh_id"]: r["taken"] for r in mixing.mix(renamed, "_sh_id", "_p_text", "_mx_source").collect()} == plain
+    assert sorted(r["shard"] for r in sharding.shard(renamed, 20, "_sh_id", "_p_text").collect()) == sorted(r["shard"] for r in shards.collect())
+
+
+def test_rules_are_joined_by_prefix_alone(spark):
+    import re
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    plan = urlfilter.candidates(df.select(urlfilter.url_host(df["url"]).alias("_u_host"), urlfilter.url_path(df["url"]).alias("_u_path")),
+                                urlfilter.with_digests(spark.createDataFrame(RULES, "host string, path string, verdict string")))._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Join \[([^\]]*)\], \[([^\]]*)\]", plan)
+    assert keys and all(re.fullmatch(r"_key#\d+", a) and re.fullmatch(r"_r_key#\d+", b) for a, b in keys)
+    sent = [e for e in re.findall(r"\+- Project \[([^\]]*_key#[^\]]*)\]", plan) if "_u_host" in e]
+    assert sent and all("digest" not in e.split("AS")[0] for e in sent)
+
+
+def test_prefixes_that_meet_are_told_apart_by_the_digest(spark, monkeypatch):
+    """Prefixes of no characters: every expression meets every rule, the digest decides."""
+    monkeypatch.setattr(urlfilter, "PREFIX_HEX", 1)
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(df, rules).collect()}
+    assert got == {i: slow_verdict(u) for i, u in enumerate(URLS)}
+
+
+def test_rule_paths_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "LENGTHS_AT_ONCE", 3)
+    rules = spark.createDataFrame([("a.b", "/" + "x" * n, "block" if n % 2 else "allow") for n in range(10)], "host string, path string, verdict string")
+    df = spark.createDataFrame([(n, "http://c.a.b/" + "x" * n) for n in range(14)], "page_id long, url string")
+    got = {r["page_id"]: r["rule"] for r in urlfilter.judge_urls(df, rules).collect()}
+    assert got == {n: "a.b/" + "x" * min(n, 9) for n in range(14)}
