@@ -31,10 +31,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.common import frozen, put_back, set_aside
 from feedlens.llm.urlfilter import url_host
 
 #: A branch is judged if so many pages of its host have it, and removed below this importance.
 MIN_SEEN, LEAST_IMPORTANCE = 8, 0.2
+#: Bytes of the low branches of all hosts up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Weight of the content's entropy; the presentation's has the rest.
 CONTENT_WEIGHT = 0.9
 
@@ -45,7 +48,7 @@ RAW = set("script style noscript iframe textarea title".split())
 EMBEDDED = set("template svg math object canvas audio video select".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span"
              " strike strong sub sup time tt u var wbr".split())
-NO_CONTENT = set("head nav header footer aside form button dialog menu label fieldset legend optgroup option datalist".split()) | RAW | EMBEDDED
+NO_CONTENT = set("head nav header footer aside form fieldset button dialog menu label legend optgroup option datalist".split()) | RAW | EMBEDDED
 LANDMARK_ROLES = {"main", "article"}
 #: Headings, items and cells: without a class or id they are judged as a part of the branch that holds them.
 PARTS = set("h1 h2 h3 h4 h5 h6 li dt dd tr td th caption".split())
@@ -60,10 +63,12 @@ NO_CONTENT_NAMES = set(
     " cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe"
     " subscription signup login form search searchbox pagination pager copyright disclaimer skip".split())
 COMMENT_NAMES = set("comment comments commentlist reply replies respond discussion disqus".split())
-#: A name with one of these says how comments are set on what has it, not that it is one.
-STATE_NAMES = set("has have with without no not open opened closed enabled disabled allow allowed is can".split())
+#: A name with one of these says how something is set on what has it, not that it is one.
+STATE_NAMES = set("has have with without no not non free open opened closed enabled disabled allow allowed is can".split())
+#: Inside an article, what has these names and holds a heading is the article's own head.
+HEAD_NAMES, HEADINGS = {"header", "masthead"}, {"h1", "h2", "h3"}
 #: Hard drops that may hold the article all the same.
-YIELDING, YIELDING_ROLES = {"form", "aside"}, {"form", "search", "complementary"}
+YIELDING, YIELDING_ROLES = {"form", "aside", "fieldset"}, {"form", "search", "complementary"}
 #: A start tag ends these open elements, up to the first of the second set.
 IMPLIED_END = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
                "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -75,15 +80,22 @@ _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+#: Rolling hash of the texts of a branch.
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+
+
 class _Page:
     """Elements and text blocks of one page, in page order."""
 
     def __init__(self, text: str):
         self.parent, self.tag, self.path, self.drop, self.soft, self.mark, self.whole = [-1], [""], [0], [False], [False], [False], [True]
         self.form, self.comment, self.ended = [False], [False], set()  # may yield to an article they hold; ended by an end tag
+        self.head = [False]  # soft only for being named a header
         self.blocks: list[tuple[int, str]] = []  # (element, text)
         self._parts: list[str] = []
         self._stack = [0]
+        self._block_at = [0]  # places in the stack of what is not inline
+        self._open: dict[str, list[int]] = {}  # tag -> its places in the stack
         self._at = 0
         self._parse(text)
         self._flush()
@@ -102,7 +114,12 @@ class _Page:
             self._parts.append(s)
 
     def _block_element(self) -> int:
-        return next(e for e in reversed(self._stack) if self.tag[e] not in INLINE)
+        return self._stack[self._block_at[-1]]
+
+    def _depth(self, tags, first: bool = False) -> int:
+        """Place in the stack of the last (or the first) open element with one of the tags; 0 if there is none."""
+        at = [self._open[t][0 if first else -1] for t in tags if self._open.get(t)]
+        return (min if first else max)(at, default=0)
 
     def _parse(self, text: str) -> None:
         pos = 0
@@ -126,42 +143,37 @@ class _Page:
                     self._end(tag)
 
     def _pop_to(self, depth: int) -> None:
-        del self._stack[max(1, depth):]
+        depth = max(1, depth)
+        for e in self._stack[depth:]:
+            self._open[self.tag[e]].pop()
+        while self._block_at[-1] >= depth:
+            self._block_at.pop()
+        del self._stack[depth:]
 
     def _start(self, tag: str, attr_text: str) -> None:
         if tag not in INLINE:
             self._flush()
         if tag in VOID:
             return
-        if tag not in INLINE:
-            for d in range(len(self._stack) - 1, 0, -1):  # a block ends an open paragraph
-                t = self.tag[self._stack[d]]
-                if t == "p":
-                    self._pop_to(d)
-                    break
-                if t not in INLINE:
-                    break
+        if tag not in INLINE and self.tag[self._block_element()] == "p":  # a block ends an open paragraph
+            self._pop_to(self._block_at[-1])
         if tag in IMPLIED_END:
-            ends, until = IMPLIED_END[tag]
-            for d in range(len(self._stack) - 1, 0, -1):
-                t = self.tag[self._stack[d]]
-                if t in until:
-                    break
-                if t in ends:
-                    self._pop_to(d)
-                    break
+            ends, until = map(self._depth, IMPLIED_END[tag])
+            if ends > until:
+                self._pop_to(ends)
         if tag in ("article", "main", "body"):  # no menu or header holds these: it was left open
-            for d in range(1, len(self._stack)):
-                if self.tag[self._stack[d]] in ("head", "nav", "header", "footer", "title"):
-                    self._pop_to(d)
-                    break
+            left_open = self._depth(("head", "nav", "header", "footer", "title"), first=True)
+            if left_open:
+                self._pop_to(left_open)
         attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attr_text)} if attr_text.strip(" /\t\r\n") else {}
         names = " ".join(sorted(attrs.get("class", "").split())) + "#" + re.sub(r"\d+", "0", attrs.get("id", ""))
         up = self._stack[-1]
         role = attrs.get("role", "").lower()
-        words = {w.lower() for w in _NAME.findall(names)}
-        comment = bool(words & COMMENT_NAMES) and tag not in ("body", "html", "main") and any(
-            w & COMMENT_NAMES and not w & STATE_NAMES for w in ({x.lower() for x in _NAME.findall(name)} for name in names.replace("#", " ").split()))
+        known = tag not in ("body", "html", "main")
+        single = [{x.lower() for x in _NAME.findall(name)} for name in names.replace("#", " ").split()] if known else []
+        single = [w for w in single if not w & STATE_NAMES]
+        comment = any(w & COMMENT_NAMES for w in single)
+        said = set().union(*single) & NO_CONTENT_NAMES
         form = tag in YIELDING or tag not in NO_CONTENT and role in YIELDING_ROLES
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
         self.parent.append(up)
@@ -173,22 +185,22 @@ class _Page:
         self.drop.append(tag in NO_CONTENT and tag not in YIELDING or role in NO_CONTENT_ROLES and role not in YIELDING_ROLES or hidden)
         self.form.append(form)
         self.comment.append(comment)
-        self.soft.append(tag not in ("body", "html", "main", "article") and bool(words & NO_CONTENT_NAMES))
+        self.soft.append(tag != "article" and bool(said))
+        self.head.append(said <= HEAD_NAMES)
         self.mark.append(tag in ("article", "main") or role in LANDMARK_ROLES)
         self.whole.append(tag in WHOLE or self.mark[-1] or tag in PARTS and names == "#")
+        if tag not in INLINE:
+            self._block_at.append(len(self._stack))
+        self._open.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
 
     def _end(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
-        for d in range(len(self._stack) - 1, 0, -1):
-            t = self.tag[self._stack[d]]
-            if t == tag:
-                self.ended.add(self._stack[d])
-                self._pop_to(d)
-                return
-            if tag in INLINE and t not in INLINE:  # no inline end tag ends a block
-                return
+        d = self._depth((tag,))
+        if d and (tag not in INLINE or d > self._block_at[-1]):  # no inline end tag ends a block
+            self.ended.add(self._stack[d])
+            self._pop_to(d)
 
     def _settle(self) -> None:
         """Which elements are no content, and which lie in the article.
@@ -220,15 +232,28 @@ class _Page:
         self.marked = any(marked)
 
     def _spread(self, hard: list[bool], own: list[bool]) -> None:
-        """Drop what is ``hard`` or ``own``, what a class name says to drop unless it holds the article, and all below these."""
+        """Drop what is ``hard`` or ``own``, what a class name says to drop, and all below these. A class name
+        does not drop what holds the article or half of the page's text, nor the article's own head."""
         n = len(self.tag)
         drop = [h or o for h, o in zip(hard, own)]
-        holds = [False] * n  # an article or main that is not dropped itself
+        below = list(drop)
+        for e in range(1, n):
+            below[e] = below[e] or below[self.parent[e]]
+        holds, heading, inside, size = [False] * n, [t in HEADINGS for t in self.tag], list(self.mark), [0] * n
+        for e, text in self.blocks:
+            if not below[e]:
+                size[e] += len(text)
         for e in range(n - 1, 0, -1):
-            if (self.mark[e] or holds[e]) and not drop[e]:
-                holds[self.parent[e]] = True
+            up = self.parent[e]
+            if (self.mark[e] or holds[e]) and not drop[e]:  # an article or main that is not dropped itself
+                holds[up] = True
+            heading[up] = heading[up] or heading[e]
+            size[up] += size[e]
         for e in range(1, n):
-            drop[e] = drop[self.parent[e]] or drop[e] or self.soft[e] and not holds[e]  # a class name does not drop the article
+            up = self.parent[e]
+            inside[e] = inside[e] or inside[up]
+            soft = self.soft[e] and not holds[e] and 2 * size[e] <= size[0] and not (self.head[e] and heading[e] and inside[up])
+            drop[e] = drop[up] or drop[e] or soft
         self.drop = drop
 
     def _yielding(self, hard: list[bool]) -> list[bool]:
@@ -249,22 +274,28 @@ class _Page:
 
     def branches(self) -> dict[int, tuple[int, int, int]]:
         """Style node -> (content, presentation, occurrences) of the elements with text below them that may be content."""
-        content, shape = {}, {}
+        # blocks below an element are consecutive: its content is the hash of a range of them
+        n, power, prefix = len(self.tag), [1], [0]
+        low, high = [-1] * n, [-1] * n
         for e, text in self.blocks:
-            if self.drop[e]:
-                continue
-            h = zlib.crc32(text.encode("utf-8", "replace"))
-            seen = set()
-            while e > 0:
-                if self.path[e] not in seen and self.tag[e] not in INLINE:
-                    content[e] = zlib.crc32(b"%d" % h, content.get(e, 0))
-                    seen.add(self.path[e])
-                e = self.parent[e]
+            if not self.drop[e]:
+                k = len(prefix) - 1
+                low[e], high[e] = (k if low[e] < 0 else low[e]), k + 1
+                prefix.append((prefix[-1] * _BASE + zlib.crc32(text.encode("utf-8", "replace")) + 1) % _PRIME)
+                power.append(power[-1] * _BASE % _PRIME)
+        for e in range(n - 1, 0, -1):
+            up = self.parent[e]
+            if low[e] >= 0:
+                low[up] = low[e] if low[up] < 0 else min(low[up], low[e])
+                high[up] = max(high[up], high[e])
+        content = {e: (prefix[high[e]] - prefix[low[e]] * power[high[e] - low[e]]) % _PRIME & 0xFFFFFFFF
+                   for e in range(1, n) if low[e] >= 0 and self.tag[e] not in INLINE}
+        shape: dict[int, int] = {}
         for e in range(len(self.tag) - 1, 0, -1):
             shape[e] = zlib.crc32(f"{self.tag[e]}{shape.get(e, 0)}".encode())
             shape[self.parent[e]] = zlib.crc32(f"{shape.get(self.parent[e], 0)}{shape[e]}".encode())
         nodes: dict[int, tuple[int, int, int]] = {}
-        for e in sorted(content):
+        for e in content:
             c, p, n = nodes.get(self.path[e], (0, 0, 0))
             nodes[self.path[e]] = (zlib.crc32(b"%d" % content[e], c), zlib.crc32(b"%d" % shape[e], p), n + 1)
         return nodes
@@ -313,19 +344,25 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
     space, and blocks are joined by one. Null and empty pages have an empty
     text. Pages without a URL count as one host. A page that repeats on a host
     counts once there, and each of its copies has its text. Columns of
-    ``pages`` that have the names in ``out`` are replaced.
+    ``pages`` that have the names in ``out`` are replaced, all others stay.
     """
+    pages, away = set_aside(pages, "_st_")
+    url_col, html_col = away.get(url_col, url_col), away.get(html_col, html_col)
     host = url_host(F.col(url_col))
     nodes = style_nodes(pages, host, html_col)
     # a site's templates: as many nodes as it has repeated ones, not as it has pages
-    low = (nodes.filter((F.col("pages") >= MIN_SEEN) & (F.col("importance") < LEAST_IMPORTANCE))
-           .groupBy(F.col("host").alias("_st_of")).agg(F.flatten(F.collect_list(F.array("node", "common"))).alias("_st_low")))
+    low = frozen(nodes.filter((F.col("pages") >= MIN_SEEN) & (F.col("importance") < LEAST_IMPORTANCE))
+                 .groupBy(F.col("host").alias("_st_of")).agg(F.flatten(F.collect_list(F.array("node", "common"))).alias("_st_low")))
+    size = low.agg(F.sum(F.octet_length("_st_of") + 8 * F.size("_st_low") + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # the pages stay where they are; else both sides are read from files and Spark splits a hot host
+        low = F.broadcast(low)
     rows = pages.withColumn("_st_host", host).join(low, F.col("_st_host") == F.col("_st_of"), "left")
 
     @F.pandas_udf("string")
     def main_text(pages: pd.Series, lows: pd.Series) -> pd.Series:
         return pd.Series([_Page(t).text(dict(zip(x[::2], x[1::2])) if x is not None else {}) if t else "" for t, x in zip(pages, lows)], dtype=object)
 
-    text, n = out
-    return (rows.withColumn(text, main_text(F.col(html_col), F.col("_st_low")))
-            .withColumn(n, F.length(text).cast("long")).drop("_st_host", "_st_of", "_st_low"))
+    text, n = (away.get(c, c) for c in out)
+    res = (rows.withColumn(text, main_text(F.col(html_col), F.col("_st_low")))
+           .withColumn(n, F.length(text).cast("long")).drop("_st_host", "_st_of", "_st_low"))
+    return put_back(res, away)

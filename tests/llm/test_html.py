@@ -140,3 +140,99 @@ def test_given_pages(spark):
     for r in html_tree.extract(df).collect():
         article = r["html"].split("<article>")[1].split("</article>")[0].replace("<b>", "").replace("</b>", "")
         assert r["text"] == " ".join(html.unescape(re.sub(r"</?(?:p|h1|br)>", " ", article)).split())
+
+
+def test_names_of_wrappers_do_not_drop_the_page():
+    for wrapper in ('<div class="wrapper no-sidebar">', '<div id="page" class="has-header">', '<div id="search-results">', '<div class="site menu-closed">',
+                    '<div class="category-social">', '<div class="ad-free-content">', "<fieldset>", '<div class="banner"><div class="related">'):
+        assert text(f"<body>{wrapper}<h1>Title</h1><p>The text of the page</p></body>") == "Title The text of the page", wrapper
+    assert text('<div class="page"><p>The whole long text of the page</p><div class="sidebar">gone</div><div class="related-posts">gone</div></div>') == "The whole long text of the page"
+
+
+def test_the_head_of_an_article_stays():
+    assert text('<article><div class="entry-header"><h1>Title</h1></div><p>kept</p><div class="header">gone</div><div class="share">gone</div></article>') == "Title kept"
+    assert text('<div class="header"><h1>Site</h1></div><article><p>kept</p></article>') == "kept"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+    cases = ["<div>x" * 150_000, "<div>" * 100_000 + "<td>a</td>" * 100_000, "<div>x" * 20_000 + "<article>y</article>" * 20_000, "<b>" * 100_000 + "<p>x" * 100_000,
+             "<table>" + "<div>" * 80_000 + "<td>x</td>" * 80_000, "<td><table>" + "<div>" * 80_000 + "<td>x</td>" * 80_000, "<div>" * 100_000 + "</i>" * 200_000, "<a><div>x</div>" * 60_000]
+    for page in cases:
+        start = time.process_time()
+        p = html_tree._Page(page)
+        p.branches()
+        p.text({1: 1})
+        assert time.process_time() - start < 20 * len(page) / 1e6 + 1, page[:40]
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>", "h", "l")], "page_id long, url string, html string, _st_host string, _st_low string")
+    r = html_tree.extract(df).first()
+    assert (r["text"], r["_st_host"], r["_st_low"]) == ("x", "h", "l")
+
+
+def plain_tree(rows):
+    """Host -> style path -> (importance, commonest content), from plain nested lists; class names only, no rules of markup."""
+    import math
+    import xml.etree.ElementTree as ET
+    from collections import Counter
+    seen = {}
+    for host, page in set(rows):
+        def walk(e, path):
+            path = f"{path}/{e.tag}.{e.get('class', '')}"
+            texts, shape = [" ".join(e.text.split())] if e.text and e.text.strip() else [], [e.tag]
+            for c in e:
+                t, s = walk(c, path)
+                texts += t
+                shape.append(s)
+            if texts:
+                content.setdefault(path, []).append(tuple(texts))
+                shapes.setdefault(path, []).append(str(shape))
+            return texts, shape
+        content, shapes = {}, {}
+        walk(ET.fromstring(page), "")
+        for path in content:
+            c, s = seen.setdefault((host, path), (Counter(), Counter()))
+            c[tuple(content[path])] += 1
+            s[tuple(shapes[path])] += 1
+    out = {}
+    for key, (c, s) in seen.items():
+        n = sum(c.values())
+        h = lambda x: min(1.0, math.log2(n / max(x.values())))
+        out[key] = (n, html_tree.CONTENT_WEIGHT * h(c) + (1 - html_tree.CONTENT_WEIGHT) * h(s), max(c, key=c.get))
+    return out
+
+
+def test_tree_equals_a_plain_one_and_alone_removes_text(spark):
+    """A small site whose boilerplate has no telling names: importances of all branches as by a plain merge of the trees, and what these say is removed."""
+    import random
+    from collections import Counter
+
+    from feedlens.llm.urlfilter import url_host
+    from pyspark.sql import functions as F
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        host = f"h{i % 3}.example.com"
+        top = "Our site" if rng.random() < .95 else f"Special {i}"
+        aside = "".join(f"<p>{x}</p>" for x in rng.sample(["one", "two", "three"], 1 if i % 3 else 2))
+        rows.append((host, f'<html><body><div class="k1"><p>{top}</p></div><div class="k2"><p>Story {i}</p><div class="k3">{aside}</div></div><div class="k4">The end</div></body></html>'))
+    rows += rows[:9]  # copies count once
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string")
+    want = plain_tree(rows)
+    got = html_tree.style_nodes(df, url_host(F.col("url"))).collect()
+    count = lambda xs: Counter((h, n, round(v, 6)) for h, n, v in xs)
+    assert count((r["host"], r["pages"], r["importance"]) for r in got) == count((h, n, v) for (h, _), (n, v, _) in want.items())
+    low = {(h, p.rsplit("/", 1)[1]): c for (h, p), (n, v, c) in want.items() if n >= html_tree.MIN_SEEN and v < html_tree.LEAST_IMPORTANCE}
+    assert {p for _, p in low} >= {"div.k1", "div.k4"}
+    for r in html_tree.extract(df).collect():
+        host = rows[r["page_id"]][0]
+        page = rows[r["page_id"]][1]
+        top = page.split('"k1"><p>')[1].split("</p>")[0]
+        plain = html_tree._Page(page).text({})
+        assert plain.endswith(" The end") and plain.startswith(top)  # by markup alone it stays
+        expected = plain[:-len(" The end")]
+        if low.get((host, "div.k1")) == ((top,),):
+            expected = expected[len(top) + 1:]
+        assert r["text"] == expected
