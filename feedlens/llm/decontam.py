@@ -9,7 +9,9 @@ one diagonal are the maximal matches; the longest is marked as a tile, what
 overlaps it is cut back, and so on until none of ``min_match`` words is left.
 Tiles may lie in any order, so a passage whose sentences were moved still
 counts. A document is contaminated by an item if tiles cover at least
-``threshold`` of the item's words.
+``threshold`` of the item's words; an item of at most twice ``min_match`` words
+must be covered whole, as one common run of words says little about it. An item
+shorter than ``min_match`` has one seed, all its words.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.common import frozen
+
 #: Words of the shortest tile, and the part of an item that tiles must cover.
 MIN_MATCH, THRESHOLD = 4, 0.5
 #: Words of the benchmark that are sent to the tasks at a time.
@@ -94,31 +99,43 @@ def tiles(runs: list[tuple[int, int, int]], min_match: int) -> list[tuple[int, i
 
 
 class Benchmark:
-    """Seeds of some test items."""
+    """Some test items, their seeds by length."""
 
     def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH, threshold: float = THRESHOLD):
-        self.min_match, self.threshold = min_match, threshold
         known = Words()
-        self.ids, self.codes = [], []
-        for item, text in items:
-            c = codes(text, known)
-            if len(c) >= min_match:  # a shorter item has no seed
-                self.ids.append(item)
-                self.codes.append(c)
-        hashes = [seeds(c, min_match) for c in self.codes]
+        own = [(item, codes(text, known)) for item, text in items]
+        lengths = sorted({min(len(c), min_match) for _, c in own if len(c)}, reverse=True)
+        self.groups = [_Seeds([(i, c) for i, c in own if min(len(c), min_match) == k], k, min_match, threshold) for k in lengths]
+
+    def matches(self, text: str | None, known: Words) -> list[tuple[int, int, int, int]]:
+        """(item, its words, words that tiles cover, tiles) of the items that contaminate a text."""
+        c = codes(text, known) if self.groups else np.zeros(0, dtype=np.uint64)
+        return [m for g in self.groups for m in g.matches(c)]
+
+
+class _Seeds:
+    """Seeds of ``k`` words of items with as many words, or at least as many."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], k: int, min_match: int, threshold: float):
+        self.k = k
+        self.ids, self.codes = [i for i, _ in items], [c for _, c in items]
+        self.need = [len(c) if threshold and len(c) <= 2 * min_match else threshold * len(c) for c in self.codes]
+        hashes = [seeds(c, k) for c in self.codes]
         self.item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        self.pos = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, dtype=np.int64)
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+        self.pos = np.concatenate([np.arange(len(h)) for h in hashes])
+        flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
         self.seed, self.item, self.pos = flat[order], self.item[order], self.pos[order]
         self.seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.seen[self.seed >> np.uint64(64 - _FILTER_BITS)] = True
+        self.seen[self._slot(self.seed)] = True
 
-    def matches(self, text: str | None, known: Words) -> list[tuple[int, int, int, int]]:
-        """(item, its words, words that tiles cover, tiles) of the items that contaminate a text."""
-        c = codes(text, known)
-        h = seeds(c, self.min_match)
-        at = np.flatnonzero(self.seen[h >> np.uint64(64 - _FILTER_BITS)]) if len(h) and len(self.seed) else np.zeros(0, dtype=np.int64)
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - _FILTER_BITS)
+
+    def matches(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
+        h = seeds(c, self.k)
+        at = np.flatnonzero(self.seen[self._slot(h)])
         low, high = np.searchsorted(self.seed, h[at], "left"), np.searchsorted(self.seed, h[at], "right")
         at, low, n = at[high > low], low[high > low], (high - low)[high > low]
         if not len(at):
@@ -130,54 +147,51 @@ class Benchmark:
         found = []
         cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
         for a, b in zip(cuts[:-1], cuts[1:]):
-            own = self.codes[item[a]]
+            own, need = self.codes[item[a]], self.need[item[a]]
             i, j = item_pos[a:b], doc_pos[a:b]
             covered = np.zeros(len(own) + 1, dtype=np.int64)  # no tiling covers more than all seeds
             np.add.at(covered, i, 1)
-            np.add.at(covered, np.minimum(i + self.min_match, len(own)), -1)
-            if (np.cumsum(covered[:-1]) > 0).sum() < self.threshold * len(own):
+            np.add.at(covered, np.minimum(i + self.k, len(own)), -1)
+            if (np.cumsum(covered[:-1]) > 0).sum() < need:
                 continue
             new = np.r_[True, (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)]
             first = np.flatnonzero(new)
-            size = np.diff(np.r_[first, b - a]) + self.min_match - 1
+            size = np.diff(np.r_[first, b - a]) + self.k - 1
             runs = [(int(i[f]), int(j[f]), int(s)) for f, s in zip(first, size)
                     if np.array_equal(own[i[f]: i[f] + s], c[j[f]: j[f] + s])]  # words, not hashes, decide
-            marked = tiles(runs, self.min_match)
+            marked = tiles(runs, self.k)
             words = sum(t[2] for t in marked)
-            if words >= self.threshold * len(own):
+            if words >= need:
                 found.append((self.ids[item[a]], len(own), words, len(marked)))
         return found
 
 
 def slices(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH,
-           threshold: float = THRESHOLD) -> Iterator[Benchmark]:
-    """The benchmark in parts of about ``SLICE_WORDS`` words; one, empty, for an empty table."""
+           threshold: float = THRESHOLD) -> tuple[int, Iterator[Benchmark]]:
+    """The benchmark in parts of about ``SLICE_WORDS`` words, made when asked for, and their number; one, empty, for an empty table."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
     words = items.agg(F.sum(F.regexp_count("t", F.lit(r"\S+")))).first()[0] or 0
     n = max(1, -(-words // SLICE_WORDS))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    for k in range(n):
-        yield Benchmark([tuple(r) for r in items.filter(part == k).orderBy("i", "t").collect()], min_match, threshold)
+    return n, (Benchmark([tuple(r) for r in items.filter(part == k).orderBy("i", "t").collect()], min_match, threshold) for k in range(n))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, item_words, covered_words, coverage, tiles.
 
-    Null and empty texts, and items shorter than ``min_match`` words, match
-    nothing; either table may be empty. Rows that repeat an id are documents
+    Null and empty texts and items without words match nothing; a short item
+    (see above) matches where all its words stand; either table may be empty. Rows that repeat an id are documents
     of their own, repeated items items of their own. A null id comes back null.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = [_matched(rows, b) for b in slices(benchmark, min_match=min_match, threshold=threshold)]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    n, parts = slices(benchmark, min_match=min_match, threshold=threshold)
+    found = (_matched(rows, b) for b in parts)
+    return next(found) if n == 1 else reduce(DataFrame.unionByName, map(frozen, found))  # one slice at a time
 
 
 def _matched(rows: DataFrame, part: Benchmark) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(part)  # at most about SLICE_WORDS words
+    shared = rows.sparkSession.sparkContext.broadcast(part)  # at most about SLICE_WORDS words, or one item that is longer
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
@@ -192,8 +206,10 @@ def _matched(rows: DataFrame, part: Benchmark) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_match: int = MIN_MATCH,
           threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that no test item contaminates, unchanged."""
-    for part in slices(benchmark, min_match=min_match, threshold=threshold):
+    n, parts = slices(benchmark, min_match=min_match, threshold=threshold)
+    for part in parts:
         docs = docs.filter(~_dirty(docs, part)(F.col(text_col)))
+        docs = docs if n == 1 else frozen(docs)  # so that one slice is sent at a time
     return docs
 
 

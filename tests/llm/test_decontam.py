@@ -74,3 +74,21 @@ def test_empty_tables(spark):
     assert decontam.contaminated(docs, bench.limit(0)).collect() == []
     assert decontam.contaminated(docs.limit(0), bench).collect() == []
     assert decontam.clean(docs, bench.limit(0)).count() == 1
+
+
+def test_short_items_match_as_a_whole(spark):
+    bench = spark.createDataFrame([(1, "what is two"), (2, "the capital of france is paris"), (3, "Yes!"), (4, "..."), (5, "a b c d e f g h"), (6, "to be")], "item_id long, text string")
+    docs = [(1, "What is two?"), (2, "I think that the capital of France has been rebuilt"), (3, "so: The capital of France is Paris."), (4, "no"), (5, "oh yes, it is"),
+            (6, "e f g h and a b c d"), (7, "a b c d e f g"), (8, "what is it"), (9, "be to"), (10, "what is two and the capital of France is Paris"), (11, None), (12, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in decontam.contaminated(df, bench).collect())
+    assert got == [(1, 1, 1.0), (3, 2, 1.0), (5, 3, 1.0), (6, 5, 1.0), (10, 1, 1.0), (10, 2, 1.0)]
+    assert sorted(r["doc_id"] for r in decontam.clean(df, bench).collect()) == [2, 4, 7, 8, 9, 11, 12]
+
+
+def test_one_seed_in_every_document(spark):
+    """A run of words that all documents share contaminates none of them by itself."""
+    common = "all rights are reserved by"
+    bench = spark.createDataFrame([(1, common + " " + sentences(1, 2)[0] + " " + sentences(1, 2)[1])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{common} {sentences(50 + k, 2)[0]} {common}") for k in range(200)] + [(900, common + " " + " ".join(sentences(1, 2)))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()] == [(900, 1)]
