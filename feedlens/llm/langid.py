@@ -7,13 +7,16 @@ family one per pair of languages. A text goes to the family of the highest
 margin; there each pair casts a vote, ties go to the larger sum of margins,
 then to the smaller name.
 
-The sample - at most about ``PER_LANG`` texts of each language, drawn by a hash
-of the id - is fitted in one task; the models (a few KB each) are the only
-thing that reaches the driver. Prediction is one pass over the whole texts.
+The sample - about ``PER_LANG`` texts of each language, and about
+``TRAIN_TEXTS`` in all, drawn by a hash of the id - is fitted in one task that
+gets the texts' features; the models (a few KB each) are the only thing that
+reaches the driver. Texts that are not drawn are not sent anywhere. Prediction
+is one pass over the whole texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.chars import trigrams
-from feedlens.llm.common import held_out
+from feedlens.llm.common import frozen, held_out
 
 BINS = 1 << 13
-#: Bound of the training sample: expected texts per language, and languages.
-PER_LANG, MAX_LANGS = 600, 256
+#: Bound of the training sample: expected texts per language, and in all (at least ``LEAST_PER_LANG`` of each language).
+PER_LANG, TRAIN_TEXTS, LEAST_PER_LANG = 600, 9600, 4
+#: The counts (a row per language) are broadcast up to so many languages; beyond, rows are joined by language.
+BROADCAST_LANGS = 10_000
 #: Squared-hinge training: weight of the losses and steps.
 PENALTY, STEPS = 100.0, 150
 UNDETERMINED = "und"
@@ -76,13 +81,15 @@ def _svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _fit(sample: pd.DataFrame) -> pd.DataFrame:
-    """Rows (kind, pos, neg, weights): the models of one training sample (text, lang)."""
-    sample = sample.sort_values(["lang", "text"])  # the same sum in any order of arrival
+    """Rows (kind, pos, neg, weights): the models of one training sample (lang, bins, values: the features of a text)."""
+    sample = sample.sort_values(["lang", "h"])  # the same sum in any order of arrival
     langs = sorted(sample["lang"].unique())
     families = sorted({family_of(x) for x in langs})
     lang = sample["lang"].to_numpy()
     family = np.array([family_of(x) for x in lang])
-    x = np.stack([features(t) for t in sample["text"]])
+    x = np.zeros((len(sample), BINS), dtype=np.float32)
+    for row, bins, values in zip(x, sample["bins"], sample["vals"]):
+        row[bins] = values
     rows = [("lang", g, "", b"") for g in langs]
     if len(families) > 1:
         rows += [("family", f, "", _svm(x, np.where(family == f, 1, -1).astype(np.float32)).tobytes()) for f in families]
@@ -133,12 +140,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Models from the rows of ``docs`` that have a language, an id and a letter in the text, but for held-out ids."""
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
             .filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"))))
-    counts = rows.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    if counts.limit(MAX_LANGS + 1).count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts = frozen(rows.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n")))
+    langs = counts.count()
+    per_lang = min(per_lang, max(LEAST_PER_LANG, TRAIN_TEXTS // max(1, langs)))
+    if langs <= BROADCAST_LANGS:  # the texts stay where they are
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = (rows.filter(F.col("text").rlike(r"\p{L}")).join(counts, F.col("lang") == F.col("l"))
-              .filter(draw * F.col("n") < per_lang).select("text", "lang"))
+    drawn = (rows.filter(F.col("text").rlike(r"\p{L}")).join(counts, F.col("lang") == F.col("l"))
+             .filter(draw * F.col("n") < per_lang).select("text", "lang"))
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            x = [features(t) for t in df["text"]]
+            bins = [np.flatnonzero(v) for v in x]
+            yield pd.DataFrame({"lang": df["lang"], "h": [zlib.crc32(t.encode("utf-8", "replace")) for t in df["text"]],
+                                "bins": [b.astype(np.int32) for b in bins], "vals": [v[b] for v, b in zip(x, bins)]})
+
+    sample = drawn.mapInPandas(featured, "lang string, h long, bins array<int>, vals array<float>")
     models = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit, "kind string, pos string, neg string, weights binary")
     return Models([tuple(r) for r in models.collect()])
 
