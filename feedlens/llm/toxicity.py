@@ -3,7 +3,7 @@
 1. A character trigram model is counted over all documents (one pass; each
    task adds up its own counts, so the exchange is bounded by the model).
 2. Disguised words - letters mixed with look-alike signs, look-alikes alone,
-   doubled and stretched letters, letters set apart by spaces or signs - become
+   doubled and stretched letters, letters set apart by spaces, lines or signs - become
    a lattice: every sign may stand for some letters at a cost, a doubled or
    stretched letter for one or two, a separator for nothing. Viterbi decoding
    finds the path that channel and trigram model like best; the restored word
@@ -49,7 +49,7 @@ _EDGE = ".,;:!?\"'()[]{}<>«»…–—-&%#*=_/\\|~`^"
 _DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£¢*#.\-_~'`^,;:/\\]|[0-9@$!|+(<€£¢*#].*[^\W\d_]|([^\W\d_])\1"
                         r"|[0-9@$€£¢].*[0-9@$!|+(<€£¢]|[!|+(<].*[0-9@$€£¢]", re.S)  # the last line: look-alikes alone
 _DOUBLE = re.compile(r"([^\W\d_])\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\w\s]|_)*([\w@$!|+(<€£¢*#](?:[ \t]+[\w@$!|+(<€£¢*#]){2,})(?:[^\w\s]|_)*(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\w\s]|_)*([\w@$!|+(<€£¢*#](?:[ \t\r\n]+[\w@$!|+(<€£¢*#]){2,})(?:[^\w\s]|_)*(?!\S)")
 
 
 class CharModel:

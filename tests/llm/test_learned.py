@@ -111,3 +111,96 @@ def test_held_out_matches_crc(spark):
     from feedlens.llm.common import held_out
     df = spark.createDataFrame([(i,) for i in [*range(-5, 60), None]], "doc_id long")
     assert all(r[1] == is_held_out(r[0]) for r in df.select("doc_id", held_out(F.col("doc_id"))).collect())
+
+
+def test_letters_on_lines_of_their_own(scorer):
+    plain = scorer.score("idiot", scorer.restorer())
+    for written in ("i\nd\ni\no\nt", "you i\r\nd\r\ni\r\no\r\nt!", "a b\ni d\ti o\nt"):
+        assert scorer.score(written, scorer.restorer()) >= (plain - 1e-9 if "a b" not in written else 0)
+
+
+@pytest.mark.parametrize("token", ["1d10t", "i d i o t", "st*d", "iddiot", "l0$er", "a1!b", "m-o-r0n", "66", "x", "ssstt1", "(0)1"])
+def test_restoring_equals_trying_every_path(scorer, token):
+    """Viterbi's path is the best of all paths of the lattice, each scored by the definition."""
+    from itertools import product
+    model = scorer.model
+    steps = toxicity._lattice(token) + [[(" ", 0.0)]]
+    best, texts = None, set()
+    for path in product(*steps):
+        a = b = 0
+        s = 0.0
+        for letters, cost in path:
+            s += cost
+            for c in letters:
+                k = toxicity.letter_class(c)
+                if k == 0 and b == 0:
+                    continue
+                s += float(model.log[a, b, k])
+                a, b = b, k
+        text = "".join(x for x, _ in path).strip()
+        if best is None or s > best + 1e-6:
+            best, texts = s, {text}
+        elif s > best - 1e-6:
+            texts.add(text)
+    assert toxicity.restore(token, model).replace(" ", "") in {t.replace(" ", "") for t in texts}
+
+
+def test_regression_equals_a_plain_one():
+    """Newton's method on the same words: the same probabilities."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < .3).astype(int)
+    bins = [np.array(sorted({k for k in range(6) if rng.random() < (.7 if bad and k < 3 else .15)})) for bad in y]
+    got = {int(r.bin): r.weight for r in toxicity._fit(pd.DataFrame({"id": range(400), "y": y, "bins": bins})).itertuples()}
+    used = sorted(k for k in got if k >= 0)
+    assert set(used) >= {0, 1, 2}
+    x = np.array([[1.0, *[k in set(b.tolist()) for k in used]] for b in bins])
+    w = np.zeros(x.shape[1])
+    ridge = np.r_[0.0, np.full(len(used), toxicity.PENALTY)]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+    mine = 1 / (1 + np.exp(-x @ np.array([got[-1], *[got[k] for k in used]])))
+    assert np.abs(mine - 1 / (1 + np.exp(-x @ w))).max() < 0.01
+
+
+def test_votes_and_margins_by_a_plain_loop(spark, docs):
+    """The language picked is that of the definition: family of the highest margin, then votes, margins, name."""
+    models = langid.fit(docs, per_lang=60)
+    for text in ["the cat and the dog", "der Hund und die Katze", "el perro y el gato", "le chien et le chat", "x", "zzz qqq", "1 a", "und the y le"]:
+        f = langid.features(text)
+        margin = lambda *key: float(models.weights[models.at[key]][:-1] @ f + models.weights[models.at[key]][-1])
+        family = max(models.families, key=lambda g: margin("family", g, ""))
+        tally = {}
+        for g in models.members[family]:
+            ms = [margin("pair", g, o) if ("pair", g, o) in models.at else -margin("pair", o, g) for o in models.members[family] if o != g]
+            wins = sum((("pair", g, o) in models.at and margin("pair", g, o) >= 0) or (("pair", o, g) in models.at and margin("pair", o, g) < 0)
+                       for o in models.members[family] if o != g)
+            tally[g] = (-wins, -sum(ms), g)
+        assert models.predict(text)[0] == min(tally, key=tally.get)
+
+
+def test_many_languages_and_repeated_rows(spark, monkeypatch):
+    """As many tags as there may be: each is learned from fewer texts, none is refused; repeated rows come back repeatedly."""
+    monkeypatch.setattr(langid, "TRAIN_TEXTS", 300)
+    ids = [i for i in range(4000) if not is_held_out(i)]
+    words = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}x" for j in range(6))
+    rows = [(i, words(n % 300), f"l{n % 300:03d}") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.fit(df.where("lang < 'l040'"))
+    assert len(models.langs) == 40 and models.predict(words(3))[0] == "l003"
+    monkeypatch.setattr(langid, "BROADCAST_LANGS", 3)
+    assert langid.fit(df.where("lang < 'l040'")).langs == models.langs
+    monkeypatch.setattr(langid, "STEPS", 1)
+    assert len(langid.fit(df).langs) == 300
+    twice = df.limit(5).unionByName(df.limit(5))
+    assert langid.identify(twice, models).count() == 10
+    plan = langid.identify(twice, models)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan
+
+
+def test_repeated_ids_of_toxicity(spark, scorer):
+    rows = [(1, "you idiot"), (1, "you idiot"), (1, "the sea"), (None, "you idiot"), (None, "you idiot")]
+    got = sorted((str(r["doc_id"]), r["text"], round(r["score"], 6)) for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), scorer).collect())
+    assert len(got) == 5 and len({s for _, t, s in got if t == "you idiot"}) == 1
