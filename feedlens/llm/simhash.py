@@ -231,7 +231,8 @@ def components(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_R
     roots = connected_components(fingerprint_links(nodes, radius, bucket_rows))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
+    # written, so that the join reads plain exchanges, which Spark splits at a hot root
+    smallest = frozen(rooted.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id")))
     return rooted.join(smallest, F.col("root") == F.col("r")).select("fp", "root", "component_id")
 
 
@@ -259,6 +260,9 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     winners = (narrow.join(comp, (F.col("fp") == F.col("c_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
                .groupBy("root").agg(F.min("component_id").alias("_sim_w_id"), F.min("fp").alias("_sim_w_fp"), F.count(F.lit(1)).alias("_sim_w_n")))
     winners = frozen(winners.drop("root"))
+    if narrow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # an id names its row: no text is read twice
+        ids = winners.select("_sim_w_id")
+        return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["_sim_w_id"]), "left_semi")
     rows = docs.withColumn("_sim_fp", fingerprint_column(F.col(text_col), shingle))
     kept = rows.join(winners, rows[id_col].eqNullSafe(winners["_sim_w_id"]) & (F.col("_sim_fp") == F.col("_sim_w_fp")))
     if not winners.filter("_sim_w_n > 1").isEmpty():  # only repeated rows have to meet
