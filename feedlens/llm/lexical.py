@@ -105,9 +105,8 @@ def _impacts(counts: DataFrame, weights: np.ndarray, n_docs: int, n_terms: int)
             m = np.array([10 + 90 * n * n_docs // n_terms for n in b.column("n").to_pylist()], dtype=np.int64)
             tf = tfs.astype(np.int64)
             impact = 1_000_000_000 * tf // (1000 * tf + 8 * np.repeat(m, sizes))
-            sums = np.r_[0.0, np.cumsum(w[tids] * impact.astype(np.float64) ** 2)]
             row = np.repeat(np.arange(len(sizes)), sizes)
-            length = np.sqrt(np.bincount(row, weights=w[tids] * impact.astype(np.float64) ** 2, minlength=len(sizes))) if len(sums) > 1 else np.zeros(len(sizes))
+            length = np.sqrt(np.bincount(row, weights=w[tids] * impact.astype(np.float64) ** 2, minlength=len(sizes)))
             kept = np.flatnonzero(length > 0)
             if len(kept):
                 some = (length > 0)[row]

@@ -20,6 +20,8 @@ from feedlens.session import checkpoint_dir
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Text bytes of a shard.
 SHARD_BYTES = 16 << 20
+#: The same with a limit that splits small tables, too.
+SMALL_SHARD_BYTES = 64 << 10
 #: Weights of the sources in code-point order, repeating, and the most a source repeats.
 MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED = (1, 2, 3), 3, 7
 #: Id after each document's tokens.
@@ -60,6 +62,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select("doc_id", "shard", "depth", "n_bytes")
 
 
+def sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = sharding.shard(read_table(spark, sf_dir, "documents").select("doc_id", "text"), SMALL_SHARD_BYTES)
+    return res.select("doc_id", "shard", "depth", "n_bytes")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, weights=MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED).select(
@@ -105,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_sharding": op7_sharding,
+    "sharding_small": sharding_small,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
@@ -113,6 +121,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+def _sharding_sql(limit: int) -> str:
+    """The shortest prefix of each hash whose bucket fits, among all prefixes of all hashes."""
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+lv AS (SELECT doc_id, n_bytes, h, k, h >> (60 - k) AS p FROM d, range(0, 61) AS g(k)),
+b AS (SELECT k, p, sum(n_bytes) AS s, min(h) AS lo, max(h) AS hi FROM lv GROUP BY ALL),
+f AS (SELECT lv.doc_id, lv.n_bytes, lv.h, min(lv.k) AS depth FROM lv JOIN b USING (k, p)
+      WHERE b.s <= {limit} OR b.lo = b.hi GROUP BY ALL)
+SELECT doc_id, 's' || CASE WHEN depth = 0 THEN '' ELSE right(bin(h | (1::BIGINT << 60)), 60)[1:depth] END AS shard, depth::INTEGER AS depth, n_bytes::BIGINT AS n_bytes FROM f"""
+
+
 def _clustering_sql(k: int, rounds: int, dim: int, scale: int, seed: int) -> str:
     """Assignment and mean, round by round; components are whole numbers held as doubles."""
     apart = "(list_inner_product(e.v, e.v) - 2 * list_inner_product(e.v, c.m) + list_inner_product(c.m, c.m))::BIGINT"
@@ -176,15 +197,8 @@ SELECT page_id, host, path,
   (SELECT rh || rp FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1) AS rule,
   coalesce((SELECT v FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1), 'allow') AS verdict
 FROM h""",
-    "op7_sharding": rf"""
-WITH d AS (
-  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
-lv AS (SELECT doc_id, n_bytes, h, k, h >> (60 - k) AS p FROM d, range(0, 61) AS g(k)),
-b AS (SELECT k, p, sum(n_bytes) AS s, min(h) AS lo, max(h) AS hi FROM lv GROUP BY ALL),
-f AS (SELECT lv.doc_id, lv.n_bytes, lv.h, min(lv.k) AS depth FROM lv JOIN b USING (k, p)
-      WHERE b.s <= {SHARD_BYTES} OR b.lo = b.hi GROUP BY ALL)
-SELECT doc_id, 's' || CASE WHEN depth = 0 THEN '' ELSE right(bin(h | (1::BIGINT << 60)), 60)[1:depth] END AS shard, depth::INTEGER AS depth, n_bytes::BIGINT AS n_bytes FROM f""",
+    "op7_sharding": _sharding_sql(SHARD_BYTES),
+    "sharding_small": _sharding_sql(SMALL_SHARD_BYTES),
     "op8_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
