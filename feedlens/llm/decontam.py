@@ -1,17 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are compared lower-cased and without signs at their ends. Seeds are the
-Karp-Rabin hashes of ``min_match`` consecutive words: those of the benchmark
-are joined in every task with those of its documents (a table of the sending
-side of bounded size; a larger benchmark is taken in slices, one pass each).
-For a document and a test item that share seeds, runs of matching seeds on
-one diagonal are the maximal matches; the longest is marked as a tile, what
-overlaps it is cut back, and so on until none of ``min_match`` words is left.
-Tiles may lie in any order, so a passage whose sentences were moved still
-counts. A document is contaminated by an item if tiles cover at least
-``threshold`` of the item's words; an item of at most twice ``min_match`` words
-must be covered whole, as one common run of words says little about it. An item
-shorter than ``min_match`` has one seed, all its words.
+Karp-Rabin hashes of ``min_match`` consecutive words. The benchmark's seeds are
+a table (item, position, seed); those of the documents that could be among
+them - a bitmap of fixed size tells - are equi-joined with it on the seed, and
+the words of a seed, not its hash, confirm the match. For a document and a test
+item, runs of matching seeds on one diagonal are the maximal matches; the
+longest is marked as a tile, what overlaps it is cut back, and so on until none
+of ``min_match`` words is left. Tiles may lie in any order, so a passage whose
+sentences were moved still counts.
+
+A document is contaminated by an item if tiles cover at least ``threshold`` of
+the item's words; an item of at most twice ``min_match`` words must be covered
+whole, as one common run of words says little about it. An item shorter than
+``min_match`` has one seed, all its words.
+
+Only matches of seeds are shuffled. A seed that very many documents share is a
+hot key of an equi-join, which Spark splits; the matches of one document lie in
+one task, no more than its words times the items that hold them.
 """
 
 from __future__ import annotations
@@ -19,23 +25,23 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.common import frozen
+from feedlens.llm.common import frozen, put_back, set_aside
 
 #: Words of the shortest tile, and the part of an item that tiles must cover.
 MIN_MATCH, THRESHOLD = 4, 0.5
-#: Words of the benchmark that are sent to the tasks at a time.
-SLICE_WORDS = 2_000_000
 #: Words whose codes a task remembers; then the memory starts anew.
 REMEMBER = 150_000
+#: Contaminated texts up to which their digests are broadcast; beyond, documents are joined by digest.
+BROADCAST_TEXTS = 1_000_000
 _SIGNS = ".,;:!?\"'()[]{}<>«»…–—-&%#*=_/\\|~`^$@+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the bitmap's address: 4 MB for each length of seeds, whatever the benchmark.
 _FILTER_BITS = 22
 
 
@@ -98,82 +104,122 @@ def tiles(runs: list[tuple[int, int, int]], min_match: int) -> list[tuple[int, i
     return found
 
 
-class Benchmark:
-    """Some test items, their seeds by length."""
+def needed(words: int, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> float:
+    """Words of an item that tiles must cover."""
+    return words if threshold and words <= 2 * min_match else threshold * words
 
-    def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH, threshold: float = THRESHOLD):
+
+def cover(i: np.ndarray, j: np.ndarray, k: int, words: int, need: float) -> tuple[int, int] | None:
+    """(words covered, tiles) of an item of so many ``words`` in a document whose seeds of ``k`` words match at (i, j), sorted by
+    diagonal (j - i) and i; None if less than ``need``."""
+    marks = np.zeros(words + 1, dtype=np.int64)  # no tiling covers more than all seeds
+    np.add.at(marks, i, 1)
+    np.add.at(marks, i + k, -1)
+    if (np.cumsum(marks[:-1]) > 0).sum() < need:
+        return None
+    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)])
+    size = np.diff(np.r_[first, len(i)]) + k - 1
+    marked = tiles([(int(i[f]), int(j[f]), int(n)) for f, n in zip(first, size)], k)
+    covered = sum(t[2] for t in marked)
+    return (covered, len(marked)) if covered >= need else None
+
+
+def _seed_rows(c: np.ndarray, k: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(positions, seeds, words of each seed) of a coded text; ``at``: at these positions."""
+    h = seeds(c, k)
+    at = np.arange(len(h)) if at is None else at
+    words = c[at[:, None] + np.arange(k)].view(np.int64) if len(at) else np.zeros((0, k), dtype=np.int64)
+    return at, h[at].view(np.int64), list(words)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - _FILTER_BITS)
+
+
+def seed_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH) -> DataFrame:
+    """(item, item_id, item_words, k, i, seed, words): the seeds of every item with a word; ``item`` numbers the rows of the benchmark."""
+    items = frozen(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+                   .withColumn("item", F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
-        own = [(item, codes(text, known)) for item, text in items]
-        lengths = sorted({min(len(c), min_match) for _, c in own if len(c)}, reverse=True)
-        self.groups = [_Seeds([(i, c) for i, c in own if min(len(c), min_match) == k], k, min_match, threshold) for k in lengths]
-
-    def matches(self, text: str | None, known: Words) -> list[tuple[int, int, int, int]]:
-        """(item, its words, words that tiles cover, tiles) of the items that contaminate a text."""
-        c = codes(text, known) if self.groups else np.zeros(0, dtype=np.uint64)
-        return [m for g in self.groups for m in g.matches(c)]
-
-
-class _Seeds:
-    """Seeds of ``k`` words of items with as many words, or at least as many."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], k: int, min_match: int, threshold: float):
-        self.k = k
-        self.ids, self.codes = [i for i, _ in items], [c for _, c in items]
-        self.need = [len(c) if threshold and len(c) <= 2 * min_match else threshold * len(c) for c in self.codes]
-        hashes = [seeds(c, k) for c in self.codes]
-        self.item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        self.pos = np.concatenate([np.arange(len(h)) for h in hashes])
-        flat = np.concatenate(hashes)
-        order = np.argsort(flat, kind="stable")
-        self.seed, self.item, self.pos = flat[order], self.item[order], self.pos[order]
-        self.seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.seen[self._slot(self.seed)] = True
-
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return h >> np.uint64(64 - _FILTER_BITS)
-
-    def matches(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
-        h = seeds(c, self.k)
-        at = np.flatnonzero(self.seen[self._slot(h)])
-        low, high = np.searchsorted(self.seed, h[at], "left"), np.searchsorted(self.seed, h[at], "right")
-        at, low, n = at[high > low], low[high > low], (high - low)[high > low]
-        if not len(at):
-            return []
-        hit = np.repeat(low, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        doc_pos, item, item_pos = np.repeat(at, n), self.item[hit], self.pos[hit]
-        order = np.lexsort((item_pos, doc_pos - item_pos, item))
-        doc_pos, item, item_pos = doc_pos[order], item[order], item_pos[order]
+        for df in batches:
+            out = []
+            for item, text in zip(df["item"], df["text"]):
+                c = codes(text, known)
+                k = min(len(c), min_match)
+                if k:
+                    out += [(item, len(c), k, i, s, w) for i, s, w in zip(*_seed_rows(c, k))]
+            yield pd.DataFrame(out, columns=["item", "item_words", "k", "i", "seed", "words"])
+
+    found = items.select("item", "text").mapInPandas(run, "item long, item_words int, k int, i int, seed long, words array<long>")
+    return frozen(found.join(items.select(F.col("item").alias("n"), "item_id"), F.col("item") == F.col("n")).drop("n"))
+
+
+def _candidates(docs: DataFrame, table: DataFrame):
+    """(row, tag, k, j, seed, words) of the documents' seeds whose place in the benchmark's bitmap is set. ``docs``: row, tag, text."""
+    slots = table.select("k", F.shiftrightunsigned("seed", 64 - _FILTER_BITS).cast("int").alias("s")).distinct()
+    seen: dict[int, np.ndarray] = {}
+    for r in slots.collect():  # at most 2 ** _FILTER_BITS for each length
+        seen.setdefault(r.k, np.zeros(1 << _FILTER_BITS, dtype=bool))[r.s] = True
+    shared = docs.sparkSession.sparkContext.broadcast({k: np.packbits(v) for k, v in seen.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, bits = Words(), {k: np.unpackbits(v).view(bool) for k, v in shared.value.items()}
+        for df in batches:
+            out = []
+            for row, tag, text in zip(df["row"], df["tag"], df["text"]):
+                c = codes(text, known)
+                for k, seen in bits.items():
+                    at = np.flatnonzero(seen[_slot(seeds(c, k))])
+                    out += [(row, tag, k, j, s, w) for j, s, w in zip(*_seed_rows(c, k, at))] if len(at) else []
+            yield pd.DataFrame(out, columns=["row", "tag", "k", "j", "seed", "words"])
+
+    return docs.mapInPandas(run, "row long, tag string, k int, j int, seed long, words array<long>")
+
+
+def _tiled(min_match: int, threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by document and item; the last pair of a batch may go on in the next."""
+        rest = None
+        for df in batches:
+            df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+            if len(df):
+                row, item = df["row"].to_numpy(), df["item"].to_numpy()
+                cut = len(df) - int(np.argmin(((row == row[-1]) & (item == item[-1]))[::-1])) if (row != row[-1]).any() or (item != item[-1]).any() else 0
+                rest = df.iloc[cut:]
+                yield out(df.iloc[:cut])
+        if rest is not None:
+            yield out(rest)
+
+    def out(df: pd.DataFrame) -> pd.DataFrame:
         found = []
-        cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
+        row, item, i, j = (df[c].to_numpy() for c in ("row", "item", "i", "j"))
+        cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]), True]) if len(df) else []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            own, need = self.codes[item[a]], self.need[item[a]]
-            i, j = item_pos[a:b], doc_pos[a:b]
-            covered = np.zeros(len(own) + 1, dtype=np.int64)  # no tiling covers more than all seeds
-            np.add.at(covered, i, 1)
-            np.add.at(covered, np.minimum(i + self.k, len(own)), -1)
-            if (np.cumsum(covered[:-1]) > 0).sum() < need:
-                continue
-            new = np.r_[True, (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)]
-            first = np.flatnonzero(new)
-            size = np.diff(np.r_[first, b - a]) + self.k - 1
-            runs = [(int(i[f]), int(j[f]), int(s)) for f, s in zip(first, size)
-                    if np.array_equal(own[i[f]: i[f] + s], c[j[f]: j[f] + s])]  # words, not hashes, decide
-            marked = tiles(runs, self.k)
-            words = sum(t[2] for t in marked)
-            if words >= need:
-                found.append((self.ids[item[a]], len(own), words, len(marked)))
-        return found
-
-
-def slices(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH,
-           threshold: float = THRESHOLD) -> tuple[int, Iterator[Benchmark]]:
-    """The benchmark in parts of about ``SLICE_WORDS`` words, made when asked for, and their number; one, empty, for an empty table."""
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
-    words = items.agg(F.sum(F.regexp_count("t", F.lit(r"\S+")))).first()[0] or 0
-    n = max(1, -(-words // SLICE_WORDS))
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return n, (Benchmark([tuple(r) for r in items.filter(part == k).orderBy("i", "t").collect()], min_match, threshold) for k in range(n))
+            first = df.iloc[a]
+            n = int(first["item_words"])
+            got = cover(i[a:b], j[a:b], int(first["k"]), n, needed(n, min_match, threshold))
+            if got:
+                found.append((first["row"], first["tag"], first["item"], n, got[0], got[0] / n, got[1]))
+        return pd.DataFrame(found, columns=["row", "tag", "item", "item_words", "covered_words", "coverage", "tiles"])
+
+    return run
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
+    """(row, tag, item_id, item_words, covered_words, coverage, tiles) of the documents (row, tag, text) that an item contaminates."""
+    table = seed_table(benchmark, min_match=min_match)
+    own = _candidates(docs, table)
+    t = table.select(F.col("k").alias("t_k"), F.col("seed").alias("t_seed"), F.col("words").alias("t_words"), "item", "item_words", "i")
+    same = (F.col("k") == F.col("t_k")) & (F.col("seed") == F.col("t_seed")) & (F.col("words") == F.col("t_words"))
+    met = own.join(t, same).select("row", "tag", "item", "item_words", "k", "i", "j")
+    # an item is covered by no more words than its matched seeds hold
+    placed = met.repartition("row").sortWithinPartitions("row", "item", F.col("j") - F.col("i"), "i")
+    found = placed.mapInPandas(_tiled(min_match, threshold),
+                               "row long, tag string, item long, item_words int, covered_words int, coverage double, tiles int")
+    names = table.select(F.col("item").alias("n"), "item_id").distinct()
+    return found.join(names, F.col("item") == F.col("n")).drop("n", "item")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -181,45 +227,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per contaminated document and item: doc_id, item_id, item_words, covered_words, coverage, tiles.
 
     Null and empty texts and items without words match nothing; a short item
-    (see above) matches where all its words stand; either table may be empty. Rows that repeat an id are documents
-    of their own, repeated items items of their own. A null id comes back null.
+    (see above) matches where all its words stand; either table may be empty.
+    Rows that repeat an id are documents of their own, repeated items items of
+    their own. A null id comes back null. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n, parts = slices(benchmark, min_match=min_match, threshold=threshold)
-    found = (_matched(rows, b) for b in parts)
-    return next(found) if n == 1 else reduce(DataFrame.unionByName, map(frozen, found))  # one slice at a time
-
-
-def _matched(rows: DataFrame, part: Benchmark) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(part)  # at most about SLICE_WORDS words, or one item that is longer
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
-        for df in batches:
-            out = [(d, i, n, w, w / n, t) for d, text in zip(df["doc_id"], df["text"]) for i, n, w, t in shared.value.matches(text, known)]
-            got = pd.DataFrame(out, columns=["doc_id", "item_id", "item_words", "covered_words", "coverage", "tiles"])
-            yield got.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-    return rows.mapInPandas(match, "doc_id long, item_id long, item_words int, covered_words int, coverage double, tiles int")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("tag"), F.col(text_col).alias("text"))
+    found = matches(rows, benchmark, min_match, threshold)
+    return found.select(F.col("tag").cast("long").alias("doc_id"), "item_id", "item_words", "covered_words", "coverage", "tiles")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_match: int = MIN_MATCH,
           threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that no test item contaminates, unchanged."""
-    n, parts = slices(benchmark, min_match=min_match, threshold=threshold)
-    for part in parts:
-        docs = docs.filter(~_dirty(docs, part)(F.col(text_col)))
-        docs = docs if n == 1 else frozen(docs)  # so that one slice is sent at a time
-    return docs
-
-
-def _dirty(docs: DataFrame, part: Benchmark):
-    shared = docs.sparkSession.sparkContext.broadcast(part)
+    """The rows of ``docs`` that no test item contaminates, unchanged.
 
-    @F.pandas_udf("boolean")
-    def dirty(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Words()
-        for s in texts:
-            yield pd.Series([bool(shared.value.matches(t, known)) for t in s], dtype=bool)
-
-    return dirty
+    Whether a row stays depends on its text alone, so contaminated texts are
+    known by their digest (MD5 of the whole text).
+    """
+    digest = F.md5(F.col(text_col))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), digest.alias("tag"), F.col(text_col).alias("text"))
+    dirty = frozen(matches(rows, benchmark, min_match, threshold).select(F.col("tag").alias("_dc_dirty")).distinct())
+    if dirty.count() <= BROADCAST_TEXTS:  # the documents stay where they are
+        dirty = F.broadcast(dirty)
+    docs, away = set_aside(docs, "_dc_")
+    marked = docs.withColumn("_dc_digest", F.md5(F.col(away.get(text_col, text_col))))
+    return put_back(marked.join(dirty, F.col("_dc_digest") == F.col("_dc_dirty"), "left_anti").drop("_dc_digest"), away)

@@ -1,8 +1,29 @@
 import random
 
+import numpy as np
+
 from feedlens.llm import decontam
 
 
+def words(text):
+    return [w for w in (x.strip(decontam._SIGNS) for x in (text or "").lower().split()) if w]
+
+
+def brute(docs, items, k=4, threshold=0.5):
+    """Contaminated (document, item) pairs by the definition: items and documents as lists of words."""
+    out = []
+    for d, text in docs:
+        doc = words(text)
+        for i, t in items:
+            item = words(t)
+            n = min(k, len(item))
+            need = len(item) if len(item) <= 2 * k else threshold * len(item)
+            grams = {tuple(doc[j:j + n]) for j in range(len(doc) - n + 1)}
+            if item and sum(tuple(item[j:j + n]) in grams for j in range(len(item) - n + 1)) * n >= need and slow_tiles(item, doc, n) >= need:
+                out.append((d, i))
+    return sorted(out, key=str)
+
+
 def slow_tiles(a, b, k):
     """Greedy string tiling by its definition."""
     ma, mb, found = set(), set(), []
@@ -31,9 +52,10 @@ def test_tiling_against_its_definition():
         parts = [item[i: i + 7] for i in range(0, len(item), 7)]
         rng.shuffle(parts)
         doc = [rng.choice(vocab) for _ in range(10)] + [w for p in parts for w in p] + [rng.choice(vocab) for _ in range(10)]
-        b = decontam.Benchmark([(1, " ".join(item))], 4, 0.0)
-        got = b.matches(" ".join(doc), decontam.Words())
-        assert (got[0][2] if got else 0) == slow_tiles(item, doc, 4), trial
+        pairs = sorted((j - i, i, j) for i in range(len(item) - 3) for j in range(len(doc) - 3) if item[i:i + 4] == doc[j:j + 4])
+        i, j = (np.array([p[x] for p in pairs], dtype=np.int64) for x in (1, 2))
+        got = decontam.cover(i, j, 4, len(item), 1) if pairs else None
+        assert (got[0] if got else 0) == slow_tiles(item, doc, 4), trial
 
 
 def sentences(seed, n):
@@ -59,13 +81,38 @@ def test_finds_moved_and_altered_passages(spark):
     assert sorted([r["doc_id"] for r in left.collect()]) == [3, 5, 6, 7]
 
 
-def test_benchmark_in_slices(spark, monkeypatch):
-    bench = spark.createDataFrame([(k, " ".join(sentences(k, 2))) for k in range(12)], "item_id long, text string")
-    docs = spark.createDataFrame([(k, " ".join(sentences(k, 2) + sentences(100 + k, 1))) for k in range(15)], "doc_id long, text string")
-    monkeypatch.setattr(decontam, "SLICE_WORDS", 40)
-    got = sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in decontam.contaminated(docs, bench).collect())
-    assert got == [(k, k, 1.0) for k in range(12)]
-    assert sorted(r["doc_id"] for r in decontam.clean(docs, bench).collect()) == [12, 13, 14]
+def test_against_brute_force(spark, monkeypatch):
+    """Few words, so that chance matches, repeats and overlaps abound; items of all lengths, batches that cut pairs."""
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(25)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, text(rng.choice([1, 2, 3, 4, 6, 8, 9, 14, 30]))) for i in range(25)] + [(None, text(12)), (3, text(10)), (4, ""), (5, None), (6, "!!! ...")]
+    docs = [(d, text(rng.choice([0, 3, 10, 60]))) for d in range(60)]
+    for d in range(60, 120):
+        parts = words(rng.choice(items[:25])[1])
+        cut = rng.randrange(len(parts) + 1)
+        docs.append((d, " ".join([text(5), *parts[cut:], text(3), *parts[:cut], text(4)]).upper()))
+    docs += [docs[70], docs[70], (None, docs[80][1]), (500, None), (501, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    monkeypatch.setattr(decontam, "_FILTER_BITS", 6)  # a bitmap that lets much through: the join decides
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(((r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench).collect()), key=str)
+        left = sorted(((r["doc_id"], r["text"]) for r in decontam.clean(df, bench).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(want) > 40
+    assert left == sorted(((d, t) for d, t in docs if not brute([(d, t)], items)), key=str) and len(left) > 20
+    monkeypatch.setattr(decontam, "BROADCAST_TEXTS", 0)
+    assert sorted(((r["doc_id"], r["text"]) for r in decontam.clean(df, bench).collect()), key=str) == left
+
+
+def test_seeds_are_joined(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    plan = decontam.contaminated(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join [k" in plan and "t_seed" in plan.split("Join [k")[1].split("\n")[0]
 
 
 def test_empty_tables(spark):
