@@ -34,7 +34,6 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,10 +223,11 @@ def repeated_edges(rows: DataFrame, window: int = WINDOW, sub: int = SUB) -> Dat
     """(doc, repeats: array of (edge, src_doc, src_pos)): the distinct windows of each document that start
     in one with a smaller id, and where. ``rows``: doc_id, text."""
     named = rows.filter("doc_id IS NOT NULL")
-    buckets = named.mapInArrow(_minimizers(window, sub), "m long, doc long").persist(StorageLevel.DISK_ONLY)  # read twice
+    minimal = Stored(named.mapInArrow(_minimizers(window, sub), "m long, doc long"), "minimizers")  # read twice
+    buckets = minimal.df
     shared = frozen(buckets.groupBy("m").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select(F.col("m").alias("s_m")))
     wanted = frozen(buckets.join(shared.hint("shuffle_hash"), F.col("m") == F.col("s_m")).groupBy("doc").agg(F.collect_list("m").alias("buckets")))
-    buckets.unpersist()
+    minimal.drop()
     paths = Stored(named.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "buckets")
                    .mapInArrow(_paths(window, sub), "path array<long>, doc long, start long"), "paths")
 
