@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from feedlens import schema as S
 from feedlens.functions.analysis import normalize_analysis
 from feedlens.functions.scalars import day, label_or
+from feedlens.plans.ranking import prefix_sum_within
 from feedlens.session import frozen, written
 
 Scorer = Callable[[pd.Series], pd.Series]
@@ -141,6 +142,10 @@ def _cut(max_chars: int):
     return run
 
 
+def _line_weight(tag, text):
+    return (F.length(text) + F.length(tag) + S.DIGEST_LINE_OVERHEAD).cast("long")
+
+
 class DigestChunks:
     """The day's lines, placed once: ``rows`` (date, slice, chunk, first, count, chars, before, tags, texts) is a stored
     table of chunks of consecutive lines, ``offsets`` tells what the day has before each slice.
@@ -154,8 +159,7 @@ class DigestChunks:
     def __init__(self, df: DataFrame, max_chars: int = S.DIGEST_PROMPT_CHARS):
         label = label_or("tag", "Unknown")
         text = F.coalesce(F.col("text"), F.lit(""))
-        weight = F.length(text) + F.length(label) + S.DIGEST_LINE_OVERHEAD
-        src = df.select(day("created_at").alias("date"), "created_at", "id", label.alias("tag"), text.alias("text"), weight.cast("long").alias("w"))
+        src = df.select(day("created_at").alias("date"), "created_at", "id", label.alias("tag"), text.alias("text"), _line_weight(label, text).alias("w"))
         keys = [F.col("date").asc(), F.col("created_at").desc(), F.col("id").desc()]
         placed = src.where(F.col("date").isNotNull()).repartitionByRange(*keys).sortWithinPartitions(*keys)
         schema = "date date, slice int, chunk long, first long, count long, chars long, before array<long>, tags array<string>, texts array<string>"
@@ -187,16 +191,20 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
     first (ties: higher id first). ``chars_before`` is the weight of the
     day's earlier lines (text + tag label + DIGEST_LINE_OVERHEAD each).
 
-    The full text is kept, and moved once (see ``DigestChunks``). ``id`` must
-    be unique; rows without a creation time belong to no day.
+    Numbers and weights come from one range-partitioned prefix pass on (date,
+    created_at, id) only, so one very busy day is spread over many tasks; the
+    full texts are joined to them by id, the one exchange that carries text.
+    ``id`` must be unique; rows without a creation time belong to no day.
     """
+    src = df.select(day("created_at").alias("date"), "id", "created_at", label_or("tag", "Unknown").alias("tag"),
+                    F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.col("date").isNotNull())
     if dates:
-        df = df.where(day("created_at").isin([F.lit(d).cast("date") for d in dates]))
-    lines = DigestChunks(df).numbered().select(
-        "date", "first", "o_lines", "o_chars", F.posexplode(F.arrays_zip("before", "tags", "texts")).alias("pos", "x"))
-    number = F.col("o_lines") + F.col("first") + F.col("pos") + 1
-    return lines.select("date", number.alias("line_no"), _line(number, F.col("x.tags"), F.col("x.texts")).alias("line"),
-                        (F.col("o_chars") + F.col("x.before")).alias("chars_before"))
+        src = src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
+    keys = src.select("date", "id", "created_at", _line_weight(F.col("tag"), F.col("text")).alias("_ln_w"))
+    nums = prefix_sum_within(keys, ["date"], [F.col("created_at").desc(), F.col("id").desc()], weight="_ln_w", out="chars_before", count_out="_ln_0")
+    nums = nums.select(F.col("id").alias("_ln_id"), (F.col("_ln_0") + 1).cast("long").alias("line_no"), F.col("chars_before").cast("long"))
+    numbered = src.join(nums, F.col("id") == F.col("_ln_id"))
+    return numbered.select("date", "line_no", _line(F.col("line_no"), F.col("tag"), F.col("text")).alias("line"), "chars_before")
 
 
 class Generator(Protocol):
