@@ -8,10 +8,13 @@ first, and stored; a bucket is a run of ``BUCKET_ROWS`` of them.
 - Cauchy-Schwarz: a query with k-th score t skips every bucket whose longest
   vector times its own length is below t. What is below that for every query
   is not even read: the length is a column whose statistics Parquet keeps.
-- Coordinate bounds: inside a bucket, inverted lists give the exact part of
-  the inner product over a query's heaviest terms, and the lengths of what is
-  left on either side bound the rest. Documents below t are dropped.
-- The others are scored in 64-bit integers.
+- Coordinate bounds: the largest coordinate of each term in the bucket bounds
+  what a query's terms can add. Its heaviest terms are taken, as many as it
+  needs for the others to stay below t together, so a document without any of
+  them is out. For the rest, the inverted lists of these terms give that part
+  of the score, and what is left is bounded both by the other terms' largest
+  coordinates and by the lengths of what is left on either side.
+- The survivors are scored in 64-bit integers.
 
 The first shard, that of the longest vectors, gives each query a k-th score;
 the others start from it, and each task raises it by what it finds itself.
@@ -39,8 +42,8 @@ TERM_RE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The same on UTF-8 bytes: what is no part of a term becomes a blank.
 _BYTES = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-#: Terms of a block of queries; rows of a bucket; heaviest terms of a query that its bounds are made of.
-BLOCK_TERMS, BUCKET_ROWS, FOCUS = 1 << 18, 1024, 6
+#: Terms of a block of queries; rows of a bucket.
+BLOCK_TERMS, BUCKET_ROWS = 1 << 18, 1024
 #: Null ids while searching: they come first among equals.
 _NO_ID = -(1 << 63)
 #: What a rounding error may take from a bound.
@@ -120,15 +123,20 @@ def _impacts(counts: DataFrame, weights: np.ndarray, n_docs: int, n_terms: int)
 class Bucket:
     """Vectors of a run of documents: by row, and as inverted lists."""
 
-    def __init__(self, ids: np.ndarray, length: np.ndarray, starts: np.ndarray, tids: np.ndarray, impacts: np.ndarray, weights: np.ndarray):
+    def __init__(self, ids: np.ndarray, length: np.ndarray, starts: np.ndarray, tids: np.ndarray, impacts: np.ndarray):
         self.ids, self.length, self.starts, self.tids, self.impacts = ids, length, starts, tids, impacts.astype(np.int64)
-        row = np.repeat(np.arange(len(ids)), np.diff(starts))
         by = np.argsort(tids, kind="stable")
-        self.term, self.row, self.by_term = tids[by], row[by], self.impacts[by]
-        self.unit = np.sqrt(weights[self.term]) * self.by_term / length[self.row]  # coordinates of the unit vectors
+        self.row, self.by_term = np.repeat(np.arange(len(ids)), np.diff(starts))[by], self.impacts[by]
+        term = tids[by]
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        self.terms, self.first = term[first], np.r_[first, len(term)]
+        self.most = np.maximum.reduceat(self.by_term, first)
 
-    def lists(self, tids: np.ndarray) -> zip:
-        return zip(np.searchsorted(self.term, tids, "left").tolist(), np.searchsorted(self.term, tids, "right").tolist())
+    def lists(self, tids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the lists of some terms begin and end, and their largest impacts (0: no list)."""
+        at = np.minimum(np.searchsorted(self.terms, tids), len(self.terms) - 1)
+        there = self.terms[at] == tids
+        return self.first[at], np.where(there, self.first[at + 1], self.first[at]), np.where(there, self.most[at], 0)
 
 
 class Query:
@@ -138,27 +146,32 @@ class Query:
         by = np.lexsort((tids, -weights))
         self.tids, self.weights = tids[by], weights[by].astype(np.int64)
         self.length = float(np.sqrt(self.weights.sum()))
-        self.unit = np.sqrt(self.weights) / self.length if self.length else self.weights.astype(float)
         self.sorted = np.argsort(self.tids)
 
 
-def survivors(b: Bucket, q: Query, least: int, focus: int = FOCUS) -> np.ndarray:
-    """Rows of the bucket whose bound over the query's ``focus`` heaviest coordinates reaches ``least``."""
-    dot, square = np.zeros(len(b.ids)), np.zeros(len(b.ids))
-    for (lo, hi), x in zip(b.lists(q.tids[:focus]), q.unit):
-        row, y = b.row[lo:hi], b.unit[lo:hi]
-        dot[row] += x * y
-        square[row] += y * y
-    rest = np.sqrt(max(0.0, 1 - float((q.unit[:focus] ** 2).sum())) + 1e-12)
-    bound = dot + rest * np.sqrt(np.maximum(1 - square, 0) + 1e-12)
-    return np.flatnonzero(bound * b.length * (q.length * _SLACK) >= least)
+def survivors(b: Bucket, q: Query, least: int) -> np.ndarray:
+    """Rows of the bucket whose bound reaches ``least`` (at least 1)."""
+    low, high, most = b.lists(q.tids)
+    can = q.weights * most
+    by = np.argsort(-can, kind="stable")
+    rest = can.sum() - np.r_[0, np.cumsum(can[by])]  # what the terms from here on can add
+    n = int((rest >= least).sum())  # the essential terms: those behind them stay below
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    part, square = np.zeros(len(b.ids), dtype=np.int64), np.zeros(len(b.ids))
+    for i in by[:n].tolist():
+        row, x, w = b.row[low[i]:high[i]], b.by_term[low[i]:high[i]], q.weights[i]
+        part[row] += w * x
+        square[row] += w * (x.astype(np.float64) ** 2)
+    left = np.sqrt(float(q.weights[by[n:]].sum())) * np.sqrt(np.maximum(b.length ** 2 * (1 + 1e-12) - square, 0))
+    return np.flatnonzero((part > 0) & (part + np.minimum(left * _SLACK + 1, rest[n]) >= least))
 
 
 def scores(b: Bucket, q: Query, rows: np.ndarray) -> np.ndarray:
     """Exact scores of some rows, by their vectors where these are fewer entries than the query's lists."""
-    lists = list(b.lists(q.tids))
+    low, high, _ = b.lists(q.tids)
     sizes = b.starts[rows + 1] - b.starts[rows]
-    if sizes.sum() < sum(hi - lo for lo, hi in lists):
+    if sizes.sum() < (high - low).sum():
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(b.starts[rows] - (ends - sizes), sizes)
         tids, weights = q.tids[q.sorted], q.weights[q.sorted]
@@ -166,7 +179,7 @@ def scores(b: Bucket, q: Query, rows: np.ndarray) -> np.ndarray:
         part = np.where(tids[place] == b.tids[at], weights[place] * b.impacts[at], 0)
         return np.add.reduceat(np.r_[part, 0], ends - sizes) if len(rows) else np.zeros(0, np.int64)
     total = np.zeros(len(b.ids), dtype=np.int64)
-    for (lo, hi), w in zip(lists, q.weights):
+    for lo, hi, w in zip(low, high, q.weights):
         total[b.row[lo:hi]] += w * b.by_term[lo:hi]
     return total[rows]
 
@@ -208,15 +221,14 @@ class Search:
 def _searched(vectors: DataFrame, shared, least: np.ndarray, k: int) -> DataFrame:
     """(q, doc_id, score): each task's best documents, q the number of the query in its block."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, weights = shared.value
-        found = Search(queries, least, k)
+        found = Search(shared.value, least, k)
         for b in batches:
             starts, tids, impacts = _csr(b, "impacts")
             ids, length = b.column("doc_id").to_numpy(), b.column("length").to_numpy()
             for lo in range(0, len(ids), BUCKET_ROWS):
                 hi = min(lo + BUCKET_ROWS, len(ids))
                 x, y = starts[lo], starts[hi]
-                found.add(Bucket(ids[lo:hi], length[lo:hi], starts[lo:hi + 1] - x, tids[x:y], impacts[x:y], weights))
+                found.add(Bucket(ids[lo:hi], length[lo:hi], starts[lo:hi + 1] - x, tids[x:y], impacts[x:y]))
         q, ids, s = found.result()
         yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(ids), pa.array(s)], ["q", "doc_id", "score"])
 
@@ -240,7 +252,7 @@ def _block(docs: DataFrame, asked: list, k: int) -> DataFrame:
         weights[r.tid] = weight(n_docs, r.df)
     terms = [np.array([vocabulary[t.encode()] for t in r.terms], dtype=np.int32) for r in asked]
     queries = [Query(t, weights[t]) for t in terms]
-    shared = spark.sparkContext.broadcast((queries, weights))
+    shared = spark.sparkContext.broadcast(queries)
     order = [F.desc("length"), F.xxhash64("doc_id")]
     vectors = Stored(_impacts(counts.df, weights, n_docs, n_terms).repartitionByRange(*order).sortWithinPartitions(*order)
                      .withColumn("shard", F.spark_partition_id()), "impacts")

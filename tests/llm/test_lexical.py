@@ -91,7 +91,7 @@ def test_buckets_and_bounds_prune_and_stay_exact():
         own = order[at:at + 256]
         sizes = [len(rows[i][0]) for i in own]
         search.add(X.Bucket(own.astype(np.int64), length[own], np.r_[0, np.cumsum(sizes)], np.concatenate([rows[i][0] for i in own]),
-                            np.concatenate([rows[i][1] for i in own]), weights))
+                            np.concatenate([rows[i][1] for i in own])))
     q, ids, s = search.result()
     for j, query in enumerate(queries):
         w = dict(zip(query.tids.tolist(), query.weights.tolist()))
