@@ -116,13 +116,16 @@ class Encoder:
         most = max(self._tok.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
         self.width = 2 if most < 1 << 16 else 4
         self._kind, self._letters = "H" if self.width == 2 else "I", byte_alphabet()
-        self._bpe, self._plain = self._tok.model.tokenize, re.compile(_PLAIN)
+        self._bpe, self._plain, self._packers = self._tok.model.tokenize, re.compile(_PLAIN), {}
         self._end = b"" if end_id is None else self._packed([int(end_id)])
         self._signs = _Pieces(self._word)
         self._parts, self._words = _Pieces(self._piece), _Pieces(self._piece, " ")
 
     def _packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self._kind}", *ids)
+        n = len(ids)
+        if n not in self._packers:
+            self._packers[n] = struct.Struct(f"<{n}{self._kind}").pack
+        return self._packers[n](*ids)
 
     def _word(self, word: str) -> bytes:
         """Ids of what the pre-tokenization leaves together."""
@@ -130,6 +133,9 @@ class Encoder:
         return self._packed([t.id for t in self._bpe(written)])
 
     def _piece(self, text: str) -> bytes:
+        bare = text[1:] if text[0] == " " else text
+        if bare.isascii() and bare.isalpha():  # most words
+            return self._packed([t.id for t in self._bpe(text if bare is text else "\u0120" + bare)])
         plain = self._plain.fullmatch(text)
         if plain:
             letters, signs = plain.groups()
