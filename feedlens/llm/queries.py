@@ -160,6 +160,16 @@ FROM z JOIN t USING (c)"""
 
 
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH r AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT r, doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS t
+      FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM r WHERE len(ws) >= 13)),
+f AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+g AS (SELECT DISTINCT r, i + k AS p FROM (SELECT w.r, w.i, unnest(range(13)) AS k FROM w JOIN f USING (t) WHERE w.doc_id > f.first)),
+k AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept
+      FROM (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM r) ANTI JOIN g USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM r LEFT JOIN k USING (r)""",
     "op11_lexical_search": r"""
 WITH t AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS re, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents, t),
