@@ -39,8 +39,8 @@ KEYSET_AFTER = ("2024-01-15 12:00:00", 0)
 SUMMARY_NOW = datetime.datetime(2024, 2, 1, 0, 0, 0)
 
 
-def _fb(spark, d, text=False, raw=False):
-    return src.feedback_from_tables(spark, d, with_text=text, with_raw_response=raw)
+def _fb(spark, d, text=False, raw=False, spread=None):
+    return src.feedback_from_tables(spark, d, with_text=text, with_raw_response=raw, spread_out=spread)
 
 
 def _library_page(spark, d, page_no, sort_key=PAGE["sort_key"], pager=library.page, **filters):
@@ -252,7 +252,7 @@ _QUERIES: dict[str, Query] = {
     "stale_digest_state": lambda s, d: digests.digest_state(_fb(s, d, text=True)).select("date", "count", "max_updated_at"),
     "page_count": lambda s, d: library.page_count(library.filter_feedback(_fb(s, d), status=PAGE["status"]), PAGE["size"]),
     "visible_columns": lambda s, d: library.project_columns(
-        _fb(s, d), ["when", "id", "tier", "channel", "status", "sentiment", "tag"],
+        _fb(s, d, spread=True), ["when", "id", "tier", "channel", "status", "sentiment", "tag"],
         {"when": True, "id": True, "tier": True, "channel": True, "status": True, "sentiment": True, "tag": False}, "created_asc"),
     "timeline_intervals": lambda s, d: timeline.timeline_intervals(_fb(s, d), "status"),
     "peak_concurrency": lambda s, d: timeline.peak_concurrency(_fb(s, d), "status"),
@@ -289,7 +289,7 @@ _QUERIES: dict[str, Query] = {
     "event_day_counts": lambda s, d: jobs.event_day_counts(src.change_log_from_tables(s, d, with_text=False), "1 day"),
     "summary_payload": _summary_payload,
     "urgency_bubbles": lambda s, d: library.urgency_bubbles(_fb(s, d)),
-    "sentiment_slider": lambda s, d: library.sentiment_slider(_fb(s, d)),
+    "sentiment_slider": lambda s, d: library.sentiment_slider(_fb(s, d, spread=True)),
     "timeline_bar_labels": lambda s, d: timeline.bar_labels(_fb(s, d, text=True), "status"),
     "sentiment_chart": lambda s, d: rollups.sentiment_chart(_fb(s, d)),
     "assign_ids_dense": lambda s, d: sinks.assign_ids(
