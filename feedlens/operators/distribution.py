@@ -84,7 +84,6 @@ def sentiment_boxplot(df: DataFrame, dim: str = "tier", value: str = "sentiment"
     stats = hist.groupBy("dimension").agg(
         F.sum("c").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.count(F.lit(1)).alias("values"),
         F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"))
-    stats = frozen(stats)
     ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col("n") * p).alias("left")) for name, p in QUANTILES.items()])
     sought = stats.select("dimension", F.explode(ranks).alias("q"), F.col("min").alias("lo"), F.col("max").alias("hi"), "values")
     sought = narrowed(hist, sought.select("dimension", "q.name", "q.left", "lo", "hi", "values"))

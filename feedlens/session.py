@@ -74,9 +74,21 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.select("*").checkpoint(eager=True)
 
 
+class Written:
+    """``df`` as a Parquet table in the shared checkpoint folder, read back: like ``frozen``, but compressed,
+    and a later use reads its columns alone. ``drop`` removes it once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self._spark = df.sparkSession
+        self._path = f"{checkpoint_dir(self._spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self._path)
+        self.df = self._spark.read.parquet(self._path)
+
+    def drop(self) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, read back: like ``frozen``, but
-    a later use reads its columns alone. It stays until the folder is cleared."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """``Written`` that stays until the folder is cleared."""
+    return Written(df, name).df
