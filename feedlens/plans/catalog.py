@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from feedlens import schema as S
 from feedlens.functions.analysis import keyword_scores, normalize_analysis
 from feedlens.operators import changes, digests, distribution, enrich, library, rollups, timeline
-from feedlens.session import checkpoint_dir
+from feedlens.session import checkpoint_dir, remove
 from feedlens.streaming import jobs
 from feedlens.sources import feedback as src
 from feedlens.sources import ingest as ing
@@ -112,6 +112,8 @@ def _replayed_log(spark, d, hooks=()):
     log.repartition(REPLAY_BATCHES, F.xxhash64("seq")).write.parquet(inp)
     stream = spark.readStream.schema(S.EVENTS).option("maxFilesPerTrigger", _files_a_batch(spark, inp, "parquet")).parquet(inp)
     jobs.stream_snapshot(stream, f"{out}/log", f"{out}/snapshot", f"{out}/checkpoint", fanout=REPLAY_FANOUT, on_change=hooks).awaitTermination()
+    remove(spark, inp)
+    remove(spark, f"{out}/log")
     return f"{out}/snapshot"
 
 
@@ -136,6 +138,7 @@ def _stream_ingest(spark, d):
     inp, out = _scratch(spark, "requests"), _scratch(spark, "ingest")
     src.ingest_requests_from_tables(spark, d).select("value").repartition(REPLAY_BATCHES).write.text(inp)
     jobs.stream_ingest(spark, inp, out, f"{out}/checkpoint", max_files_per_trigger=_files_a_batch(spark, inp, "text")).awaitTermination()
+    remove(spark, inp)
     rows = changes.snapshot(spark.read.parquet(f"{out}/events").select(*S.EVENTS.fieldNames()))
     dense = rows.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_distinct("id").alias("ids"))
     return rows.select("text", "source", "channel", "severity_hint", "user_tier", "tag", "sentiment", "urgency_score", "summary", "status",

@@ -85,8 +85,13 @@ class Written:
         self.df = self._spark.read.parquet(self._path)
 
     def drop(self) -> None:
-        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
-        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self._spark, self._path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
