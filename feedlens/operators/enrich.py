@@ -325,7 +325,7 @@ class Cells:
     """
 
     def __init__(self, corpus: DataFrame, slice_rows: int):
-        n = corpus.count()
+        n = corpus.count()  # one number to the driver
         cells = min(MAX_CELLS, max(1, -(-n // slice_rows)))
         drawn = corpus.orderBy(F.xxhash64("id"), "id").limit(cells).select("v").collect()
         pivots = _unit([r.v for r in drawn]) if drawn else np.zeros((0, 1))
@@ -422,15 +422,17 @@ def similar_texts(corpus: DataFrame, queries: DataFrame, k: int = 10, vec_col: s
     kk = int(k)
     vectors = lambda df, i, v, names: df.select(F.col(i).cast("long").alias(names[0]), F.col(v).cast("array<double>").alias(names[1])).where(
         F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull())
-    cells = Cells(vectors(corpus, id_col, vec_col, ("id", "v")), slice_rows or SLICE_ROWS)
+    rows, size = vectors(corpus, id_col, vec_col, ("id", "v")), slice_rows or SLICE_ROWS
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     asked = vectors(queries, query_id_col, query_vec_col, ("qid", "qv")).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
     ranked = lambda df: df.withColumn("rank", F.row_number().over(
         Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())).cast("long")).where(F.col("rank") <= kk)
-    found = _visited(cells, cells_to_visit(cells, asked, True), kk)
-    if len(cells.cells) <= 1:  # the first visit has seen all
+    if rows.limit(size + 1).count() <= size:  # one part: nothing to leave out
+        part = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = part.groupBy("part").cogroup(asked.groupBy("block")).applyInPandas(_best_of(kk), "query_id long, id long, score double")
         return ranked(found).select("query_id", "rank", "id", "score")
-    found = frozen(found)
+    cells = Cells(rows, size)
+    found = frozen(_visited(cells, cells_to_visit(cells, asked, True), kk))
     kth = ranked(found).where(F.col("rank") == kk).select(F.col("query_id").alias("k_id"), F.col("score").alias("k_score"))
     left = asked.join(kth, F.col("qid") == F.col("k_id"), "left").withColumn("kth", F.coalesce("k_score", F.lit(-2.0)))
     rest = _visited(cells, cells_to_visit(cells, left.select("qid", "qv", "block", "kth"), False), kk)
