@@ -60,3 +60,20 @@ def test_snapshot_fold_sorts_no_rows_for_an_aggregate(spark):
     assert "SortAggregate" not in p and "Join [id" in p and "[_e_id" in p  # fetched by (id, seq)
     narrow = plan(changes.last_writes(log))
     assert "HashAggregate(keys=[id" in narrow and "SortAggregate" not in narrow and "ObjectHash" not in narrow
+
+
+def test_the_fold_moves_a_text_once_and_aggregates_none(spark):
+    import re
+    from conftest import SF_SMALL
+    from feedlens.operators import changes
+    from feedlens.sources.feedback import change_log_from_tables
+    log = change_log_from_tables(spark, SF_SMALL)
+    state = changes.fold_state(log)
+    for df in (changes.snapshot(log), changes.state_to_snapshot(changes.merge_state(spark.createDataFrame([], state.schema)))):
+        p = plan(df)
+        assert "ShuffledHashJoin" in p
+        kept = [ln for ln in p.split("\n") if "Aggregate(" in ln and re.search(r"\btext#", ln)]
+        assert all("collect_set(text" in ln for ln in kept), kept  # of texts that lie there twice alone
+    assert changes.snapshot(log.unionByName(log)).exceptAll(changes.snapshot(log)).count() == 0  # each event twice
+    twice = changes.merge_state(state.unionByName(state))
+    assert twice.count() == state.count() and twice.exceptAll(state).count() == 0
