@@ -185,7 +185,7 @@ def _line(number, tag, text):
     return F.concat(number.cast("string"), F.lit(". ["), tag, F.lit("] "), text)
 
 
-def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
+def digest_lines(df: DataFrame, dates: list[str] | None = None, rows_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A12 long form: (date, line_no, line, chars_before) with
     ``i. [tag or Unknown] text``, numbered from 1 per creation day, newest
     first (ties: higher id first). ``chars_before`` is the weight of the
@@ -194,16 +194,24 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None) -> DataFrame:
     Numbers and weights come from one range-partitioned prefix pass on (date,
     created_at, id) only, so one very busy day is spread over many tasks; the
     full texts are joined to them by id, the one exchange that carries text.
+    Where ``df`` is a view that joins the texts itself, ``rows_of(numbers)`` can
+    give its rows joined by id with the frame ``numbers`` before that, so that
+    no exchange carries a text; the rows are the same.
     ``id`` must be unique; rows without a creation time belong to no day.
     """
-    src = df.select(day("created_at").alias("date"), "id", "created_at", label_or("tag", "Unknown").alias("tag"),
-                    F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.col("date").isNotNull())
-    if dates:
-        src = src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates]))
+    def lines_of(rows: DataFrame, *more: str) -> DataFrame:
+        src = rows.select(day("created_at").alias("date"), "id", "created_at", label_or("tag", "Unknown").alias("tag"),
+                          F.coalesce(F.col("text"), F.lit("")).alias("text"), *more).where(F.col("date").isNotNull())
+        return src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates])) if dates else src
+
+    src = lines_of(df)
     keys = src.select("date", "id", "created_at", _line_weight(F.col("tag"), F.col("text")).alias("_ln_w"))
     nums = prefix_sum_within(keys, ["date"], [F.col("created_at").desc(), F.col("id").desc()], weight="_ln_w", out="chars_before", count_out="_ln_0")
     nums = nums.select(F.col("id").alias("_ln_id"), (F.col("_ln_0") + 1).cast("long").alias("line_no"), F.col("chars_before").cast("long"))
-    numbered = src.join(nums, F.col("id") == F.col("_ln_id"))
+    if rows_of is None:
+        numbered = src.join(nums, F.col("id") == F.col("_ln_id"))
+    else:
+        numbered = lines_of(rows_of(nums.withColumnRenamed("_ln_id", "id")), "line_no", "chars_before")
     return numbered.select("date", "line_no", _line(F.col("line_no"), F.col("tag"), F.col("text")).alias("line"), "chars_before")
 
 
