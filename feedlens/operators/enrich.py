@@ -9,6 +9,7 @@ native expressions.
 from __future__ import annotations
 
 import json
+import zlib
 from typing import Callable, Protocol
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlens import schema as S
 from feedlens.functions.analysis import normalize_analysis
@@ -215,6 +217,11 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None, rows_of: Callabl
     return numbered.select("date", "line_no", _line(F.col("line_no"), F.col("tag"), F.col("text")).alias("line"), "chars_before")
 
 
+@F.pandas_udf(T.BinaryType())
+def _packed(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda x: zlib.compress(x.encode(), 1))
+
+
 class Generator(Protocol):
     """The model behind daily digests. A day is written in parts, each from a
     bounded prompt, and the parts are merged into one text; a day of one part
@@ -259,7 +266,7 @@ MERGE_PARTS = 64
 
 
 def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None = None,
-                 max_chars: int = S.DIGEST_PROMPT_CHARS) -> DataFrame:
+                 max_chars: int = S.DIGEST_PROMPT_CHARS, rows_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """E5: (date, summary, count), one row per date, however busy.
 
     Each prompt of ``digest_prompts`` is written by one call of
@@ -268,6 +275,9 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
     ``Error generating summary: ...``. Dates asked for (``dates`` frame with a
     ``date`` column) that have no feedback get ``No feedback received on D.``
     and count 0.
+
+    With ``rows_of`` (see ``digest_lines``) the lines are numbered before they
+    have texts; then each goes to its prompt at once, packed, and no chunk is stored.
     """
     def called(f, date, x):
         try:
@@ -277,7 +287,8 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
 
     def write(batches):
         for pdf in batches:
-            out = [called(generator.write, d, p) for d, p in zip(pdf["date"], pdf["prompt"])]
+            prompts = pdf["prompt"] if "prompt" in pdf else ("\n".join(zlib.decompress(x).decode() for x in lines) for lines in pdf["lines"])
+            out = [called(generator.write, d, p) for d, p in zip(pdf["date"], prompts)]
             yield pd.DataFrame({"date": pdf["date"], "chunk": pdf["chunk"], "error": [e for e, _ in out],
                                 "summary": [s for _, s in out], "count": pdf["count"]})
 
@@ -289,8 +300,15 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
                                 "summary": [s for _, s in out], "count": pdf["count"]})
 
     schema = "date date, chunk long, error string, summary string, count long"
-    chunks = DigestChunks(df, max_chars)
-    parts, left = _prompts(chunks).mapInPandas(write, schema), chunks.most_chunks()
+    if rows_of is None:
+        chunks = DigestChunks(df, max_chars)
+        parts, left = _prompts(chunks).mapInPandas(write, schema), chunks.most_chunks()
+    else:
+        lines = digest_lines(df, rows_of=rows_of).withColumn("chunk", F.floor(F.col("chars_before") / int(max_chars)).cast("long"))
+        left = (lines.agg(F.max("chunk")).first()[0] or 0) + 1  # one number to the driver
+        inside = F.array_sort(F.collect_list(F.struct("line_no", "packed")))  # max_chars and one line at most
+        parts = (lines.select("date", "chunk", "line_no", _packed("line").alias("packed")).groupBy("date", "chunk")
+                 .agg(F.transform(inside, lambda x: x["packed"]).alias("lines"), F.count(F.lit(1)).alias("count")).mapInPandas(write, schema))
     while left > 1:
         ordered = F.array_sort(F.collect_list(F.struct("chunk", "summary")))  # at most MERGE_PARTS
         parts = (parts.withColumn("into", F.floor(F.col("chunk") / MERGE_PARTS).cast("long")).groupBy("date", "into")

@@ -46,3 +46,14 @@ def test_lines_get_their_texts_last(spark):
     same_rows(late, enrich.digest_lines(whole))
     days = ["2024-01-03", "2024-01-04"]
     same_rows(enrich.digest_lines(whole, days, lambda numbers: src.feedback_from_tables(spark, SF_SMALL, joined=numbers)), enrich.digest_lines(whole, days))
+
+
+def test_digests_of_late_texts_are_the_same_and_store_no_chunks(spark, monkeypatch):
+    whole = src.feedback_from_tables(spark, SF_SMALL)
+    want = enrich.daily_digest(whole, enrich.LineCounter(), max_chars=20_000)
+    want = spark.createDataFrame(want.collect(), want.schema)
+    monkeypatch.setattr(enrich, "DigestChunks", None)
+    for size in (1, 20_000, 400_000):
+        same_rows(enrich.daily_digest(whole, enrich.LineCounter(), max_chars=size,
+                                      rows_of=lambda numbers: src.feedback_from_tables(spark, SF_SMALL, joined=numbers)), want)
+    assert catalog.QUERIES["digest_refresh"](spark, SF_SMALL).count() == want.count() + 1
