@@ -187,7 +187,8 @@ def _line(number, tag, text):
     return F.concat(number.cast("string"), F.lit(". ["), tag, F.lit("] "), text)
 
 
-def digest_lines(df: DataFrame, dates: list[str] | None = None, rows_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def digest_lines(df: DataFrame, dates: list[str] | None = None, rows_of: Callable[[DataFrame], DataFrame] | None = None,
+                 same_text: bool = False) -> DataFrame:
     """A12 long form: (date, line_no, line, chars_before) with
     ``i. [tag or Unknown] text``, numbered from 1 per creation day, newest
     first (ties: higher id first). ``chars_before`` is the weight of the
@@ -198,7 +199,8 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None, rows_of: Callabl
     full texts are joined to them by id, the one exchange that carries text.
     Where ``df`` is a view that joins the texts itself, ``rows_of(numbers)`` can
     give its rows joined by id with the frame ``numbers`` before that, so that
-    no exchange carries a text; the rows are the same.
+    no exchange carries a text; the rows are the same. Rows that share an id all
+    meet its numbers; with ``same_text`` a number meets only rows of the text and tag it was given for.
     ``id`` must be unique; rows without a creation time belong to no day.
     """
     def lines_of(rows: DataFrame, *more: str) -> DataFrame:
@@ -207,13 +209,17 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None, rows_of: Callabl
         return src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates])) if dates else src
 
     src = lines_of(df)
-    keys = src.select("date", "id", "created_at", _line_weight(F.col("tag"), F.col("text")).alias("_ln_w"))
+    shown = F.xxhash64("tag", "text")
+    keys = src.select("date", "id", "created_at", _line_weight(F.col("tag"), F.col("text")).alias("_ln_w"), *([shown.alias("_ln_h")] if same_text else []))
     nums = prefix_sum_within(keys, ["date"], [F.col("created_at").desc(), F.col("id").desc()], weight="_ln_w", out="chars_before", count_out="_ln_0")
-    nums = nums.select(F.col("id").alias("_ln_id"), (F.col("_ln_0") + 1).cast("long").alias("line_no"), F.col("chars_before").cast("long"))
+    nums = nums.select(F.col("id").alias("_ln_id"), (F.col("_ln_0") + 1).cast("long").alias("line_no"), F.col("chars_before").cast("long"),
+                       *(["_ln_h"] if same_text else []))
     if rows_of is None:
         numbered = src.join(nums, F.col("id") == F.col("_ln_id"))
     else:
-        numbered = lines_of(rows_of(nums.withColumnRenamed("_ln_id", "id")), "line_no", "chars_before")
+        numbered = lines_of(rows_of(nums.withColumnRenamed("_ln_id", "id")), *[c for c in nums.columns if c != "_ln_id"])
+    if same_text:
+        numbered = numbered.where(shown == F.col("_ln_h"))
     return numbered.select("date", "line_no", _line(F.col("line_no"), F.col("tag"), F.col("text")).alias("line"), "chars_before")
 
 
@@ -287,10 +293,15 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
 
     def write(batches):
         for pdf in batches:
-            prompts = pdf["prompt"] if "prompt" in pdf else ("\n".join(zlib.decompress(x).decode() for x in lines) for lines in pdf["lines"])
+            if "prompt" in pdf:
+                prompts, counts = pdf["prompt"], pdf["count"]
+            else:  # rows that are alike meet each other's numbers: a line of each number
+                first = [np.unique(np.asarray(n), return_index=True)[1] for n in pdf["numbers"]]
+                prompts = ("\n".join(zlib.decompress(lines[i]).decode() for i in own) for lines, own in zip(pdf["lines"], first))
+                counts = [len(own) for own in first]
             out = [called(generator.write, d, p) for d, p in zip(pdf["date"], prompts)]
             yield pd.DataFrame({"date": pdf["date"], "chunk": pdf["chunk"], "error": [e for e, _ in out],
-                                "summary": [s for _, s in out], "count": pdf["count"]})
+                                "summary": [s for _, s in out], "count": counts})
 
     def merge(batches):
         for pdf in batches:
@@ -304,11 +315,12 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
         chunks = DigestChunks(df, max_chars)
         parts, left = _prompts(chunks).mapInPandas(write, schema), chunks.most_chunks()
     else:
-        lines = digest_lines(df, rows_of=rows_of).withColumn("chunk", F.floor(F.col("chars_before") / int(max_chars)).cast("long"))
+        lines = digest_lines(df, rows_of=rows_of, same_text=True).withColumn("chunk", F.floor(F.col("chars_before") / int(max_chars)).cast("long"))
         left = (lines.agg(F.max("chunk")).first()[0] or 0) + 1  # one number to the driver
         inside = F.array_sort(F.collect_list(F.struct("line_no", "packed")))  # max_chars and one line at most
         parts = (lines.select("date", "chunk", "line_no", _packed("line").alias("packed")).groupBy("date", "chunk")
-                 .agg(F.transform(inside, lambda x: x["packed"]).alias("lines"), F.count(F.lit(1)).alias("count")).mapInPandas(write, schema))
+                 .agg(inside.alias("inside")).select("date", "chunk", F.col("inside.line_no").alias("numbers"), F.col("inside.packed").alias("lines"))
+                 .mapInPandas(write, schema))
     while left > 1:
         ordered = F.array_sort(F.collect_list(F.struct("chunk", "summary")))  # at most MERGE_PARTS
         parts = (parts.withColumn("into", F.floor(F.col("chunk") / MERGE_PARTS).cast("long")).groupBy("date", "into")

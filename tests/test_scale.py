@@ -57,3 +57,14 @@ def test_digests_of_late_texts_are_the_same_and_store_no_chunks(spark, monkeypat
         same_rows(enrich.daily_digest(whole, enrich.LineCounter(), max_chars=size,
                                       rows_of=lambda numbers: src.feedback_from_tables(spark, SF_SMALL, joined=numbers)), want)
     assert catalog.QUERIES["digest_refresh"](spark, SF_SMALL).count() == want.count() + 1
+
+
+def test_digests_of_late_texts_count_rows_of_one_id_once_each(spark, tmp_path):
+    for name in ("events", "documents"):
+        rows = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        rows.unionByName(rows.limit(100)).write.parquet(f"{tmp_path}/{name}.parquet")
+    whole = src.feedback_from_tables(spark, str(tmp_path))
+    want = enrich.daily_digest(whole, enrich.LineCounter(), max_chars=20_000)
+    same_rows(enrich.daily_digest(whole, enrich.LineCounter(), max_chars=20_000,
+                                  rows_of=lambda numbers: src.feedback_from_tables(spark, str(tmp_path), joined=numbers)), want)
+    assert whole.count() > whole.select("id").distinct().count()
