@@ -1,9 +1,14 @@
 """Texts are moved no more often than needed, and no task gets more of them than it can hold."""
 
+import datetime as dt
 import os
 import tempfile
+import time
+
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from feedlens import schema as S
 from feedlens.operators import changes, enrich
 from feedlens.plans import catalog
 from feedlens.sources import feedback as src
@@ -68,3 +73,74 @@ def test_digests_of_late_texts_count_rows_of_one_id_once_each(spark, tmp_path):
     same_rows(enrich.daily_digest(whole, enrich.LineCounter(), max_chars=20_000,
                                   rows_of=lambda numbers: src.feedback_from_tables(spark, str(tmp_path), joined=numbers)), want)
     assert whole.count() > whole.select("id").distinct().count()
+
+
+def log_of(spark, *events):
+    at = dt.datetime(2026, 1, 1)
+    rows = [tuple({"seq": seq, "event_ts": at, "op": op, "id": ident, **values}.get(f.name) for f in S.EVENTS.fields) for seq, op, ident, values in events]
+    return spark.createDataFrame(rows, S.EVENTS).coalesce(1)
+
+
+def test_a_hook_gets_the_texts_that_its_delta_needs(spark, tmp_path):
+    """Rows whose fingerprint stays get no text, which is so moved for the others alone; a hook that says nothing gets all."""
+    seen = {"some": [], "all": []}
+
+    def some(old, new, run, batch_id):
+        seen["some"].append([{r["id"]: r["text"] for r in side.collect()} for side in (old, new)])
+
+    def everything(old, new, run, batch_id):
+        seen["all"].append([{r["id"]: r["text"] for r in side.collect()} for side in (old, new)])
+
+    some.needs, some.text_with = ["text", "tag", "created_at"], ["tag", "created_at"]
+    inserts = [(i, "insert", i, {"text": f"t{i}", "status": "To Do"}) for i in range(1, 6)]
+    log_of(spark, *inserts).write.parquet(f"{tmp_path}/in/part=0")
+    later = [(11, "patch", 1, {"status": "done"}), (12, "patch", 2, {"tag": "Praise"}), (13, "patch", 3, {"text": "new"}), (14, "delete", 4, {}),
+             (16, "insert", 6, {"text": "t6"}), (17, "patch", 7, {"text": "never inserted"}), (18, "patch", 6, {"tag": "Praise"})]
+    log_of(spark, *later).write.parquet(f"{tmp_path}/in/part=1")
+    stream = spark.readStream.schema(S.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    jobs.stream_snapshot(stream, f"{tmp_path}/log", f"{tmp_path}/snap", f"{tmp_path}/ck", range_ids=4, on_change=[some, everything]).awaitTermination()
+    first = {i: f"t{i}" for i in range(1, 6)}
+    touched = {i: f"t{i}" for i in range(1, 5)}
+    assert seen["some"][0] == seen["all"][0] == [{}, first]
+    assert seen["some"][1] == [touched | {1: None}, {1: None, 2: "t2", 3: "new", 6: "t6"}]
+    assert seen["all"][1] == [touched, {1: "t1", 2: "t2", 3: "new", 6: "t6"}]
+
+
+def test_the_filter_of_places_loses_none_and_keeps_few_others(spark):
+    states = spark.range(4000).select(F.col("id") * 1_000_003 - 2_000_000_000, F.lit("r.0-0").alias("part"), F.lit("x").alias("text")).toDF("id", "part", "text")
+    places = states.where(F.col("id") % 40 == 0).select("id", "part")
+    kept = changes.texts_at(states.unionByName(states.withColumn("part", F.lit("r.1-1"))), places)
+    wanted = places.select(F.col("id").alias("_t_id"), F.col("part").alias("_t_part"), F.lit("x").alias("text"))
+    assert wanted.exceptAll(kept).count() == 0 and places.count() > 50
+    assert kept.count() < places.count() + 2000
+    assert changes.texts_at(states, places.where("false")).count() == 0
+
+
+def test_a_replay_holds_one_batch_of_its_log(spark, monkeypatch):
+    held, scratch = [], {}
+    real = catalog._scratch
+    monkeypatch.setattr(catalog, "_scratch", lambda s, name: scratch.setdefault(name, real(s, name)))
+
+    def look(old, new, run, batch_id):
+        folders = [path.removeprefix("file:") for path in (scratch["log"], f"{scratch['stream']}/log/run={run}")]
+        held.append(tuple(len([n for n in os.listdir(folder) if "=" in n and n[0] != "."]) for folder in folders))
+
+    look.needs = ["status"]
+    snap = catalog._replayed_log(spark, SF_SMALL, [look])
+    assert held == [(1, 1)] * catalog.REPLAY_BATCHES
+    same_rows(jobs.read_snapshot(spark, snap), changes.snapshot(src.change_log_from_tables(spark, SF_SMALL)))
+
+
+def test_a_batch_leaves_no_shuffle_files(spark, tmp_path):
+    def shuffles():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return sum(f.startswith("shuffle_") for d in folders for _, _, fs in os.walk(d.getPath()) for f in fs)
+
+    before = shuffles()
+    jobs.state_parts(spark, f"{tmp_path}/snap").write(changes.fold_state(src.change_log_from_tables(spark, SF_SMALL)), "run", 0, 0)
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
