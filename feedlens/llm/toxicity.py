@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,12 +45,16 @@ ANY_LETTER = "abcdefghijklmnopqrstuvwxyz"
 SIGN, WILD, DROP, TWICE, ONCE, SPLIT = -1.5, -2.5, -0.7, -0.7, -6.0, -3.0
 #: Decoded words remembered per task; then the memory starts anew.
 REMEMBER = 150_000
+#: Readings of a token that are looked up before it is decoded; one with more is decoded at once.
+READINGS = 64
 
 _EDGE = ".,;:!?\"'()[]{}<>«»…–—-&%#*=_/\\|~`^"
 _DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£¢*#.\-_~'`^,;:/\\]|[0-9@$!|+(<€£¢*#].*[^\W\d_]|([^\W\d_])\1"
                         r"|[0-9@$€£¢].*[0-9@$!|+(<€£¢]|[!|+(<].*[0-9@$€£¢]", re.S)  # the last line: look-alikes alone
-_DOUBLE = re.compile(r"([^\W\d_])\1")
+_RUNS, _REPEATS = re.compile(r"((.)\2*)", re.S), re.compile(r"((.)\2+)", re.S)
 _SPACED = re.compile(r"(?<!\S)(?:[^\w\s]|_)*([\w@$!|+(<€£¢*#](?:[ \t\r\n]+[\w@$!|+(<€£¢*#]){2,})(?:[^\w\s]|_)*(?!\S)")
+#: The last but one sign of a spaced word and what follows it; a text without has no spaced word.
+_SPACED_END = re.compile(r"[ \t\r\n][\w@$!|+(<€£¢*#](?=[ \t\r\n]+[\w@$!|+(<€£¢*#](?:[^\w\s]|_)*(?!\S))")
 
 
 class CharModel:
@@ -84,31 +89,33 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     return {r["code"]: r["n"] for r in sums.collect()}
 
 
+@lru_cache(maxsize=1 << 14)
+def _step(run: str) -> list[tuple[str, float]]:
+    """The strings that a run of equal characters may stand for, with their costs; three stand for longer runs."""
+    c, n = run[0], len(run)
+    if c == " ":
+        return [("", DROP), (" ", SPLIT)]
+    if c in SEPARATORS:
+        return [("", DROP)]
+    if c in WILDCARDS:
+        return [("", DROP)] + ([(x, WILD) for x in ANY_LETTER] if n <= 2 else [])
+    if c in LOOKALIKES:
+        once, twice = ((0.0, None), (ONCE, SIGN), (0.0, TWICE))[min(n, 3) - 1]
+        return ([(x, SIGN + once) for x in LOOKALIKES[c]]
+                + ([(x + x, SIGN + twice) for x in LOOKALIKES[c]] if n > 1 else [])
+                + ([] if c.isalnum() or c in "@$" else [("", DROP)]))
+    if not letter_class(c):
+        return [("", DROP)]
+    if n == 1:
+        return [(c, 0.0)]
+    if n == 2:
+        return [(c + c, 0.0), (c, ONCE)]
+    return [(c, 0.0), (c + c, TWICE)]
+
+
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
     """Per run of equal characters the strings it may stand for, with their costs."""
-    steps = []
-    for m in re.finditer(r"(.)\1*", token, re.S):
-        c, n = m.group(1), len(m.group())
-        if c == " ":
-            steps.append([("", DROP), (" ", SPLIT)])
-        elif c in SEPARATORS:
-            steps.append([("", DROP)])
-        elif c in WILDCARDS:
-            steps.append([("", DROP)] + ([(x, WILD) for x in ANY_LETTER] if n <= 2 else []))
-        elif c in LOOKALIKES:
-            once, twice = ((0.0, None), (ONCE, SIGN), (0.0, TWICE))[min(n, 3) - 1]
-            steps.append([(x, SIGN + once) for x in LOOKALIKES[c]]
-                         + ([(x + x, SIGN + twice) for x in LOOKALIKES[c]] if n > 1 else [])
-                         + ([] if c.isalnum() or c in "@$" else [("", DROP)]))
-        elif not letter_class(c):
-            steps.append([("", DROP)])
-        elif n == 1:
-            steps.append([(c, 0.0)])
-        elif n == 2:
-            steps.append([(c + c, 0.0), (c, ONCE)])
-        else:
-            steps.append([(c, 0.0), (c + c, TWICE)])
-    return steps
+    return [_step(run[:3]) for run, _ in _RUNS.findall(token)]
 
 
 def restore(token: str, model: CharModel) -> str:
@@ -136,47 +143,75 @@ def restore(token: str, model: CharModel) -> str:
     return "".join(reversed(parts)).strip()
 
 
+class _Known(dict):
+    """Bins of tokens, found when first asked for and remembered."""
+
+    def __init__(self, find: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self._find = find
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBER:
+            self.clear()
+        got = self[token] = self._find(token)
+        return got
+
+
 class Restorer:
     """Bins of the distinct words, as written and restored, of texts; remembers the bins of tokens.
 
-    ``wanted`` (a mask over the bins) leaves out words that weigh nothing.
+    ``wanted`` (a mask over the bins) leaves out words that weigh nothing. A token
+    all of whose readings weigh nothing need not be decoded: whichever is the
+    likeliest, its bin is left out.
     """
 
     def __init__(self, model: CharModel, wanted: np.ndarray | None = None):
-        self.model, self.known = model, {}
+        self.model, self.known, self.spaced = model, _Known(self._token), _Known(self._spaced)
         self.wanted = b"\1" * BINS if wanted is None else wanted.astype(np.uint8).tobytes()
+        self.all = 0 not in self.wanted
 
     def _bins(self, words: set[str]) -> tuple[int, ...]:
         found = {zlib.crc32(w.encode("utf-8", "replace")) % BINS for w in words if w}
         return tuple(k for k in found if self.wanted[k])
 
+    def _weighs(self, token: str) -> bool:
+        """False if no reading of a token without blanks is wanted."""
+        if self.all:
+            return True
+        readings, parts = [""], _REPEATS.split(token)  # single characters, a run, its character, single characters, ...
+        for singles, run in zip(parts[::3], [*parts[1::3], ""]):
+            if singles.isascii() and singles.isalpha():
+                steps = [[(singles, 0.0)]]
+            else:
+                steps = [_step(c) for c in singles]
+            if run:
+                steps.append(_step(run[:3]))
+            for step in steps:
+                if len(readings) * len(step) > READINGS:
+                    return True
+                readings = [r + more for r in readings for more, _ in step]
+        return any([self.wanted[zlib.crc32(r.encode("utf-8", "replace")) % BINS] for r in readings])
+
     def _token(self, token: str) -> tuple[int, ...]:
         bare = token.strip(_EDGE)
-        if bare.isalpha() and not _DOUBLE.search(bare):
+        if bare.isalpha() and not _REPEATS.search(bare):
             k = zlib.crc32(bare.encode("utf-8", "replace")) % BINS
             return (k,) if self.wanted[k] else ()
         ends = token.rstrip(".,;:?\"')]}").lstrip("\"'([{")  # signs that end it may be letters
-        return self._bins({bare, *(w for t in {bare, ends} if _DISGUISED.search(t) for w in restore(t, self.model).split())})
+        return self._bins({bare, *(w for t in {bare, ends} if (t.isalpha() or _DISGUISED.search(t)) and self._weighs(t)
+                                   for w in restore(t, self.model).split())})
+
+    def _spaced(self, spaced: str) -> tuple[int, ...]:
+        return self._bins({w for w in restore(spaced, self.model).split() if len(w) > 1})
 
     def bins(self, text: str | None) -> set[int]:
-        found: set[int] = set()
         if not text:
-            return found
-        low, known = text.lower(), self.known
-        for token in set(low.split()):
-            got = known.get(token)
-            if got is None:
-                if len(known) >= REMEMBER:
-                    known.clear()
-                got = known[token] = self._token(token)
-            if got:
-                found.update(got)
-        for m in _SPACED.finditer(low):
-            spaced = " ".join(m.group(1).split())
-            got = known.get(spaced)
-            if got is None:
-                got = known[spaced] = self._bins({w for w in restore(spaced, self.model).split() if len(w) > 1})
-            found.update(got)
+            return set()
+        low = text.lower()
+        found = set().union(*filter(None, map(self.known.__getitem__, set(low.split()))))
+        if _SPACED_END.search(low):
+            for m in _SPACED.finditer(low):
+                found.update(self.spaced[" ".join(m.group(1).split())])
         return found
 
 

@@ -204,3 +204,31 @@ def test_repeated_ids_of_toxicity(spark, scorer):
     rows = [(1, "you idiot"), (1, "you idiot"), (1, "the sea"), (None, "you idiot"), (None, "you idiot")]
     got = sorted((str(r["doc_id"]), r["text"], round(r["score"], 6)) for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), scorer).collect())
     assert len(got) == 5 and len({s for _, t, s in got if t == "you idiot"}) == 1
+
+
+def test_words_without_weight_are_not_decoded(monkeypatch):
+    """Tokens none of whose readings weighs anything are left out undecoded; the bins are those of decoding all."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+    from feedlens.llm.chars import trigrams
+
+    counts = Counter()
+    for t in ["you idiot", "a letter and a coffee", "the looser hello book", "stupid", "été allée"]:
+        counts.update(trigrams(t).tolist())
+    model = toxicity.CharModel(counts)
+    wanted = np.zeros(toxicity.BINS, dtype=bool)
+    wanted[[zlib.crc32(w.encode()) % toxicity.BINS for w in ("idiot", "loser", "allée", "letter")]] = True
+    rng, signs = random.Random(5), "aeilorstéª€ℂ漢0135@$!*.-_ \n\x1c"
+    odd = ["".join(rng.choices(signs, k=rng.randint(1, 9))) for _ in range(2000)]
+    texts = ["iddiot 1d10t (looser) l e t t e r. allééée!", "\ud800 id*ot \"l o s e r\"", None, "", " ".join(odd), *odd]
+    plain, own = toxicity.Restorer(model), toxicity.Restorer(model, wanted)
+    assert [own.bins(t) for t in texts] == [{k for k in plain.bins(t) if wanted[k]} for t in texts] and len(own.bins(texts[0])) == 3
+
+    decoded, decode = [], toxicity.restore
+    monkeypatch.setattr(toxicity, "restore", lambda token, m: decoded.append(token) or decode(token, m))
+    own = toxicity.Restorer(model, wanted)
+    assert not own.bins("coffee, hello books; mississippi bookkeeper 100 2.5 naïïve 3a") and not decoded
+    own.bins("iddiot coffee")
+    assert decoded == ["iddiot"]
