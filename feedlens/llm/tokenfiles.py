@@ -57,9 +57,12 @@ MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, first_id
 
 #: A place between a character that is no white space and a blank: no token of a byte-level BPE
 #: with the usual pre-tokenization goes over it.
-_CUT, _UNEVEN = r"(?<=\S)(?= )", r"\s(?= )"
+_CUT, _UNEVEN = r"(?<=\S)(?= )", r" (?<=\s )"
 #: A piece of Latin letters, perhaps behind a blank and before ASCII signs: the letters with the blank, and the signs, are a word of the BPE each.
-_PLAIN = "( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)"
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+_PLAIN = f"( ?{_LATIN}+)([!-&(-/:-@\\[-`{{-~]*)"
+#: More places that no token goes over: before and after a lone line feed, and before a sign that ends a Latin word alone.
+_BREAK, _BARE = rf"\n(?=\S)(?<=\S\n)|[.,](?=[ \n])(?<={_LATIN}[.,])", "\0"
 
 
 def byte_alphabet() -> list[str]:
@@ -75,14 +78,14 @@ def pieces(text: str) -> list[str]:
 
 
 class _Pieces(dict):
-    """Ids of pieces, found when first asked for and remembered; a piece is ``before`` and the key."""
+    """Ids of pieces, found when first asked for and remembered."""
 
-    def __init__(self, find: Callable[[str], bytes], before: str = ""):
+    def __init__(self, find: Callable[[str], bytes]):
         super().__init__()
-        self._find, self._before, self._missed = find, before, 0
+        self._find, self._missed = find, 0
 
     def __missing__(self, key: str) -> bytes:
-        found = self._find(self._before + key)
+        found = self._find(key)
         if len(self) < MEMO_PIECES:
             self[key] = found
         else:  # the frequent ones are in; begin anew when as many again have been missed
@@ -119,7 +122,8 @@ class Encoder:
         self._bpe, self._plain, self._packers = self._tok.model.tokenize, re.compile(_PLAIN), {}
         self._end = b"" if end_id is None else self._packed([int(end_id)])
         self._signs = _Pieces(self._word)
-        self._parts, self._words = _Pieces(self._piece), _Pieces(self._piece, " ")
+        self._parts, self._words = _Pieces(self._piece), _Pieces(self._next)
+        self._uneven, self._break = re.compile(_UNEVEN), re.compile(_BREAK)
 
     def _packed(self, ids: list[int]) -> bytes:
         n = len(ids)
@@ -132,6 +136,14 @@ class Encoder:
         written = word.replace(" ", "\u0120") if word.isascii() and word.isprintable() else "".join(map(self._letters.__getitem__, word.encode()))
         return self._packed([t.id for t in self._bpe(written)])
 
+    def _next(self, key: str) -> bytes:
+        """Ids of what follows a blank of a marked text: a piece with that blank, or, behind the mark, one without."""
+        if key.isascii() and key.isalpha():  # most words
+            return self._packed([t.id for t in self._bpe("\u0120" + key)])
+        if not key.startswith(_BARE):
+            return self._piece(" " + key)
+        return self._signs["\n"] + self._piece(key[2:]) if key[1] == "\n" else self._piece(key[1:])
+
     def _piece(self, text: str) -> bytes:
         bare = text[1:] if text[0] == " " else text
         if bare.isascii() and bare.isalpha():  # most words
@@ -146,7 +158,7 @@ class Encoder:
         return self._whole(text)
 
     def _known(self, text: str) -> bytes:
-        return self._words[text[1:]] if text[0] == " " else self._parts[text]
+        return self._words[text[1:]] if text[0] == " " and text[1:2] != _BARE else self._parts[text]
 
     def _whole(self, text: str) -> bytes:
         return self._packed(self._tok.encode(text, add_special_tokens=False).ids)
@@ -158,10 +170,10 @@ class Encoder:
                 yield self._end
             elif not self._by_piece:
                 yield self._whole(t) + self._end
-            elif t[0] == " " or re.search(_UNEVEN, t):
+            elif t[0] == " " or _BARE in t or self._uneven.search(t):
                 yield b"".join(map(self._parts.__getitem__, pieces(t))) + self._end
             else:
-                first, *rest = t.split(" ")
+                first, *rest = self._break.sub(rf" {_BARE}\g<0>", t).split(" ")
                 yield b"".join([self._parts[first], *map(self._words.__getitem__, rest), self._end])
 
 

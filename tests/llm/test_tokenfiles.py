@@ -105,3 +105,18 @@ def test_given_documents(spark):
     assert [f.dataType.typeName() for f in res.schema.fields] == ["long"] * 4
     rows = sorted((True, r.doc_id, r.n_tokens, r.ids_crc32) for r in res.collect())
     assert rows == plain([(r.doc_id, r.text) for r in docs.select("doc_id", F.col("text")).collect()])
+
+
+def test_words_are_encoded_once_whatever_ends_them(monkeypatch):
+    """Line feeds and the stops and commas that end words don't make words anew; ids stay those of whole texts."""
+    texts = ["zworda zwordb, zworda. zwordb\nzworda zwordb.\nzworda, zwordb", "zworda.\nzwordb zworda,\nzwordb zworda. zwordb,", "zwordb\n", "x\0.\n \0\ny z\0, \n"]
+    enc, asked = tf.Encoder(PATH, 2), []
+    bpe = enc._bpe
+    monkeypatch.setattr(enc, "_bpe", lambda word: asked.append(word) or bpe(word))
+    assert list(enc.encode(texts[:2])) == list(tf.Encoder(PATH, 2, by_piece=False).encode(texts[:2]))
+    blank = chr(0x120)
+    assert not [k for k in [*enc._words, *enc._parts] if k.count("zword") > 1]
+    assert asked.count(blank + "zworda") == 1 and asked.count(blank + "zwordb") == 1 and len(asked) <= 7
+    rng = random.Random(4)
+    texts += ["".join(rng.choices("aé漢 C.,\n\t\0'0&", k=rng.randint(1, 20))) for _ in range(5000)]
+    assert list(tf.Encoder(PATH, 2).encode(texts)) == list(tf.Encoder(PATH, 2, by_piece=False).encode(texts))
