@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -56,8 +57,14 @@ class Words(dict):
         return h
 
 
-def split_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").split() if text else []
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before it, and for the first."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    if len(out):
+        np.not_equal(columns[0][1:], columns[0][:-1], out=out[1:])
+        for c in columns[1:]:
+            out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -82,6 +89,7 @@ def _runs(h: np.ndarray, k: int) -> np.ndarray:
         return _mixed(out.copy() if k == 1 else out)
 
 
+@lru_cache(maxsize=64)
 def _pow(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
@@ -110,8 +118,11 @@ def minimizers(h: np.ndarray, window: int, sub: int) -> np.ndarray:
     return _least(_runs(h, sub), window - sub + 1) if len(h) >= window else np.zeros(0, dtype=np.uint64)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
-    return zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+def _docs(batch: pa.RecordBatch) -> Iterator[tuple[int | None, list[bytes]]]:
+    """Id and words of each document; null texts have none."""
+    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
+        raw = text.as_py()
+        yield doc, raw.split() if raw else []
 
 
 def _minimizers(window: int, sub: int):
@@ -119,9 +130,10 @@ def _minimizers(window: int, sub: int):
         known = Words()
         for batch in batches:
             found, ids, sizes = [], [], []
-            for doc, text in _texts(batch):
-                m = minimizers(_hashes(split_words(text), known), window, sub)
-                m = np.unique(m[np.r_[True, m[1:] != m[:-1]]] if len(m) else m)
+            for doc, words in _docs(batch):
+                m = minimizers(_hashes(words, known), window, sub)
+                m = np.sort(m[_first(m)])
+                m = m[_first(m)]
                 found.append(m)
                 ids.append(doc)
                 sizes.append(len(m))
@@ -138,14 +150,14 @@ def _paths(window: int, sub: int):
             flat, cuts = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64), wanted.offsets.to_numpy()
             cuts = cuts - cuts[0]
             hashes, sizes, starts, ids = [], [], [], []
-            for k, (doc, text) in enumerate(_texts(batch)):
-                h = _hashes(split_words(text), known)
+            for k, (doc, words) in enumerate(_docs(batch)):
+                h = _hashes(words, known)
                 m = minimizers(h, window, sub)
                 own = np.sort(flat[cuts[k]: cuts[k + 1]])
                 if not len(m) or not len(own):
                     continue
-                first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-                size = np.diff(np.r_[first, len(m)])
+                first = np.flatnonzero(_first(m))
+                size = np.diff(first, append=len(m))
                 at = np.minimum(np.searchsorted(own, m[first]), len(own) - 1)
                 keep = own[at] == m[first]
                 hashes.append(edges(h, window)[np.repeat(keep, size)])
@@ -179,8 +191,7 @@ def _removed(window: int):
             cuts = repeats.offsets.to_numpy()
             cuts = cuts - cuts[0]
             edge, src_doc, src_pos = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for k, (doc, text) in enumerate(_texts(batch)):
-                words = split_words(text)
+            for k, (doc, words) in enumerate(_docs(batch)):
                 gone, spans = np.zeros(len(words) + 1, dtype=np.int64), []
                 a, b = cuts[k], cuts[k + 1]
                 if b > a:
@@ -191,8 +202,9 @@ def _removed(window: int):
                     pos = np.flatnonzero(own[at] == h)
                     if len(pos):
                         s_doc, s_pos = own_doc[at[pos]], own_pos[at[pos]]
-                        first = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1] + 1) | (s_doc[1:] != s_doc[:-1]) | (s_pos[1:] != s_pos[:-1] + 1)])
-                        last = np.r_[first[1:], len(pos)] - 1
+                        step = np.arange(len(pos))
+                        first = np.flatnonzero(_first(pos - step, s_doc, s_pos - step))
+                        last = np.append(first[1:], len(pos)) - 1
                         for f, t in zip(first.tolist(), last.tolist()):
                             i, j = int(pos[f]), int(pos[t]) + window
                             gone[i] += 1
@@ -211,8 +223,7 @@ def _removed(window: int):
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for (doc, text), asked in zip(_texts(batch), batch.column("asked").to_pylist()):
-            words = split_words(text)
+        for (doc, words), asked in zip(_docs(batch), batch.column("asked").to_pylist()):
             out += [(doc, x["src_pos"], x["n"], x["digest"], _digest(words[x["src_pos"]: x["src_pos"] + x["n"]]) == x["digest"]) for x in asked]
         cols = list(zip(*out)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]

@@ -93,3 +93,17 @@ def test_hashes_of_runs():
         assert (substring._runs(h.copy(), k) == substring._mixed(slow)).all(), k
     m = substring.minimizers(h, 13, 5)
     assert (m == [substring._runs(h, 5)[i: i + 9].min() for i in range(28)]).all()
+
+
+def test_words_are_read_as_bytes():
+    """Words are cut from a text's bytes as they are, at ASCII white space alone; the first of equal neighbours stays."""
+    import numpy as np
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([3, None, 4]), pa.array(["a\x0bé x\x1cy\n", None, ""])], ["doc_id", "text"])
+    assert list(substring._docs(batch)) == [(3, [b"a", "é".encode(), b"x\x1cy"]), (None, []), (4, [])]
+    raw = pa.Array.from_buffers(pa.string(), 1, pa.array([b"\xff a"], pa.binary()).buffers())  # no UTF-8
+    assert list(substring._docs(pa.RecordBatch.from_arrays([pa.array([1]), raw], ["doc_id", "text"]))) == [(1, [b"\xff", b"a"])]
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 50):
+        a, b = rng.integers(0, 2, (2, n))
+        assert substring._first(a, b).tolist() == [i == 0 or (a[i], b[i]) != (a[i - 1], b[i - 1]) for i in range(n)]
