@@ -35,6 +35,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -57,12 +58,70 @@ MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, first_id
 
 #: A place between a character that is no white space and a blank: no token of a byte-level BPE
 #: with the usual pre-tokenization goes over it.
-_CUT, _UNEVEN = r"(?<=\S)(?= )", r" (?<=\s )"
+_CUT = r"(?<=\S)(?= )"
 #: A piece of Latin letters, perhaps behind a blank and before ASCII signs: the letters with the blank, and the signs, are a word of the BPE each.
 _LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 _PLAIN = f"( ?{_LATIN}+)([!-&(-/:-@\\[-`{{-~]*)"
-#: More places that no token goes over: before and after a lone line feed, and before a sign that ends a Latin word alone.
-_BREAK, _BARE = rf"\n(?=\S)(?<=\S\n)|[.,](?=[ \n])(?<={_LATIN}[.,])", "\0"
+#: Bytes of texts that are cut at a time; a longer text is cut alone.
+BLOCK_BYTES = 8 << 20
+#: Kinds of bytes: white space and what might be, Latin letters, signs and digits, the quote, other characters in ASCII, others beyond, blanks, line feeds.
+_SPACE, _LETTER, _SIGN, _QUOTE, _OTHER, _BEYOND, _BLANK, _FEED = range(8)
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each byte; letters beyond ASCII are found by pairs of bytes."""
+    out = np.full(256, _OTHER, dtype=np.uint8)
+    out[9:14] = out[28:32] = _SPACE
+    out[33:127] = _SIGN
+    out[65:91] = out[97:123] = _LETTER
+    out[[39, 32, 10]] = _QUOTE, _BLANK, _FEED
+    out[128:] = _BEYOND
+    return out
+
+
+def _borders() -> np.ndarray:
+    """True at 8 * kind + kind of neighbouring bytes that no token joins, whatever stands around them."""
+    out = np.zeros((8, 8), dtype=bool)
+    out[_LETTER, [_SIGN, _QUOTE]] = out[_SIGN, _LETTER] = True
+    out[[_LETTER, _SIGN, _QUOTE, _OTHER], _BLANK] = True
+    return out.ravel()
+
+
+_KINDS, _BORDERS = _kinds(), _borders()
+
+
+def cuts(text: np.ndarray) -> np.ndarray:
+    """Where the pieces of a text of UTF-8 bytes, or of texts one behind the other, begin: at places that no token of a byte-level
+    BPE with the usual pre-tokenization goes over. These are before a blank behind a character that is no white space, around a
+    line feed between such characters, and between a Latin letter and an ASCII sign or digit (no contraction among them).
+    Where texts meet no place need be found."""
+    kind = _KINDS[text]
+    lead = np.flatnonzero((text[:-1] >= 0xC3) & (text[:-1] <= 0xC9))
+    low = text[lead + 1]
+    lead = lead[np.where(text[lead] == 0xC3, (low != 0x97) & (low != 0xB7), (text[lead] != 0xC9) | (low < 0x90))]  # U+00C0 to U+024F but two signs
+    kind[lead] = kind[lead + 1] = _LETTER
+
+    def solid_before(at: np.ndarray) -> np.ndarray:
+        """False where the character before may be white space."""
+        one, two, three = (text[np.maximum(at - k, 0)] for k in (1, 2, 3))
+        wide = (two == 0xC2) | (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE3) & (two == 0x80)
+        return (kind[np.maximum(at - 1, 0)] < _BLANK) & (kind[np.maximum(at - 1, 0)] > _SPACE) & ~((one >= 0x80) & wide) & (at > 0)
+
+    def solid_after(at: np.ndarray) -> np.ndarray:
+        after = np.minimum(at + 1, len(text) - 1)
+        wide = (text[after] == 0xC2) | (text[after] >= 0xE1) & (text[after] <= 0xE3)
+        return (kind[after] < _BLANK) & (kind[after] > _SPACE) & ~wide & (at + 1 < len(text))
+
+    border = np.zeros(len(text), dtype=bool)
+    pair = kind[:-1] << 3
+    pair |= kind[1:]
+    border[1:] = _BORDERS[pair]
+    beyond = np.flatnonzero(pair == (_BEYOND << 3 | _BLANK)) + 1
+    border[beyond[solid_before(beyond)]] = True
+    feed = np.flatnonzero(kind == _FEED)
+    feed = feed[solid_before(feed) & solid_after(feed)]
+    border[feed] = border[feed + 1] = True
+    return border
 
 
 def byte_alphabet() -> list[str]:
@@ -100,8 +159,10 @@ class Encoder:
     """Ids of texts, as little-endian bytes, by the ``tokenizers`` file ``path``.
 
     Where the file is a byte-level BPE whose pre-tokenization splits before
-    blanks, texts are looked up piece by piece, so that a repeated word is
-    encoded once; whole texts are encoded by any other file.
+    blanks, many texts at a time are cut into pieces, and each different piece
+    is looked up, so that a repeated word is encoded once; whole texts are
+    encoded by any other file. Texts with one of the file's added tokens are
+    cut before blanks only.
     """
 
     def __init__(self, path: str, end_id: int | None, by_piece: bool | None = None):
@@ -114,7 +175,8 @@ class Encoder:
         before = spec["pre_tokenizer"] or {}
         usual = (spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges") and spec["normalizer"] is None
                  and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"])
-        own = any(re.fullmatch(_PLAIN, t["content"]) or " " in t["content"] for t in spec["added_tokens"])
+        self._added = [t["content"] for t in spec["added_tokens"]]
+        own = any(re.fullmatch(_PLAIN, t) or " " in t for t in self._added)
         self._by_piece = usual and not own if by_piece is None else by_piece
         most = max(self._tok.get_vocab_size(with_added_tokens=True) - 1, end_id or 0)
         self.width = 2 if most < 1 << 16 else 4
@@ -122,8 +184,7 @@ class Encoder:
         self._bpe, self._plain, self._packers = self._tok.model.tokenize, re.compile(_PLAIN), {}
         self._end = b"" if end_id is None else self._packed([int(end_id)])
         self._signs = _Pieces(self._word)
-        self._parts, self._words = _Pieces(self._piece), _Pieces(self._next)
-        self._uneven, self._break = re.compile(_UNEVEN), re.compile(_BREAK)
+        self._parts, self._words = _Pieces(self._piece), _Pieces(self._piece)
 
     def _packed(self, ids: list[int]) -> bytes:
         n = len(ids)
@@ -136,14 +197,6 @@ class Encoder:
         written = word.replace(" ", "\u0120") if word.isascii() and word.isprintable() else "".join(map(self._letters.__getitem__, word.encode()))
         return self._packed([t.id for t in self._bpe(written)])
 
-    def _next(self, key: str) -> bytes:
-        """Ids of what follows a blank of a marked text: a piece with that blank, or, behind the mark, one without."""
-        if key.isascii() and key.isalpha():  # most words
-            return self._packed([t.id for t in self._bpe("\u0120" + key)])
-        if not key.startswith(_BARE):
-            return self._piece(" " + key)
-        return self._signs["\n"] + self._piece(key[2:]) if key[1] == "\n" else self._piece(key[1:])
-
     def _piece(self, text: str) -> bytes:
         bare = text[1:] if text[0] == " " else text
         if bare.isascii() and bare.isalpha():  # most words
@@ -151,30 +204,53 @@ class Encoder:
         plain = self._plain.fullmatch(text)
         if plain:
             letters, signs = plain.groups()
-            return self._known(letters) + self._signs[signs] if signs else self._word(letters)
-        line, feed, rest = text.rpartition("\n")
-        if line and rest and not line[-1].isspace() and not rest[0].isspace():  # a line feed between words is a word
-            return self._known(line) + self._signs[feed] + self._parts[rest]
+            return self._word(letters) + self._signs[signs] if signs else self._word(letters)
         return self._whole(text)
 
-    def _known(self, text: str) -> bytes:
-        return self._words[text[1:]] if text[0] == " " and text[1:2] != _BARE else self._parts[text]
-
     def _whole(self, text: str) -> bytes:
         return self._packed(self._tok.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: none) and the end id."""
-        for t in texts:
-            if not t:
-                yield self._end
-            elif not self._by_piece:
-                yield self._whole(t) + self._end
-            elif t[0] == " " or _BARE in t or self._uneven.search(t):
-                yield b"".join(map(self._parts.__getitem__, pieces(t))) + self._end
-            else:
-                first, *rest = self._break.sub(rf" {_BARE}\g<0>", t).split(" ")
-                yield b"".join([self._parts[first], *map(self._words.__getitem__, rest), self._end])
+        return self.encode_column(pa.array(list(texts), pa.string()))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Like ``encode``, of a column of texts."""
+        if not self._by_piece:
+            for t in texts.to_pylist():
+                yield (self._whole(t) if t else b"") + self._end
+            return
+        texts = texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
+        odd = np.zeros(len(texts), dtype=bool)
+        for t in self._added:
+            odd |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, side="right")) - 1)
+            found = self._block(texts.buffers()[2], offsets[first:last + 1])
+            for k in range(first, last):
+                ids = next(found)
+                yield b"".join(map(self._parts.__getitem__, pieces(texts[k].as_py()))) + self._end if odd[k] else ids
+            first = last
+
+    def _block(self, data: pa.Buffer, offsets: np.ndarray) -> Iterator[bytes]:
+        """The ids of texts that stand one behind the other in ``data``, and the end id. Each different piece is looked up once."""
+        start, end = int(offsets[0]), int(offsets[-1])
+        if start == end:
+            yield from [self._end] * (len(offsets) - 1)
+            return
+        border = cuts(np.frombuffer(data, dtype=np.uint8)[start:end])
+        at = (offsets - start).astype(np.int32)
+        border[at[:-1][at[:-1] < at[1:]]] = True
+        begins = np.append(np.flatnonzero(border), end - start).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), data.slice(start, end - start)).dictionary_encode()
+        ids = pa.array(map(self._words.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary()).take(found.indices)
+        places = np.frombuffer(ids.buffers()[1], dtype=np.int64)[np.searchsorted(begins, at)].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        for a, b in zip(places, places[1:]):
+            yield bytes(raw[a:b]) + self._end
 
 
 def _encoder(path: str, end_id: int | None) -> Encoder:
@@ -215,7 +291,7 @@ def _sample(docs: DataFrame, path: str, end_id: int | None) -> list[bytes]:
         enc = _encoder(path, end_id)
         for b in batches:
             out = []
-            for ids in enc.encode(b.column("text").to_pylist()):
+            for ids in enc.encode_column(b.column("text")):
                 most = SAMPLE_IDS * enc.width
                 at = zlib.crc32(ids) % max(1, (len(ids) - most) // enc.width + 1) * enc.width
                 out.append(ids[at:at + most])
@@ -275,7 +351,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
         enc, packer = _encoder(tokenizer, end_id), zstandard.ZstdCompressor(dict_data=_dictionary(shared.value))
         part, seq, out, done = TaskContext.get().partitionId(), 0, None, []
         for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode_column(b.column("text"))):
                 out = out or _File(folder, enc.width, digest, part, seq)
                 out.add(doc_id, packer.compress(ids), len(ids) // enc.width)
                 if out.place >= FILE_BYTES:

@@ -120,3 +120,37 @@ def test_words_are_encoded_once_whatever_ends_them(monkeypatch):
     rng = random.Random(4)
     texts += ["".join(rng.choices("aé漢 C.,\n\t\0'0&", k=rng.randint(1, 20))) for _ in range(5000)]
     assert list(tf.Encoder(PATH, 2).encode(texts)) == list(tf.Encoder(PATH, 2, by_piece=False).encode(texts))
+
+
+def test_a_column_is_cut_at_once_and_its_pieces_looked_up_once(monkeypatch):
+    """Texts are cut from the column's bytes, at borders of the pre-tokenization alone, and a repeated piece costs no lookup."""
+    import pyarrow as pa
+    rng = random.Random(6)
+    signs = ["a", "Zé", "ñ", "漢", "я", " ", " ", "  ", "\n", "\t", "\x1c", "\0", "'", "'s", ".", ",", "7", "²", "—", "×", "÷", "ɏ", "ɐ", "\U0001f600",
+             "\u0085", " ", " ", " ", " ", " ", " ", "　", "​", "﻿", "᠎", "́"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 25))) for _ in range(4000)]
+    split = Tokenizer.from_file(PATH).pre_tokenizer.pre_tokenize_str
+    for t in texts[:1000]:
+        borders = {len(t[:a].encode()) for _, (a, b) in split(t)}
+        assert set(np.flatnonzero(tf.cuts(np.frombuffer(t.encode(), np.uint8))).tolist()) <= borders, t
+    shown = "one two, three.\ncafé (four) 5%"
+    assert np.flatnonzero(tf.cuts(np.frombuffer(shown.encode(), np.uint8))).tolist() == [3, 7, 8, 14, 15, 16, 21, 23, 27, 28]
+
+    monkeypatch.setattr(tf, "BLOCK_BYTES", 200)
+    rows = texts + [None, "", "x<|endoftext|> y <|endoftext|>", "word " * 500, None]
+    column = pa.array(["not this", *rows, "nor this"]).slice(1, len(rows))
+    assert list(tf.Encoder(PATH, 2).encode_column(column)) == list(tf.Encoder(PATH, 2, by_piece=False).encode(rows))
+    assert list(tf.Encoder(PATH, None).encode_column(pa.array([], pa.string()))) == []
+    assert list(tf.Encoder(PATH, None).encode_column(pa.array([None, ""]))) == [b"", b""]
+
+    monkeypatch.setattr(tf, "BLOCK_BYTES", 1 << 20)
+    enc, asked = tf.Encoder(PATH, 2), []
+
+    class Counted(tf._Pieces):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    monkeypatch.setattr(enc, "_words", Counted(enc._piece))
+    assert len(set(enc.encode(["zworda zwordb, zwordb\nzworda"] * 100))) == 1
+    assert sorted(asked) == ["\n", " zwordb", ",", "zworda"]
