@@ -30,10 +30,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +41,23 @@ from pyspark.sql import functions as F
 from feedlens.llm.common import Stored, frozen
 
 WINDOW, SUB = 13, 5
-#: Words whose hashes a task remembers; then the memory starts anew.
-REMEMBER = 200_000
+#: Bytes of texts that are cut into words at a time; a longer text is cut alone.
+BLOCK_BYTES = 4 << 20
+#: Bytes of a word up to which it is hashed with all others, eight bytes at a time; longer ones by XXH64.
+LONG = 64
+#: Long words whose hashes a task remembers; then the memory starts anew.
+REMEMBER = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: True for bytes of words; masks of the first 0 to 8 bytes of a little-endian number.
+_IN_WORD = np.isin(np.arange(256), [32, *range(9, 14)], invert=True)
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 class Words(dict):
-    """word -> 64-bit hash, remembered."""
+    """long word -> 64-bit hash, remembered."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBER:
@@ -105,7 +114,33 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _hashes(words: list[bytes], known: Words) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    """64-bit hashes of words."""
+    end = np.cumsum([len(w) for w in words], dtype=np.int64)
+    begin = np.append(0, end)[:-1]
+    return _hashed(np.frombuffer(b"".join(words), dtype=np.uint8), begin, end, known)
+
+
+def _hashed(text: np.ndarray, begin: np.ndarray, end: np.ndarray, known: Words) -> np.ndarray:
+    """64-bit hashes of the words that stand from ``begin`` to ``end`` in ``text``."""
+    padded = np.zeros(len(text) + 8, dtype=np.uint8)
+    padded[: len(text)] = text
+    eights = np.ndarray(len(text) + 1, dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from each place on
+    size = end - begin
+    h = size.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h *= _BASE
+        h ^= eights[begin] & _BYTES[np.minimum(size, 8)]
+        h = _mixed(h)
+        more = np.flatnonzero(size > 8)
+        for done in range(8, LONG, 8):
+            if not len(more):
+                break
+            left = size[more] - done
+            h[more] = _mixed(h[more] ^ (eights[begin[more] + done] & _BYTES[np.minimum(left, 8)]))
+            more = more[left > 8]
+    for k in more.tolist():
+        h[k] = known[text[begin[k]: end[k]].tobytes()]
+    return h
 
 
 def edges(h: np.ndarray, window: int) -> np.ndarray:
@@ -125,83 +160,135 @@ def _docs(batch: pa.RecordBatch) -> Iterator[tuple[int | None, list[bytes]]]:
         yield doc, raw.split() if raw else []
 
 
+class _Block:
+    """Words of some rows of a batch, one row behind the other: ``begin`` and ``end`` of each in ``text``, and where the rows' words
+    begin among them (``cuts``)."""
+
+    def __init__(self, text: np.ndarray, offsets: np.ndarray):
+        self.text, self._inside = text, _IN_WORD[text]
+        inside, starts = self._inside, offsets[:-1][offsets[:-1] < offsets[-1]]
+        begins, ends = np.zeros(len(text) + 1, dtype=bool), np.zeros(len(text) + 1, dtype=bool)
+        if len(text):
+            begins[:-1] = inside
+            begins[1:-1] &= ~inside[:-1]
+            begins[starts] = inside[starts]
+            ends[1:] = inside
+            ends[1:-1] &= ~inside[1:]
+            starts = starts[starts > 0]
+            ends[starts] = inside[starts - 1]
+        self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
+        self.cuts = np.searchsorted(self.begin, offsets)
+
+    def hashes(self, known: Words) -> np.ndarray:
+        return _hashed(self.text, self.begin, self.end, known)
+
+    def rows(self) -> np.ndarray:
+        """Row of each word."""
+        return np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
+
+    def windows(self, window: int) -> np.ndarray:
+        """First words of the windows that lie in one row."""
+        out = np.ones(max(0, len(self.begin) - window + 1), dtype=bool)
+        over = (self.cuts[1:-1, None] - np.arange(1, window)).ravel()
+        out[over[(over >= 0) & (over < len(out))]] = False
+        return np.flatnonzero(out)
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words, each followed by one space, and where each begins."""
+        at = np.append(0, np.cumsum(self.end - self.begin + 1))
+        out, letters = np.full(at[-1], 32, dtype=np.uint8), np.ones(at[-1], dtype=bool)
+        letters[at[1:] - 1] = False
+        out[letters] = self.text[self._inside]
+        return out, at
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, _Block]]:
+    """The rows of a batch, some at a time, and their words; null texts have none."""
+    raw = batch.column("text").cast(pa.binary()).cast(pa.large_binary())
+    raw = pc.fill_null(raw, b"") if raw.null_count else raw
+    if not len(raw):
+        return
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset: raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
+    first = 0
+    while first < len(raw):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, side="right")) - 1)
+        yield batch.slice(first, last - first), _Block(data[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first])
+        first = last
+
+
 def _minimizers(window: int, sub: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in batches:
-            found, ids, sizes = [], [], []
-            for doc, words in _docs(batch):
-                m = minimizers(_hashes(words, known), window, sub)
-                m = np.sort(m[_first(m)])
-                m = m[_first(m)]
-                found.append(m)
-                ids.append(doc)
-                sizes.append(len(m))
-            m = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(np.repeat(np.array(ids, dtype=np.int64), sizes))], ["m", "doc"])
+        for rows, block in (x for batch in batches for x in _blocks(batch)):
+            at = block.windows(window)
+            m, row = minimizers(block.hashes(known), window, sub)[at], block.rows()[at]
+            first = _first(m, row)
+            m, row = m[first], row[first]
+            cuts = np.searchsorted(row, np.arange(rows.num_rows + 1)).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                m[a:b].sort()
+            first = _first(m, row)
+            ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(m[first].view(np.int64)), pa.array(ids[row[first]], pa.int64())], ["m", "doc"])
     return run
 
 
 def _paths(window: int, sub: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in batches:
-            wanted = batch.column("buckets")
-            flat, cuts = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64), wanted.offsets.to_numpy()
-            cuts = cuts - cuts[0]
-            hashes, sizes, starts, ids = [], [], [], []
-            for k, (doc, words) in enumerate(_docs(batch)):
-                h = _hashes(words, known)
-                m = minimizers(h, window, sub)
-                own = np.sort(flat[cuts[k]: cuts[k + 1]])
-                if not len(m) or not len(own):
-                    continue
-                first = np.flatnonzero(_first(m))
-                size = np.diff(first, append=len(m))
-                at = np.minimum(np.searchsorted(own, m[first]), len(own) - 1)
-                keep = own[at] == m[first]
-                hashes.append(edges(h, window)[np.repeat(keep, size)])
-                first, size = first[keep], size[keep]
-                sizes.append(size)
-                starts.append(first)
-                ids.append(np.full(len(first), doc, dtype=np.int64))
-            if not sizes:
+        for rows, block in (x for batch in batches for x in _blocks(batch)):
+            # a bucket that any row of the block shares is wanted of every other that has it, too
+            wanted = pc.unique(rows.column("buckets").flatten())
+            at = block.windows(window)
+            if not len(at):
                 continue
-            offsets = np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32)
-            path = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([path, pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts).astype(np.int64))],
-                                             ["path", "doc", "start"])
+            h, row = block.hashes(known), block.rows()[at]
+            m = minimizers(h, window, sub)[at]
+            first = np.flatnonzero(_first(m, row))
+            size = np.diff(first, append=len(m))
+            keep = pc.is_in(pa.array(m[first].view(np.int64)), value_set=wanted).to_numpy(zero_copy_only=False)
+            path = edges(h, window)[at[np.repeat(keep, size)]]
+            first, size = first[keep], size[keep]
+            ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+            offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array(offsets), pa.array(path.view(np.int64))), pa.array(ids[row[first]], pa.int64()),
+                 pa.array(at[first] - block.cuts[row[first]], pa.int64())], ["path", "doc", "start"])
     return run
 
 
-def _digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def _digest(text: bytes | np.ndarray) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
-_SPAN = pa.struct([("src_doc", pa.int64()), ("src_pos", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_SPAN = {"src_doc": pa.int64(), "src_pos": pa.int64(), "n": pa.int64(), "digest": pa.binary()}
 
 
 def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for batch in batches:
-            rows = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "spans": []}
-            repeats = batch.column("repeats")
-            flat = repeats.flatten()
-            cuts = repeats.offsets.to_numpy()
-            cuts = cuts - cuts[0]
+        for rows, block in (x for batch in batches for x in _blocks(batch)):
+            repeats = rows.column("repeats")
+            flat, own_cuts = repeats.flatten(), repeats.offsets.to_numpy()
+            own_cuts = (own_cuts - own_cuts[0]).tolist()
             edge, src_doc, src_pos = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for k, (doc, words) in enumerate(_docs(batch)):
-                gone, spans = np.zeros(len(words) + 1, dtype=np.int64), []
-                a, b = cuts[k], cuts[k + 1]
+            h = block.hashes(known) if len(edge) else None
+            text, at = block.joined()
+            n_removed, sha, spans, span_cuts = [], [], [], [0]
+            cuts = block.cuts.tolist()
+            for k, (i0, i1) in enumerate(zip(cuts, cuts[1:])):
+                a, b = own_cuts[k], own_cuts[k + 1]
+                kept, removed = text[at[i0]: at[i1]], 0
                 if b > a:
+                    gone = np.zeros(i1 - i0 + 1, dtype=np.int64)
                     order = np.argsort(edge[a:b], kind="stable")
                     own, own_doc, own_pos = edge[a:b][order], src_doc[a:b][order], src_pos[a:b][order]
-                    h = edges(_hashes(words, known), window).view(np.int64)
-                    at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                    pos = np.flatnonzero(own[at] == h)
+                    e = edges(h[i0:i1], window).view(np.int64)
+                    near = np.minimum(np.searchsorted(own, e), len(own) - 1)
+                    pos = np.flatnonzero(own[near] == e)
                     if len(pos):
-                        s_doc, s_pos = own_doc[at[pos]], own_pos[at[pos]]
+                        s_doc, s_pos = own_doc[near[pos]], own_pos[near[pos]]
                         step = np.arange(len(pos))
                         first = np.flatnonzero(_first(pos - step, s_doc, s_pos - step))
                         last = np.append(first[1:], len(pos)) - 1
@@ -209,14 +296,18 @@ def _removed(window: int):
                             i, j = int(pos[f]), int(pos[t]) + window
                             gone[i] += 1
                             gone[j] -= 1
-                            spans.append({"src_doc": int(s_doc[f]), "src_pos": int(s_pos[f]), "n": j - i, "digest": _digest(words[i:j])})
-                left = np.cumsum(gone[:-1]) == 0
-                kept = words if left.all() else list(compress(words, left.tolist()))
-                for name, value in zip(rows, (doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans)):
-                    rows[name].append(value)
+                            spans.append((int(s_doc[f]), int(s_pos[f]), j - i, _digest(text[at[i0 + i]: at[i0 + j] - 1])))
+                        left = np.cumsum(gone[:-1]) == 0
+                        removed = len(left) - int(left.sum())
+                        kept = kept[np.repeat(left, np.diff(at[i0: i1 + 1]))]
+                n_removed.append(removed)
+                sha.append(hashlib.sha256(kept[:-1]).hexdigest())
+                span_cuts.append(len(spans))
+            fields = [pa.array(list(c), t) for c, t in zip(list(zip(*spans)) or [[]] * len(_SPAN), _SPAN.values())]
+            listed = pa.ListArray.from_arrays(pa.array(span_cuts, pa.int32()), pa.StructArray.from_arrays(fields, list(_SPAN)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["n_words"], pa.int64()), pa.array(rows["n_removed"], pa.int64()),
-                 pa.array(rows["kept_sha256"], pa.string()), pa.array(rows["spans"], pa.list_(_SPAN))], list(rows))
+                [rows.column("doc_id"), pa.array(np.diff(block.cuts), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), listed],
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
     return run
 
 
@@ -224,7 +315,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for (doc, words), asked in zip(_docs(batch), batch.column("asked").to_pylist()):
-            out += [(doc, x["src_pos"], x["n"], x["digest"], _digest(words[x["src_pos"]: x["src_pos"] + x["n"]]) == x["digest"]) for x in asked]
+            out += [(doc, x["src_pos"], x["n"], x["digest"], _digest(b" ".join(words[x["src_pos"]: x["src_pos"] + x["n"]])) == x["digest"]) for x in asked]
         cols = list(zip(*out)) or [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["src_doc", "src_pos", "n", "digest", "same"])

@@ -107,3 +107,60 @@ def test_words_are_read_as_bytes():
     for n in (0, 1, 2, 50):
         a, b = rng.integers(0, 2, (2, n))
         assert substring._first(a, b).tolist() == [i == 0 or (a[i], b[i]) != (a[i - 1], b[i - 1]) for i in range(n)]
+
+
+def test_blocks_of_rows_are_cut_and_hashed_at_once(monkeypatch):
+    """Words are cut and hashed for many rows together, none of them one by one but the long ones; a word's hash is its own wherever it stands."""
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(3)
+    parts = ["a", "Ab", "é", "漢字", "w" * 7, "x" * 8, "y" * 9, "z" * 64, "v" * 65, "v" * 64 + "u", "\x1c", " ", "\0", " ", " ", " ", "\n", "\x0b ", "\t\t", "\r\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(300)] + [None, "", "  ", "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 1)), pa.array(["not this", *texts])], ["doc_id", "text"]).slice(1)
+    every = sorted({w for t in texts for w in (t or "").encode().split()})
+    missed = []
+    monkeypatch.setattr(substring.Words, "__missing__", lambda self, word, found=substring.Words.__missing__: missed.append(word) or found(self, word))
+    alone = {w: int(h) for w, h in zip(every, substring._hashes(every, substring.Words()))}
+    assert len(set(alone.values())) == len(every)
+    assert {len(w) > substring.LONG for w in missed} == {True}
+    for size in (1, 700, 1 << 20):
+        monkeypatch.setattr(substring, "BLOCK_BYTES", size)
+        seen = 0
+        for rows, block in substring._blocks(batch):
+            h, (joined, at) = block.hashes(substring.Words()), block.joined()
+            owner = block.rows()
+            starts = [int(i) for i in block.windows(3)]
+            assert starts == [i for i in range(len(h) - 2) if owner[i] == owner[i + 2]]
+            for k in range(rows.num_rows):
+                words = (texts[seen] or "").encode().split()
+                i, j = block.cuts[k], block.cuts[k + 1]
+                assert [alone[w] for w in words] == h[i:j].tolist()
+                assert joined[at[i]: at[j]].tobytes() == b"".join(w + b" " for w in words)
+                seen += 1
+        assert seen == len(texts)
+    eights = [np.frombuffer(w, np.uint8) for w in (b"ab cd", b"abcd")]
+    assert substring._hashed(eights[0], np.array([0, 3]), np.array([2, 5]), substring.Words()).tolist() == \
+        substring._hashed(eights[1], np.array([0, 2]), np.array([2, 4]), substring.Words()).tolist()
+
+
+def test_small_blocks_give_the_same_rows():
+    """Rows that meet in one block, or don't, lose the same words."""
+    import pyarrow as pa
+    docs = sorted((i, t) for i, t in corpus(5) if t)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    before = substring.BLOCK_BYTES
+    try:
+        got = []
+        for size in (1, 500, before):
+            substring.BLOCK_BYTES = size
+            m = pa.Table.from_batches(substring._minimizers(13, 5)(iter([batch])))
+            first = {}
+            for x, doc in zip(m["m"].to_pylist(), m["doc"].to_pylist()):
+                first.setdefault(x, set()).add(doc)
+            shared = [[x for x, d in first.items() if len(d) > 1 and i in d] for i, _ in docs]
+            rows = pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared, pa.list_(pa.int64()))], ["doc_id", "text", "buckets"])
+            p = pa.Table.from_batches(substring._paths(13, 5)(iter([rows])))
+            got.append((sorted(map(str, m.to_pylist())), sorted(map(str, p.to_pylist()))))
+        assert got[0] == got[1] == got[2] and len(got[0][1]) > 20
+    finally:
+        substring.BLOCK_BYTES = before
