@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 import tempfile
 import time
 
@@ -144,3 +145,27 @@ def test_a_batch_leaves_no_shuffle_files(spark, tmp_path):
         time.sleep(0.1)
     assert shuffles() <= before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_winning_texts_come_last_and_no_exchange_carries_them(spark):
+    found = catalog.QUERIES["snapshot_fold"](spark, SF_SMALL)
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "BroadcastExchange" in plan or " Exchange" in plan
+    assert not [node for node in plan.split("\n\n") if " Exchange" in node.split("\n")[0] and re.search(r"\btext#", node)]
+    same_rows(found, changes.snapshot(src.change_log_from_tables(spark, SF_SMALL)))
+
+
+def test_late_texts_of_a_fold_are_those_of_the_log(spark):
+    """Texts that several rows hold, that a later write replaces, that no row holds, and a log without ids."""
+    log = log_of(spark, (1, "insert", 1, {"text": "a", "status": "To Do"}), (2, "patch", 1, {"text": "b"}), (2, "patch", 1, {"text": "b"}), (3, "insert", 2, {"text": "c"}),
+                 (4, "insert", 3, {"status": "done"}), (5, "delete", 4, {}), (6, "insert", 5, {"text": "d"}), (7, "delete", 5, {"text": "e"}), (8, "analysis", 2, {"tag": "Praise"}))
+    nameless = log.unionByName(log.where("seq = 3").withColumn("id", F.lit(None).cast("long")).withColumn("seq", F.lit(9).cast("long")))
+    for events in (log, nameless):
+        def rows_of(states, events=events):
+            assert "text" not in states.columns
+            return events.where("text IS NOT NULL").join(states, ["id", "seq"])
+
+        want = changes.fold_state(events)
+        same_rows(changes.fold_state(events, rows_of=rows_of), want)
+        assert changes.fold_state(events, rows_of=rows_of).count() == want.count() == (5 if events is log else 6)
+        same_rows(changes.snapshot(events, True, rows_of), changes.snapshot(events, True))
