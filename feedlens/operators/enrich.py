@@ -9,6 +9,7 @@ native expressions.
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from typing import Callable, Protocol
 
@@ -24,7 +25,7 @@ from feedlens import schema as S
 from feedlens.functions.analysis import normalize_analysis
 from feedlens.functions.scalars import day, label_or
 from feedlens.plans.ranking import prefix_sum_within
-from feedlens.session import frozen, written
+from feedlens.session import Written, checkpoint_dir, frozen, short_shuffles, written
 
 Scorer = Callable[[pd.Series], pd.Series]
 
@@ -203,23 +204,34 @@ def digest_lines(df: DataFrame, dates: list[str] | None = None, rows_of: Callabl
     meet its numbers; with ``same_text`` a number meets only rows of the text and tag it was given for.
     ``id`` must be unique; rows without a creation time belong to no day.
     """
-    def lines_of(rows: DataFrame, *more: str) -> DataFrame:
-        src = rows.select(day("created_at").alias("date"), "id", "created_at", label_or("tag", "Unknown").alias("tag"),
-                          F.coalesce(F.col("text"), F.lit("")).alias("text"), *more).where(F.col("date").isNotNull())
-        return src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates])) if dates else src
-
-    src = lines_of(df)
-    shown = F.xxhash64("tag", "text")
-    keys = src.select("date", "id", "created_at", _line_weight(F.col("tag"), F.col("text")).alias("_ln_w"), *([shown.alias("_ln_h")] if same_text else []))
-    nums = prefix_sum_within(keys, ["date"], [F.col("created_at").desc(), F.col("id").desc()], weight="_ln_w", out="chars_before", count_out="_ln_0")
-    nums = nums.select(F.col("id").alias("_ln_id"), (F.col("_ln_0") + 1).cast("long").alias("line_no"), F.col("chars_before").cast("long"),
-                       *(["_ln_h"] if same_text else []))
+    nums = _line_numbers(df, dates, same_text).drop("_ln_d")
     if rows_of is None:
-        numbered = src.join(nums, F.col("id") == F.col("_ln_id"))
+        numbered = _lines_of(df, dates).join(nums, F.col("id") == F.col("_ln_id"))
     else:
-        numbered = lines_of(rows_of(nums.withColumnRenamed("_ln_id", "id")), *[c for c in nums.columns if c != "_ln_id"])
-    if same_text:
-        numbered = numbered.where(shown == F.col("_ln_h"))
+        numbered = _lines_of(rows_of(nums.withColumnRenamed("_ln_id", "id")), dates, *[c for c in nums.columns if c != "_ln_id"])
+    return _numbered_lines(numbered, same_text)
+
+
+def _lines_of(rows: DataFrame, dates: list[str] | None = None, *more: str) -> DataFrame:
+    src = rows.select(day("created_at").alias("date"), "id", "created_at", label_or("tag", "Unknown").alias("tag"),
+                      F.coalesce(F.col("text"), F.lit("")).alias("text"), *more).where(F.col("date").isNotNull())
+    return src.where(F.col("date").isin([F.lit(d).cast("date") for d in dates])) if dates else src
+
+
+def _shown():
+    return F.xxhash64("tag", "text")
+
+
+def _line_numbers(df: DataFrame, dates: list[str] | None = None, same_text: bool = False) -> DataFrame:
+    """The lines' numbers (_ln_id, _ln_d: its day, line_no, chars_before) and, with ``same_text``, a hash of what they show (_ln_h)."""
+    keys = _lines_of(df, dates).select("date", "id", "created_at", _line_weight(F.col("tag"), F.col("text")).alias("_ln_w"), *([_shown().alias("_ln_h")] if same_text else []))
+    nums = prefix_sum_within(keys, ["date"], [F.col("created_at").desc(), F.col("id").desc()], weight="_ln_w", out="chars_before", count_out="_ln_0")
+    return nums.select(F.col("id").alias("_ln_id"), F.col("date").alias("_ln_d"), (F.col("_ln_0") + 1).cast("long").alias("line_no"), F.col("chars_before").cast("long"),
+                       *(["_ln_h"] if same_text else []))
+
+
+def _numbered_lines(numbered: DataFrame, same_text: bool) -> DataFrame:
+    numbered = numbered.where(_shown() == F.col("_ln_h")) if same_text else numbered
     return numbered.select("date", "line_no", _line(F.col("line_no"), F.col("tag"), F.col("text")).alias("line"), "chars_before")
 
 
@@ -267,10 +279,19 @@ def digest_prompts(df: DataFrame, max_chars: int = S.DIGEST_PROMPT_CHARS) -> Dat
     return _prompts(DigestChunks(df, max_chars))
 
 
+#: Characters of the days' lines that are on their way to prompts at once, about, and the most passes for that.
+SLICE_CHARS, MAX_SLICES = 16_000_000_000, 16
+
 #: Parts that one merge takes; the merges of a day are merged again, until one is left.
 MERGE_PARTS = 64
 
 
+def _slices(numbers: DataFrame) -> int:
+    """Passes in which the lines of ``numbers`` go to their prompts; one number to the driver."""
+    days = numbers.groupBy("_ln_d").agg(F.max("chars_before").alias("chars"))
+    return min(MAX_SLICES, max(1, -(-(days.agg(F.sum("chars")).first()[0] or 0) // SLICE_CHARS)))
+
+
 def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None = None,
                  max_chars: int = S.DIGEST_PROMPT_CHARS, rows_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """E5: (date, summary, count), one row per date, however busy.
@@ -284,6 +305,9 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
 
     With ``rows_of`` (see ``digest_lines``) the lines are numbered before they
     have texts; then each goes to its prompt at once, packed, and no chunk is stored.
+    Of many lines those of some prompts (picked by a hash of day and chunk) go at a time,
+    so that the exchange holds about ``SLICE_CHARS`` or, beyond ``MAX_SLICES``
+    passes, a share of all; what the generator wrote is stored.
     """
     def called(f, date, x):
         try:
@@ -315,12 +339,22 @@ def daily_digest(df: DataFrame, generator: Generator, dates: DataFrame | None =
         chunks = DigestChunks(df, max_chars)
         parts, left = _prompts(chunks).mapInPandas(write, schema), chunks.most_chunks()
     else:
-        lines = digest_lines(df, rows_of=rows_of, same_text=True).withColumn("chunk", F.floor(F.col("chars_before") / int(max_chars)).cast("long"))
-        left = (lines.agg(F.max("chunk")).first()[0] or 0) + 1  # one number to the driver
+        spark, chunk = df.sparkSession, F.floor(F.col("chars_before") / int(max_chars)).cast("long")
+        numbers = Written(_line_numbers(df, same_text=True), "digest-numbers")
+        left = (numbers.df.agg(F.max(chunk)).first()[0] or 0) + 1  # one number to the driver
+        path = f"{checkpoint_dir(spark)}/digest-parts-{uuid.uuid4().hex}"
+        slices = _slices(numbers.df)
         inside = F.array_sort(F.collect_list(F.struct("line_no", "packed")))  # max_chars and one line at most
-        parts = (lines.select("date", "chunk", "line_no", _packed("line").alias("packed")).groupBy("date", "chunk")
-                 .agg(inside.alias("inside")).select("date", "chunk", F.col("inside.line_no").alias("numbers"), F.col("inside.packed").alias("lines"))
-                 .mapInPandas(write, schema))
+        for part in range(slices):
+            own = numbers.df.where(F.pmod(F.xxhash64("_ln_d", chunk), F.lit(slices)) == part).drop("_ln_d").withColumnRenamed("_ln_id", "id")
+            lines = _numbered_lines(_lines_of(rows_of(own), None, *[c for c in own.columns if c != "id"]), True)
+            written_ = (lines.select("date", chunk.alias("chunk"), "line_no", _packed("line").alias("packed")).groupBy("date", "chunk")
+                        .agg(inside.alias("inside")).select("date", "chunk", F.col("inside.line_no").alias("numbers"), F.col("inside.packed").alias("lines"))
+                        .mapInPandas(write, schema))
+            with short_shuffles(spark):
+                written_.write.mode("append").option("compression", "zstd").parquet(path)
+        numbers.drop()
+        parts = spark.read.schema(schema).parquet(path)
     while left > 1:
         ordered = F.array_sort(F.collect_list(F.struct("chunk", "summary")))  # at most MERGE_PARTS
         parts = (parts.withColumn("into", F.floor(F.col("chunk") / MERGE_PARTS).cast("long")).groupBy("date", "into")

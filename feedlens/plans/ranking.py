@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.session import checkpoint_dir
+from feedlens.session import checkpoint_dir, short_shuffles
 
 
 def _sort_col(c) -> Column:
@@ -39,7 +39,8 @@ def _stamped(df: DataFrame, group_cols: list[str], orders: list[Column], num_par
     keys = [F.col(g).asc_nulls_first() for g in group_cols] + orders
     rp = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
           .withColumns({"_rk_pid": F.spark_partition_id(), "_rk_pos": F.monotonically_increasing_id()}))
-    return rp.checkpoint(eager=True)
+    with short_shuffles(spark):
+        return rp.checkpoint(eager=True)
 
 
 def prefix_sum_within(df: DataFrame, group_cols: list[str], order_cols: list, weight=None,

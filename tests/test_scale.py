@@ -169,3 +169,18 @@ def test_late_texts_of_a_fold_are_those_of_the_log(spark):
         same_rows(changes.fold_state(events, rows_of=rows_of), want)
         assert changes.fold_state(events, rows_of=rows_of).count() == want.count() == (5 if events is log else 6)
         same_rows(changes.snapshot(events, True, rows_of), changes.snapshot(events, True))
+
+
+def test_lines_go_to_their_prompts_in_passes(spark, monkeypatch):
+    """Many lines go a share at a time, and a pass leaves no exchange; digests are those of one pass."""
+    whole, passes = src.feedback_from_tables(spark, SF_SMALL), []
+
+    def rows_of(numbers):
+        passes.append(numbers.count())
+        return src.feedback_from_tables(spark, SF_SMALL, joined=numbers)
+
+    want = enrich.daily_digest(whole, enrich.LineCounter(), max_chars=20_000, rows_of=rows_of).collect()
+    monkeypatch.setattr(enrich, "SLICE_CHARS", 500_000)
+    got = enrich.daily_digest(whole, enrich.LineCounter(), max_chars=20_000, rows_of=rows_of).collect()
+    assert sorted(got) == sorted(want) and len(passes) > 3
+    assert sum(passes[1:]) == passes[0] == whole.count() and max(passes[1:]) < whole.count() / 2
